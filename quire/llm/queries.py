@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, personal_data, quality_rules, simhash
+from . import digests, mixing, personal_data, quality_rules, simhash
 from .common import read
 
 
+def op4_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.digest_report(read(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read(spark, sf_dir, "documents"), weights=[3, 1, 2])
 
@@ -29,6 +33,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_personal_data": op1_personal_data,
     "op2_simhash": op2_simhash,
+    "op4_digests": op4_digests,
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
 }
