@@ -5,14 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digests, mixing, personal_data, quality_rules, simhash
-from .common import read
+from . import digests, mixing, personal_data, quality_rules, simhash, token_files, word_bpe
+from .common import fresh_folder, read
 
 
 def op4_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.digest_report(read(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the public vocabulary files lie on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_folder(spark, "tokens")
+    manifest = token_files.write_token_files(read(spark, sf_dir, "documents"), folder, tokenizer_path("byte_bpe_50k.json"), end_id=2)
+    return token_files.read_token_files(manifest)
+
+
+def op7_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = word_bpe.encode(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    ids = F.array_join("ids", " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read(spark, sf_dir, "documents"), weights=[3, 1, 2])
 
@@ -34,6 +53,8 @@ QUERIES = {
     "op1_personal_data": op1_personal_data,
     "op2_simhash": op2_simhash,
     "op4_digests": op4_digests,
+    "op5_token_files": op5_token_files,
+    "op7_word_bpe": op7_word_bpe,
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
 }
