@@ -181,4 +181,8 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     model = fit(with_votes(document_statistics(docs.select(F.col(f"`{text}`").alias("text")))))
     c = lambda name: F.col(f"__q_{name}")
     failed = (c("n_words") < 20) | (100 * c("n_repeat_words") > 30 * c("n_words"))
-    return voted.where(~failed & (model.posterior() >= 0.5)).select(*[F.col(f"`{x}`") for x in docs.columns])
+    good = ~failed & (model.posterior() >= 0.5)
+    # A row is repeated once or not at all: the optimizer would push a filter down through each step of the statistics
+    # and write their expressions out many times over.
+    times = F.when(good, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    return voted.select(*[F.col(f"`{x}`") for x in docs.columns], F.explode(times).alias("__q_time")).drop("__q_time")
