@@ -34,7 +34,7 @@ class WordMemo:
     ids of such a chunk (with its space, if one leads) can be kept. Texts of any other form go to the library whole.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -42,6 +42,9 @@ class WordMemo:
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        letters = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.leads = np.zeros(max(letters.values()) + 1, bool)  # ids of tokens that begin with a space
+        self.leads[[i for t, i in letters.items() if t.startswith("\u0120")]] = True
         self.spaced: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {"\n": b""}
         self.limit = limit
@@ -50,10 +53,22 @@ class WordMemo:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _ids_spaced(self, words: list[str]) -> list[bytes]:
+        """The ids of each word with a space before it: one call, cut where a token begins with a space."""
+        if not words:
+            return []
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids)
+        starts = np.flatnonzero(self.leads[ids]) * self.dtype.itemsize
+        if len(starts) != len(words):
+            return self._ids([" " + w for w in words])
+        data = ids.astype(self.dtype).tobytes()
+        ends = [*starts[1:].tolist(), len(data)]
+        return [data[a:b] for a, b in zip(starts.tolist(), ends, strict=True)]
+
     def _split(self, text: str) -> list[list[str]] | None:
         lines = [line.split(" ") for line in text.split("\n")]
         n = sum(map(len, lines))
-        if len(text.split()) != n or any("" in line for line in lines) or any(s in text for s in self.special):
+        if len(text.split()) != n or "\u180e" in text or any("" in line for line in lines) or any(s in text for s in self.special):
             return None
         return lines
 
@@ -64,11 +79,11 @@ class WordMemo:
             self.spaced, self.bare = {}, {"\n": newline}
         split = [self._split(t) for t in texts]
         spaced, bare = self.spaced, self.bare
-        new_spaced = {w for lines in split if lines for line in lines for w in line[1:] if w not in spaced}
-        new_bare = {line[0] for lines in split if lines for line in lines if line[0] not in bare}
-        for new, kept, lead in ((list(new_spaced), spaced, " "), (list(new_bare), bare, "")):
-            if new:
-                kept.update(zip(new, self._ids([lead + w for w in new]), strict=True))
+        lines = [line for some in split if some for line in some]
+        new = list(set(chain.from_iterable(line[1:] for line in lines)).difference(spaced))
+        spaced.update(zip(new, self._ids_spaced(new), strict=True))
+        new = list({line[0] for line in lines}.difference(bare))
+        bare.update(zip(new, self._ids(new), strict=True))
         whole = iter(self._ids([t for t, lines in zip(texts, split, strict=True) if lines is None]))
         feed, out = bare["\n"], []
         for lines in split:
