@@ -52,3 +52,8 @@ def with_columns_over(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     taken = {name.lower() for name in columns}
     keep = [F.col(f"`{c}`") for c in df.columns if c.lower() not in taken]
     return df.select(*keep, *[c.alias(n) for n, c in columns.items()])
+
+
+def id_remainder(doc_id: Column, of: int) -> Column:
+    """crc32 of the doc_id as text, modulo `of`: a fixed way to hold documents out. A null id gives 0."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(of)), F.lit(0))

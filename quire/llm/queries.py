@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digests, mixing, personal_data, quality_rules, simhash, token_files, word_bpe
+from . import digests, language, mixing, personal_data, quality_model, quality_rules, simhash, token_files, toxicity, word_bpe
 from .common import fresh_folder, read
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict_languages(read(spark, sf_dir, "documents"))
+
+
 def op4_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.digest_report(read(spark, sf_dir, "documents"))
 
@@ -26,6 +30,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = word_bpe.encode(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
     ids = F.array_join("ids", " ")
@@ -49,14 +57,21 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_personal_data": op1_personal_data,
     "op2_simhash": op2_simhash,
+    "op3_language": op3_language,
     "op4_digests": op4_digests,
     "op5_token_files": op5_token_files,
+    "op6_toxicity": op6_toxicity,
     "op7_word_bpe": op7_word_bpe,
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
+    "op10_quality_model": op10_quality_model,
 }
 
 ORACLE_SQL: dict[str, str] = {}
