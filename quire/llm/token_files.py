@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 NO_ID = -(1 << 63)
+MARKS = ".,;:!?"
 _KEPT: dict[str, WordMemo] = {}
 
 
@@ -34,7 +35,7 @@ class WordMemo:
     ids of such a chunk (with its space, if one leads) can be kept. Texts of any other form go to the library whole.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -47,6 +48,7 @@ class WordMemo:
         self.leads[[i for t, i in letters.items() if t.startswith("\u0120")]] = True
         self.spaced: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {"\n": b""}
+        self.marks = dict(zip(MARKS, self._ids(list(MARKS)), strict=True))
         self.limit = limit
         self.bare["\n"] = self._ids(["\n"])[0]
 
@@ -66,9 +68,11 @@ class WordMemo:
         return [data[a:b] for a, b in zip(starts.tolist(), ends, strict=True)]
 
     def _split(self, text: str) -> list[list[str]] | None:
-        lines = [line.split(" ") for line in text.split("\n")]
-        n = sum(map(len, lines))
-        if len(text.split()) != n or "\u180e" in text or any("" in line for line in lines) or any(s in text for s in self.special):
+        rows = text.split("\n")
+        if not all(map(str.isprintable, rows)) or any(s in text for s in self.special):
+            return None  # other white space isn't printable
+        lines = [row.split(" ") for row in rows]
+        if any("" in line for line in lines):
             return None
         return lines
 
@@ -80,8 +84,11 @@ class WordMemo:
         split = [self._split(t) for t in texts]
         spaced, bare = self.spaced, self.bare
         lines = [line for some in split if some for line in some]
-        new = list(set(chain.from_iterable(line[1:] for line in lines)).difference(spaced))
+        new = set(chain.from_iterable(line[1:] for line in lines)).difference(spaced)
+        marked = [w for w in new if w[-1] in MARKS and w[:-1].isalpha()]  # letters and a mark: two tokens at least
+        new = list(new.difference(marked).union([w[:-1] for w in marked]).difference(spaced))
         spaced.update(zip(new, self._ids_spaced(new), strict=True))
+        spaced.update([(w, spaced[w[:-1]] + self.marks[w[-1]]) for w in marked])
         new = list({line[0] for line in lines}.difference(bare))
         bare.update(zip(new, self._ids(new), strict=True))
         whole = iter(self._ids([t for t, lines in zip(texts, split, strict=True) if lines is None]))
