@@ -10,7 +10,6 @@ table gives an empty result. Very long words are merged with a heap, in near-lin
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import json
 import unicodedata
@@ -25,11 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import Transducer, compile_words
-from .common import fresh_folder, text_of
+from .common import cut, fresh_folder, text_of
 
 # The pieces a text is cut into, and the white space between them.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ODD_SPACE = "[\x1c-\x1f]"  # the str methods take these for white space, the pieces don't
+BITS = 17
+MASK, NONE = (1 << BITS) - 1, 1 << 62
 _KEPT: dict[str, WordCoder] = {}
 
 
@@ -43,7 +44,7 @@ def byte_letters() -> list[str]:
 class WordCoder:
     """One tokenizer file, and the ids of the words seen so far."""
 
-    def __init__(self, path: str, lexicon: Transducer | None = None, limit: int = 250_000):
+    def __init__(self, path: str, lexicon: Transducer | None = None, limit: int = 500_000):
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         model = made["model"]
@@ -52,7 +53,8 @@ class WordCoder:
         self.special = {t["content"]: t["id"] for t in made["added_tokens"]}
         self.names = {i: t for t, i in (self.vocab | self.special).items()}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self.merges = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        # a pair of ids, as one number, to its rank and new id, as one number
+        self.merges = {self.vocab[a] << BITS | self.vocab[b]: rank << BITS | self.vocab[a + b] for rank, (a, b) in enumerate(pairs)}
         letters = byte_letters()
         self.inner = [self.vocab[c] for c in letters]
         self.last = [self.vocab[c + self.end] for c in letters]
@@ -61,6 +63,7 @@ class WordCoder:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.lexicon, self.limit = lexicon, limit
         self.words: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one piece, by merging."""
@@ -69,41 +72,47 @@ class WordCoder:
 
     def _merge_short(self, ids: list[int]) -> list[int]:
         get = self.merges.get
-        while True:
-            found = [(m[0], i, m[1]) for i, pair in enumerate(zip(ids, ids[1:])) if (m := get(pair))]  # noqa: B905
-            if not found:
-                return ids
-            _, i, new = min(found)
-            ids[i : i + 2] = [new]
+        ranks = [get(a << BITS | b, NONE) for a, b in zip(ids, ids[1:])]  # noqa: B905
+        while ranks and (best := min(ranks)) != NONE:
+            i = ranks.index(best)
+            ids[i : i + 2] = [best & MASK]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << BITS | ids[i], NONE)
+            if i < len(ranks):
+                ranks[i] = get(ids[i] << BITS | ids[i + 1], NONE)
+        return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
-        n = len(ids)
+        n, get = len(ids), self.merges.get
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := self.merges.get((ids[i], ids[i + 1])))]
+        heap = [(m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := get(ids[i] << BITS | ids[i + 1], NONE)) != NONE]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b, new = heapq.heappop(heap)
+            m, i, a, b = heapq.heappop(heap)
             j = after[i]
             if ids[i] != a or j < 0 or ids[j] != b:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = m & MASK, -1
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for k in (before[i], i):
-                if k >= 0 and after[k] >= 0 and (m := self.merges.get((ids[k], ids[after[k]]))):
-                    heapq.heappush(heap, (m[0], k, ids[k], ids[after[k]], m[1]))
+                if k >= 0 and after[k] >= 0 and (m := get(ids[k] << BITS | ids[after[k]], NONE)) != NONE:
+                    heapq.heappush(heap, (m, k, ids[k], ids[after[k]]))
         return [x for x in ids if x >= 0]
 
+    def _piece(self, piece: str) -> bytes:
+        own = piece.encode()
+        found = self.lexicon.get(own) if self.lexicon is not None else None
+        ids = self.known[piece] = np.array(self.merge(own) if found is None else found, "<i4").tobytes()
+        return ids
+
     def _word(self, word: str) -> bytes:
-        """The ids of text without white space inside, as 16- or 32-bit numbers."""
-        text = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
-        ids: list[int] = []
-        for piece in self.pieces.findall(text):
-            own = piece.encode()
-            found = self.lexicon.get(own) if self.lexicon is not None else None
-            ids.extend(self.merge(own) if found is None else found)
-        return np.array(ids, "<i4").tobytes()
+        """The ids of text without white space inside, as 32-bit numbers."""
+        text = word.lower() if word.isascii() else unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
+        known = self.known
+        return b"".join([known.get(piece) or self._piece(piece) for piece in self.pieces.findall(text)])
 
     def _plain(self, text: str) -> bytes:
         if self.odd.search(text):
@@ -114,8 +123,9 @@ class WordCoder:
         return b"".join(map(known.__getitem__, words))
 
     def encode(self, text: str) -> np.ndarray:
-        if len(self.words) > self.limit:
+        if len(self.words) + len(self.known) > self.limit:
             self.words.clear()
+            self.known.clear()
         if self.cut is None or not any(s in text for s in self.special):
             return np.frombuffer(self._plain(text), "<i4")
         parts = self.cut.split(text)
@@ -130,8 +140,16 @@ class WordCoder:
 def frequent_words(docs: DataFrame, text: str = "text", lexicon_words: int = 50_000, longest: int = 32) -> list[str]:
     """The most frequent runs of letters over all texts, in lower case; at most lexicon_words come to the driver."""
     words = docs.select(F.explode(F.split(F.lower(text_of(F.col(f"`{text}`"))), r"[^\p{L}]+")).alias("w"))
-    counts = words.where(F.length("w").between(1, longest)).groupBy("w").agg(F.count("*").alias("n")).where("n > 1")
-    return [r["w"] for r in counts.orderBy(F.desc("n"), "w").limit(lexicon_words).collect()]
+    counts = cut(words.where(F.length("w").between(1, longest)).groupBy("w").agg(F.count("*").alias("n")).where("n > 1"))
+    # the least count that few enough words reach, from a histogram of counts in eighths of an octave
+    step = F.floor(F.log2("n") * 8).cast("int")
+    left, least = lexicon_words, None
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect(), reverse=True):
+        left -= r["words"]
+        if left < 0:
+            break
+        least = r["step"]
+    return [] if least is None else [r["w"] for r in counts.where(step >= least).select("w").collect()]
 
 
 def lexicon_file(words: list[str], tokenizer: str) -> bytes:
@@ -153,8 +171,8 @@ def encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     """doc_id, ids and decoded (the text that the ids stand for) of every row."""
     spark = docs.sparkSession
     data = lexicon_file(frequent_words(docs, text, lexicon_words), tokenizer)
-    name = f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}"
     folder = fresh_folder(spark, "lexicon")  # shared; Spark copies the file to every executor from there
+    name = f"{folder.rpartition('/')[2]}.bin"  # a session takes each file name once
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
     with fs.open_output_stream(f"{root}/{name}") as out:
