@@ -112,4 +112,4 @@ def calculation_text(value: Column) -> Column:
     """A result as form text: an integer as one, else two decimals without trailing zeros."""
     rounded = F.round(value, 2)
     whole = rounded == F.round(value, 0)
-    return F.when(whole, rounded.cast("long").cast("string")).otherwise(F.regexp_replace(F.format_number(rounded, "0.00"), "0+$", ""))
+    return F.when(whole, rounded.cast("long").cast("string")).otherwise(F.regexp_replace(F.format_string("%.2f", rounded), "0+$", ""))
