@@ -22,6 +22,7 @@ from .common import SPACE, SPACE_CHARS, cut, text_of, with_columns_over, word_ar
 # Fixed value: the characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 
+RULES = ["length", "word_size", "symbols", "lines", "repeats", "capitals", "variety"]
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_capitals"]
 
 
@@ -95,9 +96,6 @@ def _rules(prefix: str = "__q_") -> dict[str, tuple[Column, Column | None]]:
     }
 
 
-RULES = list(_rules())
-
-
 def with_votes(stats: DataFrame, prefix: str = "__q_") -> DataFrame:
     return stats.withColumns({f"{prefix}v_{name}": (F.when(bad, -1) if good is None else F.when(bad, -1).when(good, 1)).otherwise(0) for name, (bad, good) in _rules(prefix).items()})
 

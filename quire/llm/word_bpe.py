@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import Transducer, compile_words
-from .common import cut, fresh_folder, text_of
+from .common import fresh_folder, text_of
 
 # The pieces a text is cut into, and the white space between them.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -140,7 +140,8 @@ class WordCoder:
 def frequent_words(docs: DataFrame, text: str = "text", lexicon_words: int = 50_000, longest: int = 32) -> list[str]:
     """The most frequent runs of letters over all texts, in lower case; at most lexicon_words come to the driver."""
     words = docs.select(F.explode(F.split(F.lower(text_of(F.col(f"`{text}`"))), r"[^\p{L}]+")).alias("w"))
-    counts = cut(words.where(F.length("w").between(1, longest)).groupBy("w").agg(F.count("*").alias("n")).where("n > 1"))
+    # kept in memory or on the executors' disks for the two looks below; lost blocks are counted again
+    counts = words.where(F.length("w").between(1, longest)).groupBy("w").agg(F.count("*").alias("n")).where("n > 1").persist()
     # the least count that few enough words reach, from a histogram of counts in eighths of an octave
     step = F.floor(F.log2("n") * 8).cast("int")
     left, least = lexicon_words, None
@@ -149,7 +150,9 @@ def frequent_words(docs: DataFrame, text: str = "text", lexicon_words: int = 50_
         if left < 0:
             break
         least = r["step"]
-    return [] if least is None else [r["w"] for r in counts.where(step >= least).select("w").collect()]
+    found = [] if least is None else [r["w"] for r in counts.where(step >= least).select("w").collect()]
+    counts.unpersist()
+    return found
 
 
 def lexicon_file(words: list[str], tokenizer: str) -> bytes:
