@@ -2,35 +2,32 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.operators.groups import walk_groups
+
 
 def fold_journal(events: DataFrame) -> DataFrame:
     """(doc, seq, kept, cursor) after each (doc, ord, action) in order of ord: how many entries stand, and the cursor.
 
     An append drops what was undone; undo and redo move the cursor within bounds. Each step depends on all before it,
-    so a document's actions are folded in one go, in the order of ord.
+    so a document's actions are streamed in the order of ord.
     """
 
-    def fold(batch: pd.DataFrame) -> pd.DataFrame:
+    def fold(actions):
         kept = cursor = 0
-        out = []
-        for action in batch.sort_values("ord")["action"]:
-            if action == "append":
+        for a in actions:
+            if a.action == "append":
                 kept = cursor = cursor + 1
-            elif action == "undo":
+            elif a.action == "undo":
                 cursor = max(0, cursor - 1)
-            elif action == "redo":
+            elif a.action == "redo":
                 cursor = min(kept, cursor + 1)
-            out.append((kept, cursor))
-        done = batch.sort_values("ord")[["doc", "ord"]].copy()
-        done[["kept", "cursor"]] = out
-        return done
+            yield a.doc, a.ord, kept, cursor
 
-    return events.select("doc", "ord", "action").groupBy("doc").applyInPandas(fold, "doc long, ord long, kept long, cursor long")
+    return walk_groups(events.select("doc", "ord", "action"), "doc", ["ord"], fold, "doc long, ord long, kept long, cursor long")
 
 
 def retained(snapshots: DataFrame, budget: int, newest: int = 2) -> DataFrame:

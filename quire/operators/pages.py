@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions.numbers import letters, padded, roman
+from quire.operators.groups import walk_groups
 
 RANGE = r"^\s*(\d*)\s*[-–—]\s*(\d*)\s*$"
 
@@ -68,19 +68,18 @@ def split_by_bookmarks(bookmarks: DataFrame, key: list[str], pages: int) -> Data
 def split_by_size(pages: DataFrame, limit: int) -> DataFrame:
     """(doc_id, page, part): pages fill parts up to a limit of bytes, in order; one that is larger stands alone.
 
-    Where a part starts depends on all before, so a document's pages, of which it has few, are walked in one go.
+    Where a part starts depends on all before, so a document's pages are walked in order.
     """
 
-    def walk(batch: pd.DataFrame) -> pd.DataFrame:
-        part, used, out = 0, 0, []
-        for size in batch.sort_values("page")["bytes"]:
-            if used and used + size > limit:
+    def walk(own):
+        part, used = 0, 0
+        for p in own:
+            if used and used + p.bytes > limit:
                 part, used = part + 1, 0
-            used += size
-            out.append(part)
-        return batch.sort_values("page").assign(part=out)[["doc_id", "page", "part"]]
+            used += p.bytes
+            yield p.doc_id, p.page, part
 
-    return pages.select("doc_id", "page", "bytes").groupBy("doc_id").applyInPandas(walk, "doc_id long, page int, part int")
+    return walk_groups(pages.select("doc_id", "page", "bytes"), "doc_id", ["page"], walk, "doc_id long, page int, part int")
 
 
 def insert_plan(rows: DataFrame, at: Column, count: Column) -> DataFrame:
