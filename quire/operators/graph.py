@@ -76,3 +76,18 @@ def resolved_roles(mapping: DataFrame, rounds: int = 20) -> DataFrame:
         at = new.select("role", F.col("to").alias("final"))
     still = mapping.select(F.col("role").alias("final")).distinct().withColumn("loop", F.lit(True))
     return at.join(still, "final", "left").select("role", F.when(F.col("loop").isNull(), F.col("final")).alias("final"))
+
+
+def linked_groups(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, first) of the nodes in (a, b) links: the smallest node that can be reached."""
+    both = settled(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    at = settled(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("first")))
+    for _ in range(rounds):
+        near = both.join(at.select(F.col("node").alias("b"), "first"), "b").groupBy(F.col("a").alias("node")).agg(F.min("first").alias("near"))
+        pulled = settled(at.join(near, "node").select("node", F.col("first").alias("was"), F.least("first", "near").alias("first")))
+        up = pulled.select(F.col("node").alias("first"), F.col("first").alias("up"))
+        new = settled(pulled.join(up, "first").select("node", "was", F.col("up").alias("first")))
+        at = new.select("node", "first")
+        if not new.where("was <> first").limit(1).count():
+            return at
+    raise RuntimeError("the groups did not settle")
