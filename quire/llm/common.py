@@ -32,6 +32,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_narrow(df: DataFrame) -> DataFrame:
+    """cut() for a table of a few numbers a row: one file a core at most, as loops would write very many small ones."""
+    return cut(df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism)))
+
+
 def text_of(column: Column) -> Column:
     """A null text counts as an empty one."""
     return F.coalesce(column.cast("string"), F.lit(""))
@@ -47,6 +52,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def packed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df's rows as one struct, `row`, beside the columns an operator works on; `row.*` gives them back. So no name of
+    df's can clash with one of the operator's."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in columns.items()])
+
+
 def with_columns_over(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Add columns; those of df that have the same names (in any case) go."""
     taken = {name.lower() for name in columns}

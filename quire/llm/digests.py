@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, text_of
+from .common import cut_narrow, text_of
 from .order import bucket_bounds, bucket_of
 
 PLAIN = r"[^\x00-\x7fÀ-ı]"
@@ -117,7 +117,7 @@ def digest_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     An exact digest knows only equal and different, so a likeness is 1 or 0; equal hashes are checked by their texts.
     """
     narrow = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text_of(F.col(f"`{text}`")).alias("text"))
-    shared = cut(shared_hashes(exact_classes(narrow)))
+    shared = cut_narrow(shared_hashes(exact_classes(narrow)))
     both = with_next(narrow, "doc_id", "text", "__next")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")

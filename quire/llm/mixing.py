@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, text_of
+from .common import cut, cut_narrow, packed, text_of
 from .order import running_before
 
 HASH_BITS, BUCKET_BITS = 52, 12
@@ -39,7 +39,7 @@ def source_targets(sizes: DataFrame, weights: list[float], share: float = 1.5, m
     sources = sizes.groupBy("__key").agg(F.sum("__size").alias("source_size"))
     ranked = running_before(sources, [F.col("__key")], F.lit(1), "__rank")
     turn = F.array(*[F.lit(float(w)) for w in weights])
-    ranked = cut(ranked.withColumn("__weight", F.get(turn, (F.col("__rank") % len(weights)).cast("int"))))
+    ranked = cut_narrow(ranked.withColumn("__weight", F.get(turn, (F.col("__rank") % len(weights)).cast("int"))))
     cap, weight = F.col("source_size") * max_epochs, F.col("__weight")
     total = float(ranked.agg(F.sum("source_size").alias("t")).first()["t"] or 0) * share
     level, capped = 0.0, -1
@@ -64,13 +64,13 @@ def _cuts(sizes: DataFrame, targets: DataFrame, broadcast_rows: int) -> DataFram
     """
     size = F.greatest("source_size", F.lit(1))
     whole = F.floor(F.col("target") / size).cast("long")
-    need = cut(targets.withColumn("__whole", whole).withColumn("__need", F.col("target") - F.col("__whole") * F.col("source_size")))
+    need = cut_narrow(targets.withColumn("__whole", whole).withColumn("__need", F.col("target") - F.col("__whole") * F.col("source_size")))
     bucket = F.shiftright("__u", HASH_BITS - BUCKET_BITS)
     histogram = sizes.groupBy("__key", bucket.alias("__bucket")).agg(F.sum("__size").alias("__n"))
     w = Window.partitionBy("__key").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     histogram = histogram.withColumn("__before", F.coalesce(F.sum("__n").over(w), F.lit(0))).join(need, "__key")
     edge = histogram.where((F.col("__before") < F.col("__need")) & (F.col("__need") <= F.col("__before") + F.col("__n")))
-    edge = cut(edge.select("__key", "__bucket", (F.col("__need") - F.col("__before")).alias("__left")))
+    edge = cut_narrow(edge.select("__key", "__bucket", (F.col("__need") - F.col("__before")).alias("__left")))
     at_edge = sizes.withColumn("__bucket", bucket).join(edge, ["__key", "__bucket"])
     by_hash = Window.partitionBy("__key").orderBy("__u").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     reached = F.sum("__size").over(by_hash)
@@ -78,15 +78,15 @@ def _cuts(sizes: DataFrame, targets: DataFrame, broadcast_rows: int) -> DataFram
     last = at_edge.select("__key", "__bucket", "__u", fits.alias("fits")).groupBy("__key", "__bucket").agg(F.max(F.when(F.col("fits"), F.col("__u"))).alias("__last"))
     last = last.select("__key", F.coalesce("__last", F.shiftleft("__bucket", HASH_BITS - BUCKET_BITS) - 1).alias("__at"))
     none = F.when(F.col("__need") <= 0, F.lit(-1)).otherwise(F.lit(1 << HASH_BITS))
-    cuts = cut(need.join(last, "__key", "left").withColumn("__cut", F.coalesce("__at", none)).drop("__at"))
+    cuts = cut_narrow(need.join(last, "__key", "left").withColumn("__cut", F.coalesce("__at", none)).drop("__at"))
     placed = sizes.join(_few(cuts, broadcast_rows), "__key")
     below = placed.groupBy("__key").agg(F.sum(F.when(F.col("__u") <= F.col("__cut"), F.col("__size")).otherwise(0)).alias("__below"))
-    cuts = cut(cuts.join(below, "__key").withColumn("__rest", F.col("__need") - F.col("__below")))
+    cuts = cut_narrow(cuts.join(below, "__key").withColumn("__rest", F.col("__need") - F.col("__below")))
     beyond = sizes.join(_few(cuts, broadcast_rows), "__key").where(F.col("__u") > F.col("__cut"))
     off = F.abs(F.col("__size") - F.col("__rest"))
     fill = beyond.where(off < F.col("__rest")).groupBy("__key").agg(F.min(F.struct(off.alias("off"), F.col("__u").alias("u"))).alias("__best"))
     cuts = cuts.join(fill, "__key", "left").withColumn("__fill", F.coalesce(F.col("__best")["u"], F.lit(-1)))
-    return cut(cuts.select("__key", "source_size", "target", "__whole", "__cut", "__fill"))
+    return cut_narrow(cuts.select("__key", "source_size", "target", "__whole", "__cut", "__fill"))
 
 
 def _few(table: DataFrame, rows: int) -> DataFrame:
@@ -104,7 +104,7 @@ def _plan(sizes: DataFrame, weights: list[float], share: float, max_epochs: floa
 
 def mix_report(docs: DataFrame, weights: list[float], doc_id: str = "doc_id", text: str = "text", source: str = "source", share: float = 1.5, max_epochs: float = 2.0, seed: int = 8, broadcast_rows: int = 20_000) -> DataFrame:
     """doc_id, size, source_size, target and taken (words) of every row; texts are read once."""
-    measured = _measured(docs.select(doc_id, text, source), doc_id, text, source, seed)
+    measured = _measured(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys((doc_id, text, source))]), doc_id, text, source, seed)
     sizes = cut(measured.select(F.col(f"`{doc_id}`").alias("doc_id"), "__key", "__size", "__u"))
     out = sizes.join(_plan(sizes, weights, share, max_epochs, broadcast_rows), "__key")
     return out.select("doc_id", F.col("__size").alias("size"), "source_size", "target", (F.col("__size") * _times()).alias("taken"))
@@ -113,7 +113,8 @@ def mix_report(docs: DataFrame, weights: list[float], doc_id: str = "doc_id", te
 def mixed(docs: DataFrame, weights: list[float], doc_id: str = "doc_id", text: str = "text", source: str = "source", share: float = 1.5, max_epochs: float = 2.0, seed: int = 8, broadcast_rows: int = 20_000) -> DataFrame:
     """The mix itself: the rows of docs, all columns, each as often as it is taken. Texts are read twice, not shuffled
     where the sources are few enough to broadcast."""
-    measured = _measured(docs, doc_id, text, source, seed)
+    own = packed(docs, doc_id=F.col(f"`{doc_id}`"), text=F.col(f"`{text}`"), source=F.col(f"`{source}`"))
+    measured = _measured(own, "doc_id", "text", "source", seed)
     sizes = cut(measured.select("__key", "__size", "__u"))
     out = measured.join(_plan(sizes, weights, share, max_epochs, broadcast_rows), "__key").where(_times() > 0)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), _times())).alias("__time")).drop("__time")
+    return out.select("row", F.explode(F.sequence(F.lit(1), _times())).alias("__time")).select("row.*")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut_narrow
 
 
 def bucket_bounds(df: DataFrame, key: str, buckets: int) -> list[int]:
@@ -40,7 +40,7 @@ def running_before(df: DataFrame, order: list[Column], amount: Column, name: str
     as prefix sums; inside a range a window adds up. The ranges are written out first, so they can't shift on a rerun.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cut(df.repartitionByRange(n, *order).withColumns({"__range": F.spark_partition_id(), "__amount": amount.cast("long")}))
+    dealt = cut_narrow(df.repartitionByRange(n, *order).withColumns({"__range": F.spark_partition_id(), "__amount": amount.cast("long")}))
     totals = sorted((r["__range"], r["t"]) for r in dealt.groupBy("__range").agg(F.sum("__amount").alias("t")).collect())
     base, at = [], 0
     for k, t in totals:

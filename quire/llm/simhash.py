@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, cut_narrow, packed
 from .components import connected_components
 
 LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
@@ -125,7 +125,7 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, blocks: int = RADIUS +
     fp = F.col("fp")
     keys = F.array(*[fp.bitwiseAND(F.lit(m)) for m in _masks(blocks, blocks - radius)])
     banded = distinct.select("fp", F.posexplode(keys).alias("band", "key"))
-    hot = cut(banded.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > tile))
+    hot = cut_narrow(banded.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > tile))
     n_hot = hot.count()
     if n_hot:
         banded = banded.join(F.broadcast(hot) if n_hot <= broadcast_rows else hot, ["band", "key"], "left")
@@ -147,12 +147,12 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     id); an empty table gives an empty result; other columns of docs are not read.
     """
     fps = cut(fingerprints(docs, doc_id, text))
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    distinct = cut_narrow(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
     labels = connected_components(near_links(distinct, radius))
     rooted = distinct.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left")
-    rooted = cut(rooted.select("fp", "first", F.coalesce("label", "fp").alias("root")))
-    least = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
-    named = cut(rooted.join(least, "root").select("fp", "component_id"))
+    rooted = cut_narrow(rooted.select("fp", "first", F.coalesce("label", "fp").alias("root")))
+    least = cut_narrow(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
+    named = cut_narrow(rooted.join(least, "root").select("fp", "component_id"))
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -162,7 +162,7 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radi
     Where rows repeat a doc_id one of them stays; rows without a doc_id all stay.
     """
     classes = near_duplicate_classes(docs, doc_id, text, radius)
-    first = classes.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
+    first = classes.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("key")).distinct()
     key = F.col(f"`{doc_id}`")
-    named = docs.where(key.isNotNull()).join(first, key == F.col("__kept"), "left_semi").dropDuplicates([doc_id])
-    return named.unionByName(docs.where(key.isNull()))
+    named = packed(docs.where(key.isNotNull()), key=key.cast("long")).join(first, "key", "left_semi").dropDuplicates(["key"])
+    return named.select("row.*").unionByName(docs.where(key.isNull()))
