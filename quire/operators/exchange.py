@@ -52,3 +52,18 @@ def escaped_string(text: Column) -> Column:
 def flipped(y0: Column, y1: Column, top: Column) -> tuple[Column, Column]:
     """The lower and upper edge of a rectangle seen from the other side of the page."""
     return top - y1, top - y0
+
+
+def field_entries(text: Column) -> Column:
+    """The (name, value) pairs of form data: `/T (name) /V (value)`, strings unescaped."""
+    string = r"\(((?:\\.|[^\\)])*+)\)"
+    pattern = F.lit(rf"/T\s*{string}\s*/V\s*{string}")
+    plain = lambda x: F.regexp_replace(x, r"\\(.)", "$1")
+    pairs = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(1)).alias("name"), F.regexp_extract_all(text, pattern, F.lit(2)).alias("value"))
+    return F.transform(pairs, lambda p: F.struct(plain(p["name"]).alias("name"), plain(p["value"]).alias("value")))
+
+
+def best_face(bold: Column, italic: Column, faces: list[tuple[str, bool, bool]]) -> Column:
+    """The name of the face (name, bold, italic) that agrees in most styles, the first by name of equals."""
+    agrees = lambda b, i: (bold == F.lit(b)).cast("int") + (italic == F.lit(i)).cast("int")
+    return F.array_min(F.array(*[F.struct((-agrees(b, i)).alias("s"), F.lit(n).alias("name")) for n, b, i in faces]))["name"]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.functions import dates
 from quire.operators import exchange, graph
 from quire.plans.record_queries import TREE_SQL, glyphs, tree
 from quire.plans.text_queries import docs
@@ -257,13 +258,63 @@ def k4_text_in_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 K4_SQL = """WITH g AS (SELECT p_partkey, generate_subscripts(string_split(p_name, ''), 1) - 1 AS o, unnest(string_split(p_name, '')) AS ch FROM part), c AS (SELECT *, o * 10 + 5 + CASE WHEN ch = 'a' THEN 1 ELSE 0 END AS c FROM g WHERE ch <> ' ')
 SELECT p_partkey, floor((c - 15) / 30)::BIGINT AS box, string_agg(ch, '' ORDER BY o) AS text FROM c WHERE c >= 15 GROUP BY ALL"""
 
+def r9_form_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders as form data, with parentheses to escape, and read again."""
+    entry = F.concat(F.lit("<< /T (o"), F.col("o_orderkey").cast("string"), F.lit(r"\(x\)) /V ("), "o_orderpriority", F.lit(r"\\) >>"))
+    text = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.collect_list(entry), " ").alias("t"))
+    found = text.select("o_custkey", F.explode(exchange.field_entries(F.col("t"))).alias("f"))
+    return found.select("o_custkey", "f.name", "f.value")
+
+
+R9_SQL = r"SELECT o_custkey, 'o' || o_orderkey || '(x)' AS name, o_orderpriority || '\' AS value FROM orders"
+
+
+def f8_review_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey") % 3
+    text = F.when(k == 0, F.date_format("o_orderdate", "'D:'yyyyMMddHHmmss")).when(k == 1, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise("soon")
+    when = F.coalesce(dates.pdf_date(F.when(F.startswith(text, F.lit("D:")), text)).cast("timestamp"), F.try_to_timestamp(text))
+    return order.select("o_orderkey", F.coalesce(F.unix_seconds(when), F.lit(0)).alias("seconds"))
+
+
+F8_SQL = "SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN epoch(o_orderdate)::BIGINT ELSE 0 END AS seconds FROM orders"
+
+
+def i5a_edge_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of at most two letters in the outer tenth of a page of 50 go."""
+    line = table(spark, sf_dir, "lineitem").withColumn("mark", (F.length(F.col("l_partkey").cast("string")) <= 2) & ((F.col("l_quantity") < 5) | (F.col("l_quantity") > 45)))
+    return line.groupBy("l_suppkey").agg(F.count(F.when(~F.col("mark"), 1)).alias("kept"), F.count(F.when(F.col("mark"), 1)).alias("dropped"))
+
+
+I5A_SQL = "SELECT l_suppkey, count(*) FILTER (NOT m) AS kept, count(*) FILTER (m) AS dropped FROM (SELECT l_suppkey, length(l_partkey::VARCHAR) <= 2 AND (l_quantity < 5 OR l_quantity > 45) AS m FROM lineitem) GROUP BY l_suppkey"
+
+
+def v6_document_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What may go when a supplier goes: parts that only its lines refer to."""
+    line = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    own = line.groupBy("l_partkey").agg(F.count("*").alias("n"), F.min("l_suppkey").alias("l_suppkey")).where("n = 1")
+    return own.select("l_suppkey", "l_partkey")
+
+
+V6_SQL = "SELECT min(l_suppkey) AS l_suppkey, l_partkey FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) = 1"
+
+
+def t16_font_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    faces = [("Bold", True, False), ("Italic", False, True), ("Regular", False, False)]
+    return table(spark, sf_dir, "part").select("p_partkey", exchange.best_face(F.col("p_size") > 25, F.col("p_partkey") % 2 == 1, faces).alias("face"))
+
+
+T16_SQL = "SELECT p_partkey, CASE WHEN p_size > 25 THEN 'Bold' WHEN p_partkey % 2 = 1 THEN 'Italic' ELSE 'Regular' END AS face FROM part"
+
 QUERIES = {
+    "r9_form_data": r9_form_data, "f8_review_dates": f8_review_dates, "i5a_edge_marks": i5a_edge_marks, "v6_document_cleanup": v6_document_cleanup, "t16_font_match": t16_font_match,
     "r5_csv_rows": r5_csv_rows, "r11_annotations": r11_annotations, "r12_packets": r12_packets, "f18_escaped_strings": f18_escaped_strings, "t5_orientation": t5_orientation, "t14_editability": t14_editability,
     "t19_line_widths": t19_line_widths, "g2_reading_order": g2_reading_order, "l4_data_leaves": l4_data_leaves, "p9_flat_outline": p9_flat_outline, "p15_compose": p15_compose, "u1_sanitize": u1_sanitize,
     "u3_redaction_needles": u3_redaction_needles, "v3_restorable": v3_restorable, "v7_draft_order": v7_draft_order, "c3_flipped": c3_flipped, "d3_positions": d3_positions, "d7_grey_pages": d7_grey_pages,
     "d10_font_match": d10_font_match, "k3_rule_groups": k3_rule_groups, "k4_text_in_boxes": k4_text_in_boxes,
 }
 ORACLE_SQL = {
+    "r9_form_data": R9_SQL, "f8_review_dates": F8_SQL, "i5a_edge_marks": I5A_SQL, "v6_document_cleanup": V6_SQL, "t16_font_match": T16_SQL,
     "r5_csv_rows": R5_SQL, "r11_annotations": R11_SQL, "r12_packets": R12_SQL, "f18_escaped_strings": F18_SQL, "t5_orientation": T5_SQL, "t14_editability": T14_SQL, "t19_line_widths": T19_SQL,
     "g2_reading_order": G2_SQL, "l4_data_leaves": L4_SQL, "p9_flat_outline": P9_SQL, "p15_compose": P15_SQL, "u1_sanitize": U1_SQL, "u3_redaction_needles": U3_SQL, "v3_restorable": V3_SQL, "v7_draft_order": V7_SQL, "c3_flipped": C3_SQL,
     "d3_positions": D3_SQL, "d7_grey_pages": D7_SQL, "d10_font_match": D10_SQL, "k3_rule_groups": K3_SQL, "k4_text_in_boxes": K4_SQL,
