@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import id_remainder, text_of
 
-# Look-alike letters, and digits and signs that stand for letters.
+# Look-alike letters, and digits and signs that stand for letters. A 1 stands for i or l, so l counts as i.
 LOOKALIKES = dict(zip("аеорсухіјѕԁһвкмнтαεορυικντ", "aeopcyxijsdhbkmhtaeopyiknt", strict=True))
-SIGNS = dict(zip("0134578@$!", "oieastbasi", strict=True))
+SIGNS = dict(zip("0134578@$!l", "oieastbasii", strict=True))
 # Phrases in which a word of the lexicon is harmless.
 EXCEPTIONS = ("trash can", "trash bin", "class clown", "clown fish", "pond scum", "idiot proof")
 
@@ -75,7 +75,8 @@ class Matcher:
         self.automaton = ahocorasick.Automaton()
         forms: dict[str, dict[str, float]] = {}
         for entry, value in weights.items():
-            forms.setdefault(entry[1:], {})[entry[0]] = value
+            own = forms.setdefault(fold(entry[1:]), {})
+            own[entry[0]] = max(value, own.get(entry[0], 0.0))
         for form, values in forms.items():
             self.automaton.add_word(form, (len(form), values.get("^", 0.0), values.get("=", 0.0), False))
         for p in map(fold, exceptions):

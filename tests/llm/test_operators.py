@@ -223,8 +223,8 @@ def test_toxicity_held_out(spark, docs, texts, sf):
 
 
 def test_toxicity_folds_and_excepts():
-    own = toxicity.Matcher({"=idiot": 2.0, "=trash": 1.0, "^mor": 3.0})
-    for t, want in (("1D10T!", 2.0), ("an іdіоt.", 2.0), ("idiotic", 0.0), ("the trash can", 0.0), ("trash", 1.0), ("moronic", 3.0), ("humor", 0.0), ("", 0.0)):
+    own = toxicity.Matcher({"=idiot": 2.0, "=trash": 1.0, "^mor": 3.0, "=clown": 4.0})
+    for t, want in (("1D10T!", 2.0), ("an іdіоt.", 2.0), ("idiotic", 0.0), ("the trash can", 0.0), ("trash", 1.0), ("moronic", 3.0), ("humor", 0.0), ("", 0.0), ("a C10WN", 4.0), ("сlоwn", 4.0), ("class clown", 0.0)):
         assert own.weight(t) == want, t
 
 
