@@ -84,7 +84,7 @@ def t19_line_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Widths of part names from glyph advances: a glyph's is 400 plus its code, in thousandths of the size."""
     g = glyphs(spark, sf_dir)
     advance = g.select("ch").distinct().select("ch", (F.ascii("ch") + 400).alias("advance"))
-    return g.join(F.broadcast(advance), "ch").groupBy("p_partkey").agg(F.round(F.sum(F.col("advance") * F.col("size") / 1000), 4).alias("width"))
+    return g.join(advance, "ch").groupBy("p_partkey").agg(F.round(F.sum(F.col("advance") * F.col("size") / 1000), 4).alias("width"))
 
 
 T19_SQL = "SELECT p_partkey, round(sum((ascii(c) + 400) * 10.0 / 1000), 4) AS width FROM (SELECT p_partkey, unnest(string_split(p_name, '')) AS c FROM part) WHERE c <> '' GROUP BY p_partkey"
