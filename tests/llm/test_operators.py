@@ -326,3 +326,15 @@ def test_null_and_repeated_ids(spark, sf):
 def test_queries_are_registered(spark):
     assert sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0])) == list(sorted(queries.QUERIES, key=lambda n: int(re.match(r"op(\d+)", n)[1])))
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 11))
+
+
+def test_bounds_deal_out_all_rows_evenly(spark):
+    from quire.llm.order import bucket_bounds, bucket_of, running_before
+
+    df = spark.range(20_000).select((F.col("id") * F.col("id")).alias("id"))
+    for buckets in (1, 7, 60):
+        sizes = [r["count"] for r in df.groupBy(bucket_of(F.col("id"), bucket_bounds(df, "id", buckets)).alias("b")).count().collect()]
+        assert sum(sizes) == 20_000 and len(sizes) == buckets and max(sizes) < 2 * 20_000 / buckets
+    got = running_before(df, [F.col("id")], F.lit(2), "at").orderBy("id").collect()
+    assert [r.at for r in got] == [2 * k for k in range(20_000)]
+    assert bucket_bounds(df.where("false"), "id", 5) == []
