@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_CHARS, cut, text_of
+from .common import SPACE, SPACE_CHARS, cut, cut_narrow, packed, text_of
 
 # Kinds in report order, what a text must hold for a kind to be worth a search, and the expression.
 KINDS = ["email", "ip", "card", "phone"]
@@ -125,14 +125,14 @@ def pattern_scores(marked: DataFrame, rounds: int = 3) -> DataFrame:
     """(rank, pattern, score, n_seeds): scores of the lexical patterns, from the graph of patterns and instances."""
     one = lambda column, seed: marked.select(F.explode(column).alias("x")).select("x.rank", "x.pattern", "x.instance", F.lit(seed).alias("seed"))
     edges = one("__seeds", 1).unionByName(one("__cands", 0))
-    edges = cut(edges.groupBy("rank", "pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed")))
+    edges = cut_narrow(edges.groupBy("rank", "pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed")))
     scored = edges.withColumn("score", F.col("seed").cast("double"))
     patterns = None
     for _ in range(rounds):
         mean = F.sum(F.col("n") * F.col("score")) / (F.sum("n") + 1)
-        patterns = cut(scored.groupBy("rank", "pattern").agg(mean.alias("p_score"), F.sum("seed").alias("n_seeds")))
+        patterns = cut_narrow(scored.groupBy("rank", "pattern").agg(mean.alias("p_score"), F.sum("seed").alias("n_seeds")))
         behind = edges.join(patterns, ["rank", "pattern"])
-        instances = cut(behind.groupBy("rank", "instance").agg((F.sum(F.col("n") * F.col("p_score")) / F.sum("n")).alias("i_score")))
+        instances = cut_narrow(behind.groupBy("rank", "instance").agg((F.sum(F.col("n") * F.col("p_score")) / F.sum("n")).alias("i_score")))
         again = edges.join(instances, ["rank", "instance"])
         scored = again.withColumn("score", F.when(F.col("seed") == 1, 1.0).otherwise(F.col("i_score")))
     return patterns.select("rank", "pattern", F.col("p_score").alias("score"), "n_seeds")
@@ -142,7 +142,7 @@ def discovered(marked: DataFrame, keys: list[str], least: float = 0.6, seeds: in
     """keys and __found: the spans of candidates behind patterns that score `least` and have so many different seeds."""
     trusted = pattern_scores(marked).where((F.col("score") >= least) & (F.col("n_seeds") >= seeds) & (F.col("pattern") != ""))
     cands = marked.select(*keys, F.explode("__cands").alias("x")).select(*keys, "x.rank", "x.s", "x.e", "x.pattern")
-    found = cands.join(cut(trusted.select("rank", "pattern")), ["rank", "pattern"])
+    found = cands.join(cut_narrow(trusted.select("rank", "pattern")), ["rank", "pattern"])
     return found.groupBy(*keys).agg(F.collect_set(F.struct("rank", "s", "e")).alias("__found"))
 
 
@@ -177,13 +177,14 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcas
     Only documents with discovered spans are looked up; they are broadcast where they are few, and joined otherwise.
     A null text stays null. A column n_chars, if any, is set to the new length.
     """
-    columns = docs.columns
-    marked = with_seeds(docs, text).withColumn("__hash", F.xxhash64("__text"))
-    light = cut(marked.select(F.col(f"`{doc_id}`").alias("__id"), F.col("__hash").alias("__h"), "__seeds", "__cands").where((F.size("__seeds") > 0) | (F.size("__cands") > 0)))
-    found = cut(discovered(light, ["__id", "__h"]))
+    own = packed(docs, id=F.col(f"`{doc_id}`"), text=F.col(f"`{text}`"))
+    marked = with_seeds(own).withColumn("__hash", F.xxhash64("__text"))
+    light = cut(marked.select(F.col("id").alias("__id"), F.col("__hash").alias("__h"), "__seeds", "__cands"))
+    light = light.where((F.size("__seeds") > 0) | (F.size("__cands") > 0))  # once they are found: else they'd be sought twice
+    found = cut_narrow(discovered(light, ["__id", "__h"]))
     few = found.limit(broadcast_rows + 1).count() <= broadcast_rows
     base = marked.withColumn("__base", _plain("__seeds")).drop("__cands", "__seeds")
-    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h"))
+    same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h"))
     both = base.join(F.broadcast(found) if few else found, same, "left")
     order = F.sort_array(F.transform(_all_spans(), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["rank"].alias("rank"))))
     kind = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
@@ -196,7 +197,7 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcas
     rest = lambda acc: F.concat(acc["out"], F.substring(F.col("__text"), acc["at"] + 1, F.length("__text")))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     both = both.withColumn("__order", order)
-    clean = F.when(F.size("__order") == 0, F.col(f"`{text}`")).otherwise(F.aggregate("__order", start, step, rest))
+    clean = F.when(F.size("__order") == 0, F.col("text")).otherwise(F.aggregate("__order", start, step, rest))
     both = both.withColumn("__clean", clean)
     made = {text: F.col("__clean"), "n_chars": F.length("__clean").cast("long")}
-    return both.select(*[(made[c] if c in made else F.col(f"`{c}`")).alias(c) for c in columns])
+    return both.select(*[(made[c] if c in made else F.col("row")[c]).alias(c) for c in docs.columns])

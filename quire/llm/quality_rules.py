@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_CHARS, cut, text_of, with_columns_over, word_array
+from .common import SPACE, SPACE_CHARS, cut, packed, text_of, with_columns_over, word_array
 
 # Fixed value: the characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -175,7 +175,7 @@ def rule_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs, all columns, that the rules keep. Texts are read twice: to fit, and to judge."""
-    voted = with_votes(document_statistics(docs, text))
+    voted = with_votes(document_statistics(packed(docs, text=F.col(f"`{text}`"))))
     model = fit(with_votes(document_statistics(docs.select(F.col(f"`{text}`").alias("text")))))
     c = lambda name: F.col(f"__q_{name}")
     failed = (c("n_words") < 20) | (100 * c("n_repeat_words") > 30 * c("n_words"))
@@ -183,4 +183,4 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     # A row is repeated once or not at all: the optimizer would push a filter down through each step of the statistics
     # and write their expressions out many times over.
     times = F.when(good, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
-    return voted.select(*[F.col(f"`{x}`") for x in docs.columns], F.explode(times).alias("__q_time")).drop("__q_time")
+    return voted.select("row", F.explode(times).alias("__q_time")).select("row.*")

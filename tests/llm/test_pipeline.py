@@ -27,3 +27,33 @@ def test_stages(spark, sf, tmp_path):
 
 def test_run_equals_the_stages(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0 and "op2_simhash" in queries.QUERIES
+
+
+ROW = "doc_id long, text string, lang string, source string, n_chars long, extra map<string,int>, `row` string, __text string, __key int"
+LONG = " ".join(f"word{k % 977} of{k}" for k in range(9000))
+
+
+def test_stages_with_odd_rows(spark, sf):
+    clean = [" ".join(f"plain{k}{j} words of prose." for j in range(12)) + f"\nAnd a second line {k}." for k in range(6)]
+    rows = [(k, t, "en", "a", len(t), {"x": k}, "k", "t", 1) for k, t in enumerate(clean)]
+    rows += [(10, clean[0], None, None, None, None, None, None, None), (None, clean[1], "en", "a", 1, None, None, None, None), (11, None, "en", "b", None, None, None, None, None), (12, "", "en", "b", 0, None, None, None, None)]
+    rows += [(13, LONG + " mail me@example.org", "en", "b", len(LONG), None, None, None, None)] * 2
+    docs = spark.createDataFrame(rows, ROW)
+    stages = [f for _, f in corpus_pipeline.STAGES]
+    kept = stages[0](spark, docs, sf)
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(["0", "1", "2", "3", "4", "5", "10", "None", "13", "13"])
+    one = stages[1](spark, kept, sf)
+    assert one.columns == docs.columns and sorted(str(r.doc_id) for r in one.collect()) == sorted(["0", "1", "2", "3", "4", "5", "None", "13"])
+    clean_of = stages[2](spark, one, sf)
+    assert clean_of.columns == docs.columns and [r.text[-12:] for r in clean_of.where("doc_id = 13").collect()] == ["mail [EMAIL]"]
+    mix = stages[3](spark, clean_of, sf)
+    assert mix.columns == docs.columns and mix.count() > 0
+    coded = stages[4](spark, mix, sf)
+    assert coded.count() == mix.count() and coded.where("size(ids) = 0").count() == 0
+
+
+def test_stages_on_an_empty_table(spark, sf):
+    docs = spark.createDataFrame([], ROW)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf)
+        assert docs.count() == 0
