@@ -2,7 +2,7 @@
 
 Targets: the budget is shared by weight; a source stops at max_epochs times its size, and what it can't take is shared
 again by weight among the others until none is above. A source of e epochs takes every document floor(e) times and a
-seeded part of them once more: the documents with the smallest hashes, as many as come nearest to the fraction.
+seeded part of them once more: by hash, every document that still fits into the fraction.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; where all sizes are 0 all
 targets are 0; rows that are equal in doc_id and text share a hash and are taken alike; an empty table gives an empty
@@ -19,6 +19,7 @@ from .common import cut, cut_narrow, packed, text_of
 from .order import running_before
 
 HASH_BITS, BUCKET_BITS = 52, 12
+SPANS = "array<struct<lo:long,hi:long,most:double>>"
 
 
 def _measured(docs: DataFrame, doc_id: str, text: str, source: str, seed: int) -> DataFrame:
@@ -55,38 +56,59 @@ def source_targets(sizes: DataFrame, weights: list[float], share: float = 1.5, m
 
 
 def _cuts(sizes: DataFrame, targets: DataFrame, broadcast_rows: int) -> DataFrame:
-    """(__key, source_size, target, __whole, __cut, __fill): a document is taken __whole times, and once more if __u is
-    at most __cut or equal to __fill.
-
-    The cut is the last hash up to which documents stay within the fraction. Its place is found in a histogram of
-    hashes, then among the documents of one bucket alone. What is then still wanting goes to the one document beyond
-    the cut whose size comes nearest to it, if that helps.
+    """(__key, source_size, target, __whole, __spans, __fill): a document is taken __whole times, and once more if some
+    span holds its hash (__lo < __u <= __hi) and it is no larger than the span's __most, or if __u equals __fill.
+
+    Documents are gone through by hash, and each that fits into what is still wanting is taken. A round of that is one
+    span: it ends before the first document that no longer fits, and the next goes on beyond it among those small enough.
+    Its end is found in a histogram of hashes, then among the documents of one bucket alone. Rounds end when no source
+    has a document left that fits. What is then still wanting goes to the one document left whose size comes nearest to
+    it, if that helps.
     """
     size = F.greatest("source_size", F.lit(1))
     whole = F.floor(F.col("target") / size).cast("long")
-    need = cut_narrow(targets.withColumn("__whole", whole).withColumn("__need", F.col("target") - F.col("__whole") * F.col("source_size")))
+    need = cut_narrow(targets.withColumn("__whole", whole).withColumn("__rest", F.col("target") - F.col("__whole") * F.col("source_size")))
     bucket = F.shiftright("__u", HASH_BITS - BUCKET_BITS)
-    histogram = sizes.groupBy("__key", bucket.alias("__bucket")).agg(F.sum("__size").alias("__n"))
-    w = Window.partitionBy("__key").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    histogram = histogram.withColumn("__before", F.coalesce(F.sum("__n").over(w), F.lit(0))).join(need, "__key")
-    edge = histogram.where((F.col("__before") < F.col("__need")) & (F.col("__need") <= F.col("__before") + F.col("__n")))
-    edge = cut_narrow(edge.select("__key", "__bucket", (F.col("__need") - F.col("__before")).alias("__left")))
-    at_edge = sizes.withColumn("__bucket", bucket).join(edge, ["__key", "__bucket"])
-    by_hash = Window.partitionBy("__key").orderBy("__u").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    reached = F.sum("__size").over(by_hash)
-    fits = reached <= F.col("__left")
-    last = at_edge.select("__key", "__bucket", "__u", fits.alias("fits")).groupBy("__key", "__bucket").agg(F.max(F.when(F.col("fits"), F.col("__u"))).alias("__last"))
-    last = last.select("__key", F.coalesce("__last", F.shiftleft("__bucket", HASH_BITS - BUCKET_BITS) - 1).alias("__at"))
-    none = F.when(F.col("__need") <= 0, F.lit(-1)).otherwise(F.lit(1 << HASH_BITS))
-    cuts = cut_narrow(need.join(last, "__key", "left").withColumn("__cut", F.coalesce("__at", none)).drop("__at"))
-    placed = sizes.join(_few(cuts, broadcast_rows), "__key")
-    below = placed.groupBy("__key").agg(F.sum(F.when(F.col("__u") <= F.col("__cut"), F.col("__size")).otherwise(0)).alias("__below"))
-    cuts = cut_narrow(cuts.join(below, "__key").withColumn("__rest", F.col("__need") - F.col("__below")))
-    beyond = sizes.join(_few(cuts, broadcast_rows), "__key").where(F.col("__u") > F.col("__cut"))
+    state = need.select("__key", F.lit(-1).cast("long").alias("__lo"), "__rest").where(F.col("__rest") >= 1)
+    left, spans, ends = sizes, None, None
+    while state.limit(1).count():
+        here = left.join(_few(state, broadcast_rows), "__key").where((F.col("__u") > F.col("__lo")) & (F.col("__size") <= F.col("__rest")))
+        here = cut_narrow(here.select("__key", "__size", "__u"))
+        histogram = here.groupBy("__key", bucket.alias("__bucket")).agg(F.sum("__size").alias("__n"))
+        w = Window.partitionBy("__key").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+        histogram = cut_narrow(histogram.withColumn("__before", F.coalesce(F.sum("__n").over(w), F.lit(0))).join(state, "__key"))
+        edge = histogram.where((F.col("__before") <= F.col("__rest")) & (F.col("__rest") < F.col("__before") + F.col("__n")))
+        edge = cut_narrow(edge.select("__key", "__bucket", "__before", (F.col("__rest") - F.col("__before")).alias("__left")))
+        at_edge = here.withColumn("__bucket", bucket).join(edge, ["__key", "__bucket"])
+        by_hash = Window.partitionBy("__key").orderBy("__u").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        at_edge = at_edge.withColumn("__reached", F.sum("__size").over(by_hash))
+        fits = F.col("__reached") <= F.col("__left")
+        stop = at_edge.groupBy("__key", "__before").agg(F.min(F.when(~fits, F.col("__u"))).alias("__stop"), F.max(F.when(fits, F.col("__reached"))).alias("__last"))
+        stop = stop.select("__key", "__stop", (F.col("__before") + F.coalesce("__last", F.lit(0))).alias("__taken"))
+        every = histogram.groupBy("__key").agg(F.sum("__n").alias("__all"))
+        done = cut_narrow(state.join(every, "__key", "left").join(stop, "__key", "left"))
+        taken = F.coalesce("__taken", "__all", F.lit(0))
+        span = done.select("__key", "__lo", (F.coalesce("__stop", F.lit(1 << HASH_BITS)) - 1).alias("__hi"), F.col("__rest").alias("__most"))
+        spans = span if spans is None else spans.unionByName(span)
+        end = done.select("__key", (F.col("__rest") - taken).alias("__rest"), "__stop")
+        over = end.where(F.col("__stop").isNull() | (F.col("__rest") < 1)).select("__key", "__rest")
+        ends = over if ends is None else ends.unionByName(over)
+        state = end.where(F.col("__stop").isNotNull() & (F.col("__rest") >= 1)).select("__key", F.col("__stop").alias("__lo"), "__rest")
+        left = here
+    if spans is None:
+        return cut_narrow(need.select("__key", "source_size", "target", "__whole", F.array().cast(SPANS).alias("__spans"), F.lit(-1).cast("long").alias("__fill")))
+    spans = spans.groupBy("__key").agg(F.collect_list(F.struct(F.col("__lo").alias("lo"), F.col("__hi").alias("hi"), F.col("__most").alias("most"))).alias("__spans"))
+    cuts = cut_narrow(need.drop("__rest").join(spans, "__key", "left").join(ends, "__key", "left").withColumn("__spans", F.coalesce("__spans", F.array().cast(SPANS))))
+    beyond = sizes.join(_few(cuts, broadcast_rows), "__key").where((F.col("__size") < 2 * F.col("__rest")) & ~_in_spans())
+    copies = beyond.groupBy("__key", "__u", "__rest").agg(F.sum("__size").alias("__size"))
     off = F.abs(F.col("__size") - F.col("__rest"))
-    fill = beyond.where(off < F.col("__rest")).groupBy("__key").agg(F.min(F.struct(off.alias("off"), F.col("__u").alias("u"))).alias("__best"))
+    fill = copies.where(off < F.col("__rest")).groupBy("__key").agg(F.min(F.struct(off.alias("off"), F.col("__u").alias("u"))).alias("__best"))
     cuts = cuts.join(fill, "__key", "left").withColumn("__fill", F.coalesce(F.col("__best")["u"], F.lit(-1)))
-    return cut_narrow(cuts.select("__key", "source_size", "target", "__whole", "__cut", "__fill"))
+    return cut_narrow(cuts.select("__key", "source_size", "target", "__whole", "__spans", "__fill"))
+
+
+def _in_spans() -> Column:
+    return F.exists("__spans", lambda x: (x["lo"] < F.col("__u")) & (F.col("__u") <= x["hi"]) & (F.col("__size") <= x["most"]))
 
 
 def _few(table: DataFrame, rows: int) -> DataFrame:
@@ -95,7 +117,7 @@ def _few(table: DataFrame, rows: int) -> DataFrame:
 
 
 def _times() -> Column:
-    return F.col("__whole") + F.when((F.col("__u") <= F.col("__cut")) | (F.col("__u") == F.col("__fill")), 1).otherwise(0)
+    return F.col("__whole") + F.when(_in_spans() | (F.col("__u") == F.col("__fill")), 1).otherwise(0)
 
 
 def _plan(sizes: DataFrame, weights: list[float], share: float, max_epochs: float, broadcast_rows: int) -> DataFrame:

@@ -264,6 +264,14 @@ def test_mixing(docs, texts):
     assert all(times[i] * size[i] == got.loc[i, "taken"] for i in texts if size[i])
 
 
+def test_mixing_goes_on_past_long_documents(spark):
+    rows = [(k, "w " * 10, f"s{s}") for s in range(8) for k in range(400)] + [(900 + j, "w " * 1500, f"s{s}") for s in range(8) for j in range(2)] + [(950, "w " * 700, "s1")] * 2
+    mix = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string"), [1], share=0.4)
+    by_source = mix.groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " ")))).collect()
+    target = 0.4 * (8 * 7000 + 1400) / 8
+    assert len(by_source) == 8 and all(abs(r[1] - target) <= 10 for r in by_source)
+
+
 def test_quality_rules_base(docs, texts):
     got = by_id(quality_rules.rule_report(docs))
     for i, t in texts.items():
