@@ -3,8 +3,9 @@
 Seeds are what fixed patterns find (email, ip, card, phone). The words before a seed are a lexical pattern of its kind;
 the token itself is an instance. Tokens that look like a kind but fail its fixed pattern are candidates, with the words
 before them as their pattern. Over the graph of patterns and instances, weighted by how often they meet, scores pass
-back and forth: a pattern's is the mean of its instances', an instance's the mean of its patterns'; seeds stay at 1.
-Candidates behind patterns of high score and enough different seeds are found as well.
+back and forth until they settle: a pattern's is the mean of its instances', an instance's the mean of its patterns';
+seeds stay at 1. Candidates behind patterns of high score and enough different seeds are found as well, and then count
+as seeds do towards what a further pattern needs.
 
 Defined results: a null text counts as empty; repeated rows come back repeated, with the same spans; an empty table
 gives an empty result. Offsets are code points, ends exclusive. Very long runs of digits or dots cost linear time: the
@@ -121,28 +122,86 @@ def with_seeds(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("__cands", _candidates(F.col("__text"), F.col("__seeds")))
 
 
-def pattern_scores(marked: DataFrame, rounds: int = 3) -> DataFrame:
-    """(rank, pattern, score, n_seeds): scores of the lexical patterns, from the graph of patterns and instances."""
+def _edges(marked: DataFrame) -> DataFrame:
+    """(rank, pattern, instance, n, seed, known, total): how often a pattern and an instance meet; known is 1 for a seed,
+    behind whatever pattern, and total counts the instance behind all patterns."""
     one = lambda column, seed: marked.select(F.explode(column).alias("x")).select("x.rank", "x.pattern", "x.instance", F.lit(seed).alias("seed"))
     edges = one("__seeds", 1).unionByName(one("__cands", 0))
     edges = cut_narrow(edges.groupBy("rank", "pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed")))
-    scored = edges.withColumn("score", F.col("seed").cast("double"))
-    patterns = None
+    whole = edges.groupBy("rank", "instance").agg(F.max("seed").alias("known"), F.sum("n").alias("total"), F.count("*").alias("n_patterns"))
+    return cut_narrow(edges.join(whole, ["rank", "instance"]))
+
+
+def _scores(edges: DataFrame, near: float = 1e-6, rounds: int = 1000) -> DataFrame:
+    """(rank, pattern, score, n_seeds): the fixed point of the passing back and forth, each score within `near` of it.
+
+    With every instance's score put in, a pattern's satisfies own * score = seeds + what comes over instances that it
+    shares with other patterns: a symmetric, positive definite system, solved by conjugate gradients. Instances behind
+    one pattern only are part of `own`, so where none is shared nothing is left to iterate, however many they are. An
+    error is at most the largest residual over (seeds + 1). A round brings three sums and a maximum to the driver.
+    """
+    key, n, open_ = ["rank", "pattern"], F.col("n"), F.col("known") == 0
+    back = F.sum(F.when(open_, n * n / F.col("total")).otherwise(0.0))
+    own = edges.groupBy(*key).agg(F.sum(F.when(open_, 0).otherwise(n)).alias("b"), (F.sum("n") + 1 - back).alias("own"), F.sum("seed").alias("n_seeds"))
+    shared = cut_narrow(edges.where(open_ & (F.col("n_patterns") > 1)).select(*key, "instance", "n", "total"))
+    now = own.withColumns({"x": F.lit(0.0), "r": F.col("b").cast("double"), "p": F.col("b") / F.col("own")})
+    now = cut_narrow(now)
+    any_shared = shared.limit(1).count() > 0
     for _ in range(rounds):
-        mean = F.sum(F.col("n") * F.col("score")) / (F.sum("n") + 1)
-        patterns = cut_narrow(scored.groupBy("rank", "pattern").agg(mean.alias("p_score"), F.sum("seed").alias("n_seeds")))
-        behind = edges.join(patterns, ["rank", "pattern"])
-        instances = cut_narrow(behind.groupBy("rank", "instance").agg((F.sum(F.col("n") * F.col("p_score")) / F.sum("n")).alias("i_score")))
-        again = edges.join(instances, ["rank", "instance"])
-        scored = again.withColumn("score", F.when(F.col("seed") == 1, 1.0).otherwise(F.col("i_score")))
-    return patterns.select("rank", "pattern", F.col("p_score").alias("score"), "n_seeds")
+        there = shared.join(now.select(*key, "p"), key)
+        mean = there.groupBy("rank", "instance").agg((F.sum(n * F.col("p")) / F.max("total")).alias("mean"))
+        over = there.join(mean, ["rank", "instance"]).groupBy(*key).agg(F.sum(n * F.col("mean") - n * n / F.col("total") * F.col("p")).alias("over"))
+        q = F.col("own") * F.col("p")
+        step = now.join(over, key, "left").withColumn("q", q - F.coalesce("over", F.lit(0.0))) if any_shared else now.withColumn("q", q)
+        step = cut_narrow(step.drop("over"))
+        old = step.agg(F.sum(F.col("r") * F.col("r") / F.col("own")).alias("rz"), F.sum(F.col("p") * F.col("q")).alias("pq")).first()
+        if not old["pq"]:
+            break
+        alpha = old["rz"] / old["pq"]
+        now = cut_narrow(step.withColumns({"x": F.col("x") + alpha * F.col("p"), "r": F.col("r") - alpha * F.col("q")}).drop("q"))
+        got = now.agg(F.sum(F.col("r") * F.col("r") / F.col("own")).alias("rz"), F.max(F.abs("r") / (F.col("b") + 1)).alias("off")).first()
+        if got["off"] <= near:
+            break
+        now = now.withColumn("p", F.col("r") / F.col("own") + got["rz"] / old["rz"] * F.col("p"))
+    else:
+        raise RuntimeError(f"pattern scores did not settle in {rounds} rounds")
+    return now.select(*key, F.col("x").alias("score"), "n_seeds")
+
+
+def pattern_scores(marked: DataFrame) -> DataFrame:
+    """(rank, pattern, score, n_seeds): scores of the lexical patterns, from the graph of patterns and instances."""
+    return _scores(_edges(marked))
+
+
+def trusted_patterns(marked: DataFrame, least: float = 0.6, seeds: int = 3) -> DataFrame:
+    """(rank, pattern) of score `least` with so many different instances that are seeds or were found.
+
+    An instance is found when it stands behind a trusted pattern and its own score reaches `least`; it then counts
+    towards the support of its other patterns. Rounds end when no further pattern is trusted.
+    """
+    key, edges = ["rank", "pattern"], _edges(marked)
+    every = cut_narrow(_scores(edges))
+    scored = edges.where("known = 0 and n_patterns > 1").join(every, key)
+    sure = scored.groupBy("rank", "instance").agg((F.sum(F.col("n") * F.col("score")) / F.max("total")).alias("i_score")).where(F.col("i_score") >= least)
+    good = every.where((F.col("score") >= least) & (F.col("pattern") != ""))
+    links = cut_narrow(scored.select(*key, "instance").join(sure, ["rank", "instance"]).join(good.select(*key), key))
+    trusted = cut_narrow(good.where(F.col("n_seeds") >= seeds).select(*key))
+    count = trusted.count()
+    while count:
+        found = links.join(trusted, key).select("rank", "instance").distinct()
+        more = links.join(found, ["rank", "instance"]).groupBy(*key).agg(F.count("*").alias("n_found"))
+        enough = F.col("n_seeds") + F.coalesce("n_found", F.lit(0)) >= seeds
+        trusted = cut_narrow(good.join(more, key, "left").where(enough).select(*key))
+        before, count = count, trusted.count()
+        if count == before:
+            break
+    return trusted
 
 
 def discovered(marked: DataFrame, keys: list[str], least: float = 0.6, seeds: int = 3) -> DataFrame:
-    """keys and __found: the spans of candidates behind patterns that score `least` and have so many different seeds."""
-    trusted = pattern_scores(marked).where((F.col("score") >= least) & (F.col("n_seeds") >= seeds) & (F.col("pattern") != ""))
+    """keys and __found: the spans of candidates behind trusted patterns."""
     cands = marked.select(*keys, F.explode("__cands").alias("x")).select(*keys, "x.rank", "x.s", "x.e", "x.pattern")
-    found = cands.join(cut_narrow(trusted.select("rank", "pattern")), ["rank", "pattern"])
+    found = cands.join(trusted_patterns(marked, least, seeds), ["rank", "pattern"])
     return found.groupBy(*keys).agg(F.collect_set(F.struct("rank", "s", "e")).alias("__found"))
 
 

@@ -83,6 +83,26 @@ def test_personal_data_bootstraps_and_redacts(spark):
     assert clean.loc[9, "n_chars"] == len(clean.loc[9, "text"]) and clean.loc[11, "text"] == "nothing at all" and clean.loc[10, "text"] is None
 
 
+def test_personal_data_scores_settle_and_found_instances_support_patterns(spark):
+    rows = [f"we wrote to u{k}@mail.example.org" for k in range(30)] + [f"we wrote to c{k}@host{k}" for k in range(120)]
+    rows += [f"reply from c{k}@host{k}" for k in range(8)] + ["reply from z@lone", "cc copy z@lone"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = by_id(personal_data.span_report(df))
+    assert all(got.loc[k, "spans"] for k in range(150)) and all(got.loc[k, "spans"] for k in range(150, 158))
+    marked = personal_data.with_seeds(df)
+    score = {r.pattern: r.score for r in personal_data.pattern_scores(marked).collect()}
+    edges = collections.Counter((r.pattern, r.instance) for c in ("__seeds", "__cands") for r in marked.select(F.explode(c).alias("x")).select("x.*").collect())
+    seeds, want = {r.instance for r in marked.select(F.explode("__seeds").alias("x")).select("x.*").collect()}, dict.fromkeys(score, 0.0)
+    for _ in range(5000):
+        up, total = collections.Counter(), collections.Counter()
+        for (p, i), n in edges.items():
+            up[i] += n * want[p]
+            total[i] += n
+        value = {i: 1.0 if i in seeds else up[i] / total[i] for i in total}
+        want = {p: sum(n * value[i] for (o, i), n in edges.items() if o == p) / (sum(n for (o, _), n in edges.items() if o == p) + 1) for p in want}
+    assert score == pytest.approx(want, abs=1e-5)
+
+
 def brute_simhash(text):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text))
     if not w:
