@@ -1,12 +1,15 @@
 """Quality rules as weak supervision, in DataFrame functions only.
 
 Each rule votes good (1), bad (-1) or abstains (0) on a document's statistics. The votes of all documents are counted
-by pattern: at most 3 ** len(RULES) rows, whatever the input. Expectation-maximisation over that table estimates how
-often each rule is right on good and on bad documents, and a document's posterior probability of being good takes the
-place of passing every rule.
+by pattern: at most 3 ** len(RULES) rows, whatever the input. Bad documents are bad in different ways, in which different
+rules see them, so the latent class is good or one of a few kinds of defect. Expectation-maximisation over the table
+estimates the share of each class and how often each rule's votes are bad on it; a document's posterior probability of
+being good takes the place of passing every rule. An abstention is no evidence. The start counts as a few
+pseudo-documents, so votes decide as soon as there are more; a bad vote never speaks for a document.
 
 Defined results: a null or empty text has no words and fails the base rule; an empty table gives an empty result with
-the prior parameters; repeated rows are judged alike; other columns are kept, and those named as an output give way.
+the starting parameters; repeated rows are judged alike and each counts; other columns are kept, and those named as an
+output give way. Very long texts are judged whole.
 """
 
 from __future__ import annotations
@@ -17,13 +20,17 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_CHARS, cut, packed, text_of, with_columns_over, word_array
+from .common import SPACE, SPACE_CHARS, cut, fresh_folder, packed, text_of, with_columns_over, word_array
 
 # Fixed value: the characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 
-RULES = ["length", "word_size", "symbols", "lines", "repeats", "capitals", "variety"]
-STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_capitals"]
+RULES = ["length", "word_size", "symbols", "plain", "lines", "repeats", "capitals", "variety"]
+# The latent classes, and the rules that are likely to see a kind of defect when fitting starts.
+CLASSES = {"good": (), "noise": ("word_size", "symbols", "plain", "capitals"), "repetition": ("lines", "repeats", "variety"), "size": ("length",)}
+STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_capitals", "n_plain_words"]
+# A plain word holds a letter and no symbol (mathematical, currency and the like, and those of SYMBOLS).
+PLAIN_WORD = r"(?<![^ \t-\r])[^ \t-\r\p{S}#*$%&|<>\p{L}]*+\p{L}[^ \t-\r\p{S}#*$%&|<>]*+(?![^ \t-\r])"
 
 
 def _minus(column: str | Column, less: int) -> Column:
@@ -54,6 +61,7 @@ def document_statistics(docs: DataFrame, text: str = "text", prefix: str = "__q_
             c("word_chars"): F.length(F.regexp_replace(t, SPACE + "+", "")).cast("long"),
             c("n_symbols"): (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
             c("n_capitals"): (F.length(t) - F.length(F.regexp_replace(t, r"\p{Lu}+", ""))).cast("long"),
+            c("n_plain_words"): F.regexp_count(t, F.lit(PLAIN_WORD)).cast("long"),
             c("n_lines"): F.size(c("lines")).cast("long"),
             c("n_dup_lines"): (F.size(c("lines")) - F.size(F.array_distinct(c("lines")))).cast("long"),
             c("n_distinct_words"): F.size(F.array_distinct(c("h1"))).cast("long"),
@@ -78,8 +86,8 @@ def document_statistics(docs: DataFrame, text: str = "text", prefix: str = "__q_
     return base.withColumn(c("n_repeat_words"), F.when(F.size(c("at")) > 0, covered).otherwise(0).cast("long")).drop(c("at"))
 
 
-def _rules(prefix: str = "__q_") -> dict[str, tuple[Column, Column | None]]:
-    """For each rule, when it votes bad and when it votes good (None: never); otherwise it abstains. Bad wins."""
+def _rules(prefix: str = "__q_") -> dict[str, tuple[Column, Column]]:
+    """For each rule, when it votes bad and when it votes good; otherwise it abstains. Bad wins."""
     c = lambda name: F.col(f"{prefix}{name}")
     words = F.greatest(c("n_words"), F.lit(1))
     chars = F.greatest(c("word_chars"), F.lit(1))
@@ -87,70 +95,80 @@ def _rules(prefix: str = "__q_") -> dict[str, tuple[Column, Column | None]]:
     mean = c("word_chars") / words
     return {
         "length": (c("n_words") < 20, c("n_words") >= 40),
-        "word_size": ((mean < 2) | (mean > 14), None),
-        "symbols": (c("n_symbols") * 10 > words, None),
+        "word_size": ((mean < 2) | (mean > 14), mean.between(3, 10)),
+        "symbols": (c("n_symbols") * 10 > words, c("n_symbols") * 50 <= words),
+        "plain": (c("n_plain_words") * 5 < words * 4, c("n_plain_words") * 10 >= words * 9),
         "lines": (c("n_dup_lines") * 2 > lines, (c("n_dup_lines") == 0) & (c("n_lines") > 2)),
-        "repeats": (c("n_repeat_words") * 10 > words * 3, None),
-        "capitals": (c("n_capitals") * 10 > chars * 4, None),
+        "repeats": (c("n_repeat_words") * 10 > words * 3, c("n_repeat_words") * 20 <= words),
+        "capitals": (c("n_capitals") * 10 > chars * 4, c("n_capitals") * 20 <= chars * 3),
         "variety": ((c("n_distinct_words") * 5 < words) & (c("n_words") < 2000), c("n_distinct_words") * 5 > words * 2),
     }
 
 
 def with_votes(stats: DataFrame, prefix: str = "__q_") -> DataFrame:
-    return stats.withColumns({f"{prefix}v_{name}": (F.when(bad, -1) if good is None else F.when(bad, -1).when(good, 1)).otherwise(0) for name, (bad, good) in _rules(prefix).items()})
+    return stats.withColumns({f"{prefix}v_{name}": F.when(bad, -1).when(good, 1).otherwise(0) for name, (bad, good) in _rules(prefix).items()})
+
+
+def _start(name: str) -> dict[str, float]:
+    return {rule: 0.05 if name == "good" else 0.6 if rule in CLASSES[name] else 0.1 for rule in RULES}
 
 
 @dataclass
 class RuleModel:
-    """The share of good documents, and for each rule the share of good (bad) documents that get its good (bad) vote."""
-
-    prior: float = 0.8
-    good_on_good: dict[str, float] = field(default_factory=lambda: dict.fromkeys(RULES, 0.8))
-    bad_on_good: dict[str, float] = field(default_factory=lambda: dict.fromkeys(RULES, 0.01))
-    good_on_bad: dict[str, float] = field(default_factory=lambda: dict.fromkeys(RULES, 0.7))
-    bad_on_bad: dict[str, float] = field(default_factory=lambda: dict.fromkeys(RULES, 0.3))
+    """The share of each class, and the share of each rule's votes on documents of that class that are bad."""
+
+    shares: dict[str, float] = field(default_factory=lambda: {name: 0.7 if name == "good" else 0.3 / (len(CLASSES) - 1) for name in CLASSES})
+    bad: dict[str, dict[str, float]] = field(default_factory=lambda: {name: _start(name) for name in CLASSES})
+
+    def odds(self, prefix: str = "__q_") -> dict[str, Column]:
+        """How many times likelier each class is than good, given a document's votes."""
+        out = {}
+        for name in CLASSES:
+            log, start = F.lit(0.0), math.log(self.shares[name] / self.shares["good"])
+            for rule in RULES:
+                good, here = self.bad["good"][rule], max(self.bad[name][rule], self.bad["good"][rule])
+                # the log odds of a bad vote, an abstention and a good vote; looked up, so that rounds share their code
+                values = F.array(*[F.lit(start + x) for x in (math.log(here / good), 0.0, math.log((1 - here) / (1 - good)))])
+                log, start = log + F.get(values, F.col(f"{prefix}v_{rule}") + 1), 0.0
+            out[name] = F.exp(log)
+        return out
 
     def posterior(self, prefix: str = "__q_") -> Column:
-        """The probability that a document is good, given its votes; an abstention is no evidence."""
-        logit = F.lit(math.log(self.prior / (1 - self.prior)))
-        for name in RULES:
-            good = math.log(self.good_on_good[name] / self.good_on_bad[name])
-            bad = math.log(self.bad_on_good[name] / self.bad_on_bad[name])
-            vote = F.col(f"{prefix}v_{name}")
-            logit = logit + F.when(vote == 1, good).when(vote == -1, bad).otherwise(0.0)
-        return 1 / (1 + F.exp(-logit))
-
-
-def fit(voted: DataFrame, prefix: str = "__q_", rounds: int = 12, weight: float = 2.0) -> RuleModel:
-    """Estimate the rules' accuracies from the votes of all documents.
-
-    A round is one aggregation over the table of vote patterns; only its 4 * len(RULES) + 2 sums come to the driver.
-    The starting model counts as `weight` times the documents of a class, so rates stay within (0, 1) and act alike at
-    every size.
+        """The probability that a document is good, given its votes."""
+        return 1 / sum(self.odds(prefix).values(), F.lit(0.0))
+
+
+def fit(voted: DataFrame, prefix: str = "__q_", rounds: int = 100, pseudo: float = 4.0, near: float = 5e-4) -> RuleModel:
+    """Estimate the classes' shares and the rules' accuracies from the votes of all documents.
+
+    A round is one aggregation over the table of vote patterns; only its sums, two for each class and rule and one for
+    each class, come to the driver. Rounds end when no share moves by more than `near`. The start counts as `pseudo`
+    documents, and as so many votes of each rule in each class, so that no rate is 0 or 1; beyond that the documents
+    decide.
     """
-    votes = [f"{prefix}v_{name}" for name in RULES]
+    votes = [f"{prefix}v_{rule}" for rule in RULES]
     patterns = cut(voted.groupBy(*votes).agg(F.count("*").alias("n")).coalesce(1))
     model = start = RuleModel()
+    sums = [F.sum(F.col("n")).alias("all")]
+    for name in CLASSES:
+        part = F.col("n") * F.col(f"p_{name}")
+        sums.append(F.sum(part).alias(f"n_{name}"))
+        for rule in RULES:
+            vote = F.col(f"{prefix}v_{rule}")
+            sums.append(F.sum(F.when(vote == -1, part).otherwise(0.0)).alias(f"bad_{name}_{rule}"))
+            sums.append(F.sum(F.when(vote != 0, part).otherwise(0.0)).alias(f"votes_{name}_{rule}"))
     for _ in range(rounds):
-        p, n = F.col("p"), F.col("n")
-        sums = [F.sum(n * p).alias("good"), F.sum(n).alias("all")]
-        for name in RULES:
-            vote = F.col(f"{prefix}v_{name}")
-            for value, said in ((1, "good"), (-1, "bad")):
-                for share, on in ((p, "good"), (1 - p, "bad")):
-                    sums.append(F.sum(F.when(vote == value, n * share)).alias(f"{said}_on_{on}_{name}"))
-        got = patterns.withColumn("p", model.posterior(prefix)).agg(*sums).first()
+        odds = patterns.withColumns({f"o_{name}": o for name, o in model.odds(prefix).items()})
+        whole = sum((F.col(f"o_{name}") for name in CLASSES), F.lit(0.0))
+        got = odds.withColumns({f"p_{name}": F.col(f"o_{name}") / whole for name in CLASSES}).agg(*sums).first()
         if not got["all"]:
             return model
         old, model = model, RuleModel()
-        model.prior = (got["good"] / got["all"] + weight * start.prior) / (1 + weight)
-        total = {"good": got["good"], "bad": got["all"] - got["good"]}
-        for rates in ("good_on_good", "bad_on_good", "good_on_bad", "bad_on_bad"):
-            for name in RULES:
-                seen = float(got[f"{rates}_{name}"] or 0.0)
-                rate = seen / max(total[rates.rpartition("_")[2]], 1e-9)
-                getattr(model, rates)[name] = (rate + weight * getattr(start, rates)[name]) / (1 + weight)
-        if abs(old.prior - model.prior) < 1e-6:
+        for name in CLASSES:
+            model.shares[name] = (got[f"n_{name}"] + pseudo * start.shares[name]) / (got["all"] + pseudo)
+            for rule in RULES:
+                model.bad[name][rule] = (got[f"bad_{name}_{rule}"] + pseudo * start.bad[name][rule]) / (got[f"votes_{name}_{rule}"] + pseudo)
+        if all(abs(old.shares[name] - model.shares[name]) < near for name in CLASSES):
             break
     return model
 
@@ -174,13 +192,15 @@ def rule_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that the rules keep. Texts are read twice: to fit, and to judge."""
-    voted = with_votes(document_statistics(packed(docs, text=F.col(f"`{text}`"))))
-    model = fit(with_votes(document_statistics(docs.select(F.col(f"`{text}`").alias("text")))))
+    """The rows of docs, all columns, that the rules keep.
+
+    Statistics are worked out once: rows are written with their votes to the shared folder, and the model that is fitted
+    on the votes filters them as they are read again.
+    """
     c = lambda name: F.col(f"__q_{name}")
+    voted = with_votes(document_statistics(packed(docs, text=F.col(f"`{text}`"))))
     failed = (c("n_words") < 20) | (100 * c("n_repeat_words") > 30 * c("n_words"))
-    good = ~failed & (model.posterior() >= 0.5)
-    # A row is repeated once or not at all: the optimizer would push a filter down through each step of the statistics
-    # and write their expressions out many times over.
-    times = F.when(good, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
-    return voted.select("row", F.explode(times).alias("__q_time")).select("row.*")
+    folder = fresh_folder(docs.sparkSession, "rules")
+    voted.select("row", failed.alias("__q_failed"), *[f"__q_v_{rule}" for rule in RULES]).write.parquet(folder)
+    written = docs.sparkSession.read.parquet(folder)
+    return written.where(~c("failed") & (fit(written).posterior() >= 0.5)).select("row.*")
