@@ -1,19 +1,30 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
-Seeds are what fixed patterns find (email, ip, card, phone). The words before a seed are a lexical pattern of its kind;
-the token itself is an instance. Tokens that look like a kind but fail its fixed pattern are candidates, with the words
-before them as their pattern. Over the graph of patterns and instances, weighted by how often they meet, scores pass
-back and forth until they settle: a pattern's is the mean of its instances', an instance's the mean of its patterns';
-seeds stay at 1. Candidates behind patterns of high score and enough different seeds are found as well, and then count
-as seeds do towards what a further pattern needs.
+Seeds are what fixed patterns find (email, ip, card, phone). Every other token with a digit or an at sign is a mention.
+The lexical patterns of a seed or mention are the two words before it, the word before it, the word after it, and the
+words on either side. Over the graph of patterns and instances (tokens) rounds of scoring run:
+
+1. A pattern's score for a kind is the share of the kind among what is known behind it: different instances of the kind
+   over all known ones and one more. Known are seeds, what earlier rounds found, and, as none of any kind, mentions that
+   can identify nobody (under five digits and no at sign). What isn't known yet counts neither way. Its score for
+   identifiers at all is reckoned in the same way.
+2. A pattern of score `least_pattern` with `support` different instances of the kind is trusted, unless as many could
+   stand there by chance: by Chernoff's bound, words that are strewn at random before known instances would make fewer
+   than `chance` trusted patterns in all. So the support that is needed grows with the log of the number of patterns.
+3. A mention behind a trusted pattern is found if its shape is one that instances of the kind have (shapes are induced
+   from seeds and from what was found), and if the mean score for identifiers of all its patterns that know anything
+   reaches `least`.
+4. What is found counts as a seed from then on, and the next round begins; rounds end when none is added.
 
 Defined results: a null text counts as empty; repeated rows come back repeated, with the same spans; an empty table
-gives an empty result. Offsets are code points, ends exclusive. Very long runs of digits or dots cost linear time: the
-expressions are possessive and start only where a run starts.
+gives an empty result; of kinds with equal scores the first listed wins. Offsets are code points, ends exclusive. Very
+long runs of digits or dots cost linear time: the expressions are possessive and start only where a run starts.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,31 +39,38 @@ FIXED = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-# What a candidate token of a kind looks like, and an expression for tokens with a digit or an at sign.
-LOOKS = {
-    "email": r"^[^@]+@[^@]+$",
-    "ip": r"^(?:[0-9]+(?:\.[0-9]+){3}|[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){3,7})$",
-    "card": r"^(?=[0-9-]{13,30}$)[0-9]{4}-?[0-9]{4}-?[0-9]{4}-?[0-9]{1,7}$",
-    "phone": r"^\(?[0-9][0-9().-]{7,18}[0-9]$",
-}
 TOKEN = r"(?<![^ \t-\r])[^ \t-\r0-9@]*+[0-9@][^ \t-\r]*+"
-SPAN = "array<struct<s:int,e:int,m:string,gap:string>>"
-CONTEXT = 64
+TRAILING = "[.,;:!?)\"'\\]}>]+$"
+SPAN = "array<struct<s:int,e:int,m:string,before:string,after:string>>"
+MENTION = "struct<rank:int,s:int,e:int,instance:string,shape:string,patterns:array<string>>"
+NONE = len(KINDS)  # the rank of what is known to be of no kind
 
 
-def _matches(text: Column, expression: str) -> Column:
-    """Leftmost non-overlapping matches with their places, and the text since the match before."""
-    found = F.regexp_extract_all(text, F.lit(expression), F.lit(0))
-    both = F.arrays_zip(found.alias("m"), F.split(text, expression, -1).alias("gap"))
+def _running(numbers: Column, piece: int = 256) -> Column:
+    """Running sums of an array, a piece at a time: an array that grows by one element a step is copied each time."""
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["m"])
-        one = F.array(F.struct(start.alias("s"), end.alias("e"), x["m"].alias("m"), x["gap"].alias("gap")))
-        return F.struct(end.alias("at"), F.concat(acc["out"], one).alias("out"))
+    def sums(array: Column, base: Column) -> Column:
+        step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"] + n)).alias("out"))
+        return F.aggregate(array, F.struct(base.cast("int").alias("at"), F.array().cast("array<int>").alias("out")), step, lambda acc: acc["out"])
 
-    none = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    return F.aggregate(F.filter(both, lambda x: x["m"].isNotNull()), none, step, lambda acc: acc["out"])
+    count = F.ceil(F.size(numbers) / piece).cast("int")
+    pieces = F.transform(F.slice(F.sequence(F.lit(0), count), F.lit(1), count), lambda k: F.slice(numbers, k * piece + 1, F.lit(piece)))
+    totals = F.transform(pieces, lambda p: F.aggregate(p, F.lit(0), lambda acc, n: acc + n))
+    bases = F.concat(F.array(F.lit(0)), sums(totals, F.lit(0)))
+    return F.flatten(F.zip_with(pieces, F.slice(bases, F.lit(1), count), sums))
+
+
+def _matches(text: Column, expression: str) -> Column:
+    """Leftmost non-overlapping matches with their places, and the text since and until the neighbouring matches (the
+    text before holds the match before, so that a word stands before all but a text's first match)."""
+    found = F.regexp_extract_all(text, F.lit(expression), F.lit(0))
+    gaps = F.split(text, expression, -1)
+    after = F.slice(gaps, F.lit(2), F.size(gaps))
+    last = F.concat(F.array(F.lit("")), found)
+    both = F.filter(F.arrays_zip(found.alias("m"), gaps.alias("gap"), after.alias("after"), last.alias("last")), lambda x: x["m"].isNotNull())
+    ends = _running(F.transform(both, lambda x: F.length(x["gap"]) + F.length(x["m"])))
+    span = lambda x, e: F.struct((e - F.length(x["m"])).alias("s"), e.alias("e"), x["m"].alias("m"), F.concat(x["last"], x["gap"]).alias("before"), x["after"].alias("after"))
+    return F.zip_with(both, ends, span).cast(SPAN)
 
 
 def _digits(m: Column) -> Column:
@@ -81,40 +99,55 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _context(before: Column) -> Column:
-    """The last two words before a place, in lower case."""
-    tail = F.btrim(F.right(before, F.lit(CONTEXT)), F.lit(SPACE_CHARS))
-    words = F.split(F.lower(tail), SPACE + "+")
-    return F.concat_ws(" ", F.get(words, F.size(words) - 2), F.get(words, F.size(words) - 1))
+def _bare(word: Column) -> Column:
+    """A word of a pattern: small letters, without marks at its ends."""
+    return F.regexp_replace(F.lower(word), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+
+
+def _patterns(before: Column, after: Column) -> Column:
+    """The lexical patterns of a place between two texts; blank words make none."""
+    words = F.split(F.btrim(before, F.lit(SPACE_CHARS)), SPACE + "+")
+    two, one = _bare(F.get(words, F.size(words) - 2)), _bare(F.element_at(words, -1))
+    nxt = _bare(F.regexp_extract(after, r"^[^ \t-\r]*[ \t-\r]+([^ \t-\r]+)", 1))
+    made = [
+        F.when((one != "") & (two != ""), F.concat(F.lit("2 "), two, F.lit(" "), one)),
+        F.when(one != "", F.concat(F.lit("< "), one)),
+        F.when(nxt != "", F.concat(F.lit("> "), nxt)),
+        F.when((one != "") & (nxt != ""), F.concat(F.lit("| "), one, F.lit(" "), nxt)),
+    ]
+    return F.array_compact(F.array(*made))
+
+
+def _shape(token: Column) -> Column:
+    """What a token is made of: an at sign, colons, digits with letters, with other marks, or alone."""
+    return F.when(token.contains("@"), "at").when(token.contains(":"), "colon").when(token.rlike(r"\p{L}"), "letters").when(token.rlike("[^0-9]"), "marks").otherwise("digits")
+
+
+def _mention(rank: Column, s: Column, e: Column, token: Column, before: Column, after: Column) -> Column:
+    parts = {"rank": rank, "s": s, "e": e, "instance": F.lower(token), "shape": _shape(token), "patterns": _patterns(before, after)}
+    return F.struct(*[c.alias(n) for n, c in parts.items()])
 
 
 def _seeds(text: Column, kind: str) -> Column:
-    """Valid matches of a kind as structs of rank, s, e, pattern and instance."""
-    empty = F.array().cast("array<struct<rank:int,s:int,e:int,pattern:string,instance:string>>")
+    """Valid matches of a kind."""
     good = F.filter(_matches(text, FIXED[kind]), lambda x: _valid(kind, x["m"]))
     rank = F.lit(KINDS.index(kind))
-    seed = lambda x: F.struct(rank.alias("rank"), x["s"].alias("s"), x["e"].alias("e"), _context(F.substring(text, F.lit(1), x["s"])).alias("pattern"), F.lower(x["m"]).alias("instance"))
-    return F.when(text.rlike(WORTH[kind]), F.transform(good, seed)).otherwise(empty)
+    return F.when(text.rlike(WORTH[kind]), F.transform(good, lambda x: _mention(rank, x["s"], x["e"], x["m"], x["before"], x["after"]))).otherwise(F.array().cast(f"array<{MENTION}>"))
 
 
 def _candidates(text: Column, seeds: Column) -> Column:
-    """Tokens that overlap no seed, once for each kind they look like."""
-    empty = F.array().cast("array<struct<rank:int,s:int,e:int,pattern:string,instance:string>>")
-    tokens = _matches(text, TOKEN)
-
-    def of(rank: int, kind: str) -> Column:
-        bare = lambda x: F.regexp_replace(x["m"], "[.,;:!?)\"']+$", "")
-        free = lambda x: ~F.exists(seeds, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-        like = F.filter(tokens, lambda x: bare(x).rlike(LOOKS[kind]) & free(x))
-        as_seed = lambda x: F.struct(F.lit(rank).alias("rank"), x["s"].alias("s"), (x["s"] + F.length(bare(x))).alias("e"), _context(F.substring(text, F.lit(1), x["s"])).alias("pattern"), F.lower(bare(x)).alias("instance"))
-        return F.transform(like, as_seed)
-
-    parts = [of(rank, kind) for rank, kind in enumerate(KINDS)]
-    return F.when(text.rlike(r"[0-9@][^ \t-\r]{6}|[^ \t-\r]{6}[0-9@]|@"), F.concat(*parts)).otherwise(empty)
+    """Mentions that overlap no seed; those that can identify nobody have the rank NONE, the others have none."""
+    bare = lambda x: F.regexp_replace(x["m"], TRAILING, "")
+    weak = lambda x: ~x["m"].contains("@") & (F.length(_digits(x["m"])) < 5)
+    free = lambda x: ~F.exists(seeds, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+    tokens = F.filter(_matches(text, TOKEN), free)
+    rank = lambda x: F.when(weak(x), NONE)
+    made = F.transform(tokens, lambda x: _mention(rank(x), x["s"], x["s"] + F.length(bare(x)), bare(x), x["before"], F.concat(F.right(x["m"], F.length(x["m"]) - F.length(bare(x))), x["after"])))
+    return F.when(text.rlike("[0-9@]"), made).otherwise(F.array().cast(f"array<{MENTION}>"))
 
 
 def with_seeds(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add __text (never null), __seeds: the base spans, and __cands: the candidates."""
+    """Add __text (never null), __seeds: the base spans, and __cands: the other mentions."""
     out = docs.withColumn("__text", text_of(F.col(f"`{text}`")))
     for kind in KINDS:
         out = out.withColumn(f"__{kind}", _seeds(F.col("__text"), kind))
@@ -123,86 +156,72 @@ def with_seeds(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _edges(marked: DataFrame) -> DataFrame:
-    """(rank, pattern, instance, n, seed, known, total): how often a pattern and an instance meet; known is 1 for a seed,
-    behind whatever pattern, and total counts the instance behind all patterns."""
-    one = lambda column, seed: marked.select(F.explode(column).alias("x")).select("x.rank", "x.pattern", "x.instance", F.lit(seed).alias("seed"))
-    edges = one("__seeds", 1).unionByName(one("__cands", 0))
-    edges = cut_narrow(edges.groupBy("rank", "pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed")))
-    whole = edges.groupBy("rank", "instance").agg(F.max("seed").alias("known"), F.sum("n").alias("total"), F.count("*").alias("n_patterns"))
-    return cut_narrow(edges.join(whole, ["rank", "instance"]))
-
-
-def _scores(edges: DataFrame, near: float = 1e-6, rounds: int = 1000) -> DataFrame:
-    """(rank, pattern, score, n_seeds): the fixed point of the passing back and forth, each score within `near` of it.
-
-    With every instance's score put in, a pattern's satisfies own * score = seeds + what comes over instances that it
-    shares with other patterns: a symmetric, positive definite system, solved by conjugate gradients. Instances behind
-    one pattern only are part of `own`, so where none is shared nothing is left to iterate, however many they are. An
-    error is at most the largest residual over (seeds + 1). A round brings three sums and a maximum to the driver.
-    """
-    key, n, open_ = ["rank", "pattern"], F.col("n"), F.col("known") == 0
-    back = F.sum(F.when(open_, n * n / F.col("total")).otherwise(0.0))
-    own = edges.groupBy(*key).agg(F.sum(F.when(open_, 0).otherwise(n)).alias("b"), (F.sum("n") + 1 - back).alias("own"), F.sum("seed").alias("n_seeds"))
-    shared = cut_narrow(edges.where(open_ & (F.col("n_patterns") > 1)).select(*key, "instance", "n", "total"))
-    now = own.withColumns({"x": F.lit(0.0), "r": F.col("b").cast("double"), "p": F.col("b") / F.col("own")})
-    now = cut_narrow(now)
-    any_shared = shared.limit(1).count() > 0
-    for _ in range(rounds):
-        there = shared.join(now.select(*key, "p"), key)
-        mean = there.groupBy("rank", "instance").agg((F.sum(n * F.col("p")) / F.max("total")).alias("mean"))
-        over = there.join(mean, ["rank", "instance"]).groupBy(*key).agg(F.sum(n * F.col("mean") - n * n / F.col("total") * F.col("p")).alias("over"))
-        q = F.col("own") * F.col("p")
-        step = now.join(over, key, "left").withColumn("q", q - F.coalesce("over", F.lit(0.0))) if any_shared else now.withColumn("q", q)
-        step = cut_narrow(step.drop("over"))
-        old = step.agg(F.sum(F.col("r") * F.col("r") / F.col("own")).alias("rz"), F.sum(F.col("p") * F.col("q")).alias("pq")).first()
-        if not old["pq"]:
-            break
-        alpha = old["rz"] / old["pq"]
-        now = cut_narrow(step.withColumns({"x": F.col("x") + alpha * F.col("p"), "r": F.col("r") - alpha * F.col("q")}).drop("q"))
-        got = now.agg(F.sum(F.col("r") * F.col("r") / F.col("own")).alias("rz"), F.max(F.abs("r") / (F.col("b") + 1)).alias("off")).first()
-        if got["off"] <= near:
-            break
-        now = now.withColumn("p", F.col("r") / F.col("own") + got["rz"] / old["rz"] * F.col("p"))
-    else:
-        raise RuntimeError(f"pattern scores did not settle in {rounds} rounds")
-    return now.select(*key, F.col("x").alias("score"), "n_seeds")
-
-
-def pattern_scores(marked: DataFrame) -> DataFrame:
-    """(rank, pattern, score, n_seeds): scores of the lexical patterns, from the graph of patterns and instances."""
-    return _scores(_edges(marked))
-
-
-def trusted_patterns(marked: DataFrame, least: float = 0.6, seeds: int = 3) -> DataFrame:
-    """(rank, pattern) of score `least` with so many different instances that are seeds or were found.
-
-    An instance is found when it stands behind a trusted pattern and its own score reaches `least`; it then counts
-    towards the support of its other patterns. Rounds end when no further pattern is trusted.
-    """
-    key, edges = ["rank", "pattern"], _edges(marked)
-    every = cut_narrow(_scores(edges))
-    scored = edges.where("known = 0 and n_patterns > 1").join(every, key)
-    sure = scored.groupBy("rank", "instance").agg((F.sum(F.col("n") * F.col("score")) / F.max("total")).alias("i_score")).where(F.col("i_score") >= least)
-    good = every.where((F.col("score") >= least) & (F.col("pattern") != ""))
-    links = cut_narrow(scored.select(*key, "instance").join(sure, ["rank", "instance"]).join(good.select(*key), key))
-    trusted = cut_narrow(good.where(F.col("n_seeds") >= seeds).select(*key))
-    count = trusted.count()
-    while count:
-        found = links.join(trusted, key).select("rank", "instance").distinct()
-        more = links.join(found, ["rank", "instance"]).groupBy(*key).agg(F.count("*").alias("n_found"))
-        enough = F.col("n_seeds") + F.coalesce("n_found", F.lit(0)) >= seeds
-        trusted = cut_narrow(good.join(more, key, "left").where(enough).select(*key))
-        before, count = count, trusted.count()
+    """(pattern, instance, shape, rank): which instances stand behind a pattern. rank is the kind of a seed, NONE for what
+    can be of no kind, null for what is to be judged. A token that is a seed anywhere is one behind every pattern."""
+    mentions = marked.select(F.explode(F.concat("__seeds", "__cands")).alias("x"))
+    pairs = mentions.select("x.instance", "x.shape", "x.rank", F.explode("x.patterns").alias("pattern"))
+    pairs = cut_narrow(pairs.groupBy("pattern", "instance").agg(F.min("shape").alias("shape"), F.min("rank").alias("rank")))
+    ranks = pairs.where(f"rank < {NONE}").groupBy("instance").agg(F.min("rank").alias("own"))
+    open_ = pairs.where(f"rank is null or rank = {NONE}").join(ranks, "instance", "left")
+    settled = open_.select("pattern", "instance", "shape", F.coalesce("own", "rank").alias("rank"))
+    return cut_narrow(pairs.where(f"rank < {NONE}").select("pattern", "instance", "shape", "rank").unionByName(settled))
+
+
+def pattern_scores(edges: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """(pattern, n, n0 to n3, kind, score, any) of every pattern that knows anything: how many known instances stand
+    behind it, how many of each kind, the likeliest kind (null for none), its score, and the score for identifiers of any
+    kind. found: (instance, kind) of earlier rounds."""
+    known = edges if found is None else edges.join(found, "instance", "left").withColumn("rank", F.coalesce("rank", "kind"))
+    known = known.where("rank is not null")
+    of = lambda k: F.count(F.when(F.col("rank") == k, 1))
+    counts = known.groupBy("pattern").agg(F.count("*").alias("n"), *[of(k).alias(f"n{k}") for k in range(NONE)])
+    best = F.greatest(*[F.struct(F.col(f"n{k}").alias("n"), F.lit(-k).alias("k")) for k in range(NONE)])
+    kind = F.when(best["n"] > 0, -best["k"]).alias("kind")
+    return counts.select("*", kind, (best["n"] / (F.col("n") + 1)).alias("score"), (sum(F.col(f"n{k}") for k in range(NONE)) / (F.col("n") + 1)).alias("any"))
+
+
+def with_trust(scores: DataFrame, least_pattern: float, support: int, chance: float) -> DataFrame:
+    """Add `sure` to pattern_scores(): whether a pattern is trusted. Six sums come to the driver."""
+    own = F.get(F.array(*[F.col(f"n{k}") for k in range(NONE)]), F.col("kind"))
+    enough = own >= support
+    sums = scores.agg(F.count(F.when(enough, 1)).alias("patterns"), F.sum("n").alias("n"), *[F.sum(f"n{k}").alias(f"n{k}") for k in range(NONE)]).first()
+    # at least half of what stands behind an arbitrary pattern is taken for something else
+    usual = F.get(F.array(*[F.lit(min(0.5, ((sums[f"n{k}"] or 0) + 1) / ((sums["n"] or 0) + 2))) for k in range(NONE)]), F.col("kind"))
+    rest = F.col("n") - own
+    gain = own * F.ln(own / (F.col("n") * usual)) + F.when(rest > 0, rest * F.ln(rest / (F.col("n") * (1 - usual)))).otherwise(0.0)
+    sure = enough & (F.col("score") >= least_pattern) & (own > F.col("n") * usual) & (gain >= math.log(max(1, sums["patterns"]) / chance))
+    return scores.withColumn("sure", F.coalesce(sure, F.lit(False)))
+
+
+def found_instances(edges: DataFrame, least_pattern: float = 0.75, least: float = 0.6, support: int = 3, chance: float = 0.1) -> DataFrame:
+    """(instance, kind) of the mentions that the rounds find; only sums and counts come to the driver."""
+    spark = edges.sparkSession
+    open_ = edges.where("rank is null").select("pattern", "instance", "shape")
+    found, count = spark.createDataFrame([], "instance string, kind int"), 0
+    while True:
+        scores = cut_narrow(with_trust(cut_narrow(pattern_scores(edges, found if count else None)), least_pattern, support, chance))
+        if scores.where("sure").isEmpty():
+            return found
+        behind = open_.join(scores, "pattern")
+        top = F.max(F.when(F.col("sure"), F.struct("score", (-F.col("kind")).alias("k"))))
+        judged = behind.groupBy("instance", "shape").agg(top.alias("top"), F.avg("any").alias("mean")).where(F.col("top").isNotNull() & (F.col("mean") >= least))
+        judged = judged.withColumn("kind", -F.col("top.k"))
+        shapes = edges.where(f"rank < {NONE}").select("shape", F.col("rank").alias("kind"))
+        if count:
+            shapes = shapes.unionByName(open_.join(found, "instance").select("shape", "kind"))
+        new = judged.join(F.broadcast(shapes.distinct()), ["shape", "kind"]).select("instance", "kind")  # at most 16 rows
+        found = cut_narrow((new.unionByName(found) if count else new).groupBy("instance").agg(F.min("kind").alias("kind")))
+        before, count = count, found.count()
         if count == before:
-            break
-    return trusted
+            return found
 
 
-def discovered(marked: DataFrame, keys: list[str], least: float = 0.6, seeds: int = 3) -> DataFrame:
-    """keys and __found: the spans of candidates behind trusted patterns."""
-    cands = marked.select(*keys, F.explode("__cands").alias("x")).select(*keys, "x.rank", "x.s", "x.e", "x.pattern")
-    found = cands.join(trusted_patterns(marked, least, seeds), ["rank", "pattern"])
-    return found.groupBy(*keys).agg(F.collect_set(F.struct("rank", "s", "e")).alias("__found"))
+def discovered(marked: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and __found: the spans of found instances."""
+    found = found_instances(_edges(marked))
+    spans = marked.select(*keys, F.explode("__cands").alias("x")).where("x.rank is null").select(*keys, "x.instance", "x.s", "x.e")
+    spans = spans.join(found, "instance").select(*keys, F.struct(F.col("kind").alias("rank"), "s", "e").alias("span"))
+    return spans.groupBy(*keys).agg(F.collect_set("span").alias("__found"))
 
 
 def _plain(spans: str) -> Column:
