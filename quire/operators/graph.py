@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.sources.shared import shared_folder
+
 
 def settled(df: DataFrame) -> DataFrame:
     """Cut the lineage of an iterative result in the shared checkpoint folder, with one file a core at most."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/quire")
-    return df.coalesce(max(1, sc.defaultParallelism)).checkpoint(eager=True)
+    shared_folder(df.sparkSession)
+    return df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism)).checkpoint(eager=True)
 
 
 def roots(edges: DataFrame, node: str = "node", parent: str = "parent", rounds: int = 40) -> DataFrame:

@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.sources.shared import shared_folder
+
 
 def windowed_counts(events: DataFrame, watermark: str = "1 hour", width: str = "1 day") -> DataFrame:
     """(start, event_type, n, total) of tumbling windows; events later than the watermark are dropped from a stream."""
@@ -31,7 +33,7 @@ def run_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(path).schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
     name = f"counts_{uuid.uuid4().hex}"
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/quire"
+    folder = shared_folder(spark)
     query = windowed_counts(stream).writeStream.outputMode("complete").format("memory").queryName(name)
     query.option("checkpointLocation", f"{folder}/stream-{name}").trigger(availableNow=True).start().awaitTermination()
     return spark.table(name)
