@@ -1,14 +1,19 @@
 """Canonical exact digests of documents, in DataFrame functions only.
 
-A text is normalised (compatibility and composed forms, from a table that the driver derives from the Unicode data),
-lower-cased, and its white space folded. Its fingerprint is a wide xxhash: two 64-bit hashes of independent seeds. Texts
-with equal hashes are compared byte by byte, by grouping on hash and canonical text together; where one hash stands for
-different texts, their fingerprints are told apart by a SHA-256.
-
-The table covers the basic plane but for Hangul jamo, and marks in canonical order. Only texts with a character outside
-ASCII and the precomposed Latin letters U+00C0 to U+0131 are looked up at all.
-
-Defined results: a null text counts as empty; repeated rows come back repeated; an empty table gives an empty result.
+A text is brought to canonical form: compatibility decomposition, case folding, marks in canonical order, white space
+folded. So texts that Unicode holds for compatible without regard to case have one form (NFKD of the folded NFKD). Spark
+has no normaliser: a table from the Unicode data of the driver's Python gives each character's folded decomposition,
+looked up by code point in two steps; Hangul syllables are taken apart by arithmetic; runs of marks are sorted by class.
+Texts of ASCII and the Latin letters U+00C0 to U+0131 alone need none of that: `lower` does, and in other texts these
+letters are put together again, so that both ways end alike.
+
+A fingerprint is a wide xxhash: two 64-bit hashes of independent seeds. Texts with equal hashes are compared byte by
+byte, by grouping on hash and canonical text together; where one hash stands for different texts, their fingerprints are
+told apart by a SHA-256.
+
+Defined results: a null text counts as empty; repeated rows come back repeated; an empty table gives an empty result;
+rows with equal doc_id follow each other by the hash of their text. What is no character in the driver's Unicode version
+stands for itself.
 """
 
 from __future__ import annotations
@@ -25,42 +30,88 @@ from .common import cut_narrow, text_of
 from .order import bucket_bounds, bucket_of
 
 PLAIN = r"[^\x00-\x7fÀ-ı]"
-FOLDABLE = r" [\s\p{Z}]+|[\s\p{Z}&&[^ ]][\s\p{Z}]*"
+# Fixed value: what Unicode calls white space.
+WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+FOLDABLE = f" [{WHITE}]+|[{WHITE}&&[^ ]][{WHITE}]*"
+IOTA = "\u0345"  # the one mark that folding makes a letter of: only after marks are in order
+# The ranges of Hangul syllables and of the letters they are made of.
+HANGUL, LEAD, VOWEL, TAIL = 0xAC00, 0x1100, 0x1161, 0x11A7
+LEADS, VOWELS, TAILS = 19, 21, 28
+
+
+def _folded(c: str) -> str:
+    apart = "".join(x if x == IOTA else x.casefold() for x in unicodedata.normalize("NFKD", c))
+    return unicodedata.normalize("NFKD", apart)
 
 
 @lru_cache(maxsize=1)
-def _tables() -> tuple[str, str, list[list[str]], list[list[str]]]:
-    """From and to of single compatibility characters; longer replacements; base and mark with their composed letter."""
-    single, longer, composed = {}, [], []
-    for x in range(0x80, 0xFFFE):
-        if 0xD800 <= x <= 0xDFFF or 0xAC00 <= x <= 0xD7A3:
-            continue
-        c = chr(x)
-        parts = unicodedata.decomposition(c).split()
-        if len(parts) == 2 and not parts[0].startswith("<") and unicodedata.normalize("NFC", c) == c:
-            composed.append(["".join(chr(int(p, 16)) for p in parts), c])
-        elif (n := unicodedata.normalize("NFKC", c)) != c:
-            if len(n) == 1 and ord(n) < 0x10000:
-                single[c] = n
-            else:
-                longer.append([c, n])
-    depth = lambda pair: len(unicodedata.normalize("NFD", pair[1]))
-    return "".join(single), "".join(single.values()), longer, sorted(composed, key=depth)
-
-
-def _replace_all(text: Column, pairs: list[list[str]]) -> Column:
-    table = F.from_json(F.lit(json.dumps(pairs)), "array<array<string>>")
-    return F.aggregate(table, text, lambda acc, p: F.replace(acc, F.get(p, F.lit(0)), F.get(p, F.lit(1))))
+def _tables() -> tuple[list[list[str | None]], list[list[int]], str, list[list[str]]]:
+    """Folded decompositions and mark classes by code point (blocks of 256, empty where all stand for themselves), the
+    marks as the inside of a character class, and letters of U+00E0 to U+0131 taken apart and whole."""
+    forms, classes, marks = [], [], []
+    own = lambda x: 0xD800 <= x < 0xF900 or HANGUL <= x < HANGUL + LEADS * VOWELS * TAILS  # noqa: E731 - no characters, or taken apart by arithmetic
+    for block in range(0, 0x110000, 256):
+        points = range(block, block + 256)
+        forms.append([None if own(x) or (f := _folded(chr(x))) == chr(x) else f for x in points])
+        classes.append([0 if own(x) else unicodedata.combining(chr(x)) for x in points])
+        forms[-1] = forms[-1] if any(x is not None for x in forms[-1]) else []
+        marks += [x for x, k in zip(points, classes[-1], strict=True) if k]
+        classes[-1] = classes[-1] if any(classes[-1]) else []
+    runs: list[list[int]] = []
+    for x in marks:
+        if runs and runs[-1][1] == x - 1:
+            runs[-1][1] = x
+        else:
+            runs.append([x, x])
+    inside = "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs)
+    letters = [[unicodedata.normalize("NFD", chr(x)), chr(x)] for x in range(0xE0, 0x132) if chr(x).islower() and unicodedata.decomposition(chr(x))]
+    last = max(k for k, x in enumerate(forms) if x) + 1
+    return forms[:last], classes[:last], inside, letters
+
+
+def _constant(value: list, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def _at(table: Column, point: Column) -> Column:
+    return F.get(F.get(table, F.shiftright(point, 8)), point.bitwiseAND(F.lit(255)))
+
+
+def _apart(text: Column) -> Column:
+    """Each character's folded decomposition."""
+    forms = _constant(_tables()[0], "array<array<string>>")
+    jamo = lambda first, count: F.array(*[F.lit(chr(first + k)) if first + k != TAIL else F.lit("") for k in range(count)])
+
+    def one(c: Column) -> Column:
+        point = F.ascii(c)
+        k = point - HANGUL
+        hangul = F.concat(F.get(jamo(LEAD, LEADS), F.floor(k / (VOWELS * TAILS)).cast("int")), F.get(jamo(VOWEL, VOWELS), F.floor(k / TAILS).cast("int") % VOWELS), F.get(jamo(TAIL, TAILS), k % TAILS))
+        return F.when((k >= 0) & (k < LEADS * VOWELS * TAILS), hangul).otherwise(F.coalesce(_at(forms, point), c))
+
+    return F.array_join(F.transform(F.split(text, ""), one), "")
+
+
+def _ordered(text: Column) -> Column:
+    """Runs of marks sorted by their class, equal ones as they stood."""
+    _, by_point, inside, _ = _tables()
+    classes, runs = _constant(by_point, "array<array<int>>"), f"[{inside}]{{2,}}"
+    place = lambda c, i: F.struct(_at(classes, F.ascii(c)).alias("class"), i.alias("i"), c.alias("c"))
+    found = F.transform(F.regexp_extract_all(text, F.lit(runs), F.lit(0)), lambda r: F.array_join(F.transform(F.sort_array(F.transform(F.split(r, ""), place)), lambda x: x["c"]), ""))
+    joined = F.array_join(F.zip_with(F.split(text, runs, -1), found, lambda gap, run: F.concat(gap, F.coalesce(run, F.lit("")))), "")
+    return F.when(text.rlike(runs), joined).otherwise(text)
+
+
+def _letters_whole(text: Column) -> Column:
+    pairs = _constant(_tables()[3], "array<array<string>>")
+    return F.when(text.rlike("[a-z][\u0300-\u0328]"), F.aggregate(pairs, text, lambda acc, p: F.replace(acc, F.get(p, F.lit(0)), F.get(p, F.lit(1))))).otherwise(text)
 
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text that is not null."""
-    old, new, longer, composed = _tables()
-    singles = F.translate(text, old, new)
-    long = F.when(singles.rlike(PLAIN), _replace_all(singles, longer)).otherwise(singles)
-    whole = F.when(text.rlike(r"\p{M}"), _replace_all(long, composed)).otherwise(long)
-    normal = F.when(text.rlike(PLAIN), whole).otherwise(text)
-    return F.trim(F.regexp_replace(F.lower(normal), FOLDABLE, " "))
+    simple = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    whole = _letters_whole(F.replace(_ordered(_apart(text)), F.lit(IOTA), F.lit("ι")))
+    normal = F.when(text.rlike(PLAIN), whole).otherwise(simple)
+    return F.trim(F.regexp_replace(normal, FOLDABLE, " "))
 
 
 def wide_hash(canon: Column) -> Column:
