@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut_narrow, text_of
+from .common import cut_narrow, let, text_of
 from .order import bucket_bounds, bucket_of
 
 PLAIN = r"[^\x00-\x7fÀ-ı]"
@@ -103,13 +103,14 @@ def _ordered(text: Column) -> Column:
 
 def _letters_whole(text: Column) -> Column:
     pairs = _constant(_tables()[3], "array<array<string>>")
-    return F.when(text.rlike("[a-z][\u0300-\u0328]"), F.aggregate(pairs, text, lambda acc, p: F.replace(acc, F.get(p, F.lit(0)), F.get(p, F.lit(1))))).otherwise(text)
+    joined = lambda t: F.aggregate(pairs, t, lambda acc, p: F.replace(acc, F.get(p, F.lit(0)), F.get(p, F.lit(1))))
+    return let(text, lambda t: F.when(t.rlike("[a-z][\u0300-\u0328]"), joined(t)).otherwise(t))
 
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text that is not null."""
     simple = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
-    whole = _letters_whole(F.replace(_ordered(_apart(text)), F.lit(IOTA), F.lit("ι")))
+    whole = let(let(_apart(text), _ordered), lambda t: _letters_whole(F.replace(t, F.lit(IOTA), F.lit("ι"))))
     normal = F.when(text.rlike(PLAIN), whole).otherwise(simple)
     return F.trim(F.regexp_replace(normal, FOLDABLE, " "))
 

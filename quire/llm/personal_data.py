@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_CHARS, cut, cut_narrow, packed, text_of
+from .common import SPACE, SPACE_CHARS, cut, cut_narrow, let, packed, text_of
 
 # Kinds in report order, what a text must hold for a kind to be worth a search, and the expression.
 KINDS = ["email", "ip", "card", "phone"]
@@ -53,24 +53,28 @@ def _running(numbers: Column, piece: int = 256) -> Column:
         step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"] + n)).alias("out"))
         return F.aggregate(array, F.struct(base.cast("int").alias("at"), F.array().cast("array<int>").alias("out")), step, lambda acc: acc["out"])
 
-    count = F.ceil(F.size(numbers) / piece).cast("int")
-    pieces = F.transform(F.slice(F.sequence(F.lit(0), count), F.lit(1), count), lambda k: F.slice(numbers, k * piece + 1, F.lit(piece)))
-    totals = F.transform(pieces, lambda p: F.aggregate(p, F.lit(0), lambda acc, n: acc + n))
-    bases = F.concat(F.array(F.lit(0)), sums(totals, F.lit(0)))
-    return F.flatten(F.zip_with(pieces, F.slice(bases, F.lit(1), count), sums))
+    def of(numbers: Column) -> Column:
+        count = F.ceil(F.size(numbers) / piece).cast("int")
+        pieces = F.transform(F.slice(F.sequence(F.lit(0), count), F.lit(1), count), lambda k: F.slice(numbers, k * piece + 1, F.lit(piece)))
+        totals = lambda p: F.transform(p, lambda x: F.aggregate(x, F.lit(0), lambda acc, n: acc + n))
+        return let(pieces, lambda p: F.flatten(F.zip_with(p, F.slice(F.concat(F.array(F.lit(0)), sums(totals(p), F.lit(0))), F.lit(1), F.size(p)), sums)))
+
+    return let(numbers, of)
 
 
 def _matches(text: Column, expression: str) -> Column:
     """Leftmost non-overlapping matches with their places, and the text since and until the neighbouring matches (the
     text before holds the match before, so that a word stands before all but a text's first match)."""
-    found = F.regexp_extract_all(text, F.lit(expression), F.lit(0))
-    gaps = F.split(text, expression, -1)
-    after = F.slice(gaps, F.lit(2), F.size(gaps))
-    last = F.concat(F.array(F.lit("")), found)
-    both = F.filter(F.arrays_zip(found.alias("m"), gaps.alias("gap"), after.alias("after"), last.alias("last")), lambda x: x["m"].isNotNull())
-    ends = _running(F.transform(both, lambda x: F.length(x["gap"]) + F.length(x["m"])))
+    gap = F.split(text, expression, -1)
+    parts = let(
+        F.struct(F.regexp_extract_all(text, F.lit(expression), F.lit(0)).alias("m"), gap.alias("gap")),
+        lambda x: F.arrays_zip(
+            x["m"].alias("m"), F.slice(x["gap"], F.lit(1), F.size(x["m"])).alias("gap"), F.slice(x["gap"], F.lit(2), F.size(x["m"])).alias("after"),
+            F.slice(F.concat(F.array(F.lit("")), x["m"]), F.lit(1), F.size(x["m"])).alias("last"),
+        ),
+    )
     span = lambda x, e: F.struct((e - F.length(x["m"])).alias("s"), e.alias("e"), x["m"].alias("m"), F.concat(x["last"], x["gap"]).alias("before"), x["after"].alias("after"))
-    return F.zip_with(both, ends, span).cast(SPAN)
+    return let(parts, lambda p: F.zip_with(p, _running(F.transform(p, lambda x: F.length(x["gap"]) + F.length(x["m"]))), span)).cast(SPAN)
 
 
 def _digits(m: Column) -> Column:
