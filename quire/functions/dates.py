@@ -5,22 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PDF_DATE = r"^(?:D:)?(\d{4})(\d{2})?(\d{2})?(\d{2})?(\d{2})?(\d{2})?(?:(Z)|([+-])(\d{2})'?(?:(\d{2})'?)?)?"
+# Fixed value: the shape of a date as documents hold it; all after the year may be left out.
+PDF_DATE = r"(?i)^D:(\d{4})(\d{2})?(\d{2})?(\d{2})?(\d{2})?(\d{2})?(?:Z(?:\d{2}'?(?:\d{2}'?)?)?|([+-])(\d{2})'?(\d{2})?'?)?\z"
 
 
 def pdf_date(text: Column) -> Column:
-    """D:YYYYMMDDHHmmSSOHH'mm' as a timestamp; parts left out are 01 or 00, no zone is UTC, and what is no date is null."""
-    part = lambda k, other: F.coalesce(F.nullif(F.regexp_extract(text, PDF_DATE, k), F.lit("")), F.lit(other)).try_cast("int")
+    """D:YYYYMMDDHHmmSS with a zone such as Z, +02'00' or -0530 as a timestamp in UTC; parts left out are 01 or 00, no zone
+    is UTC. The whole trimmed text must be a date, and one that there is; anything else is null."""
+    bare = F.regexp_replace(text, r"^\s+|\s+$", "")
+    part = lambda k, other: F.coalesce(F.nullif(F.regexp_extract(bare, PDF_DATE, k), F.lit("")), F.lit(other)).try_cast("int")
     year, month, day, hour, minute, second = (part(k, o) for k, o in ((1, ""), (2, "01"), (3, "01"), (4, "00"), (5, "00"), (6, "00")))
-    sign = F.when(F.regexp_extract(text, PDF_DATE, 8) == "-", -1).otherwise(1)
-    zone = sign * (part(9, "00") * 60 + part(10, "00"))
+    sign = F.when(F.regexp_extract(bare, PDF_DATE, 7) == "-", -1).otherwise(1)
+    zone = sign * (part(8, "00") * 60 + part(9, "00"))
     there = F.try_make_timestamp_ntz(year, month, day, hour, minute, second.cast("decimal(8,6)"))
-    sound = (hour < 24) & (minute < 60) & (second < 60) & (part(9, "00") < 24) & (part(10, "00") < 60)
-    return F.when(text.rlike(PDF_DATE) & sound, there - F.make_dt_interval(mins=zone))
+    sound = (year >= 1) & (hour < 24) & (minute < 60) & (second < 60) & (part(8, "00") < 24) & (part(9, "00") < 60)
+    return F.when(bare.rlike(PDF_DATE) & sound, there - F.make_dt_interval(mins=zone))
 
 
 def pdf_date_text(ts: Column) -> Column:
-    return F.concat(F.lit("D:"), F.date_format(ts, "yyyyMMddHHmmss"), F.lit("Z"))
+    """A timestamp as D:YYYYMMDDHHmmSSZ; null outside the years 1 to 9999."""
+    return F.when(F.year(ts).between(1, 9999), F.concat(F.lit("D:"), F.date_format(ts, "yyyyMMddHHmmss"), F.lit("Z")))
+
+
+def review_seconds(text: Column) -> Column:
+    """When a review was, in seconds since the epoch: a PDF date or an ISO time; 0 for anything else."""
+    return F.coalesce(F.unix_seconds(F.coalesce(pdf_date(text).cast("timestamp"), F.try_to_timestamp(text))), F.lit(0).cast("long"))
 
 
 def display_to_iso(text: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ast
 import re
 
 from pyspark.sql import Column
@@ -13,46 +12,68 @@ class FormError(ValueError):
     """A malformed expression, rule set or range."""
 
 
+TOKEN = re.compile(r"\s*(?:([0-9.]+)|([A-Za-z_][A-Za-z0-9_.]*)|([-+*/(),]))")
+
+
+def _tokens(text: str) -> list[str]:
+    out, at, end = [], 0, len(text.rstrip())
+    while at < end:
+        m = TOKEN.match(text, at)
+        if not m or m[1] and not re.fullmatch(r"[0-9]+(\.[0-9]+)?", m[1]):
+            raise FormError(f"malformed expression: {text!r}")
+        out.append(m[1] or m[2] or m[3])
+        at = m.end()
+    return out
+
+
 def expression(text: str, fields: dict[str, Column]) -> Column:
     """A column that evaluates text over fields: an unknown name is 0, and so are division by zero and what isn't finite.
 
-    Python's own parser reads it; anything but the forms above is refused.
+    Digits with at most one point are numbers; a name begins with a letter or underscore. Anything but the forms above
+    is refused.
     """
-    if not re.fullmatch(r"[\w\s.+\-*/(),]+", text) or "**" in text or "//" in text:
-        raise FormError(f"malformed expression: {text!r}")
-    try:
-        tree = ast.parse(text.strip(), mode="eval").body
-    except SyntaxError as e:
-        raise FormError(f"malformed expression: {text!r}") from e
-
-    def name_of(node: ast.expr) -> str:
-        if isinstance(node, ast.Name):
-            return node.id
-        if isinstance(node, ast.Attribute):
-            return f"{name_of(node.value)}.{node.attr}"
-        raise FormError(f"malformed expression: {text!r}")
-
-    def column(node: ast.expr) -> Column:
-        match node:
-            case ast.Constant(value=int() | float() as v) if not isinstance(v, bool):
-                return F.lit(float(v))
-            case ast.Name() | ast.Attribute():
-                return F.coalesce(fields.get(name_of(node), F.lit(0.0)).cast("double"), F.lit(0.0))
-            case ast.UnaryOp(op=ast.USub(), operand=x):
-                return -column(x)
-            case ast.BinOp(left=a, op=op, right=b):
-                x, y = column(a), column(b)
-                if isinstance(op, ast.Add):
-                    return x + y
-                if isinstance(op, ast.Sub):
-                    return x - y
-                if isinstance(op, ast.Mult):
-                    return x * y
-                if isinstance(op, ast.Div):
-                    return F.coalesce(F.try_divide(x, y), F.lit(0.0))
-            case ast.Call(func=ast.Name(id="min" | "max" as f), args=[a, b], keywords=[]):
-                return (F.least if f == "min" else F.greatest)(column(a), column(b))
-        raise FormError(f"malformed expression: {text!r}")
-
-    made = column(tree)
+    left = _tokens(text)[::-1]
+
+    def take(want: str | None = None) -> str:
+        token = left.pop() if left else ""
+        if not token or want and token != want:
+            raise FormError(f"malformed expression: {text!r}, at {token or 'its end'}")
+        return token
+
+    def primary() -> Column:
+        token = take()
+        if token == "-":
+            return -primary()
+        if token == "(":
+            inner = total()
+            take(")")
+            return inner
+        if token in ("min", "max"):
+            take("(")
+            a = total()
+            take(",")
+            b = total()
+            take(")")
+            return (F.least if token == "min" else F.greatest)(a, b)
+        if token[0].isdigit():
+            return F.lit(float(token))
+        if token in ")+*/,":
+            raise FormError(f"malformed expression: {text!r}, at {token}")
+        return F.coalesce(fields[token].cast("double"), F.lit(0.0)) if token in fields else F.lit(0.0)
+
+    def product() -> Column:
+        made = primary()
+        while left and left[-1] in "*/":
+            made = made * primary() if take() == "*" else F.coalesce(F.try_divide(made, primary()), F.lit(0.0))
+        return made
+
+    def total() -> Column:
+        made = product()
+        while left and left[-1] in "+-":
+            made = made + product() if take() == "+" else made - product()
+        return made
+
+    made = total()
+    if left:
+        raise FormError(f"malformed expression: {text!r}, at {left[-1]}")
     return F.when(F.isnan(made) | (F.abs(made) == float("inf")), 0.0).otherwise(made)

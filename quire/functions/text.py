@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 SNIPPET = 32
 # Characters that a replacement may not hold (controls, zero-width, bidi marks, soft hyphen).
-FORBIDDEN = r"[\x00-\x08\x0b-\x1f\x7f-\x9f­​-‏‪-‮⁠-⁤⁦-⁯﻿]"
+FORBIDDEN = r"[\x00-\x08\x0b-\x1f\x7f-\x9f\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufeff]"
 # Letters written from right to left.
-RIGHT_TO_LEFT = r"[֐-ࣿיִ-﷿ﹰ-﻿]"
+RIGHT_TO_LEFT = r"[\u0590-\u08ff\ufb1d-\ufdff\ufe70-\ufeff]"
 
 
 def fold(text: Column) -> Column:
@@ -69,11 +69,19 @@ def whole_word_count(text: Column, word: str) -> Column:
     return F.regexp_count(text, F.lit(rf"(?<!{edge}){needle_pattern(word)}(?!{edge})"))
 
 
-def markdown_escape(line: Column) -> Column:
-    """Escape inline marks, and those that would open a heading, a quote or a list at a line's start."""
-    inline = F.regexp_replace(line, r"([\\`*_\[\]<>])", r"\\$1")
-    opened = F.regexp_replace(inline, r"^(\s*)([#>+-])", r"$1\\$2")
-    return F.regexp_replace(opened, r"^(\s*\d+)([.)])(\s)", r"$1\\$2$3")
+def markdown_escape(paragraph: Column) -> Column:
+    """A paragraph so that Markdown shows it as written: marks that count anywhere, the start of an entity, and at the
+    very start what opens a heading, a quote, a list or (after up to nine digits) a numbered item."""
+    inline = F.regexp_replace(paragraph, r"([\\`*_\[<~]|&(?=#?\w+;))", r"\\$1")
+    opened = F.regexp_replace(inline, r"^([#>+-])", r"\\$1")
+    return F.regexp_replace(opened, r"^(\d{1,9})([.)])(?=\s|\z)", r"$1\\$2")
+
+
+def filled_template(template: Column, values: dict[str, Column]) -> Column:
+    """A template with each {name} of values replaced; other braces stay."""
+    for name, value in values.items():
+        template = F.replace(template, F.lit("{" + name + "}"), value)
+    return template
 
 
 def html_escape(text: Column) -> Column:
@@ -83,10 +91,12 @@ def html_escape(text: Column) -> Column:
 
 
 def safe_suffix(title: Column, longest: int = 60) -> Column:
-    """A title as part of a file name: reserved characters go, white space folds, at most 60 characters."""
-    bare = F.regexp_replace(title, r'[\\/:*?"<>|\x00-\x1f]', " ")
-    cut = F.left(F.trim(F.regexp_replace(bare, r"\s+", " ")), F.lit(longest))
-    return F.regexp_replace(cut, r"^[. ]+|[. ]+$", "")
+    """A title as the end of a file name: reserved and control characters go, white space folds, at most 60 characters,
+    no dots or spaces at its edges, after a hyphen; nothing where none is left."""
+    bare = F.regexp_replace(title, r'[\x00-\x1f\x7f\\/:*?"<>|]+', " ")
+    cut = F.left(F.trim(F.regexp_replace(bare, r"(?U)\s+", " ")), F.lit(longest))
+    name = F.regexp_replace(cut, r"^[. ]+|[. ]+$", "")
+    return F.when(name == "", "").otherwise(F.concat(F.lit("-"), name))
 
 
 def utf16_length(text: Column) -> Column:

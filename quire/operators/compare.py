@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, _parse_datatype_string
 
 from quire.functions.text import words
 
-CELLS = 4_000_000
-WORD_CELLS = 4096
+CELLS, WORD_CELLS = 250_000, 4096  # of the table of a common subsequence, for lines and for words
 
 
 def common_subsequence(a: list[str], b: list[str]) -> list[tuple[str, int, int]]:
@@ -34,9 +38,19 @@ def common_subsequence(a: list[str], b: list[str]) -> list[tuple[str, int, int]]
     return out + [("removed", k, j) for k in range(i, n)] + [("added", n, k) for k in range(j, m)]
 
 
-def line_changes(left: str, right: str, cells: int = CELLS) -> list[tuple[str, int | None, int | None, str, str | None]]:
-    """(kind, left line, right line, text, text before): lines right-trimmed, empty ones dropped; a run of removals meets
-    the run of additions beside it one to one as `changed`. Beyond `cells` the middle counts as replaced."""
+def word_changes(before: str, after: str, cells: int = WORD_CELLS) -> list[tuple[str, str]] | None:
+    """(kind, word) of the words that differ, in order; None beyond `cells`."""
+    a, b = before.split(), after.split()
+    if (len(a) + 1) * (len(b) + 1) > cells:
+        return None
+    return [("removed", a[i]) if kind == "removed" else ("added", b[j]) for kind, i, j in common_subsequence(a, b) if kind != "same"]
+
+
+def line_changes(left: str, right: str, cells: int = CELLS, word_cells: int = WORD_CELLS) -> list[tuple]:
+    """(kind, left line, right line, text, text before, words, reason) with lines from 1: lines are right-trimmed and
+    empty ones dropped; a run of removals meets the run of additions beside it one to one as `changed`, with its
+    word_changes(). Beyond `cells` the middle counts as replaced, which is the reason `line-matrix` of its rows;
+    `word-matrix` is that of changes without words."""
     a = [x for x in (line.rstrip() for line in left.split("\n")) if x]
     b = [x for x in (line.rstrip() for line in right.split("\n")) if x]
     start = 0
@@ -46,20 +60,17 @@ def line_changes(left: str, right: str, cells: int = CELLS) -> list[tuple[str, i
     while end < min(len(a), len(b)) - start and a[-1 - end] == b[-1 - end]:
         end += 1
     x, y = a[start : len(a) - end], b[start : len(b) - end]
-    if len(x) * len(y) > cells:
-        script = [("removed", k, 0) for k in range(len(x))] + [("added", 0, k) for k in range(len(y))]
-    else:
-        script = common_subsequence(x, y)
+    whole = (len(x) + 1) * (len(y) + 1) > cells
+    script = [("removed", k, 0) for k in range(len(x))] + [("added", 0, k) for k in range(len(y))] if whole else common_subsequence(x, y)
+    reason = "line-matrix" if whole else None
     out, gone, new = [], [], []
 
     def close() -> None:
-        for k in range(max(len(gone), len(new))):
-            if k < len(gone) and k < len(new):
-                out.append(("changed", gone[k] + start, new[k] + start, y[new[k]], x[gone[k]]))
-            elif k < len(gone):
-                out.append(("removed", gone[k] + start, None, x[gone[k]], None))
-            else:
-                out.append(("added", None, new[k] + start, y[new[k]], None))
+        for i, j in zip(gone, new):  # noqa: B905
+            words = word_changes(x[i], y[j], word_cells)
+            out.append(("changed", i + start + 1, j + start + 1, y[j], x[i], words, reason or ("word-matrix" if words is None else None)))
+        out.extend(("removed", i + start + 1, None, x[i], None, None, reason) for i in gone[len(new) :])
+        out.extend(("added", None, j + start + 1, y[j], None, None, reason) for j in new[len(gone) :])
         gone.clear()
         new.clear()
 
@@ -75,18 +86,41 @@ def line_changes(left: str, right: str, cells: int = CELLS) -> list[tuple[str, i
 
 
 def compare_pages(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(pair, page, kind, left_line, right_line, text, previous) of two tables (pair, page, text), met by a full join.
+    """(pair, page, kind, left_line, right_line, text, previous, words, reason) of two tables (pair, page, text), met by a
+    full join; see line_changes().
 
     A page's lines are compared in its own row, so no pair of documents is gathered.
     """
     both = left.select("pair", "page", F.col("text").alias("l")).join(right.select("pair", "page", F.col("text").alias("r")), ["pair", "page"], "full")
+    words = "words array<struct<kind:string,word:string>>"
+    schema = f"pair {dict(left.dtypes)['pair']}, page int, kind string, left_line int, right_line int, text string, previous string, {words}, reason string"
+    made = to_arrow_schema(_parse_datatype_string(schema))
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(p, g, *c) for p, g, x, y in b[["pair", "page", "l", "r"]].itertuples(index=False) for c in line_changes(x or "", y or "")]
-            yield pd.DataFrame(rows, columns=["pair", "page", "kind", "left_line", "right_line", "text", "previous"]).astype({"left_line": "Int32", "right_line": "Int32"})
+            columns = [b.column(k).to_pylist() for k in range(4)]
+            rows = [(p, g, *c) for p, g, x, y in zip(*columns, strict=True) for c in line_changes(x or "", y or "")]
+            if rows:
+                yield pa.RecordBatch.from_arrays([_arrow(c, f.type) for c, f in zip(zip(*rows, strict=True), made, strict=True)], schema=made)
+
+    return both.mapInArrow(run, schema)
+
 
-    return both.mapInPandas(run, "pair long, page int, kind string, left_line int, right_line int, text string, previous string")
+def _arrow(column: tuple, kind: pa.DataType) -> pa.Array:
+    if pa.types.is_list(kind):
+        column = [c if c is None else [{"kind": k, "word": w} for k, w in c] for c in column]
+    return pa.array(column, kind)
+
+
+def summary(changes: DataFrame, status: DataFrame) -> DataFrame:
+    """(pair, added_lines, removed_lines, changed_lines, identical, changed, added, removed, truncated, reasons) of what
+    compare_pages() and page_status() found: exact counters, and why any page is not compared in full."""
+    kind = lambda k: F.count(F.when(F.col("kind") == k, 1)).alias(f"{k}_lines")
+    lines = changes.groupBy("pair").agg(kind("added"), kind("removed"), kind("changed"), F.sort_array(F.collect_set("reason")).alias("reasons"))
+    pages = status.groupBy("pair").agg(*[F.count(F.when(F.col("status") == s, 1)).alias(s) for s in ("identical", "changed", "added", "removed")])
+    both = pages.join(lines, "pair", "left").fillna(0, ["added_lines", "removed_lines", "changed_lines"])
+    reasons = F.coalesce("reasons", F.array().cast("array<string>"))
+    return both.select("pair", "added_lines", "removed_lines", "changed_lines", "identical", "changed", "added", "removed", (F.size(reasons) > 0).alias("truncated"), reasons.alias("reasons"))
 
 
 def page_status(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -100,14 +134,15 @@ def page_status(left: DataFrame, right: DataFrame) -> DataFrame:
 def word_recall(source: DataFrame, result: DataFrame) -> DataFrame:
     """(pair, words, kept, recall): how many of the source's words, as a multiset, the result still has.
 
-    Recall is null for a source without words. Words are counted in their own row first.
+    Recall is null for a source without words. Words are counted by 64-bit hash, before anything is shuffled as a text's
+    words stand in one row; what is shuffled and joined is (pair, hash, n).
     """
 
     def counted(rows: DataFrame) -> DataFrame:
         spread = rows.select("pair", F.explode(words(F.col("text"))).alias("w"))
-        return spread.groupBy("pair", "w").agg(F.count("*").alias("n"))
+        return spread.groupBy("pair", F.xxhash64("w").alias("h")).agg(F.count("*").alias("n"))
 
-    kept = counted(source).join(counted(result).withColumnRenamed("n", "m"), ["pair", "w"], "left")
+    kept = counted(source).join(counted(result).withColumnRenamed("n", "m"), ["pair", "h"], "left")
     sums = kept.groupBy("pair").agg(F.sum("n").alias("words"), F.sum(F.least("n", F.coalesce("m", F.lit(0)))).alias("kept"))
     every = source.select("pair").distinct().join(sums, "pair", "left").fillna(0, ["words", "kept"])
     return every.withColumn("recall", F.when(F.col("words") > 0, F.col("kept") / F.col("words")))
@@ -117,3 +152,51 @@ def tiles_that_differ(pixels: DataFrame, tile: int = 16, tolerance: int = 16) ->
     """(page, tx, ty, pixels, differing) of two greys a pixel: (page, x, y, a, b)."""
     off = F.when(F.abs(F.col("a") - F.col("b")) > tolerance, 1).otherwise(0)
     return pixels.groupBy("page", F.floor(F.col("x") / tile).alias("tx"), F.floor(F.col("y") / tile).alias("ty")).agg(F.count("*").alias("pixels"), F.sum(off).alias("differing"))
+
+
+def grey_difference(pixels: DataFrame, key: list[str], tile: int = 16, most_off: float = 0.01) -> DataFrame:
+    """key, mean, worst and shape_differs of two greys a pixel (x, y, a, b, and the pages' sizes aw, ah, bw, bh): the mean
+    absolute difference, 0 to 1, that of the worst tile, and whether the pages' aspect ratios differ by over 1 %."""
+    tiles = pixels.groupBy(*key, F.floor(F.col("x") / tile).alias("tx"), F.floor(F.col("y") / tile).alias("ty")).agg(
+        F.sum(F.abs(F.col("a") - F.col("b"))).alias("d"), F.count("*").alias("n"), F.first(F.col("aw") / F.col("ah")).alias("l"), F.first(F.col("bw") / F.col("bh")).alias("r")
+    )
+    off = F.abs(F.first("l") - F.first("r")) > most_off * F.greatest(F.first("l"), F.first("r"))
+    return tiles.groupBy(*key).agg((F.sum("d") / F.sum("n") / 255).alias("mean"), F.max(F.col("d") / F.col("n") / 255).alias("worst"), off.alias("shape_differs"))
+
+
+def best_match(scores: DataFrame, key: list[str], name: str, score: str) -> DataFrame:
+    """key, best, score and second: the candidate with the highest median score, and the next; the first by name of
+    equals."""
+    middle = scores.groupBy(*key, name).agg(F.median(score).alias("s"))
+    listed = middle.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct((-F.col("s")).alias("s"), F.col(name).alias("f")))).alias("l"))
+    return listed.select(*key, F.col("l")[0]["f"].alias("best"), (-F.col("l")[0]["s"]).alias("score"), F.get("l", F.lit(1))["f"].alias("second"))
+
+
+def _word_edits(a: list[str], b: list[str]) -> int:
+    last = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        last = row
+    return last[-1]
+
+
+@F.pandas_udf(IntegerType())
+def word_edits(want: pd.Series, got: pd.Series) -> pd.Series:
+    """The edit distance in words."""
+    return pd.Series([_word_edits(a.split(), b.split()) for a, b in zip(want.fillna(""), got.fillna(""), strict=True)])
+
+
+def error_rates(rows: DataFrame, key: list[str], want: str, got: str) -> DataFrame:
+    """key, cer and wer of got against want: edits in characters and in words over all rows of a key, by their number in
+    want, so long rows count for more. Null where want has none."""
+    count = F.size(F.filter(F.split(F.col(want), r"\s+"), lambda w: w != ""))
+    sums = rows.select(*key, F.levenshtein(F.col(want), F.col(got)).alias("e"), F.length(want).alias("n"), word_edits(F.col(want), F.col(got)).alias("we"), count.alias("wn"))
+    over = lambda e, n: F.when(F.sum(n) > 0, F.sum(e) / F.sum(n))
+    return sums.groupBy(*key).agg(over("e", "n").alias("cer"), over("we", "wn").alias("wer"))
+
+
+def kind_counts(rows: DataFrame, kind: str, hidden: list[str]) -> DataFrame:
+    """How many annotations there are of each kind but the hidden ones."""
+    return rows.where(~F.col(kind).isin(*hidden)).groupBy(kind).agg(F.count("*").alias("n"))

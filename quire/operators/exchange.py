@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.sources.files import csv_rows, sniff_delimiter
+from quire.sources.files import as_table, csv_rows, sniff_delimiter
 
 
 def parsed_csv(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -28,6 +28,26 @@ def parsed_csv(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, text).mapInArrow(run, f"{key} {kind}, row int, fields array<string>")
 
 
+def csv_tables(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, row, column, head, value, numeric) of the cells of whole delimited texts: the first row is the head, missing
+    cells are empty, and cells below it that hold a number (with a comma or a point) are numeric. Tables too large are
+    refused."""
+    kind = dict(df.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                bare = (t or "").removeprefix("\ufeff")
+                cells = [(r, c, r == 0, v) for r, row in enumerate(as_table(list(csv_rows(bare, sniff_delimiter(bare))))) for c, v in enumerate(row)]
+                if cells:
+                    row, column, head, value = zip(*cells, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(cells), b.column(0).type), pa.array(row, pa.int32()), pa.array(column, pa.int32()), pa.array(head), pa.array(value, pa.string())], names=[key, "row", "column", "head", "value"])
+
+    made = df.select(key, text).mapInArrow(run, f"{key} {kind}, row int, column int, head boolean, value string")
+    number = F.trim(F.regexp_replace("value", ",", ".")).rlike(r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?$") & (F.regexp_count("value", F.lit(",")) < 2)
+    return made.withColumn("numeric", ~F.col("head") & number)
+
+
 def annotations(df: DataFrame, column: str, pages: Column) -> DataFrame:
     """Add page, kind, contents, colour and skipped to rows of annotation JSON: a page out of bounds or none is skipped,
     and a colour that isn't #rrggbb is the default yellow."""

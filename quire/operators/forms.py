@@ -10,7 +10,7 @@ from quire.functions.numbers import calculation_text, form_number
 
 
 def calculated(rows: DataFrame, calculations: list[tuple[str, str]], numeric: list[str] | None = None) -> DataFrame:
-    """Apply (target, expression) pairs in order to columns; later ones see earlier results, as numbers.
+    """Apply (target, expression) pairs in order to columns; later ones see earlier results as numbers, not rounded.
 
     Each target is added as text (an integer, or two decimals without trailing zeros). Columns that aren't numeric are
     read as form values.
@@ -20,19 +20,24 @@ def calculated(rows: DataFrame, calculations: list[tuple[str, str]], numeric: li
     out = rows
     for target, text in calculations:
         out = out.withColumn(f"__{target}", expression(text, fields))
-        fields[target] = F.round(F.col(f"__{target}"), 2)
+        fields[target] = F.col(f"__{target}")
         out = out.withColumn(target, calculation_text(F.col(f"__{target}")))
     return out.drop(*[f"__{t}" for t, _ in calculations])
 
 
 def form_json(rows: DataFrame, column: str = "json") -> DataFrame:
-    """(all but the JSON, name, value) of form data: {"fields": [{name, value}]} or a bare map. Numbers become text;
-    nulls, objects and entries without a name go."""
-    listed = F.from_json(column, "struct<fields:array<struct<name:string,value:string>>>")["fields"]
-    bare = F.transform(F.map_entries(F.from_json(column, "map<string,string>")), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value")))
+    """(all but the JSON, name, value) of form data: {"fields": [{name, value}]} or a bare map. Numbers and booleans
+    become text, arrays the text of their strings, joined by a comma and a space; nulls, objects and entries without a
+    name go. Whatever a string holds is kept."""
+    parsed = F.try_parse_json(F.col(column))
+    kind = lambda v: F.schema_of_variant(v)
+    joined = lambda v: F.array_join(F.filter(F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.when(kind(x) == "STRING", F.try_variant_get(x, "$", "string"))), lambda x: x.isNotNull()), ", ")
+    text = lambda v: F.when(F.startswith(kind(v), F.lit("OBJECT")) | F.is_variant_null(v), F.lit(None)).when(F.startswith(kind(v), F.lit("ARRAY")), joined(v)).otherwise(F.try_variant_get(v, "$", "string"))
+    listed = F.try_variant_get(F.col("__v"), "$.fields", "array<struct<name:string,value:variant>>")
+    bare = F.transform(F.map_entries(F.try_variant_get(F.col("__v"), "$", "map<string,variant>")), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value")))
     keep = [c for c in rows.columns if c != column]
-    out = rows.select(*keep, F.explode(F.coalesce(listed, bare)).alias("f")).select(*keep, "f.name", "f.value")
-    return out.where("name is not null and value is not null and not startswith(value, '{')")
+    out = rows.withColumn("__v", parsed).select(*keep, F.explode(F.coalesce(listed, bare)).alias("f")).select(*keep, "f.name", text(F.col("f.value")).alias("value"))
+    return out.where("name is not null and value is not null")
 
 
 # The kinds of batch steps, in the order in which they may run.
@@ -65,8 +70,8 @@ def batch_run(items: DataFrame, step, most_items: int, most_bytes: int) -> DataF
     from pyspark.sql.window import Window
 
     w = Window.partitionBy("batch").orderBy("item")
-    fits = items.where(F.col("bytes") <= most_bytes).withColumns({"n": F.row_number().over(w), "used": F.sum("bytes").over(w)})
-    status = fits.select("batch", "item", ((F.col("n") <= most_items) & (F.col("used") <= most_bytes)).alias("ok"))
+    first = items.where(F.col("bytes") <= most_bytes).select("batch", "item", "bytes").withColumn("n", F.row_number().over(w)).where(F.col("n") <= most_items)  # at most so many a batch are gathered
+    status = first.withColumn("used", F.sum("bytes").over(w)).select("batch", "item", (F.col("used") <= most_bytes).alias("ok"))
     both = items.join(status, ["batch", "item"], "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
 
     def run(batches):
@@ -83,3 +88,8 @@ def batch_run(items: DataFrame, step, most_items: int, most_bytes: int) -> DataF
             yield type(b)(rows, columns=["batch", "item", "status", "note"])
 
     return both.mapInPandas(run, "batch long, item long, status string, note string")
+
+
+def field_text(value: Column, chosen: Column, checked: Column) -> Column:
+    """A field's value as text: a tick for a box that is checked, chosen options joined by a comma, or the text itself."""
+    return F.coalesce(F.when(checked, F.lit("✓")), F.array_join(chosen, ", "), value, F.lit(""))

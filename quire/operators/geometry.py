@@ -7,46 +7,118 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def chains(points: DataFrame, key: list[str], order: str = "ord", x: str = "x", y: str = "y") -> DataFrame:
-    """key, n, length, perimeter, area and bearing of each chain of points: the ring closes for perimeter and area; two
-    points span a rectangle; the bearing runs from the first point to the last, in [0, 360)."""
+MOST_POINTS = 128  # of a chain whose boundary is tested; longer ones are refused
+
+
+def _xy(point: Column) -> tuple[Column, Column]:
+    return point["x"], point["y"]
+
+
+def _side(a: Column, b: Column, c: Column) -> Column:
+    (ax, ay), (bx, by), (cx, cy) = _xy(a), _xy(b), _xy(c)
+    return (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
+
+
+def _meet(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Whether two segments share a point: they cross, touch, or overlap."""
+    parts = F.struct(_side(a, b, c).alias("abc"), _side(a, b, d).alias("abd"), _side(c, d, a).alias("cda"), _side(c, d, b).alias("cdb"))
+    on = lambda p, q, r: r["x"].between(F.least(p["x"], q["x"]), F.greatest(p["x"], q["x"])) & r["y"].between(F.least(p["y"], q["y"]), F.greatest(p["y"], q["y"]))
+
+    def of(s: Column) -> Column:
+        cross = (F.signum(s["abc"]) * F.signum(s["abd"]) < 0) & (F.signum(s["cda"]) * F.signum(s["cdb"]) < 0)
+        touch = ((s["abc"] == 0) & on(a, b, c)) | ((s["abd"] == 0) & on(a, b, d)) | ((s["cda"] == 0) & on(c, d, a)) | ((s["cdb"] == 0) & on(c, d, b))
+        return cross | touch
+
+    return F.get(F.transform(F.array(parts), of), F.lit(0))
+
+
+def crosses_itself(points: DataFrame, key: list[str], order: str = "ord", x: str = "x", y: str = "y", most: int = MOST_POINTS) -> DataFrame:
+    """key and crosses: whether the closed ring through the points of a key crosses or touches itself.
+
+    Repeated points count once, and a last point that repeats the first closes the ring only. Edges that are neighbours
+    share just their point. A key of more than `most` points raises an error, so no group is gathered beyond that.
+    """
+    w = Window.partitionBy(*key).orderBy(order)
+    numbered = points.select(*key, F.row_number().over(w).alias("i"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    listed = numbered.where(F.col("i") <= most + 1).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("i", "x", "y"))).alias("p"))
+    listed = listed.withColumn("p", F.when(F.size("p") <= most, F.transform("p", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y")))).otherwise(F.raise_error(F.lit(f"a chain has more than {most} points")).cast("array<struct<x:double,y:double>>")))
+    ring = F.filter("p", lambda q, i: (i == 0) | (q != F.get("p", i - 1)))
+    listed = listed.withColumn("r", ring)
+    listed = listed.withColumn("r", F.when((F.size("r") > 1) & (F.get("r", F.lit(0)) == F.element_at("r", -1)), F.slice("r", F.lit(1), F.size("r") - 1)).otherwise(F.col("r")))
+    n = F.size("r")
+    at = lambda k: F.get("r", k % n)
+    far = lambda i, j: (j >= i + 2) & ~((i == 0) & (j == n - 1))
+    places = F.sequence(F.lit(0), n - 1)
+    crosses = F.exists(places, lambda i: F.exists(places, lambda j: far(i, j) & _meet(at(i), at(i + 1), at(j), at(j + 1))))
+    return listed.select(*key, crosses.alias("crosses"))
+
+
+def chains(points: DataFrame, key: list[str], order: str = "ord", x: str = "x", y: str = "y", mode: str = "area") -> DataFrame:
+    """key, n, length, perimeter, area and bearing of each chain of two points or more.
+
+    mode `area`: the ring closes; two points span a rectangle, whose length runs along three of its sides; a ring that
+    crosses itself has no area (NaN). mode `perimeter`: an open chain, its perimeter is its length and its area 0. mode
+    `distance`: the same of two points; other chains raise an error. The bearing is that of the first segment, in [0, 360).
+    """
     w = Window.partitionBy(*key).orderBy(order)
     all_of = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    p = points.withColumns({"nx": F.lead(x).over(w), "ny": F.lead(y).over(w), "fx": F.first(x).over(all_of), "fy": F.first(y).over(all_of), "lx": F.last(x).over(all_of), "ly": F.last(y).over(all_of)})
+    p = points.withColumns({"i": F.row_number().over(w), "nx": F.lead(x).over(w), "ny": F.lead(y).over(w), "fx": F.first(x).over(all_of), "fy": F.first(y).over(all_of)})
     cx, cy = F.coalesce("nx", "fx"), F.coalesce("ny", "fy")
     made = p.groupBy(*key).agg(
         F.count("*").alias("n"),
-        F.sum(F.hypot(F.col("nx") - F.col(x), F.col("ny") - F.col(y))).alias("length"),
-        F.sum(F.hypot(cx - F.col(x), cy - F.col(y))).alias("perimeter"),
+        F.sum(F.hypot(F.col("nx") - F.col(x), F.col("ny") - F.col(y))).alias("open"),
+        F.sum(F.hypot(cx - F.col(x), cy - F.col(y))).alias("ring"),
         (F.abs(F.sum(F.col(x) * cy - cx * F.col(y))) / 2).alias("shoelace"),
-        F.max(F.abs(F.col("lx") - F.col("fx"))).alias("w"),
-        F.max(F.abs(F.col("ly") - F.col("fy"))).alias("h"),
-        F.first(F.degrees(F.atan2(F.col("ly") - F.col("fy"), F.col("lx") - F.col("fx")))).alias("b"),
+        (F.max(x) - F.min(x)).alias("w"),
+        (F.max(y) - F.min(y)).alias("h"),
+        F.max(F.when(F.col("i") == 1, F.degrees(F.atan2(F.col("ny") - F.col(y), F.col("nx") - F.col(x))))).alias("b"),
     )
-    area = F.when(F.col("n") == 2, F.col("w") * F.col("h")).otherwise(F.col("shoelace"))
-    return made.where("n >= 2").select(*key, "n", "length", "perimeter", area.alias("area"), ((F.col("b") + 360) % 360).alias("bearing"))
+    made = made.where("n >= 2")
+    bearing = ((F.col("b") + 360) % 360).alias("bearing")
+    if mode != "area":
+        n = F.when(F.col("n") == 2, F.col("n")).otherwise(F.raise_error(F.lit("a distance is two points")).cast("long")) if mode == "distance" else F.col("n")
+        return made.select(*key, n.alias("n"), F.col("open").alias("length"), F.col("open").alias("perimeter"), F.lit(0.0).alias("area"), bearing)
+    both = made.join(crosses_itself(points, key, order, x, y), key)
+    two = F.col("n") == 2
+    area = F.when(two, F.col("w") * F.col("h")).when(F.col("crosses"), float("nan")).otherwise(F.col("shoelace"))
+    length = F.when(two, 2 * F.col("w") + F.col("h")).otherwise(F.col("open"))
+    return both.select(*key, "n", length.alias("length"), F.when(two, 2 * (F.col("w") + F.col("h"))).otherwise(F.col("ring")).alias("perimeter"), area.alias("area"), bearing)
+
 
+def overlaps(rects: DataFrame, marks: DataFrame, key: list[str]) -> DataFrame:
+    """The rects (x0, y0, x1, y1) of a key that share an area with a mark of it; touching edges don't count. Corners may
+    stand in any order. Rects of the kind Redact, where there is such a column, are left out.
 
-def _side(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column) -> Column:
-    return F.signum((bx - ax) * (cy - ay) - (by - ay) * (cx - ax))
+    Marks meet rects by the cells of a grid that both cover, so a key with very many of either isn't paired throughout.
+    """
+    def placed(rows: DataFrame, prefix: str) -> DataFrame:
+        low, high = (lambda a, b: F.least(a, b)), (lambda a, b: F.greatest(a, b))
+        return rows.withColumns({f"{prefix}l": low("x0", "x1"), f"{prefix}r": high("x0", "x1"), f"{prefix}b": low("y0", "y1"), f"{prefix}t": high("y0", "y1")})
 
+    own = placed(rects.where("kind <> 'Redact' or kind is null") if "kind" in rects.columns else rects, "__")
+    m = placed(marks, "__m").select(*key, "__ml", "__mr", "__mb", "__mt")
+    sizes = m.agg(F.avg(F.col("__mr") - F.col("__ml")).alias("w"), F.avg(F.col("__mt") - F.col("__mb")).alias("h")).first()
+    w, h = max(sizes["w"] or 0, 1e-9), max(sizes["h"] or 0, 1e-9)
 
-def crossings(points: DataFrame, key: list[str], order: str = "ord", x: str = "x", y: str = "y") -> DataFrame:
-    """key and crossings: how many pairs of segments of the open chain that aren't neighbours cross properly."""
-    w = Window.partitionBy(*key).orderBy(order)
-    seg = points.select(*key, F.row_number().over(w).alias("i"), F.col(x).alias("ax"), F.col(y).alias("ay"), F.lead(x).over(w).alias("bx"), F.lead(y).over(w).alias("by")).where("bx is not null")
-    other = seg.select(*key, F.col("i").alias("j"), F.col("ax").alias("cx"), F.col("ay").alias("cy"), F.col("bx").alias("dx"), F.col("by").alias("dy"))
-    both = seg.join(other, key).where("j > i + 1")
-    c = F.col
-    a, b, d, e = (c("ax"), c("ay")), (c("bx"), c("by")), (c("cx"), c("cy")), (c("dx"), c("dy"))
-    cross = (_side(*a, *b, *d) * _side(*a, *b, *e) < 0) & (_side(*d, *e, *a) * _side(*d, *e, *b) < 0)
-    return both.groupBy(*key).agg(F.sum(cross.cast("long")).alias("crossings"))
+    def cells(rows: DataFrame, p: str) -> DataFrame:
+        span = lambda a, b, of: F.sequence(F.floor(F.col(a) / of), F.floor(F.col(b) / of))
+        return rows.withColumn("__cx", F.explode(span(f"{p}l", f"{p}r", w))).withColumn("__cy", F.explode(span(f"{p}b", f"{p}t", h)))
 
+    hit = (F.col("__l") < F.col("__mr")) & (F.col("__r") > F.col("__ml")) & (F.col("__b") < F.col("__mt")) & (F.col("__t") > F.col("__mb"))
+    named = own.withColumn("__id", F.monotonically_increasing_id())
+    at = cells(named.select(*key, "__id", "__l", "__r", "__b", "__t"), "__")
+    found = at.join(cells(m, "__m"), [*key, "__cx", "__cy"]).where(hit).select("__id").distinct()
+    return named.join(found, "__id", "left_semi").drop("__id", "__l", "__r", "__b", "__t")
 
-def overlaps(rects: DataFrame, marks: DataFrame, key: list[str]) -> DataFrame:
-    """The rects (x0, y0, x1, y1) of a key that share an area with a mark of it; touching edges don't count."""
-    m = marks.select(*key, *[F.col(c).alias(f"m{c}") for c in ("x0", "y0", "x1", "y1")])
-    return rects.join(m, key, "left_semi") if not key else rects.join(m, [rects[k] == m[k] for k in key] + [(rects.x0 < m.mx1) & (rects.x1 > m.mx0) & (rects.y0 < m.my1) & (rects.y1 > m.my0)], "left_semi")
+
+def text_in_boxes(glyphs: DataFrame, key: list[str], cell_w: float, cell_h: float, x: float = 0.0, y: float = 0.0) -> DataFrame:
+    """key, column, row and text of the glyphs (ord, ch, x0, x1, y0, y1) whose centres lie in the boxes of a grid that
+    begins at (x, y), in order; white space is left out."""
+    column = F.floor(((F.col("x0") + F.col("x1")) / 2 - x) / cell_w)
+    row = F.floor(((F.col("y0") + F.col("y1")) / 2 - y) / cell_h)
+    boxed = glyphs.where(~F.col("ch").rlike(r"^\s$")).withColumns({"column": column, "row": row}).where("column >= 0 and row >= 0")
+    listed = boxed.groupBy(*key, "column", "row").agg(F.sort_array(F.collect_list(F.struct("ord", "ch"))).alias("l"))
+    return listed.select(*key, "column", "row", F.array_join(F.transform("l", lambda g: g["ch"]), "").alias("text"))
 
 
 def merged(intervals: DataFrame, key: list[str], slack: float = 0) -> DataFrame:
@@ -59,11 +131,26 @@ def merged(intervals: DataFrame, key: list[str], slack: float = 0) -> DataFrame:
 
 
 def clusters(values: DataFrame, key: list[str], value: str, gap: float) -> DataFrame:
-    """key, cluster, size and mean: sorted values fall apart where two neighbours lie further apart than gap."""
-    w = Window.partitionBy(*key).orderBy(value)
-    new = F.when(F.col(value) - F.lag(value).over(w) > gap, 1).otherwise(0)
-    numbered = values.withColumn("__new", new).withColumn("cluster", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return numbered.groupBy(*key, "cluster").agg(F.count("*").alias("size"), F.avg(value).alias("mean"))
+    """key, cluster, size and mean: sorted values fall apart where two neighbours lie further apart than gap.
+
+    Values of one stretch as wide as the gap never fall apart, so each stretch is one row before clusters are numbered:
+    a key has as many rows there as its range holds gaps, however many values it has.
+    """
+    stretch = F.floor(F.col(value) / gap)
+    parts = values.groupBy(*key, stretch.alias("__s")).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.count("*").alias("n"), F.sum(value).alias("t"))
+    w = Window.partitionBy(*key).orderBy("__s")
+    new = F.when(F.col("__lo") - F.lag("__hi").over(w) > gap, 1).otherwise(0)
+    numbered = parts.withColumn("__new", new).withColumn("cluster", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return numbered.groupBy(*key, "cluster").agg(F.sum("n").alias("size"), (F.sum("t") / F.sum("n")).alias("mean"))
+
+
+def crossing_rules(flat: DataFrame, tall: DataFrame, key: list[str], cell: float) -> DataFrame:
+    """(key, a, b) of horizontal rules (a, x0, x1, y) and vertical ones (b, x, y0, y1) that cross or touch. They meet by
+    the cells of a grid: a pair has one in common, so a page isn't compared throughout."""
+    at = lambda c: F.floor(F.col(c) / cell)
+    f = flat.select(*key, "a", "x0", "x1", "y", F.explode(F.sequence(at("x0"), at("x1"))).alias("__cx"), at("y").alias("__cy"))
+    t = tall.select(*key, "b", "x", "y0", "y1", at("x").alias("__cx"), F.explode(F.sequence(at("y0"), at("y1"))).alias("__cy"))
+    return f.join(t, [*key, "__cx", "__cy"]).where("x between x0 and x1 and y between y0 and y1").select(*key, "a", "b")
 
 
 def otsu(greys: DataFrame, key: list[str]) -> DataFrame:

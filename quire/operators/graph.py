@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,39 +32,96 @@ def roots(edges: DataFrame, node: str = "node", parent: str = "parent", rounds:
     return at.join(tops, "up", "left_semi").select("node", F.col("up").alias("root"), "depth")
 
 
+def _answers(records: DataFrame) -> DataFrame:
+    """Records with what they answer: members of a group stand for themselves."""
+    grouped = F.coalesce(F.col("reply_type") == "Group", F.lit(False)) if "reply_type" in records.columns else F.lit(False)
+    return records.withColumn("parent", F.when(~grouped, F.col("parent")))
+
+
 def threads(records: DataFrame) -> DataFrame:
-    """(root, id, depth, place) of the replies below each root, oldest first; from (id, parent, ts, ord)."""
-    placed = roots(records, "id", "parent").withColumnRenamed("node", "id").where("depth > 0")
-    found = placed.join(records.select("id", "ts", "ord"), "id")
+    """(root, id, depth, place) of the replies below each root, oldest first; from (id, parent, ts, ord) and, where there
+    are such columns, reply_type (a `Group` record is no reply) and state (a record with one is no reply, though others
+    may answer it). Chains that end at a record that isn't there, or in a circle, are left out."""
+    own = _answers(records)
+    placed = roots(own, "id", "parent").withColumnRenamed("node", "id").where("depth > 0")
+    found = placed.join((own.where("state is null") if "state" in own.columns else own).select("id", "ts", "ord"), "id")
     listed = found.groupBy("root").agg(F.sort_array(F.collect_list(F.struct("ts", "ord", "id", "depth"))).alias("l"))
     return listed.select("root", F.posexplode("l").alias("place", "x")).select("root", "x.id", "x.depth", "place")
 
 
-def preorder(nodes: DataFrame, deepest: int = 64) -> DataFrame:
-    """(key, depth, path) for (key, parent, ord): paths of padded ordinals sort as the tree is read, parents first."""
+def thread_states(records: DataFrame) -> DataFrame:
+    """(root, records, state, author, at, marked) of each thread: how many records hang below its root, the latest review
+    state with who gave it and when, and whether the latest mark says so.
+
+    records: (id, parent, reply_type, ts, ord, author, state, state_model). A state without a model is a review.
+    """
+    own = _answers(records)
+    placed = roots(own, "id", "parent").withColumnRenamed("node", "id").where("depth > 0")
+    found = placed.join(own.drop("parent"), "id")
+    review = F.col("state").isNotNull() & (F.coalesce("state_model", F.lit("Review")) == "Review")
+    last = lambda when: F.max(F.when(when, F.struct("ts", "ord", "author", "state")))
+    made = found.groupBy("root").agg(F.count("*").alias("records"), last(review).alias("r"), last(F.col("state_model") == "Marked").alias("m"))
+    return made.select("root", "records", "r.state", "r.author", F.col("r.ts").alias("at"), F.coalesce(F.col("m.state") == "Marked", F.lit(False)).alias("marked"))
+
+
+def preorder(nodes: DataFrame) -> DataFrame:
+    """(key, depth, path) for (key, parent, ord): paths of padded ordinals sort as the tree is read, parents first.
+
+    Each round doubles how far up a path reaches, so n levels need about log n rounds. Nodes that hang from no root
+    (their chain ends at a node that isn't there, or in a circle) are left out.
+    """
     step = F.lpad(F.col("ord").cast("string"), 12, "0")
-    level = settled(nodes.where("parent is null").select("key", F.lit(0).alias("depth"), step.alias("path")))
-    out = level
-    for depth in range(1, deepest):
-        below = nodes.join(level.select(F.col("key").alias("parent"), F.col("path").alias("up")), "parent")
-        level = settled(below.select("key", F.lit(depth).alias("depth"), F.concat_ws("/", "up", step).alias("path")))
-        if not level.limit(1).count():
-            break
-        out = out.unionByName(level)
-    return out
+    hung = roots(nodes, "key", "parent").select(F.col("node").alias("key"), F.col("depth").cast("int").alias("depth"))
+    at = settled(nodes.join(hung, "key").select("key", "depth", F.col("parent").alias("up"), step.alias("path")))
+    while at.where("up is not null").limit(1).count():
+        above = at.select(F.col("key").alias("up"), F.col("up").alias("up2"), F.col("path").alias("ahead"))
+        at = settled(at.join(above, "up", "left").select("key", "depth", F.col("up2").alias("up"), F.concat_ws("/", "ahead", "path").alias("path")))
+    return at.select("key", "depth", "path")
+
 
+def reachable(seeds: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, distance) of everything that can be reached from (node) over (src, dst), by the fewest steps, up to `most`.
 
-def reachable(seeds: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
-    """(node, distance) of everything that can be reached from (node) over (src, dst), by the fewest steps."""
+    A round takes one step from the nodes it found last. What was found is kept in parts that cover 1, 2, 4... rounds, so
+    each row is written again about log n times in n rounds, not in every one. Rounds end when nothing new is found.
+    """
     front = settled(seeds.select("node").distinct().withColumn("distance", F.lit(0)))
-    seen = front
-    for k in range(1, rounds):
+    parts, distance = [(1, front)], 0
+    while most is None or distance < most:
+        distance += 1
+        seen = reduce(DataFrame.unionByName, [p for _, p in parts])
         step = edges.join(front.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
-        front = settled(step.join(seen, "node", "left_anti").withColumn("distance", F.lit(k)))
+        front = settled(step.join(seen, "node", "left_anti").withColumn("distance", F.lit(distance)))
+        if not front.limit(1).count():
+            break
+        parts.append((1, front))
+        while len(parts) > 1 and parts[-1][0] == parts[-2][0]:
+            (m, a), (n, b) = parts.pop(), parts.pop()
+            parts.append((m + n, settled(a.unionByName(b))))
+    return reduce(DataFrame.unionByName, [p for _, p in parts])
+
+
+def pages_below(nodes: DataFrame, pages: DataFrame) -> DataFrame:
+    """(key, pages) of every node below which there are pages: the distinct pages of the node and all below it, sorted.
+
+    nodes: (key, parent); pages: (key, page). Pages go up as in reachable(): one (node, page) row once.
+    """
+    pairs = pages.join(nodes.select("key"), "key", "left_semi").select(F.struct("key", "page").alias("node"))
+    front = settled(pairs.distinct())
+    parts = [(1, front)]
+    above = nodes.where("parent is not null").select("key", "parent")
+    while True:
+        seen = reduce(DataFrame.unionByName, [p for _, p in parts])
+        step = front.select("node.key", "node.page").join(above, "key").select(F.struct(F.col("parent").alias("key"), "page").alias("node")).distinct()
+        front = settled(step.join(seen, "node", "left_anti"))
         if not front.limit(1).count():
             break
-        seen = settled(seen.unionByName(front))
-    return seen
+        parts.append((1, front))
+        while len(parts) > 1 and parts[-1][0] == parts[-2][0]:
+            (m, a), (n, b) = parts.pop(), parts.pop()
+            parts.append((m + n, settled(a.unionByName(b))))
+    every = reduce(DataFrame.unionByName, [p for _, p in parts]).select("node.key", "node.page")
+    return every.groupBy("key").agg(F.sort_array(F.collect_set("page")).alias("pages"))
 
 
 def resolved_roles(mapping: DataFrame, rounds: int = 20) -> DataFrame:

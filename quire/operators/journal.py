@@ -53,3 +53,25 @@ def recent(opened: DataFrame, owner: list[str], identity: list[str], order: list
     starred = F.max("starred").over(Window.partitionBy(*owner, *identity))
     one = opened.withColumns({"starred": starred, "__rn": F.row_number().over(w)}).where("__rn = 1")
     return one.withColumn("rank", F.row_number().over(Window.partitionBy(*owner).orderBy(*order))).where(F.col("rank") <= cap).drop("__rn")
+
+
+def restorable(journals: DataFrame, schema: int) -> DataFrame:
+    """Add sound to journals (schema, entries, cursor): whether the schema is the one that can be read, and the cursor is
+    a whole number within the entries."""
+    sound = (F.col("schema") == schema) & (F.col("cursor") >= 0) & (F.col("cursor") <= F.col("entries")) & (F.col("cursor") == F.floor("cursor"))
+    return journals.withColumn("sound", F.coalesce(sound, F.lit(False)))
+
+
+def document_cleanup(drafts: DataFrame, opened: DataFrame, others: DataFrame, complete: bool = True) -> DataFrame:
+    """(manifest, key) of the keys that may go with each draft (manifest, key): those that no other draft, no open
+    document (key) and no other window (key) refers to. Refused where the inventory is incomplete."""
+    if not complete:
+        raise ValueError("the inventory is incomplete; nothing is removed")
+    own = drafts.select("manifest", "key").distinct()
+    alone = own.groupBy("key").agg(F.count("*").alias("n"), F.first("manifest").alias("manifest")).where("n = 1").select("manifest", "key")
+    return cleanup(alone, opened, others)
+
+
+def newest_first(drafts: DataFrame, owner: list[str], order: list[Column]) -> DataFrame:
+    """Add place: 1 for the newest draft of each owner."""
+    return drafts.withColumn("place", F.row_number().over(Window.partitionBy(*owner).orderBy(*order)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions.numbers import letters, padded, roman
+from quire.functions.text import safe_suffix
 from quire.operators.groups import walk_groups
 
 RANGE = r"^\s*(\d*)\s*[-–—]\s*(\d*)\s*$"
@@ -98,7 +99,8 @@ def interleave_place(side: Column, sheet: Column, fronts: Column, backs: Column,
 
 
 def page_actions(rows: DataFrame, action: str, chosen: Column, target: Column | None = None) -> DataFrame:
-    """(doc_id, page, copy, place) after delete, duplicate, move (chosen pages in order before target) or reverse."""
+    """(doc_id, page, copy, place) after delete, duplicate, move (chosen pages in order before target), reverse, or rotate
+    (which adds rotation: chosen pages turn by target, 90 degrees where there is none, from their own rotation)."""
     w = Window.partitionBy("doc_id")
     if action == "delete":
         left = rows.where(~chosen)
@@ -109,6 +111,10 @@ def page_actions(rows: DataFrame, action: str, chosen: Column, target: Column |
     if action == "move":
         before = F.when(chosen, 1).when(F.col("page") < target, 0).otherwise(2)
         return rows.select("doc_id", "page", F.lit(0).alias("copy"), (F.row_number().over(w.orderBy(before, "page")) - 1).alias("place"))
+    if action == "rotate":
+        turn = F.when(chosen, F.lit(90) if target is None else target).otherwise(0)
+        turned = (F.pmod((F.col("rotation") if "rotation" in rows.columns else F.lit(0)) + turn, F.lit(360))).cast("int")
+        return rows.select("doc_id", "page", F.lit(0).alias("copy"), F.col("page").alias("place"), turned.alias("rotation"))
     if action == "reverse":
         picked = rows.withColumn("__c", chosen)
         up, down = Window.partitionBy("doc_id", "__c").orderBy("page"), Window.partitionBy("doc_id", "__c").orderBy(F.desc("page"))
@@ -139,6 +145,17 @@ def compressed(rows: DataFrame, key: list[str], order: list[str], value: str) ->
     return rows.where(F.lit(True)).withColumn("__was", F.lag(value).over(w)).withColumn("__n", F.row_number().over(w)).where((F.col("__n") == 1) | ~F.col(value).eqNullSafe(F.col("__was"))).drop("__was", "__n")
 
 
+def label_ranges(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The starts of label ranges: rows (style, prefix, number) whose page doesn't go on from the one before. A page goes
+    on in the same style and prefix with the next number; without a style there is nothing to count, and number is 1."""
+    w = Window.partitionBy(*key).orderBy(*order)
+    same = F.col("style").eqNullSafe(F.lag("style").over(w)) & F.col("prefix").eqNullSafe(F.lag("prefix").over(w))
+    goes_on = same & ((F.col("style") == "none") | (F.col("number") == F.lag("number").over(w) + 1))
+    marked = rows.withColumns({"__first": F.row_number().over(w) == 1, "__on": F.coalesce(goes_on, F.lit(False))})
+    number = F.when(F.col("style") == "none", F.lit(1)).otherwise(F.col("number"))
+    return marked.where(F.col("__first") | ~F.col("__on")).withColumn("number", number).drop("__first", "__on")
+
+
 def booklet(docs: DataFrame) -> DataFrame:
     """(doc_id, sheet, side, cell, page): two pages on each side, folded; pages from 1, null where blank."""
     size = (F.ceil(F.col("pages") / 4) * 4).cast("int")
@@ -151,8 +168,75 @@ def booklet(docs: DataFrame) -> DataFrame:
 
 
 def sampled(docs: DataFrame, limit: int) -> DataFrame:
-    """(doc_id, page): all pages where they are few, else the first, the last and evenly spaced ones between."""
+    """(doc_id, page): all pages where they are few, else the first, the last and, up to the limit, those at steps of the
+    last page's number over the limit, rounded. The first and the last are always among them."""
     last = F.col("pages") - 1
-    picks = F.transform(F.sequence(F.lit(0), F.lit(limit - 1)), lambda k: F.floor(k * last / (limit - 1) + 0.5).cast("int"))
-    all_pages = F.sequence(F.lit(0), F.greatest(last, F.lit(0)))
+    steps = F.slice(F.sequence(F.lit(0), F.lit(max(limit, 1))), F.lit(2), F.lit(max(limit - 2, 0)))
+    picks = F.concat(F.array(F.lit(0), last.cast("int")), F.transform(steps, lambda k: F.floor(k * last / limit + 0.5).cast("int")))
+    all_pages = F.sequence(F.lit(0), F.greatest(last, F.lit(0)).cast("int"))
     return docs.where("pages > 0").select("doc_id", F.explode(F.when(F.col("pages") <= limit, all_pages).otherwise(F.array_distinct(picks))).alias("page"))
+
+
+def positions(left: DataFrame, right: DataFrame, key: str, pages: str = "pages") -> DataFrame:
+    """(key, position, side): the page positions of two documents up to the longer one; side is both, left or right."""
+    both = left.select(key, F.col(pages).alias("n")).join(right.select(key, F.col(pages).alias("m")), key, "full").fillna(0, ["n", "m"])
+    every = both.where("greatest(n, m) > 0").select(key, "n", "m", F.explode(F.sequence(F.lit(0), F.greatest("n", "m").cast("int") - 1)).alias("position"))
+    side = F.when(F.col("position") >= F.col("m"), "left").when(F.col("position") >= F.col("n"), "right").otherwise("both")
+    return every.select(key, "position", side.alias("side"))
+
+
+def replaced_pages(rows: DataFrame, target: DataFrame) -> DataFrame:
+    """(doc_id, page, origin, source_page): pages of which target (doc_id, page, source_page) holds a replacement give
+    way to it. A target page that isn't there, or that is named twice, raises an error."""
+    one = target.groupBy("doc_id", "page").agg(F.count("*").alias("n"), F.min("source_page").alias("source_page"))
+    both = rows.select("doc_id", "page", F.lit(True).alias("there")).join(one, ["doc_id", "page"], "full")
+    sound = F.col("there").isNotNull() & (F.coalesce("n", F.lit(1)) == 1)
+    origin = F.when(sound, F.when(F.col("n").isNull(), "own").otherwise("new")).otherwise(F.raise_error(F.lit("a page to be replaced is not there, or named twice")).cast("string"))
+    return both.select("doc_id", "page", origin.alias("origin"), "source_page")
+
+
+def merged_documents(docs: DataFrame, key: list[str], order: str, pages: str = "pages") -> DataFrame:
+    """Add first: the place of a document's first page where the documents of a key stand one behind the other."""
+    w = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return docs.withColumn("first", F.coalesce(F.sum(pages).over(w), F.lit(0)))
+
+
+def composed(picks: DataFrame, sizes: DataFrame, key: list[str]) -> DataFrame:
+    """Add place to picks (key, ord, page), and drop none: pages that their document has (sizes: key, pages) take places
+    in order; the place of others is null, as they are refused."""
+    both = picks.join(sizes, key, "left").withColumn("__ok", F.coalesce((F.col("page") >= 0) & (F.col("page") < F.col("pages")), F.lit(False)))
+    w = Window.partitionBy(*key, "__ok").orderBy("ord")
+    return both.withColumn("place", F.when(F.col("__ok"), F.row_number().over(w) - 1)).drop("__ok", "pages")
+
+
+def halves(rows: DataFrame, landscape: Column, marked: Column) -> DataFrame:
+    """Each row as `left` and `right` part where its page is landscape and holds no marks, else as `whole`."""
+    parts = F.when(landscape & ~marked, F.array(F.lit("left"), F.lit("right"))).otherwise(F.array(F.lit("whole")))
+    return rows.withColumn("part", F.explode(parts))
+
+
+def sheet_counts(pages: Column, per_sheet: int) -> Column:
+    """How many sheets pages take at so many a sheet."""
+    return F.ceil(pages / per_sheet).cast("int")
+
+
+def split_plan(rows: DataFrame, mode: str, size: int = 0, titles: DataFrame | None = None) -> DataFrame:
+    """(doc_id, part, name, first, last) of rows (doc_id, page, pages): mode `every` (each `size` pages a part), `single`
+    (each page), `odd-even`, or `bookmarks` (titles: doc_id, ord, page, title; parts are named by number and title)."""
+    whole = rows.groupBy("doc_id").agg(F.max("pages").alias("pages"))
+    if mode == "odd-even":
+        odd = (F.col("page") % 2).cast("int")
+        return rows.groupBy("doc_id", odd.alias("part")).agg(F.min("page").alias("first"), F.max("page").alias("last")).select("doc_id", "part", F.when(F.col("part") == 0, "odd").otherwise("even").alias("name"), "first", "last")
+    if mode == "bookmarks":
+        w = Window.partitionBy("doc_id").orderBy("first")
+        by_page = Window.partitionBy("doc_id", "page").orderBy("ord")
+        opens = titles.withColumn("rn", F.row_number().over(by_page)).where("rn = 1").select("doc_id", F.col("page").alias("first"), "title")
+        lead = opens.groupBy("doc_id").agg(F.min("first").alias("m")).where("m > 0").select("doc_id", F.lit(0).alias("first"), F.lit(None).cast("string").alias("title"))
+        both = opens.unionByName(lead).join(whole, "doc_id").where(F.col("first") < F.col("pages"))
+        placed = both.withColumns({"part": F.row_number().over(w) - 1, "last": F.lead("first").over(w) - 1, "n": F.count("*").over(Window.partitionBy("doc_id"))})
+        number = padded(F.col("part") + 1, F.length(F.col("n").cast("string")))
+        return placed.select("doc_id", "part", F.concat(number, F.coalesce(safe_suffix(F.col("title")), F.lit(""))).alias("name"), "first", F.coalesce("last", F.col("pages") - 1).alias("last"))
+    if mode not in ("every", "single"):
+        raise ValueError(f"unknown mode {mode!r}")
+    named = chunks(rows, 1 if mode == "single" else size)
+    return named.groupBy("doc_id", F.col("chunk").alias("part"), "name").agg(F.min("page").alias("first"), F.max("page").alias("last"))

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.operators.geometry import merged
+from quire.operators.graph import resolved_roles, settled
+
 FINDING = ["doc_id", "rule", "reason", "key"]
 
 
@@ -33,14 +36,17 @@ def figure_rule(nodes: DataFrame) -> DataFrame:
 
 
 # The reasons of the nesting rules, and which child may stand in which parent.
+PARTS = ("THead", "TBody", "TFoot")
 NESTING = {
-    "list-child": (("L",), ("LI", "Caption", "L"), "parent"),
+    "list-child": (("L",), ("LI",), "parent"),
     "item-outside-list": (("LI",), ("L",), "child"),
     "item-child": (("LI",), ("Lbl", "LBody"), "parent"),
     "part-outside-item": (("Lbl", "LBody"), ("LI",), "child"),
     "cell-outside-row": (("TH", "TD"), ("TR",), "child"),
-    "row-outside-table": (("TR",), ("Table", "THead", "TBody", "TFoot"), "child"),
+    "row-outside-table": (("TR",), ("Table", *PARTS), "child"),
     "row-child": (("TR",), ("TH", "TD"), "parent"),
+    "part-child": (PARTS, ("TR",), "parent"),
+    "table-child": (("Table",), ("TR", "Caption", *PARTS), "parent"),
 }
 
 
@@ -57,7 +63,28 @@ def nesting_rules(nodes: DataFrame, reasons: list[str] | None = None) -> DataFra
         return F.col("role").isin(*roles) & ~none.isin(*allowed)
 
     found = F.array_compact(F.array(*[F.when(broken(r), F.lit(r)) for r in reasons or NESTING]))
-    return both.select("doc_id", F.lit("nesting").alias("rule"), F.explode(found).alias("reason"), "key")
+    made = both.select("doc_id", F.lit("nesting").alias("rule"), F.explode(found).alias("reason"), "key")
+    if reasons and "no-body" not in reasons:
+        return made
+    bodies = nodes.where("role = 'LBody'").select("doc_id", F.col("parent").alias("key"))
+    bare = nodes.where("role = 'LI'").select("doc_id", "key").join(bodies, ["doc_id", "key"], "left_anti")
+    return made.unionByName(bare.select("doc_id", F.lit("nesting").alias("rule"), F.lit("no-body").alias("reason"), "key"))
+
+
+def role_map_rule(mapping: DataFrame, nodes: DataFrame, standard: list[str]) -> DataFrame:
+    """Findings (doc_id, rule, reason, key) about roles, key being the role: `remapped` where a standard role is mapped,
+    `unresolved` where a mapped one leads to no standard role, `unmapped` where a node's role is neither standard nor
+    mapped. mapping: (doc_id, role, target); nodes: (doc_id, role)."""
+    is_standard = lambda c: F.col(c).isin(*standard)
+    own = mapping.select("doc_id", "role", "target")
+    custom = own.where(~is_standard("role"))
+    step = custom.select(F.struct("doc_id", "role").alias("role"), F.struct("doc_id", F.col("target").alias("role")).alias("target"))
+    ends = resolved_roles(step).select("role.doc_id", "role.role", F.col("final.role").alias("final"))
+    found = own.where(is_standard("role")).select("doc_id", F.lit("remapped").alias("reason"), F.col("role").alias("key"))
+    found = found.unionByName(ends.where(F.col("final").isNull() | ~is_standard("final")).select("doc_id", F.lit("unresolved").alias("reason"), F.col("role").alias("key")))
+    bare = nodes.where((F.col("role") != "") & ~is_standard("role")).select("doc_id", "role").distinct().join(own, ["doc_id", "role"], "left_anti")
+    found = found.unionByName(bare.select("doc_id", F.lit("unmapped").alias("reason"), F.col("role").alias("key")))
+    return found.select("doc_id", F.lit("role-map").alias("rule"), "reason", "key")
 
 
 def run_rules(nodes: DataFrame) -> DataFrame:
@@ -79,38 +106,65 @@ def field_problems(fields: DataFrame) -> DataFrame:
     return fields.withColumn("problem", problem)
 
 
-def audit(texts: DataFrame, needles: DataFrame) -> DataFrame:
+def audit(texts: DataFrame, needles: DataFrame, broadcast_rows: int = 20_000) -> DataFrame:
     """(doc_id, item_id, hits): how often each needle still stands in each text, without overlaps; only pairs with hits.
 
-    The second and third word of a needle of four words or more stand whole in any text that holds it, so texts meet
-    needles by a hash of those two words; candidates are then counted exactly. Shorter
-    needles, if any, are counted in every text. Blank needles are skipped, equal ones are looked up once.
+    Texts meet needles by the hash of something that any text with the needle must hold: for needles of four words or
+    more their second and third word, which stand whole; for shorter ones their first four characters, or as many as
+    there are. Candidates are counted exactly. Where needles are few enough to broadcast, texts stay in their rows;
+    otherwise the hashes are shuffled, and then the texts of candidates. Blank needles are skipped, equal ones are looked
+    up once.
     """
     clean = needles.where(F.trim("text") != "").groupBy(F.col("text").alias("needle")).agg(F.min("item_id").alias("item_id"))
     spaced = F.split(F.regexp_replace("needle", r"\s+", " "), " ")
-    clean = clean.withColumns({"a": F.get(spaced, F.lit(1)), "b": F.get(spaced, F.lit(2)), "n": F.size(spaced)})
+    clean = settled(clean.withColumn("w", spaced).select("needle", "item_id", F.when(F.size("w") >= 4, 0).otherwise(F.least(F.length("needle"), F.lit(4))).alias("n"), F.xxhash64(F.get("w", F.lit(1)), F.get("w", F.lit(2))).alias("pair")))
+    sizes = {r["n"]: r["count"] for r in clean.groupBy("n").count().collect()}  # 0 to 4
+    few = sum(sizes.values()) <= broadcast_rows
+    keyed = clean.select("item_id", "needle", "n", F.when(F.col("n") == 0, F.col("pair")).otherwise(F.xxhash64(F.left("needle", F.col("n")))).alias("h"))
     words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
-    pairs = texts.select("doc_id", words.alias("w")).select("doc_id", F.explode(F.array_distinct(F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda x, y: F.xxhash64(x, y)))).alias("h"))
-    keyed = clean.where("n >= 4").select("item_id", "needle", F.xxhash64("a", "b").alias("h"))
-    meet = pairs.join(keyed, "h").select("doc_id", "item_id", "needle").distinct()
-    short = clean.where("n < 4")
+    count = F.greatest(F.size("w") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("w", F.lit(1), count), F.slice("w", F.lit(2), count), lambda x, y: F.xxhash64(x, y))
+    marked = lambda hashes, n: F.transform(F.array_distinct(hashes), lambda h: F.struct(F.lit(n).alias("n"), h.alias("h")))
+
+    def grams(n: int) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length("text") - n + 1, F.lit(1))), lambda k: k + n - 1 <= F.length("text"))
+        return F.transform(starts, lambda k: F.xxhash64(F.substring(F.col("text"), k, F.lit(n))))
+
+    keys = [marked(pairs, 0)] if 0 in sizes else []
+    keys += [marked(grams(n), n) for n in sizes if n]
+    if not keys:
+        return texts.select("doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("long").alias("hits")).limit(0)
+    kept = ["doc_id", "text"] if few else ["doc_id"]
+    spread = texts.select("doc_id", "text", words.alias("w")).select(*kept, F.explode(F.concat(*keys)).alias("k")).select(*kept, "k.n", "k.h")
     counted = lambda rows: rows.select("doc_id", "item_id", F.floor((F.length("text") - F.length(F.replace("text", F.col("needle"), F.lit("")))) / F.length("needle")).alias("hits")).where("hits > 0")
-    found = counted(texts.select("doc_id", "text").join(meet, "doc_id"))
-    if short.isEmpty():
-        return found
-    some = [r for r in short.select("item_id", "needle").limit(1001).collect()]
-    if len(some) > 1000:
-        raise ValueError("more than 1000 needles of under four words")
-    each = F.array(*[F.struct(F.lit(r["item_id"]).alias("item_id"), F.lit(r["needle"]).alias("needle")) for r in some])
-    return found.unionByName(counted(texts.select("doc_id", "text", F.explode(each).alias("x")).select("doc_id", "text", "x.item_id", "x.needle")))
+    if few:
+        return counted(spread.join(F.broadcast(keyed), ["n", "h"]))
+    meet = spread.join(keyed, ["n", "h"]).select("doc_id", "item_id", "needle")
+    return counted(texts.select("doc_id", "text").join(meet, "doc_id"))
 
 
 def masked(texts: DataFrame, spans: DataFrame, mark: str = "█") -> DataFrame:
-    """texts with every (doc_id, start, length) span covered by the mark, a character for a character."""
-    each = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("s"))
+    """texts with every (doc_id, start, length) span covered by the mark, a character for a character; spans may overlap.
 
-    def cover(acc: Column, x: Column) -> Column:
-        return F.overlay(acc, F.repeat(F.lit(mark), x["length"]), x["start"] + 1, x["length"])
+    Spans are merged first; then a text is put together once from the pieces between them.
+    """
+    merged_spans = merged(spans.select("doc_id", "start", (F.col("start") + F.col("length")).alias("stop")), ["doc_id"]).drop("parts")
+    each = merged_spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("s"))
+    before = F.concat(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("stop"))), "s")
+    piece = lambda x, p: F.concat(F.substring(F.col("text"), p["stop"] + 1, x["start"] - p["stop"]), F.repeat(F.lit(mark), F.least(x["stop"], F.length("text")) - x["start"]))
+    pieces = F.zip_with("s", F.slice("p", F.lit(1), F.size("s")), piece)
+    rest = F.substring(F.col("text"), F.element_at("s", -1)["stop"] + 1, F.length("text"))
+    both = texts.join(each, "doc_id", "left").withColumn("p", F.when(F.col("s").isNotNull(), before))
+    return both.withColumn("text", F.when(F.col("s").isNull(), F.col("text")).otherwise(F.concat(F.array_join(pieces, ""), rest))).drop("s", "p")
+
+
+def redaction_needles(glyphs: DataFrame, marks: DataFrame, key: list[str]) -> DataFrame:
+    """(key, needle): the distinct texts, longer than a character, of runs of glyphs (ord, ch, x0, x1, y0, y1) whose
+    centres lie in a mark (mark, x0, y0, x1, y1) of the key."""
+    cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    g = glyphs.select(*key, "ord", "ch", cx.alias("cx"), cy.alias("cy"))
+    inside = g.join(marks, key).where("cx >= x0 and cx < x1 and cy >= y0 and cy < y1")
+    runs = inside.withColumn("run", F.col("ord") - F.row_number().over(Window.partitionBy(*key, "mark").orderBy("ord")))
+    listed = runs.groupBy(*key, "mark", "run").agg(F.sort_array(F.collect_list(F.struct("ord", "ch"))).alias("l"))
+    return listed.select(*key, F.trim(F.array_join(F.transform("l", lambda x: x["ch"]), "")).alias("needle")).where("length(needle) > 1").distinct()
 
-    both = texts.join(each, "doc_id", "left")
-    return both.withColumn("text", F.when(F.col("s").isNull(), F.col("text")).otherwise(F.aggregate("s", F.col("text"), cover))).drop("s")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import numbers as nm
-from quire.operators import geometry, model, pages, sequential
+from quire.operators import forms, geometry, model, pages, sequential
 from quire.plans.record_queries import COMMENTS_SQL, TREE_SQL, comments, tree
 from quire.sources.tables import table
 
@@ -70,13 +70,10 @@ L6_SQL = "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'unchanged' WHEN tur
 
 
 def l7_enclosing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last order of a customer's that was placed at or before an offset: here each of the customer's own orders' days
-    shifted by ten."""
-    order = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.datediff("o_orderdate", F.lit("1990-01-01")).alias("day"))
-    both = order.select("o_custkey", "day", F.col("o_orderkey").alias("object"), F.lit(0).alias("kind"), "o_orderkey")
-    both = both.union(order.select("o_custkey", F.col("day") - 10, F.lit(None).cast("long"), F.lit(1), "o_orderkey"))
-    found = pages.label_lookup(both, ["o_custkey"], ["day", "kind", "o_orderkey"], F.col("kind") == 0, F.col("object"), "enclosing")
-    return found.where("kind = 1").select("o_orderkey", F.coalesce(F.col("enclosing").cast("string"), F.concat(F.lit("byte "), "day")).alias("at"))
+    """Orders of a customer as objects that begin on their day; asked for is where each one's day less ten lies."""
+    order = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.datediff("o_orderdate", F.lit("1990-01-01")).alias("offset"))
+    found = model.enclosing(order.withColumnRenamed("o_orderkey", "object"), order.select("o_custkey", (F.col("offset") - 10).alias("offset"), F.col("o_orderkey").alias("id")), ["o_custkey"])
+    return found.select(F.col("id").alias("o_orderkey"), "at")
 
 
 L7_SQL = """WITH o AS (SELECT o_custkey, o_orderkey, date_diff('day', DATE '1990-01-01', o_orderdate::DATE) AS day FROM orders)
@@ -119,12 +116,9 @@ V8_SQL = "WITH n AS (SELECT c_custkey AS s_suppkey, c_name AS s_name FROM custom
 
 def p14_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A customer's orders as documents of as many pages as they have lines, one behind the other."""
-    from pyspark.sql.window import Window
-
-    line = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("pages"))
-    both = table(spark, sf_dir, "orders").join(line, F.col("o_orderkey") == F.col("l_orderkey"))
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, -1)
-    return both.select("o_custkey", "o_orderkey", "pages", F.coalesce(F.sum("pages").over(w), F.lit(0)).alias("first"))
+    line = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("pages"))
+    both = table(spark, sf_dir, "orders").join(line, "o_orderkey").select("o_custkey", "o_orderkey", "pages")
+    return pages.merged_documents(both, ["o_custkey"], "o_orderkey")
 
 
 P14_SQL = """WITH l AS (SELECT l_orderkey, count(*) AS pages FROM lineitem GROUP BY ALL)
@@ -133,36 +127,39 @@ SELECT o_custkey, o_orderkey, pages, coalesce(sum(pages) OVER (PARTITION BY o_cu
 
 def p23_two_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landscape pages without notes become two halves."""
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") > 25).alias("landscape"), (F.col("l_returnflag") == "R").alias("noted"))
-    halves = F.when(F.col("landscape") & ~F.col("noted"), F.array(F.lit("left"), F.lit("right"))).otherwise(F.array(F.lit("whole")))
-    return line.select("l_orderkey", "l_linenumber", F.explode(halves).alias("part"))
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    return pages.halves(line, F.col("l_quantity") > 25, F.col("l_returnflag") == "R").select("l_orderkey", "l_linenumber", "part")
 
 
 P23_SQL = "SELECT l_orderkey, l_linenumber, unnest(CASE WHEN l_quantity > 25 AND l_returnflag <> 'R' THEN ['left', 'right'] ELSE ['whole'] END) AS part FROM lineitem"
 
 
 def f1_field_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as fields: a checked box where a line was returned, else the chosen states, or the order's key as text."""
     line = table(spark, sf_dir, "lineitem")
     listed = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_linestatus")).alias("a"), F.bool_or(F.col("l_returnflag") == "R").alias("b"))
-    return listed.select("l_orderkey", F.concat_ws("|", F.when(F.col("b"), "✓").otherwise(""), F.array_join("a", ", ")).alias("value"))
+    chosen = F.when(F.col("l_orderkey") % 2 == 0, F.col("a"))
+    return listed.select("l_orderkey", forms.field_text(F.col("l_orderkey").cast("string"), chosen, F.col("b")).alias("value"))
 
 
-F1_SQL = "SELECT l_orderkey, (CASE WHEN bool_or(l_returnflag = 'R') THEN '✓' ELSE '' END) || '|' || array_to_string(list_sort(list_distinct(list(l_linestatus))), ', ') AS value FROM lineitem GROUP BY l_orderkey"
+F1_SQL = """SELECT l_orderkey, CASE WHEN bool_or(l_returnflag = 'R') THEN '✓' WHEN l_orderkey % 2 = 0 THEN array_to_string(list_sort(list_distinct(list(l_linestatus))), ', ') ELSE l_orderkey::VARCHAR END AS value FROM lineitem GROUP BY l_orderkey"""
 
 
 def f15_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.octet_length("text")
-    text = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(F.concat(F.format_string("%.1f", F.floor(n * 10 / 1024) / 10), F.lit(" KB")))
-    return table(spark, sf_dir, "documents").select("doc_id", text.alias("size"))
+    """Sizes of texts, and of the same 400 times over."""
+    n = F.octet_length("text").cast("long")
+    return table(spark, sf_dir, "documents").select("doc_id", nm.size_text(n).alias("size"), nm.size_text(n * 400).alias("many"), nm.percent_text(n / 5000).alias("share"))
 
 
-F15_SQL = "SELECT doc_id, CASE WHEN strlen(text) < 1024 THEN strlen(text) || ' B' ELSE printf('%.1f', floor(strlen(text) * 10 / 1024) / 10) || ' KB' END AS size FROM documents"
+SIZE_SQL = "CASE WHEN {n} < 1024 THEN {n} || ' B' WHEN round({n} / 1024, 1) < 1024 THEN format('{{:,.1f}}', round({n} / 1024, 1)) || ' KB' ELSE format('{{:,.1f}}', round({n} / 1048576, 1)) || ' MB' END"
+F15_SQL = f"""WITH n AS (SELECT doc_id, strlen(text) AS n, strlen(text) * 400 AS m FROM documents)
+SELECT doc_id, {SIZE_SQL.format(n="n")} AS size, {SIZE_SQL.format(n="m")} AS many, format('{{:,}}', round(n / 5000 * 100, 0)::BIGINT) || '%' AS share FROM n"""
 
 
 def i3_luma(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.floor("l_extendedprice").cast("int") % 256).alias("r"), (F.col("l_partkey") % 256).cast("int").alias("g"), (F.col("l_quantity").cast("int") * 5).alias("b"))
-    grey = lambda r, g, b, of: F.floor((r * F.col("r") + g * F.col("g") + b * F.col("b")) / of)
-    return c.groupBy("l_orderkey").agg(F.sum(grey(299, 587, 114, 1000)).alias("scan"), F.sum(grey(77, 150, 29, 256)).alias("compare"))
+    rgb = [F.col(x) for x in "rgb"]
+    return c.groupBy("l_orderkey").agg(F.sum(nm.luma(*rgb)).alias("scan"), F.sum(nm.luma(*rgb, (77, 150, 29))).alias("compare"))
 
 
 I3_SQL = """WITH c AS (SELECT l_orderkey, floor(l_extendedprice)::BIGINT % 256 AS r, l_partkey % 256 AS g, l_quantity::BIGINT * 5 AS b FROM lineitem)
@@ -170,8 +167,7 @@ SELECT l_orderkey, sum((299 * r + 587 * g + 114 * b) // 1000) AS scan, sum((77 *
 
 
 def i6_low_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return e.groupBy("user_id").agg(F.count("*").alias("words"), F.count(F.when(F.col("value") < 60, 1)).alias("low"), F.bool_or(F.col("value") < 10).alias("doubtful"))
+    return model.confidence_report(table(spark, sf_dir, "events").withColumnRenamed("value", "confidence"), ["user_id"])
 
 
 I6_SQL = "SELECT user_id, count(*) AS words, count(*) FILTER (value < 60) AS low, bool_or(value < 10) AS doubtful FROM events GROUP BY user_id"
@@ -180,7 +176,7 @@ I6_SQL = "SELECT user_id, count(*) AS words, count(*) FILTER (value < 60) AS low
 def m5_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Areas and lengths of an order's chain in centimetres: 72 points are 2.54 of them."""
     p = table(spark, sf_dir, "lineitem").select("l_orderkey", F.expr("l_linenumber + l_extendedprice / 1e9").alias("ord"), F.col("l_quantity").alias("x"), F.col("l_tax").alias("y"))
-    made = geometry.chains(p, ["l_orderkey"])
+    made = geometry.chains(p, ["l_orderkey"], mode="perimeter")
     unit = 72 / 2.54
     return made.select("l_orderkey", F.round(F.col("length") / unit, 6).alias("length_cm"), nm.significant(F.col("length") / unit).alias("decimals"))
 
@@ -200,16 +196,22 @@ s AS (SELECT *, sum(new) OVER (PARTITION BY l_orderkey ORDER BY x ROWS UNBOUNDED
 
 
 def u5e_table_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as tables of two lines a row."""
     line = table(spark, sf_dir, "lineitem")
+    named = F.array(F.concat(F.col("l_orderkey").cast("string"), F.lit("-1")))
     cells = line.select(
         F.col("l_orderkey").alias("table"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.when(F.col("l_discount") > 0.05, "TH").otherwise("TD").alias("role"),
-        F.when(F.col("l_tax") > 0.04, "Row").alias("scope"), F.array(F.concat(F.col("l_orderkey").cast("string"), F.lit("-1"))).alias("headers"),
+        F.when(F.col("l_tax") > 0.04, "Row").alias("scope"), F.when(F.col("l_tax") > 0.02, named).otherwise(F.array().cast("array<string>")).alias("headers"),
+        F.floor((F.col("l_linenumber") - 1) / 2).cast("int").alias("row"), F.expr("l_linenumber + l_extendedprice / 1e9").alias("ord"), F.lit(1).alias("row_span"), F.when(F.col("l_quantity") > 45, 2).otherwise(1).alias("col_span"),
     )
     return model.table_rule(cells)
 
 
-U5E_SQL = """WITH c AS (SELECT l_orderkey, l_linenumber, l_discount > 0.05 AS th, l_tax > 0.04 AS scope FROM lineitem)
-SELECT l_orderkey AS "table", 'headers' AS reason FROM c GROUP BY l_orderkey HAVING NOT bool_or(th) UNION ALL SELECT DISTINCT l_orderkey, 'scope' FROM c WHERE th AND NOT scope AND l_linenumber <> 1"""
+U5E_SQL = """WITH c AS (SELECT l_orderkey AS t, l_linenumber AS n, l_discount > 0.05 AS th, l_tax > 0.04 AS scope, l_tax > 0.02 AS heads, (l_linenumber - 1) // 2 AS r, CASE WHEN l_quantity > 45 THEN 2 ELSE 1 END AS w FROM lineitem),
+a AS (SELECT t, bool_or(heads) AS named FROM c GROUP BY t), r AS (SELECT t, r, sum(w) AS w FROM c GROUP BY ALL), u AS (SELECT t FROM r GROUP BY t HAVING count(DISTINCT w) > 1)
+SELECT t AS "table", 'headers' AS reason, 0 AS count FROM c GROUP BY t HAVING NOT bool_or(th)
+UNION ALL SELECT t, 'scope', count(*) FROM c JOIN a USING (t) WHERE th AND NOT scope AND NOT (n = 1 AND named) GROUP BY t
+UNION ALL SELECT t, 'regular', count(*) FROM c JOIN u USING (t) WHERE NOT th AND NOT heads GROUP BY t"""
 
 
 def f23_unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,7 +233,9 @@ def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequential.merged_paragraphs(_boxes(spark, sf_dir).withColumnRenamed("n", "block").drop("text"))
+    b = _boxes(spark, sf_dir)
+    direction = F.when(F.col("text").endswith("7"), "vertical").otherwise("horizontal")
+    return sequential.merged_paragraphs(b.select("page", F.col("n").alias("block"), "x0", "x1", "size", "font", direction.alias("orientation"), F.array("y0", F.col("y0") + 4).alias("baselines")))
 
 
 def t7_export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,8 +254,10 @@ def u5b_regular_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d11_varied_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select((F.col("p_partkey") % 50).alias("page"), F.col("p_partkey").cast("int").alias("ord"), F.col("p_name").alias("word"))
-    return sequential.varied_selection(part)
+    """Names of parts as words of pages of forty."""
+    part = table(spark, sf_dir, "part")
+    words = part.select(F.floor(F.col("p_partkey") / 40).alias("page"), F.col("p_partkey").cast("int").alias("ord"), F.col("p_name").alias("word"), (F.col("p_size") > 40).alias("bold"), (F.col("p_size") < 3).alias("italic"), F.lit(10.0).alias("size"))
+    return sequential.varied_selection(words, 10)
 
 
 QUERIES = {

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quire.functions import numbers as nm
 from quire.operators import pages as pg
@@ -74,13 +75,12 @@ UNION ALL SELECT doc_id, 'new', g, least(2, pages) + g FROM (SELECT DISTINCT doc
 
 
 def p12_replace_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every second page gives way to a page of the same number from elsewhere."""
+    """Every second page gives way to the page of another document whose number is a hundred higher."""
     pages = _doc_pages(spark, sf_dir)
-    other = pages.where("page % 2 = 1").select("doc_id", "page", F.lit("new").alias("origin"))
-    return pages.join(other, ["doc_id", "page"], "left").select("doc_id", "page", F.coalesce("origin", F.lit("own")).alias("origin"))
+    return pg.replaced_pages(pages, pages.where("page % 2 = 1").select("doc_id", "page", (F.col("page") + 100).alias("source_page")))
 
 
-P12_SQL = f"""WITH {LINE_PAGES_SQL} SELECT doc_id, page, CASE WHEN page % 2 = 1 THEN 'new' ELSE 'own' END AS origin FROM dp"""
+P12_SQL = f"""WITH {LINE_PAGES_SQL} SELECT doc_id, page, CASE WHEN page % 2 = 1 THEN 'new' ELSE 'own' END AS origin, CASE WHEN page % 2 = 1 THEN page + 100 END AS source_page FROM dp"""
 
 
 def p13_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,17 +136,22 @@ P18_SQL = """SELECT o_orderkey, last_value(CASE WHEN starts_with(o_orderpriority
 
 
 def p19_compressed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type")
-    return pg.compressed(events, ["user_id"], ["ts", "event_id"], "event_type").select("user_id", "event_id", "event_type")
+    """Events as labelled pages: the kind is the style, and the number restarts every five pages."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    at = F.row_number().over(w) - 1
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(at % 10 < 5, "decimal").when(at % 10 < 8, "none").otherwise("roman").alias("style"), F.when(F.col("user_id") % 2 == 0, "A-").otherwise("").alias("prefix"), (at % 5 + 1).alias("number"))
+    return pg.label_ranges(events, ["user_id"], ["event_id"])
 
 
-P19_SQL = """WITH l AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events) SELECT user_id, event_id, event_type FROM l WHERE was IS DISTINCT FROM event_type"""
+P19_SQL = """WITH e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM events),
+v AS (SELECT user_id, event_id, pos, CASE WHEN pos % 10 < 5 THEN 'decimal' WHEN pos % 10 < 8 THEN 'none' ELSE 'roman' END AS style, CASE WHEN user_id % 2 = 0 THEN 'A-' ELSE '' END AS prefix, pos % 5 + 1 AS number FROM e)
+SELECT user_id, event_id, style, prefix, CASE WHEN style = 'none' THEN 1 ELSE number END AS number FROM v WHERE pos % 10 IN (0, 5, 8)"""
 
 
 def p20_sheet_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = docs(spark, sf_dir).select("doc_id", F.size(F.split("text", "\n")).alias("pages"))
-    up = [F.ceil(F.col("pages") / n).cast("int").alias(f"up{n}") for n in (2, 4, 6)]
-    return pages.select("doc_id", *up, F.ceil(F.col("pages") / 4).cast("int").alias("booklet"), (F.col("pages") * 6).alias("poster"))
+    up = [pg.sheet_counts(F.col("pages"), n).alias(f"up{n}") for n in (2, 4, 6)]
+    return pages.select("doc_id", *up, pg.sheet_counts(F.col("pages"), 4).alias("booklet"), (F.col("pages") * 6).alias("poster"))
 
 
 P20_SQL = """WITH p AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents) SELECT doc_id, (n + 1) // 2 AS up2, (n + 3) // 4 AS up4, (n + 5) // 6 AS up6, (n + 3) // 4 AS booklet, n * 6 AS poster FROM p"""
@@ -174,7 +179,23 @@ def d6_sampled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 D6_SQL = """WITH p AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents)
-SELECT DISTINCT doc_id, unnest(CASE WHEN n <= 5 THEN range(n) ELSE list_transform(range(5), lambda k: floor(k * (n - 1) / 4 + 0.5)::BIGINT) END) AS page FROM p"""
+SELECT DISTINCT doc_id, unnest(CASE WHEN n <= 5 THEN range(n) ELSE list_concat([0, n - 1], list_transform([1, 2, 3], lambda k: floor(k * (n - 1) / 5 + 0.5)::BIGINT)) END) AS page FROM p"""
+
+
+def p6_split_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of three pages each."""
+    return pg.split_plan(_doc_pages(spark, sf_dir), "every", 3)
+
+
+P6_SQL = f"""WITH {LINE_PAGES_SQL} SELECT doc_id, page // 3 AS part, 'part-' || lpad((page // 3 + 1)::VARCHAR, length(((max(pages) + 2) // 3)::VARCHAR)::INT, '0') AS name, min(page) AS first, max(page) AS last FROM dp GROUP BY doc_id, page // 3"""
+
+
+def p16_rotate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _doc_pages(spark, sf_dir).withColumn("rotation", (F.col("page") % 4 * 90).cast("int"))
+    return pg.page_actions(pages, "rotate", F.expr(ODD), F.lit(-90))
+
+
+P16R_SQL = f"WITH {LINE_PAGES_SQL} SELECT doc_id, page, 0 AS copy, page AS place, (page % 4 * 90 + CASE WHEN {ODD} THEN 270 ELSE 0 END) % 360 AS rotation FROM dp"
 
 
 def f13_bates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,11 +209,11 @@ QUERIES = {
     "p11_insert_plan": p11_insert_plan, "p12_replace_plan": p12_replace_plan, "p13_interleave": p13_interleave, "p16_delete": _action("delete", lambda: F.expr(ODD)),
     "p16_duplicate": _action("duplicate", lambda: F.expr(ODD)), "p16_move": lambda s, d: pg.page_actions(_doc_pages(s, d), "move", F.expr(ODD), F.lit(2)), "p16_reverse": _action("reverse", lambda: F.expr(ODD)),
     "p17_page_labels": p17_page_labels, "p18_label_lookup": p18_label_lookup, "p19_compressed_labels": p19_compressed_labels, "p20_sheet_counts": p20_sheet_counts, "p21_booklet": p21_booklet,
-    "p22_blank_pages": p22_blank_pages, "d6_sampled_pages": d6_sampled_pages, "f13_bates": f13_bates,
+    "p22_blank_pages": p22_blank_pages, "d6_sampled_pages": d6_sampled_pages, "p6_split_plan": p6_split_plan, "p16_rotate": p16_rotate, "f13_bates": f13_bates,
 }
 
 ORACLE_SQL = ACTIONS_SQL | {
     "p1_parse_ranges": P1_SQL, "p3_format_ranges": P3_SQL, "p4_chunks": P4_SQL, "p7_split_by_bookmarks": P7_SQL, "p11_insert_plan": P11_SQL, "p12_replace_plan": P12_SQL,
     "p13_interleave": P13_SQL, "p17_page_labels": P17_SQL, "p18_label_lookup": P18_SQL, "p19_compressed_labels": P19_SQL, "p20_sheet_counts": P20_SQL, "p21_booklet": P21_SQL,
-    "p22_blank_pages": P22_SQL, "d6_sampled_pages": D6_SQL, "f13_bates": F13_SQL,
+    "p22_blank_pages": P22_SQL, "d6_sampled_pages": D6_SQL, "p6_split_plan": P6_SQL, "p16_rotate": P16R_SQL, "f13_bates": F13_SQL,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import compare, forms, geometry, graph, journal, layout, rules
+from quire.operators import compare, forms, geometry, graph, journal, layout, model, rules
 from quire.sources.tables import table
 
 # A line's place in its order; line numbers repeat, so prices settle ties.
@@ -29,8 +29,22 @@ C1_SQL = f"""WITH RECURSIVE {COMMENTS_SQL}, t AS (SELECT id AS root, id, 0 AS de
 SELECT root, id, depth, row_number() OVER (PARTITION BY root ORDER BY ts, id) - 1 AS place FROM t WHERE depth > 0"""
 
 
+def c1_thread_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third turn is a review, every fourth a mark, and every seventh belongs to a group and begins a thread."""
+    k = F.col("ts")
+    state = F.when(k % 4 == 3, F.when(F.col("conv_id") % 2 == 0, "Marked").otherwise("Unmarked")).when(k % 3 == 2, F.when(k % 2 == 0, "Accepted").otherwise("Rejected"))
+    notes = comments(spark, sf_dir).withColumns({"reply_type": F.when(k % 7 == 6, "Group").otherwise("R"), "author": F.col("role"), "state": state, "state_model": F.when(k % 4 == 3, "Marked")})
+    return graph.thread_states(notes)
+
+
+C1S_SQL = f"""WITH RECURSIVE {COMMENTS_SQL}, g AS (SELECT *, parent IS NULL OR ts % 7 = 6 AS top FROM n),
+t AS (SELECT id AS root, id, ts, role, FALSE AS below, conv_id FROM g WHERE top UNION ALL SELECT t.root, g.id, g.ts, g.role, TRUE, g.conv_id FROM t JOIN g ON g.parent = t.id AND NOT g.top),
+s AS (SELECT *, ts % 4 = 3 AS mark, ts % 4 <> 3 AND ts % 3 = 2 AS review FROM t WHERE below)
+SELECT root, count(*) AS records, max_by(CASE WHEN ts % 2 = 0 THEN 'Accepted' ELSE 'Rejected' END, ts) FILTER (review) AS state, max_by(role, ts) FILTER (review) AS author, max(ts) FILTER (review) AS at, coalesce(bool_or(mark AND conv_id % 2 = 0), FALSE) AS marked FROM s GROUP BY root"""
+
+
 def d8_annotation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").where("role <> 'system'").groupBy("role").agg(F.count("*").alias("n"))
+    return compare.kind_counts(table(spark, sf_dir, "conversations"), "role", ["system"])
 
 
 D8_SQL = "SELECT role, count(*) AS n FROM conversations WHERE role <> 'system' GROUP BY role"
@@ -58,23 +72,26 @@ G1_SQL = f"""WITH RECURSIVE {TREE_SQL}, w AS (SELECT key, 0 AS depth, lpad(ord::
 
 
 def g3_node_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each root of the tree, how many nodes hang below it, and how deep."""
-    found = graph.roots(tree(spark, sf_dir), "key", "parent").where("depth > 0")
-    return found.groupBy("root").agg(F.count("*").alias("nodes"), F.max("depth").alias("deepest"))
+    """An order stands on the page of its last digit; what pages every node of the tree has below it."""
+    nodes = tree(spark, sf_dir)
+    found = graph.pages_below(nodes, nodes.where("key like 'o%'").select("key", (F.col("ord") % 10).cast("int").alias("page")))
+    return found.select("key", F.array_join("pages", ",").alias("pages"))
 
 
-G3_SQL = f"""WITH RECURSIVE {TREE_SQL}, w AS (SELECT key AS root, key, 0 AS depth FROM tree WHERE parent IS NULL UNION ALL SELECT w.root, t.key, w.depth + 1 FROM w JOIN tree t ON t.parent = w.key)
-SELECT root, count(*) AS nodes, max(depth) AS deepest FROM w WHERE depth > 0 GROUP BY root"""
+G3_SQL = f"""WITH RECURSIVE {TREE_SQL}, w AS (SELECT key, parent, ord % 10 AS page FROM tree WHERE starts_with(key, 'o') UNION SELECT t.key, t.parent, w.page FROM w JOIN tree t ON t.key = w.parent)
+SELECT key, string_agg(page::VARCHAR, ',' ORDER BY page) AS pages FROM (SELECT DISTINCT key, page FROM w) GROUP BY key"""
 
 
 def g5_resolved_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chains of parts: each number maps to its half, and 1 maps to a standard role."""
-    part = table(spark, sf_dir, "part")
-    half = F.when(F.col("p_partkey") <= 1, F.lit("P")).otherwise(F.floor(F.col("p_partkey") / 2).cast("string"))
-    return graph.resolved_roles(part.select(F.col("p_partkey").cast("string").alias("role"), half.alias("target")))
+    """Chains of parts: each number maps to its half, but some to a standard role of their own, and 1 to P."""
+    part, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    target = F.when(k <= 1, F.lit("P")).when(k % 7 == 3, F.concat(F.lit("H"), (k % 6 + 1).cast("string"))).otherwise(F.floor(k / 2).cast("string"))
+    return graph.resolved_roles(part.select(k.cast("string").alias("role"), target.alias("target")))
 
 
-G5_SQL = "SELECT p_partkey::VARCHAR AS role, 'P' AS final FROM part"
+G5_SQL = """WITH RECURSIVE m AS (SELECT p_partkey AS k, CASE WHEN p_partkey <= 1 THEN 'P' WHEN p_partkey % 7 = 3 THEN 'H' || (p_partkey % 6 + 1) END AS role FROM part),
+w AS (SELECT k AS start, k FROM m UNION ALL SELECT w.start, w.k // 2 FROM w JOIN m ON m.k = w.k WHERE m.role IS NULL)
+SELECT w.start::VARCHAR AS role, coalesce(max(m.role), min(w.k)::VARCHAR) AS final FROM w LEFT JOIN m ON m.k = w.k GROUP BY w.start"""
 
 
 def g6_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +127,8 @@ SELECT 'heading' AS rule, 'first' AS reason, count(*) AS n FROM n WHERE was IS N
 UNION ALL SELECT 'heading', 'skip', count(*) FROM n WHERE l > was + 1 HAVING count(*) > 0
 UNION ALL SELECT 'heading', 'mixed', count(*) FROM (SELECT d FROM h GROUP BY d HAVING bool_or(p = '5') AND bool_or(p <> '5')) HAVING count(*) > 0
 UNION ALL SELECT 'figure', 'no-text', count(*) FROM i WHERE role = 'Figure' HAVING count(*) > 0
-UNION ALL SELECT 'nesting', CASE role WHEN 'LI' THEN 'item-outside-list' WHEN 'LBody' THEN 'part-outside-item' WHEN 'TD' THEN 'cell-outside-row' ELSE 'row-outside-table' END, count(*) FROM i WHERE role IN ('LI', 'LBody', 'TD', 'TR') GROUP BY role"""
+UNION ALL SELECT 'nesting', CASE role WHEN 'LI' THEN 'item-outside-list' WHEN 'LBody' THEN 'part-outside-item' WHEN 'TD' THEN 'cell-outside-row' ELSE 'row-outside-table' END, count(*) FROM i WHERE role IN ('LI', 'LBody', 'TD', 'TR') GROUP BY role
+UNION ALL SELECT 'nesting', 'no-body', count(*) FROM i WHERE role = 'LI' HAVING count(*) > 0"""
 
 
 # What an event of a kind does to a user's document.
@@ -133,14 +151,14 @@ SELECT doc, ord, bytes, row_number() OVER (PARTITION BY doc ORDER BY ord DESC) <
 
 
 def v5_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts that no returned line and no large order line refers to."""
+    """Parts that no returned line of a large quantity and no line of a very small one refers to."""
     line = table(spark, sf_dir, "lineitem")
     stored = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"))
     refer = lambda cond: line.where(cond).select(F.col("l_partkey").alias("key"))
-    return journal.cleanup(stored, refer("l_returnflag = 'R'"), refer("l_quantity > 25"))
+    return journal.cleanup(stored, refer("l_returnflag = 'R' and l_quantity > 45"), refer("l_quantity < 2"))
 
 
-V5_SQL = "SELECT p_partkey AS key FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' OR l_quantity > 25)"
+V5_SQL = "SELECT p_partkey AS key FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45 OR l_quantity < 2)"
 
 
 def l5_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,36 +172,48 @@ r AS (SELECT user_id, event_type, event_id, starred, row_number() OVER (PARTITIO
 
 
 def l8_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").join(o, "c_custkey", "left_anti").select("c_custkey")
+    """Parts as objects, lines of the largest quantities as references; one brand needs none."""
+    objects = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("kind"))
+    references = table(spark, sf_dir, "lineitem").where("l_quantity >= 48").select(F.col("l_partkey").alias("key"))
+    return model.orphans(objects, references, ["Brand#11"])
 
 
-L8_SQL = "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"
+L8_SQL = "SELECT p_partkey AS key, p_brand AS kind FROM part WHERE p_brand <> 'Brand#11' AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 48)"
 
 
 def m1_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas of orders' lines as points; null where the ring crosses itself."""
     p = table(spark, sf_dir, "lineitem").select("l_orderkey", F.expr(LINE_ORDER_SQL).alias("ord"), F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
-    made = geometry.chains(p, ["l_orderkey"])
+    made = geometry.chains(p, ["l_orderkey"]).withColumn("area", F.when(~F.isnan("area"), F.col("area")))
     return made.select("l_orderkey", "n", *[F.round(c, 6).alias(c) for c in ("length", "perimeter", "area", "bearing")])
 
 
-M1_SQL = """WITH p AS (SELECT l_orderkey, l_linenumber + l_extendedprice / 1e9 AS o, l_quantity AS x, l_extendedprice / 1000 AS y FROM lineitem),
-q AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny, first_value(x) OVER a AS fx, first_value(y) OVER a AS fy, last_value(x) OVER a AS lx, last_value(y) OVER a AS ly FROM p
- WINDOW w AS (PARTITION BY l_orderkey ORDER BY o), a AS (PARTITION BY l_orderkey ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
-s AS (SELECT l_orderkey, count(*) AS n, sum(sqrt((nx - x) ** 2 + (ny - y) ** 2)) AS length, sum(sqrt((coalesce(nx, fx) - x) ** 2 + (coalesce(ny, fy) - y) ** 2)) AS perimeter,
- abs(sum(x * coalesce(ny, fy) - coalesce(nx, fx) * y)) / 2 AS area, any_value(abs(lx - fx) * abs(ly - fy)) AS box, any_value(degrees(atan2(ly - fy, lx - fx))) AS b FROM q GROUP BY l_orderkey)
-SELECT l_orderkey, n, round(length, 6) AS length, round(perimeter, 6) AS perimeter, round(CASE WHEN n = 2 THEN box ELSE area END, 6) AS area, round((b + 360) % 360, 6) AS bearing FROM s WHERE n >= 2"""
+# Rings of points p (k, i, x, y): repeated points go, and a last one that repeats the first; then whether edges meet.
+RING_SQL = """d AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM p WINDOW w AS (PARTITION BY k ORDER BY i)),
+c AS (SELECT k, x, y, row_number() OVER w AS i, count(*) OVER (PARTITION BY k) AS n, first_value(x) OVER w AS fx, first_value(y) OVER w AS fy FROM d WHERE px IS NULL OR px <> x OR py <> y WINDOW w AS (PARTITION BY k ORDER BY i)),
+r AS (SELECT k, i - 1 AS i, x AS ax, y AS ay FROM c WHERE NOT (n > 1 AND i = n AND x = fx AND y = fy)),
+e AS (SELECT *, coalesce(lead(ax) OVER w, first_value(ax) OVER w) AS bx, coalesce(lead(ay) OVER w, first_value(ay) OVER w) AS yb, count(*) OVER (PARTITION BY k) AS n FROM r WINDOW w AS (PARTITION BY k ORDER BY i)),
+j AS (SELECT a.k, a.ax, a.ay, a.bx, a.yb, b.ax AS cx, b.ay AS cy, b.bx AS dx, b.yb AS yd FROM e a JOIN e b ON a.k = b.k AND b.i >= a.i + 2 AND NOT (a.i = 0 AND b.i = a.n - 1)),
+o AS (SELECT *, (bx - ax) * (cy - ay) - (yb - ay) * (cx - ax) AS abc, (bx - ax) * (yd - ay) - (yb - ay) * (dx - ax) AS abd, (dx - cx) * (ay - cy) - (yd - cy) * (ax - cx) AS cda, (dx - cx) * (yb - cy) - (yd - cy) * (bx - cx) AS cdb FROM j),
+x AS (SELECT k, bool_or((sign(abc) * sign(abd) < 0 AND sign(cda) * sign(cdb) < 0)
+ OR (abc = 0 AND cx BETWEEN least(ax, bx) AND greatest(ax, bx) AND cy BETWEEN least(ay, yb) AND greatest(ay, yb)) OR (abd = 0 AND dx BETWEEN least(ax, bx) AND greatest(ax, bx) AND yd BETWEEN least(ay, yb) AND greatest(ay, yb))
+ OR (cda = 0 AND ax BETWEEN least(cx, dx) AND greatest(cx, dx) AND ay BETWEEN least(cy, yd) AND greatest(cy, yd)) OR (cdb = 0 AND bx BETWEEN least(cx, dx) AND greatest(cx, dx) AND yb BETWEEN least(cy, yd) AND greatest(cy, yd))) AS crosses FROM o GROUP BY k)"""
+
+M1_SQL = f"""WITH p AS (SELECT l_orderkey AS k, l_linenumber + l_extendedprice / 1e9 AS i, l_quantity AS x, l_extendedprice / 1000 AS y FROM lineitem), {RING_SQL},
+q AS (SELECT k, i, x, y, lead(x) OVER w AS nx, lead(y) OVER w AS ny, first_value(x) OVER w AS fx, first_value(y) OVER w AS fy, row_number() OVER w AS rn FROM p WINDOW w AS (PARTITION BY k ORDER BY i)),
+s AS (SELECT k, count(*) AS n, sum(sqrt((nx - x) ** 2 + (ny - y) ** 2)) AS length, sum(sqrt((coalesce(nx, fx) - x) ** 2 + (coalesce(ny, fy) - y) ** 2)) AS perimeter,
+ abs(sum(x * coalesce(ny, fy) - coalesce(nx, fx) * y)) / 2 AS area, max(x) - min(x) AS w, max(y) - min(y) AS h, max(degrees(atan2(ny - y, nx - x))) FILTER (rn = 1) AS b FROM q GROUP BY k)
+SELECT s.k AS l_orderkey, n, round(CASE WHEN n = 2 THEN 2 * w + h ELSE length END, 6) AS length, round(CASE WHEN n = 2 THEN 2 * (w + h) ELSE perimeter END, 6) AS perimeter,
+ CASE WHEN n = 2 THEN round(w * h, 6) WHEN NOT coalesce(crosses, FALSE) THEN round(area, 6) END AS area, round((b + 360) % 360, 6) AS bearing FROM s LEFT JOIN x ON s.k = x.k WHERE n >= 2"""
 
 
 def m3_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "lineitem").select("l_orderkey", F.expr(LINE_ORDER_SQL).alias("ord"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
-    return geometry.crossings(p, ["l_orderkey"])
+    p = table(spark, sf_dir, "lineitem").select("l_orderkey", F.expr(LINE_ORDER_SQL).alias("ord"), F.col("l_quantity").alias("x"), F.floor("l_extendedprice").alias("y"))
+    return geometry.crosses_itself(p, ["l_orderkey"])
 
 
-M3_SQL = """WITH p AS (SELECT l_orderkey AS k, row_number() OVER w AS i, l_quantity AS ax, l_extendedprice AS ay, lead(l_quantity) OVER w AS bx, lead(l_extendedprice) OVER w AS by_ FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber + l_extendedprice / 1e9)),
-s AS (SELECT * FROM p WHERE bx IS NOT NULL), j AS (SELECT a.*, b.ax AS cx, b.ay AS cy, b.bx AS dx, b.by_ AS dy FROM s a JOIN s b ON a.k = b.k AND b.i > a.i + 1)
-SELECT k AS l_orderkey, count(*) FILTER (sign((bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax)) * sign((bx - ax) * (dy - ay) - (by_ - ay) * (dx - ax)) < 0
- AND sign((dx - cx) * (ay - cy) - (dy - cy) * (ax - cx)) * sign((dx - cx) * (by_ - cy) - (dy - cy) * (bx - cx)) < 0) AS crossings FROM j GROUP BY k"""
+M3_SQL = f"""WITH p AS (SELECT l_orderkey AS k, l_linenumber + l_extendedprice / 1e9 AS i, l_quantity AS x, floor(l_extendedprice) AS y FROM lineitem), {RING_SQL}
+SELECT a.k AS l_orderkey, coalesce(crosses, FALSE) AS crosses FROM (SELECT DISTINCT k FROM p) a LEFT JOIN x USING (k)"""
 
 
 def c5b_rect_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,18 +304,18 @@ def t17_block_style(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 T17_SQL = f"""WITH {GLYPH_SQL}, s AS (SELECT p_partkey, CASE WHEN regexp_matches(ch, '[aeiou]') THEN 'Serif' ELSE 'Sans' END AS font, ord FROM w WHERE ch <> ' '),
-c AS (SELECT p_partkey, font, count(*) AS n, min(ord) AS o FROM s GROUP BY ALL) SELECT p_partkey, 10.0 AS size, font FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY n DESC, o) AS rn FROM c) WHERE rn = 1"""
+c AS (SELECT p_partkey, font, count(*) AS n, max(ord) AS o FROM s GROUP BY ALL) SELECT p_partkey, 10.0 AS size, font FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY n DESC, o) AS rn FROM c) WHERE rn = 1"""
 
 
 def t18_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", F.expr(LINE_ORDER_SQL).alias("ord"), F.when(F.col("l_orderkey") % 3 == 0, 50 - F.col("l_quantity")).otherwise(F.lit(0.0)).alias("x0"), F.when(F.col("l_orderkey") % 3 == 1, F.col("l_quantity")).otherwise(F.lit(50.0)).alias("x1"), F.lit(0.0).alias("b0"), F.lit(50.0).alias("b1"))
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", F.expr(LINE_ORDER_SQL).alias("ord"), F.when(F.col("l_orderkey") % 3 == 0, 50 - F.col("l_quantity")).otherwise(F.lit(0.0)).alias("x0"), F.when(F.col("l_orderkey") % 3 == 1, F.col("l_quantity")).otherwise(F.lit(50.0)).alias("x1"), F.lit(0.0).alias("b0"), F.lit(50.0).alias("b1"), F.when(F.col("l_orderkey") % 2 == 0, 50.0).otherwise(80.0).alias("width"))
     return layout.line_alignment(line, ["l_orderkey"])
 
 
 T18_SQL = """WITH l AS (SELECT l_orderkey, l_linenumber + l_extendedprice / 1e9 AS o, CASE WHEN l_orderkey % 3 = 0 THEN 50 - l_quantity ELSE 0 END AS x0, CASE WHEN l_orderkey % 3 = 1 THEN l_quantity ELSE 50 END AS x1 FROM lineitem),
-p AS (SELECT l_orderkey, abs(x0) <= 1 AS l, abs(x1 - 50) <= 1 AS r, abs(x0 + x1 - 50) <= 1 AS c, row_number() OVER (PARTITION BY l_orderkey ORDER BY o DESC) = 1 AS tail FROM l),
-e AS (SELECT l_orderkey, count(*) AS n, bool_and(l) AS l, bool_and(r) AS r, bool_and(c) AS c, bool_and(r OR tail) AS body, bool_or(tail AND NOT r) AS open FROM p GROUP BY l_orderkey)
-SELECT l_orderkey, CASE WHEN n >= 2 AND l AND body AND open THEN 'justify' WHEN n >= 2 AND r AND NOT l THEN 'right' WHEN c AND NOT l THEN 'center' ELSE 'left' END AS align FROM e"""
+p AS (SELECT l_orderkey, abs(x0) <= 1 AS l, abs(x1 - 50) <= 1 AS r, abs((x0 + x1) / 2 - 25) <= 1 AS c, row_number() OVER (PARTITION BY l_orderkey ORDER BY o DESC) = 1 AS tail FROM l),
+e AS (SELECT l_orderkey, count(*) AS n, bool_and(l) AS l, bool_and(r) AS r, bool_and(c) AS c, bool_and(r OR tail) AS body FROM p GROUP BY l_orderkey)
+SELECT l_orderkey, CASE WHEN n >= 2 AND l AND body AND NOT r THEN 'justify' WHEN n >= 2 AND r AND NOT l THEN 'right' WHEN n >= 2 AND NOT l AND c THEN 'center' WHEN n = 1 AND l_orderkey % 2 = 0 THEN 'center' ELSE 'left' END AS align FROM e"""
 
 
 def b1_batch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,14 +335,14 @@ def b3_batch_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "c1_comment_threads": c1_comment_threads, "c5b_rect_overlap": c5b_rect_overlap, "d4_tiles": d4_tiles, "d8_annotation_counts": d8_annotation_counts, "g1_preorder": g1_preorder, "g3_node_pages": g3_node_pages,
+    "c1_comment_threads": c1_comment_threads, "c1_thread_states": c1_thread_states, "c5b_rect_overlap": c5b_rect_overlap, "d4_tiles": d4_tiles, "d8_annotation_counts": d8_annotation_counts, "g1_preorder": g1_preorder, "g3_node_pages": g3_node_pages,
     "g5_resolved_roles": g5_resolved_roles, "g6_reachable": g6_reachable, "u5_structure_rules": u5_structure_rules, "v1_journal": v1_journal, "v4_retention": v4_retention, "v5_cleanup": v5_cleanup,
     "l5_recent": l5_recent, "l8_orphans": l8_orphans, "m1_chains": m1_chains, "m3_crossings": m3_crossings, "k1_merged_intervals": k1_merged_intervals, "k2_clusters": k2_clusters, "i1_otsu": i1_otsu,
     "i2_skew": i2_skew, "t2_words": t2_words, "t17_block_style": t17_block_style, "t18_alignment": t18_alignment, "b1_batch_plan": b1_batch_plan, "b3_batch_run": b3_batch_run,
 }
 
 ORACLE_SQL = {
-    "c1_comment_threads": C1_SQL, "c5b_rect_overlap": C5B_SQL, "d4_tiles": D4_SQL, "d8_annotation_counts": D8_SQL, "g1_preorder": G1_SQL, "g3_node_pages": G3_SQL, "g5_resolved_roles": G5_SQL,
+    "c1_comment_threads": C1_SQL, "c1_thread_states": C1S_SQL, "c5b_rect_overlap": C5B_SQL, "d4_tiles": D4_SQL, "d8_annotation_counts": D8_SQL, "g1_preorder": G1_SQL, "g3_node_pages": G3_SQL, "g5_resolved_roles": G5_SQL,
     "g6_reachable": G6_SQL, "u5_structure_rules": U5_SQL, "v4_retention": V4_SQL, "v5_cleanup": V5_SQL, "l5_recent": L5_SQL, "l8_orphans": L8_SQL, "m1_chains": M1_SQL, "m3_crossings": M3_SQL,
     "k1_merged_intervals": K1_SQL, "k2_clusters": K2_SQL, "i1_otsu": I1_SQL, "i2_skew": I2_SQL, "t2_words": T2_SQL, "t17_block_style": T17_SQL, "t18_alignment": T18_SQL, "b1_batch_plan": B1_SQL,
 }

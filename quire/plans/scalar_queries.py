@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from quire.functions import dates as dt
 from quire.functions import numbers as nm
+from quire.functions import text as tx
 from quire.operators import forms, rules
 from quire.sources.tables import table
 
+# The stops of the zoom, in percent.
+ZOOM = [10, 25, 50, 75, 100, 125, 150, 200, 300, 400]
+
 # A price as people write it, in a style that depends on the line: plain, comma, grouped either way, with a tail, and so on.
 WRITTEN = """CASE l_linenumber WHEN 1 THEN cents WHEN 2 THEN replace(cents, '.', ',') WHEN 3 THEN concat('1.', right(concat('000', whole), 3), ',', right(cents, 2))
  WHEN 4 THEN concat('1,', right(concat('000', whole), 3), '.', right(cents, 2)) WHEN 5 THEN concat(whole, ' kg') WHEN 6 THEN concat('-', whole) ELSE concat('=', whole) END"""
@@ -27,18 +31,19 @@ n AS (SELECT l_orderkey, l_linenumber, {WRITTEN} AS t FROM c)"""
 
 
 def f2_form_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return written_numbers(spark, sf_dir).select("l_orderkey", "l_linenumber", nm.form_number(F.col("t")).alias("value"))
+    """Values by their own marks, and as fields of the style with points for groups and a comma."""
+    return written_numbers(spark, sf_dir).select("l_orderkey", "l_linenumber", nm.form_number(F.col("t")).alias("value"), nm.form_number(F.col("t"), F.lit(2)).alias("styled"))
 
 
-F2_SQL = f"""WITH {NUMBERS_SQL}, k AS (SELECT *, regexp_extract(t, '^[-+]?[0-9][0-9.,]*') AS k FROM n),
-m AS (SELECT *, length(k) - length(replace(k, ',', '')) AS commas, length(k) - length(replace(k, '.', '')) AS points, regexp_extract(k, '([.,])[^.,]*$', 1) AS last FROM k),
-d AS (SELECT *, CASE WHEN commas > 0 AND points > 0 THEN last WHEN commas + points = 1 THEN last END AS dec FROM m)
-SELECT l_orderkey, l_linenumber, CASE WHEN k <> '' THEN try_cast(CASE dec WHEN ',' THEN replace(replace(k, '.', ''), ',', '.') WHEN '.' THEN replace(k, ',', '') ELSE regexp_replace(k, '[.,]', '', 'g') END AS DOUBLE) END AS value FROM d"""
+F2_SQL = rf"""WITH {NUMBERS_SQL}, k AS (SELECT *, regexp_extract(t, '^\s*([-+]?)(\d[\d.,''’]*|[.,]\d+)', 2) AS k, regexp_extract(t, '^\s*([-+]?)(\d[\d.,''’]*|[.,]\d+)', 1) AS s FROM n),
+b AS (SELECT *, regexp_replace(k, '[''’]', '', 'g') AS b FROM k), m AS (SELECT *, length(b) - length(replace(b, ',', '')) AS commas, length(b) - length(replace(b, '.', '')) AS points FROM b),
+d AS (SELECT *, (commas > 0 AND points > 0) OR commas + points = 1 AS dec FROM m),
+v AS (SELECT *, CASE WHEN k <> '' THEN CASE WHEN s = '-' THEN -1 ELSE 1 END * (coalesce(nullif(regexp_replace(CASE WHEN dec THEN regexp_extract(b, '^(.*)[.,]', 1) ELSE b END, '[.,]', '', 'g'), ''), '0') || '.' || CASE WHEN dec THEN coalesce(nullif(regexp_extract(b, '[.,]([^.,]*)$', 1), ''), '0') ELSE '0' END)::DOUBLE END AS value FROM d)
+SELECT l_orderkey, l_linenumber, value, CASE WHEN regexp_matches(k, '^(?:\d+|[1-9]\d{{0,2}}(?:\.\d{{3}})+)(?:,\d+)?$') THEN CASE WHEN s = '-' THEN -1 ELSE 1 END * replace(replace(k, '.', ''), ',', '.')::DOUBLE ELSE value END AS styled FROM v"""
 
 
 def f3_cell_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("t")
-    return written_numbers(spark, sf_dir).select("l_orderkey", "l_linenumber", nm.cell_number(t).alias("value"), nm.is_formula(t).alias("formula"), nm.csv_field(t).alias("field"))
+    return nm.with_cells(written_numbers(spark, sf_dir), "t").drop("t")
 
 
 F3_SQL = f"""WITH {NUMBERS_SQL}, s AS (SELECT *, regexp_replace(t, '^-', '') AS b FROM n),
@@ -73,17 +78,18 @@ F9_SQL = """WITH p AS (SELECT o_orderkey, o_orderkey % 3 AS k, o_orderdate AS d
 SELECT o_orderkey, CASE k WHEN 0 THEN strftime(d, '%d/%m/%Y') WHEN 1 THEN day(d) || '.' || month(d) || '.' || strftime(d, '%y') ELSE strftime(d, '%m/%d/%Y') END AS t,
  CASE WHEN k < 2 THEN strftime(d, '%Y-%m-%d') WHEN day(d) <= 12 THEN strftime(d, '%Y-%d-%m') END AS iso FROM p"""
 
-CALCULATIONS = [("net", "quantity * (line + 1) - 3"), ("each", "net / 4"), ("most", "max(each, -(2) + missing.name)"), ("odd", "net / missing")]
+CALCULATIONS = [("net", "quantity * (line + 1) - 3"), ("third", "net / 3"), ("back", "third * 3 + 0.25"), ("most", "max(third, -(2) + missing.name)"), ("odd", "net / (line - 1)")]
 
 
 def f11_calculations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calculations that build on each other; a third that were rounded could not be made whole again."""
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_quantity").alias("quantity"), F.col("l_linenumber").alias("line"))
     return forms.calculated(line, CALCULATIONS).select("l_orderkey", "line", *[t for t, _ in CALCULATIONS])
 
 
-F11_SQL = """WITH n AS (SELECT l_orderkey, l_linenumber AS line, (l_quantity * (l_linenumber + 1) - 3)::BIGINT AS n FROM lineitem),
-e AS (SELECT *, (n // 4)::VARCHAR || ['', '.25', '.5', '.75'][n % 4 + 1] AS e FROM n WHERE n >= 0 UNION ALL SELECT *, '-' || CASE WHEN n = -1 THEN '0.25' WHEN n = -2 THEN '0.5' ELSE '0.75' END FROM n WHERE n < 0)
-SELECT l_orderkey, line, n::VARCHAR AS net, e AS each, e AS most, '0' AS odd FROM e"""
+F11_TEXT = "regexp_replace(regexp_replace(printf('%.2f', {x}), '0+$', ''), '\\.$', '')"
+F11_SQL = f"""WITH n AS (SELECT l_orderkey, l_linenumber AS line, (l_quantity * (l_linenumber + 1) - 3)::DOUBLE AS n FROM lineitem)
+SELECT l_orderkey, line, {F11_TEXT.format(x="n")} AS net, {F11_TEXT.format(x="n / 3")} AS third, {F11_TEXT.format(x="n + 0.25")} AS back, {F11_TEXT.format(x="greatest(n / 3, -2)")} AS most, CASE WHEN line = 1 THEN '0' ELSE {F11_TEXT.format(x="n / (line - 1)")} END AS odd FROM n"""
 
 
 def f12_field_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,29 +107,24 @@ F12_SQL = """SELECT p_partkey, CASE WHEN p_size = 1 THEN 'read-only' WHEN k = 1
 
 
 def f14_header_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.lit("{file} {page}/{total} {date} {other}")
-    for key, value in (("page", F.col("l_linenumber").cast("string")), ("total", F.lit("7")), ("date", F.date_format("l_shipdate", "yyyy-MM-dd")), ("file", F.concat(F.lit("o"), F.col("l_orderkey").cast("string")))):
-        t = F.replace(t, F.lit("{" + key + "}"), value)
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", t.alias("header"))
+    values = {"page": F.col("l_linenumber").cast("string"), "total": F.lit("7"), "date": F.date_format("l_shipdate", "yyyy-MM-dd"), "file": F.concat(F.lit("o"), F.col("l_orderkey").cast("string"))}
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", tx.filled_template(F.lit("{file} {page}/{total} {date} {other}"), values).alias("header"))
 
 
 F14_SQL = "SELECT l_orderkey, l_linenumber, 'o' || l_orderkey || ' ' || l_linenumber || '/7 ' || strftime(l_shipdate, '%Y-%m-%d') || ' {other}' AS header FROM lineitem"
 
 
 def f16_limit_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", "\n")).alias("pages"), F.octet_length("text").alias("bytes"))
-    verdict = F.when(F.col("pages") > 2000, "too many pages").when(F.col("bytes") > 300_000_000, "too large").when(F.col("bytes") > 20_000, "view only").when(F.col("bytes") > 5_000, "warn").otherwise("ok")
-    return d.select("doc_id", verdict.alias("verdict"))
+    verdict = nm.limit_verdict(F.size(F.split("text", "\n")), F.octet_length("text"), warn=5_000, view=20_000)
+    return table(spark, sf_dir, "documents").select("doc_id", verdict.alias("verdict"))
 
 
-F16_SQL = """SELECT doc_id, CASE WHEN len(string_split(text, chr(10))) > 2000 THEN 'too many pages' WHEN strlen(text) > 300000000 THEN 'too large' WHEN strlen(text) > 20000 THEN 'view only' WHEN strlen(text) > 5000 THEN 'warn' ELSE 'ok' END AS verdict FROM documents"""
+F16_SQL = """SELECT doc_id, CASE WHEN len(string_split(text, chr(10))) > 2000 THEN 'too many pages' WHEN strlen(text) > 314572800 THEN 'too large' WHEN strlen(text) > 20000 THEN 'view only' WHEN strlen(text) > 5000 THEN 'warn' ELSE 'ok' END AS verdict FROM documents"""
 
 
 def f17_zoom_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The stops of the zoom, in percent.
-    stops = F.array(*[F.lit(z) for z in (10, 25, 50, 75, 100, 125, 150, 200, 300, 400)])
     at = F.col("p_size") * 8
-    return table(spark, sf_dir, "part").select("p_partkey", F.coalesce(F.array_min(F.filter(stops, lambda z: z > at)), F.lit(400)).alias("next"), F.coalesce(F.array_max(F.filter(stops, lambda z: z < at)), F.lit(10)).alias("previous"))
+    return table(spark, sf_dir, "part").select("p_partkey", nm.zoom_stop(at, ZOOM, up=True).alias("next"), nm.zoom_stop(at, ZOOM, up=False).alias("previous"))
 
 
 F17_SQL = """WITH s AS (SELECT [10, 25, 50, 75, 100, 125, 150, 200, 300, 400] AS s) SELECT p_partkey, coalesce(list_min(list_filter(s, lambda z: z > p_size * 8)), 400) AS next, coalesce(list_max(list_filter(s, lambda z: z < p_size * 8)), 10) AS previous FROM part, s"""

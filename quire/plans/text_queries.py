@@ -83,15 +83,17 @@ SELECT doc_id, md5(text) AS md5, length(text) AS n FROM r"""
 
 
 def t8_markdown_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = F.split("text", "\n")
-    body = F.array_join(F.transform(split, tx.markdown_escape), "\n")
-    return docs(spark, sf_dir).select("doc_id", F.md5(body).alias("md5"), F.length(body).alias("n"))
+    """Every document as Markdown, each of its lines a paragraph; lines are given marks that must be escaped."""
+    k = F.col("doc_id") % 5
+    lead = F.when(k == 0, "- ").when(k == 1, "12) ").when(k == 2, "a_b~c [d] &amp; ").when(k == 3, "1234567890. ").otherwise(" > ")
+    body = F.array_join(F.transform(F.split("text", "\n"), lambda x: tx.markdown_escape(F.concat(lead, x))), "\n\n")
+    return docs(spark, sf_dir).select("doc_id", F.md5(body).alias("md5"), tx.utf16_length(body).alias("n"))
 
 
-T8_SQL = r"""WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x:
-  regexp_replace(regexp_replace(regexp_replace(x, '([\\`*_\[\]<>])', '\\\1', 'g'), '^(\s*)([#>+-])', '\1\\\2'), '^(\s*\d+)([.)])(\s)', '\1\\\2\3')) AS l FROM documents),
-b AS (SELECT doc_id, array_to_string(l, chr(10)) AS t FROM l)
-SELECT doc_id, md5(t) AS md5, length(t) AS n FROM b"""
+T8_SQL = r"""WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: ['- ', '12) ', 'a_b~c [d] &amp; ', '1234567890. ', ' > '][doc_id % 5 + 1] || x) AS l FROM documents),
+e AS (SELECT doc_id, list_transform(l, lambda x: regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '([\\`*_\[<~])', '\\\1', 'g'), '&(#?[0-9A-Za-z_]+;)', '\\&\1', 'g'), '^([#>+-])', '\\\1'), '^(\d{1,9})([.)])(\s|$)', '\1\\\2\3')) AS l FROM l),
+b AS (SELECT doc_id, array_to_string(l, chr(10) || chr(10)) AS t FROM e)
+SELECT doc_id, md5(t) AS md5, length(t) + len(regexp_extract_all(t, '[\x{10000}-\x{10FFFF}]')) AS n FROM b"""
 
 
 def t10_empty_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +142,8 @@ def p10_safe_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", tx.safe_suffix(F.col("url")).alias("suffix"))
 
 
-P10_SQL = r"""SELECT page_id, regexp_replace(left(trim(regexp_replace(regexp_replace(url, '[\\/:*?"<>|\x00-\x1f]', ' ', 'g'), '\s+', ' ', 'g')), 60), '^[. ]+|[. ]+$', '', 'g') AS suffix FROM pages"""
+P10_SQL = r"""WITH s AS (SELECT page_id, regexp_replace(left(trim(regexp_replace(regexp_replace(url, '[\\/:*?"<>|\x00-\x1f\x7f]+', ' ', 'g'), '\s+', ' ', 'g')), 60), '^[. ]+|[. ]+$', '', 'g') AS s FROM pages)
+SELECT page_id, CASE WHEN s = '' THEN '' ELSE '-' || s END AS suffix FROM s"""
 
 
 def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -155,14 +158,32 @@ def d1_line_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d2_page_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare.page_status(*_versions(spark, sf_dir)).groupBy("pair").pivot("status", ["identical", "changed", "added", "removed"]).count().fillna(0)
+    """Both versions by page, the left one without its last page where a document has an even number of them, the right
+    one without it where the number is divisible by three."""
+    left, right = _versions(spark, sf_dir)
+    last = left.groupBy("pair").agg(F.max("page").alias("last"))
+    kept = lambda rows, drop: rows.join(last, "pair").where(~((F.col("page") == F.col("last")) & drop)).drop("last")
+    both = compare.page_status(kept(left, F.col("last") % 2 == 1), kept(right, (F.col("last") % 3 == 2) & (F.col("last") % 2 == 0)))
+    return both.groupBy("pair").pivot("status", ["identical", "changed", "added", "removed"]).count().fillna(0)
+
+
+D2_SQL = f"""WITH {PAGES_SQL}, z AS (SELECT doc_id, max(page) AS z FROM pages GROUP BY doc_id),
+r AS (SELECT doc_id, page, z, replace(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT starts_with(x, 'The')), chr(10)), 'tion', 'cion') AS t, text FROM pages JOIN z USING (doc_id)),
+c AS (SELECT doc_id, page = z AND z % 2 = 1 AS new, page = z AND z % 6 = 2 AS gone, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '\\s+$', '')), lambda x: x <> '') =
+  list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '\\s+$', '')), lambda x: x <> '') AS same FROM r)
+SELECT doc_id AS pair, count(*) FILTER (NOT new AND NOT gone AND same) AS identical, count(*) FILTER (NOT new AND NOT gone AND NOT same) AS changed, count(*) FILTER (new) AS added, count(*) FILTER (gone) AS removed FROM c GROUP BY doc_id"""
 
 
-D2_SQL = f"""WITH {PAGES_SQL},
-r AS (SELECT doc_id, page, replace(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT starts_with(x, 'The')), chr(10)), 'tion', 'cion') AS t, text FROM pages),
-c AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '\\s+$', '')), lambda x: x <> '') =
-  list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '\\s+$', '')), lambda x: x <> '') AS same FROM r)
-SELECT doc_id AS pair, count(*) FILTER (same) AS identical, count(*) FILTER (NOT same) AS changed, 0 AS added, 0 AS removed FROM c GROUP BY doc_id"""
+def d2_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact counters of each pair; in the second version lines that start with `The` are gone."""
+    left, _ = _versions(spark, sf_dir)
+    right = left.withColumn("text", F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.startswith(x, F.lit("The"))), "\n"))
+    return compare.summary(compare.compare_pages(left, right), compare.page_status(left, right)).drop("truncated", "reasons")
+
+
+D2S_SQL = f"""WITH {PAGES_SQL}, l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '\\s+$', '')), lambda x: x <> '') AS l FROM pages),
+g AS (SELECT doc_id, len(list_filter(l, lambda x: starts_with(x, 'The'))) AS gone FROM l)
+SELECT doc_id AS pair, 0 AS added_lines, sum(gone)::BIGINT AS removed_lines, 0 AS changed_lines, count(*) FILTER (gone = 0) AS identical, count(*) FILTER (gone > 0) AS changed, 0 AS added, 0 AS removed FROM g GROUP BY doc_id"""
 
 
 def d5_word_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,13 +237,13 @@ QUERIES = {
     "s1_document_search": s1_document_search, "s3_case_fold": s3_case_fold, "s4_dotted_i_search": s4_dotted_i_search, "s9_replacement_guard": s9_replacement_guard,
     "s10_replace_plan": s10_replace_plan, "s11_replaced_text": s11_replaced_text, "t8_markdown_export": t8_markdown_export, "t10_empty_pages": t10_empty_pages,
     "t11_page_words": t11_page_words, "t12_letter_counts": t12_letter_counts, "x1_utf16_lengths": x1_utf16_lengths, "f19_html_escape": f19_html_escape,
-    "p10_safe_suffix": p10_safe_suffix, "d1_line_diff": d1_line_diff, "d2_page_status": d2_page_status, "d5_word_recall": d5_word_recall, "d9_edit_distance": d9_edit_distance,
+    "p10_safe_suffix": p10_safe_suffix, "d1_line_diff": d1_line_diff, "d2_page_status": d2_page_status, "d2_summary": d2_summary, "d5_word_recall": d5_word_recall, "d9_edit_distance": d9_edit_distance,
     "u2_redaction_audit": u2_redaction_audit, "u4_masked_text": u4_masked_text, "t4_line_statistics": line_statistics,
 }
 
 ORACLE_SQL = {
     "s1_document_search": S1_SQL, "s3_case_fold": S3_SQL, "s4_dotted_i_search": S4_SQL, "s9_replacement_guard": S9_SQL, "s10_replace_plan": S10_SQL, "s11_replaced_text": S11_SQL,
     "t8_markdown_export": T8_SQL, "t10_empty_pages": T10_SQL, "t11_page_words": T11_SQL, "t12_letter_counts": T12_SQL, "x1_utf16_lengths": X1_SQL, "f19_html_escape": F19_SQL,
-    "p10_safe_suffix": P10_SQL, "d2_page_status": D2_SQL, "d5_word_recall": D5_SQL, "d9_edit_distance": D9_SQL, "u2_redaction_audit": U2_SQL, "u4_masked_text": U4_SQL,
+    "p10_safe_suffix": P10_SQL, "d2_page_status": D2_SQL, "d2_summary": D2S_SQL, "d5_word_recall": D5_SQL, "d9_edit_distance": D9_SQL, "u2_redaction_audit": U2_SQL, "u4_masked_text": U4_SQL,
     "t4_line_statistics": LINES_SQL,
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -60,17 +61,27 @@ def csv_rows(text: str, delimiter: str) -> list[list[str]]:
 
 
 def sniff_delimiter(text: str) -> str:
-    """Comma, semicolon or tab: the one that makes most fields in the first five lines, by far if all lines agree."""
-    best, top = ",", 0
+    """Comma, semicolon or tab: the one that makes most fields of the first line, by far if the first five lines agree
+    (lines end with \\n or \\r\\n; empty ones don't count)."""
+    best, top = ",", -1
+    lines = [line for line in re.split(r"\r?\n", text, maxsplit=5)[:5] if line]
     for d in ",;\t":
-        counts = [len(csv_rows(line, d)[0]) for line in text.splitlines()[:5] if line.strip()]
-        score = max(counts, default=0)
-        score = 0 if score <= 1 else score + 100 * (len(set(counts)) == 1)
+        counts = [len(next(iter(csv_rows(line, d)), [])) for line in lines]
+        first = counts[0] if counts else 0
+        score = first + 100 * (len(set(counts)) == 1) if first > 1 else 0
         if score > top:
             best, top = d, score
     return best
 
 
+def as_table(rows: list[list[str]], most_columns: int = 1_000, most_cells: int = 2_000_000) -> list[list[str]]:
+    """Rows as wide as the widest, missing cells empty; refused beyond the bounds of columns and cells."""
+    width = max(map(len, rows), default=0)
+    if width > most_columns or len(rows) * width > most_cells:
+        raise ValueError(f"a table of {len(rows)} rows and {width} columns is too large")
+    return [row + [""] * (width - len(row)) for row in rows]
+
+
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     """(path, row, fields) of delimited files; each file is read whole, by the encoding and delimiter it seems to have."""
 

@@ -1,3 +1,5 @@
+from itertools import groupby
+
 import pytest
 from pyspark.sql import functions as F
 from quire.functions import dates, numbers, text
@@ -34,8 +36,28 @@ def test_replacement_guard(spark):
 
 
 def test_form_numbers(spark):
-    rows = ["1.234,56", "1,234.56", "12,5", "1.234.567", "7 kg", "-3", "none", "", None, "1'000"]
-    assert values(spark, rows, numbers.form_number(F.col("x"))) == [1234.56, 1234.56, 12.5, 1234567.0, 7.0, -3.0, None, None, None, 1000.0]
+    rows = ["1.234,56", "1,234.56", "12,5", "1.234.567", "7 kg", "-3", "none", "", None, "1'000", ".5", "-,25", "0.125", "1.234"]
+    assert values(spark, rows, numbers.form_number(F.col("x"))) == [1234.56, 1234.56, 12.5, 1234567.0, 7.0, -3.0, None, None, None, 1000.0, 0.5, -0.25, 0.125, 1.234]
+    styled = lambda k, x: values(spark, [x], numbers.form_number(F.col("x"), F.lit(k)))[0]
+    assert [styled(2, x) for x in ("1.234", "1.234,5", "1235.56", "0.125")] == [1234.0, 1234.5, 1235.56, 0.125]
+    assert [styled(0, "1,234"), styled(1, "1,234"), styled(3, "1,5"), styled(4, "1'234.5")] == [1234.0, 1.234, 1.5, 1234.5]
+
+
+def test_sizes_and_percentages(spark):
+    rows = [0, 900, 1023, 1024, 1100, 1536, 1048524, 1048575, 5557452, -1, None]
+    want = ["0 B", "900 B", "1023 B", "1.0 KB", "1.1 KB", "1.5 KB", "1,023.9 KB", "1.0 MB", "5.3 MB", "—", "—"]
+    assert values(spark, rows, numbers.size_text(F.col("x")), kind="long") == want
+    assert values(spark, [1.4, 0.0037], numbers.percent_text(F.col("x"), 2), kind="double") == ["140.00%", "0.37%"]
+
+
+def test_markdown_escapes(spark):
+    rows = ["a*b_c`d", "~~x~~ [l](u) <b> &amp; & b", "# head", " # no", "- item", "12. item", "12) item", "1234567890. no", "7.", "a > b ] c", "7.5 is a number"]
+    want = [r"a\*b\_c\`d", r"\~\~x\~\~ \[l](u) \<b> \&amp; & b", r"\# head", " # no", r"\- item", r"12\. item", r"12\) item", "1234567890. no", r"7\.", "a > b ] c", "7.5 is a number"]
+    assert values(spark, rows, text.markdown_escape(F.col("x"))) == want
+
+
+def test_file_name_suffixes(spark):
+    assert values(spark, ["a/b: c\x7f", " .. ", "x" * 70], text.safe_suffix(F.col("x"))) == ["-a b c", "", "-" + "x" * 60]
 
 
 def test_cell_numbers_and_formulas(spark):
@@ -54,9 +76,10 @@ def test_labels(spark):
 
 
 def test_pdf_dates(spark):
-    rows = ["D:20240229120000Z", "D:20230229", "D:2024", "D:20240101000000+02'30'", "20240101", "x", None]
+    rows = ["D:20240229120000Z", "D:20230229", "D:2024", "D:20240101000000+02'30'", "20240101", "x", None, " d:20240101 ", "D:20240101x", "D:0000", "D:20240101000000-0530", "D:20240101000000Z00'00'", "D:20240101000000+2400", "D:202413"]
     got = values(spark, rows, dates.pdf_date_text(dates.pdf_date(F.col("x"))))
-    assert got == ["D:20240229120000Z", None, "D:20240101000000Z", "D:20231231213000Z", "D:20240101000000Z", None, None]
+    assert got == ["D:20240229120000Z", None, "D:20240101000000Z", "D:20231231213000Z", None, None, None, "D:20240101000000Z", None, None, "D:20240101053000Z", "D:20240101000000Z", None, None]
+    assert values(spark, ["D:1970", "1970-01-01T00:01:00Z", "never", None], dates.review_seconds(F.col("x"))) == [0, 60, 0, 0]
     assert values(spark, ["31/02/1999", "1.2.70", "1.2.69", "13/13/2000"], dates.display_to_iso(F.col("x"))) == ["1999-02-31", "1970-02-01", "2069-02-01", None]
 
 
@@ -65,7 +88,10 @@ def test_expressions(spark):
     cases = {"a + b.c * 2": 25.0, "-(a)": -5.0, "a / 0": 0.0, "max(a, 7) - min(a, 7)": 2.0, "unknown + 1": 1.0, "(a - 1) / 2": 2.0, "8 / 4 / 2": 1.0}
     for e, want in cases.items():
         assert values(spark, [5.0], expression(e, fields), kind="double") == [want], e
-    for bad in ("a +", "a ** 2", "f(a)", "a; b", "", "max(a)", "__import__('os')"):
+    named = {"from": F.col("x"), "class": F.col("x") + 1, "f.1": F.col("x") + 2}
+    assert values(spark, [5.0], expression("from + class * f.1", named), kind="double") == [47.0]
+    assert values(spark, [5.0], expression("2 * -a - -1", fields), kind="double") == [-9.0]
+    for bad in ("a +", "a ** 2", "f(a)", "a; b", "", "max(a)", "__import__('os')", "1_000", "0x10", "1e3", ".5", "1.", "1.2.3", "min(a,b,)", "a // 2", "(a", "a b", "+a", "é"):
         with pytest.raises(FormError):
             expression(bad, fields)
 
@@ -86,6 +112,130 @@ def test_graphs_with_cycles(spark):
     assert sorted(map(tuple, graph.resolved_roles(roles, rounds=5).collect()), key=str) == [("A", "P"), ("B", "P"), ("X", None), ("Y", None)]
 
 
+def test_deep_trees_and_long_paths(spark):
+    from quire.operators import model
+
+    deep = [("k0", None, 0, True)] + [(f"k{k}", f"k{k - 1}", k, k % 10 != 0) for k in range(1, 100)] + [("x", "y", 0, True), ("y", "x", 0, True)]
+    nodes = spark.createDataFrame(deep, "key string, parent string, ord long, open boolean")
+    got = {r.key: (r.depth, r.path) for r in graph.preorder(nodes).collect()}
+    assert len(got) == 100 and got["k99"] == (99, "/".join(f"{k:012d}" for k in range(100)))
+    counts = {r.key: (r.total, r.visible, r["count"]) for r in model.outline_counts(nodes.where("key like 'k%'")).collect()}
+    for k in range(100):
+        shown = 0
+        for j in range(k + 1, 100):
+            shown += 1
+            if j % 10 == 0:
+                break
+        assert counts[f"k{k}"] == (99 - k, shown, shown if k == 0 or k % 10 else -shown)
+    with pytest.raises(Exception, match="circle|overflow"):
+        model.outline_counts(nodes, rounds=8).collect()
+
+
+def test_reachable_over_many_steps(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(210)] + [(5, 300), (300, 7), (400, 401)], "src long, dst long")
+    got = {r.node: r.distance for r in graph.reachable(spark.createDataFrame([(0,)], "node long"), edges).collect()}
+    assert got == {k: k for k in range(211)} | {300: 6}
+    near = graph.reachable(spark.createDataFrame([(0,), (400,)], "node long"), edges, most=2)
+    assert sorted(map(tuple, near.collect())) == [(0, 0), (1, 1), (2, 2), (400, 0), (401, 1)]
+
+
+def test_comment_threads(spark):
+    rows = [("a", None, None, 1, None, None), ("b", "a", "R", 9, None, None), ("c", "b", "R", 3, None, None), ("g", "a", "Group", 2, None, None), ("r", "a", "R", 4, "Accepted", None), ("s", "r", "R", 6, "Rejected", "Review"), ("m", "a", "R", 5, "Marked", "Marked"), ("o", "gone", "R", 1, None, None), ("x", "y", "R", 1, None, None), ("y", "x", "R", 1, None, None)]
+    df = spark.createDataFrame([(*r, r[3], r[0].upper()) for r in rows], "id string, parent string, reply_type string, ts int, state string, state_model string, ord int, author string")
+    assert [tuple(r) for r in graph.threads(df).orderBy("root", "place").collect()] == [("a", "c", 2, 0), ("a", "b", 1, 1)]
+    assert [tuple(r) for r in graph.thread_states(df).collect()] == [("a", 5, "Rejected", "S", 6, True)]
+
+
+def test_pages_below(spark):
+    nodes = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", "a")], "key string, parent string")
+    pages_of = spark.createDataFrame([("c", 3), ("c", 1), ("b", 3), ("d", 7)], "key string, page int")
+    assert {r.key: r.pages for r in graph.pages_below(nodes, pages_of).collect()} == {"a": [1, 3, 7], "b": [1, 3], "c": [1, 3], "d": [7]}
+
+
+def test_audit_of_many_short_needles(spark):
+    from quire.operators import rules
+
+    texts = ["alpha beta w17 gamma w1700", "xw3x w3 w3", "the quick brown fox jumps over", "w", "", None, "aXa aXaXa", "quick  brown fox jumps"]
+    needles = [f"w{k}" for k in range(1500)] + ["w", "é", "quick brown fox jumps", "brown fox", "aXa", " ", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ns = spark.createDataFrame(list(enumerate(needles)), "item_id long, text string")
+    want = {(d, i): t.count(n) for d, t in enumerate(texts) if t for i, n in enumerate(needles) if n.strip() and t.count(n)}
+    for few in (20_000, 10):
+        assert {(r.doc_id, r.item_id): r.hits for r in rules.audit(df, ns, few).collect()} == want
+    assert rules.audit(df, ns.where("false")).count() == 0
+
+
+def test_masked_spans_may_overlap(spark):
+    from quire.operators import rules
+
+    df = spark.createDataFrame([(1, "abcdefghij"), (2, "xyz"), (3, None)], "doc_id long, text string")
+    spans = spark.createDataFrame([(1, 2, 3), (1, 3, 4), (1, 9, 5), (2, 0, 1)], "doc_id long, start int, length int")
+    got = {r.doc_id: r.text for r in rules.masked(df, spans).collect()}
+    assert got == {1: "ab█████hi█", 2: "█yz", 3: None}
+
+
+def test_structure_rules(spark):
+    from quire.operators import rules
+
+    rows = [("l", None, "L"), ("c", "l", "Caption"), ("i", "l", "LI"), ("b", "i", "LBody"), ("j", "l", "LI"), ("t", None, "Table"), ("p", "t", "P"), ("h", "t", "THead"), ("d", "h", "TD"), ("k", "t", "Caption")]
+    nodes = spark.createDataFrame([(1, k, p, r) for k, p, r in rows], "doc_id long, key string, parent string, role string")
+    got = sorted((r.reason, r.key) for r in rules.nesting_rules(nodes).collect())
+    assert got == [("cell-outside-row", "d"), ("list-child", "c"), ("no-body", "j"), ("part-child", "d"), ("table-child", "p")]
+    mapping = spark.createDataFrame([(1, "P", "H1"), (1, "A", "B"), (1, "B", "P"), (1, "X", "Y"), (1, "Y", "X"), (2, "A", "Z")], "doc_id long, role string, target string")
+    used = spark.createDataFrame([(1, "A"), (1, "Q"), (2, "B"), (2, "P"), (2, "")], "doc_id long, role string")
+    found = sorted((r.doc_id, r.reason, r.key) for r in rules.role_map_rule(mapping, used, ["P", "H1"]).collect())
+    assert found == [(1, "remapped", "P"), (1, "unmapped", "Q"), (1, "unresolved", "X"), (1, "unresolved", "Y"), (2, "unmapped", "B"), (2, "unresolved", "A")]
+
+
+def test_measures(spark):
+    from quire.operators import geometry
+
+    shapes = {"tie": [(0, 0), (4, 4), (4, 0), (0, 4)], "box": [(0, 0), (0, 0), (4, 0), (4, 3), (0, 3), (0, 0)], "two": [(1, 1), (4, 5)], "touch": [(0, 0), (4, 0), (2, 0), (2, 3)], "tri": [(0, 0), (3, 0), (0, 4)]}
+    rows = [(k, i, float(x), float(y)) for k, points in shapes.items() for i, (x, y) in enumerate(points)]
+    df = spark.createDataFrame(rows, "k string, ord int, x double, y double")
+    got = {r.k: r for r in geometry.chains(df, ["k"]).collect()}
+    assert {k: r.area == r.area for k, r in got.items()} == {"tie": False, "box": True, "two": True, "touch": False, "tri": True}
+    assert (got["two"].area, got["two"].length, got["two"].perimeter) == (12, 10, 14) and got["two"].bearing == pytest.approx(53.1301, abs=1e-3)
+    assert (got["box"].area, got["tri"].area, got["tri"].perimeter, got["tie"].bearing) == (12, 6, 12, 45)
+    line = {r.k: r for r in geometry.chains(df, ["k"], mode="perimeter").collect()}
+    assert (line["tri"].length, line["tri"].perimeter, line["tri"].area) == (8, 8, 0)
+    with pytest.raises(Exception, match="two points"):
+        geometry.chains(df, ["k"], mode="distance").collect()
+    with pytest.raises(Exception, match="more than 128"):
+        geometry.crosses_itself(spark.range(129).selectExpr("1 AS k", "id AS ord", "id AS x", "id * id AS y"), ["k"]).collect()
+
+
+def test_overlaps_take_corners_in_any_order(spark):
+    from quire.operators import geometry
+
+    rects = spark.createDataFrame([(1, "a", 0, 0, 5, 5, "Text"), (1, "b", 9, 9, 6, 6, "Text"), (1, "c", 5, 5, 6, 6, "Text"), (1, "d", 0, 0, 5, 5, "Redact"), (2, "e", 0, 0, 5, 5, "Text")], "k int, id string, x0 int, y0 int, x1 int, y1 int, kind string")
+    marks = spark.createDataFrame([(1, 5, 5, 3, 3), (1, 7, 7, 8, 8)], "k int, x0 int, y0 int, x1 int, y1 int")
+    assert sorted(r.id for r in geometry.overlaps(rects, marks, ["k"]).collect()) == ["a", "b"]
+
+
+def test_alignment_and_style(spark):
+    from quire.operators import layout
+
+    lines = [("one", 1, 40.0, 60.0, 40.0, 60.0), ("off", 1, 0.0, 20.0, 0.0, 20.0), ("mid", 1, 10.0, 30.0, 5.0, 35.0), ("mid", 2, 5.0, 35.0, 5.0, 35.0), ("just", 1, 0.0, 50.0, 0.0, 50.0), ("just", 2, 0.0, 20.0, 0.0, 50.0)]
+    df = spark.createDataFrame([(*x, 100.0) for x in lines], "k string, ord int, x0 double, x1 double, b0 double, b1 double, width double")
+    assert {r.k: r["align"] for r in layout.line_alignment(df, ["k"]).collect()} == {"one": "center", "off": "left", "mid": "center", "just": "justify"}
+    glyphs = spark.createDataFrame([(1, k, "x", 10.0, f) for k, f in enumerate("ABBA")], "k int, ord int, ch string, size double, font string")
+    assert layout.block_style(glyphs, ["k"]).first()["font"] == "B"  # both have two, B came to two first
+
+
+def test_pages(spark):
+    docs = spark.createDataFrame([(1, 100), (2, 3), (3, 6), (4, 0)], "doc_id int, pages int")
+    picked = lambda n: {d: sorted(r.page for r in rows) for d, rows in groupby(pages.sampled(docs, n).orderBy("doc_id").collect(), key=lambda r: r.doc_id)}
+    assert picked(5) == {1: [0, 20, 40, 59, 99], 2: [0, 1, 2], 3: [0, 1, 2, 3, 5]} and picked(2) == {1: [0, 99], 2: [0, 2], 3: [0, 5]}
+    rows = spark.createDataFrame([(1, p, 5) for p in range(5)], "doc_id int, page int, pages int")
+    plan = lambda *a: sorted((r.part, r.name, r.first, r.last) for r in pages.split_plan(rows, *a).collect())
+    assert plan("every", 2) == [(0, "part-1", 0, 1), (1, "part-2", 2, 3), (2, "part-3", 4, 4)] and len(plan("single")) == 5
+    titles = spark.createDataFrame([(1, 1, 3, "B/x"), (1, 0, 3, "A: y"), (1, 2, 4, "..")], "doc_id int, ord int, page int, title string")
+    assert plan("bookmarks", 0, titles) == [(0, "1", 0, 2), (1, "2-A y", 3, 3), (2, "3", 4, 4)]
+    with pytest.raises(Exception, match="not there"):
+        pages.replaced_pages(rows, spark.createDataFrame([(1, 9, 0)], "doc_id int, page int, source_page int")).collect()
+
+
 def test_cleanup_is_refused_without_a_whole_inventory(spark):
     keys = spark.createDataFrame([("a",), ("b",)], "key string")
     assert [r.key for r in journal.cleanup(keys, keys.where("key = 'a'")).collect()] == ["b"]
@@ -94,6 +244,8 @@ def test_cleanup_is_refused_without_a_whole_inventory(spark):
 
 
 def test_form_json(spark):
+    kept = spark.createDataFrame([(1, '{"a": "{x}", "b": [1, "p", "q"], "c": {"d": 1}, "t": true, "n": null, "f": 1.5}')], "k int, json string")
+    assert sorted((r.name, r.value) for r in forms.form_json(kept).collect()) == [("a", "{x}"), ("b", "p, q"), ("f", "1.5"), ("t", "true")]
     df = spark.createDataFrame([(1, '{"fields": [{"name": "a", "value": "x"}, {"value": "y"}, {"name": "n", "value": 3}]}'), (2, '{"b": "z", "c": null}'), (3, "nonsense")], "k int, json string")
     assert sorted((r.k, r.name, r.value) for r in forms.form_json(df).collect()) == [(1, "a", "x"), (1, "n", "3"), (2, "b", "z")]
 
