@@ -6,7 +6,8 @@ gives a weight for each landmark and language. As the kernel is linear in presen
 (presence x landmarks) x weights is evaluated as presence x (landmarks x weights), for batches of whole texts.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; with no labelled rows every text is `und`;
-repeated rows come back repeated; a very long text is one set of n-grams like any other.
+of languages with equal outputs the first by name is predicted; repeated rows come back repeated; a very long text is one
+set of n-grams like any other; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import id_remainder
+from .common import cut_narrow, id_remainder
 
 SPECTRUM = (1, 2, 3)
 SPACE = 32
@@ -83,14 +84,15 @@ class KernelModel:
 
 
 def fit(texts: list[str], languages: list[str], landmarks: int = 160, ridge: float = 1e-3) -> KernelModel | None:
-    """Fit on labelled texts; the first `landmarks` of them, in turn from each language, are the landmarks."""
+    """Fit on labelled texts; the first `landmarks` of them, in turn from each language, are the landmarks, and one of
+    each language at least."""
     pairs = [(g, y) for t, y in zip(texts, languages, strict=True) if (g := grams(t)) is not None]
     names = sorted({y for _, y in pairs})
     if not names:
         return None
     by_name = {n: [k for k, (_, y) in enumerate(pairs) if y == n] for n in names}
     turns = [by_name[n][k] for k in range(max(map(len, by_name.values()))) for n in names if k < len(by_name[n])]
-    marks = turns[:landmarks]
+    marks = turns[: max(landmarks, len(names))]
     known = np.unique(np.concatenate([g for k in marks for g in pairs[k][0]]))
     presence = np.zeros((len(known), len(marks)))
     for j, k in enumerate(marks):
@@ -108,24 +110,30 @@ def fit(texts: list[str], languages: list[str], landmarks: int = 160, ridge: flo
     return KernelModel(names, known, presence @ weights)
 
 
-def labelled_sample(docs: DataFrame, doc_id: str, text: str, lang: str, per_language: int, most_languages: int) -> list:
-    """At most per_language labelled rows of each of the most_languages commonest languages, by a hash of doc_id."""
+def labelled_sample(docs: DataFrame, doc_id: str, text: str, lang: str, per_language: int, sample_rows: int, sample_bytes: int, broadcast_rows: int = 10_000) -> list:
+    """Labelled rows of every language, by a hash of doc_id: at most per_language of each, about sample_rows and
+    sample_bytes in all, dealt equally, but one row of each language at least."""
     rows = docs.where((id_remainder(F.col(f"`{doc_id}`"), 4) != 2) & F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull())
-    rows = rows.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{doc_id}`")).alias("h"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
-    if not counts:
+    rows = rows.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text"), F.xxhash64(F.col(f"`{doc_id}`")).alias("h"))
+    counts = cut_narrow(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    languages = counts.count()
+    if not languages:
         return []
+    each, room = max(1, min(per_language, sample_rows // languages)), sample_bytes // languages
     # a share of each language somewhat above what is wanted, then exactly as many by rank: no language is gathered whole
-    cuts = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 2.0 * per_language / r["n"])))])
     unit = F.col("h").bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
-    near = rows.where(unit < cuts[F.col("lang")])
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= per_language).orderBy("lang", "rank").collect()
+    near = rows.join(F.broadcast(counts) if languages <= broadcast_rows else counts, "lang").where(unit * F.col("n") < 2.0 * each + 20)
+    w = Window.partitionBy("lang").orderBy("h", "text")
+    used = F.sum(F.octet_length("text")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = near.select("lang", "text", F.row_number().over(w).alias("rank"), used.alias("used"))
+    return ranked.where((F.col("rank") == 1) | ((F.col("rank") <= each) & (F.col("used") <= room))).orderBy("lang", "rank").select("lang", "text").collect()
 
 
-def predict_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 250, most_languages: int = 200, rows: int = 128) -> DataFrame:
+def predict_languages(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 250, sample_rows: int = 50_000, sample_bytes: int = 64_000_000, rows: int = 128
+) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row. Predictions see the text alone."""
-    sample = labelled_sample(docs, doc_id, text, lang, per_language, most_languages)
+    sample = labelled_sample(docs, doc_id, text, lang, per_language, sample_rows, sample_bytes)
     model = docs.sparkSession.sparkContext.broadcast(fit([r["text"] for r in sample], [r["lang"] for r in sample]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

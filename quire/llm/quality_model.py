@@ -4,7 +4,8 @@ Each class has a mean and a covariance, shrunk towards the pooled one and its di
 difference of the two log densities (half squared Mahalanobis distances and log determinants, from Cholesky factors that
 are computed once) plus the log odds of the classes. Moments come from all labelled rows, in one aggregation.
 
-Defined results: a null text counts as empty and is scored like any other; where a class has no labelled row the score
+Defined results: a label that is given twice counts once, and a document with two different ones is not learned from; a
+null text counts as empty and is scored like any other; where a class has no labelled row the score
 is the share of good labels (0.5 without labels); repeated rows come back repeated; an empty table gives an empty result.
 """
 
@@ -84,7 +85,8 @@ class Discriminant:
 
 def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", pooled: float = 0.1, diagonal: float = 0.1) -> Discriminant:
     """Fit on all labelled rows of stats whose doc_id isn't held out (remainder 0 of 5)."""
-    own = labels.where(F.col(label).isin(0, 1) & (id_remainder(F.col("doc_id"), 5) != 0)).select("doc_id", F.col(label).cast("int").alias("y"))
+    own = labels.where(F.col(label).isin(0, 1) & (id_remainder(F.col("doc_id"), 5) != 0))
+    own = own.groupBy("doc_id").agg(F.min(label).cast("int").alias("y"), F.max(label).cast("int").alias("other")).where("y = other").select("doc_id", "y")
     pairs = [(i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
     sums = [F.sum(f).alias(f"s{i}") for i, f in enumerate(FEATURES)]
     sums += [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"p{i}_{j}") for i, j in pairs]

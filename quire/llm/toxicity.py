@@ -1,18 +1,21 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick on folded text, normalised by length.
 
-Entries are whole words or beginnings of words. Folding maps every character to one: case, look-alike letters of other scripts, and digits and signs that stand
-for letters. A hit counts where no letter of the original stands at either side, unless an exception phrase covers it.
-The lexicon is learned: entries that occur in clearly more toxic than clean documents of a labelled sample (at most
-`sample_rows` rows), weighted by the log of that ratio; entries given in `extra` are added. A logistic curve over the
-weight of the hits by length, fitted on the same sample, makes the score.
+Entries are whole words, or words less up to three last letters, which other endings may follow. Folding maps every
+character to one: case, accents, look-alike letters of other scripts, and digits and signs that stand for letters. A hit
+counts where no letter of the original stands at either side, unless an exception phrase covers it.
+The lexicon is learned from a labelled sample (at most `sample_rows` documents): entries of any length that occur in
+clearly more toxic than clean documents, weighted by the log of that ratio; entries given in `extra` are added. A
+logistic curve over the weight of the hits by length, fitted on the same sample, makes the score.
 
 Defined results: a null text counts as empty and gets the score of a text without hits; with no labelled rows only
-`extra` entries count; repeated rows come back repeated; an empty table gives an empty result.
+`extra` entries count; a label that is given twice counts once, and a document with two different ones is not learned
+from; of rows with equal doc_id one text is learned from, and all are scored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -23,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder, text_of
+from .common import cut, cut_narrow, id_remainder, text_of
 
-# Look-alike letters, and digits and signs that stand for letters. A 1 stands for i or l, so l counts as i.
-LOOKALIKES = dict(zip("аеорсухіјѕԁһвкмнтαεορυικντ", "aeopcyxijsdhbkmhtaeopyiknt", strict=True))
+# A letter and letters of other scripts that look like it; digits and signs that stand for letters. A 1 stands
+# for i or l, so l counts as i.
+LOOKALIKES = {c: word[0] for word in "aаα bвьβ cсϲ dԁժ eеєε gց hнһհ iіїɩι jјϳ kкκ mм nпηո oоοσօ pрρ qԛգ rг sѕ tтτ uυμս vѵν wѡωԝա xхχ yуγү zᴢζ".split() for c in word[1:]}
 SIGNS = dict(zip("0134578@$!l", "oieastbasii", strict=True))
+LETTER = re.compile(r"(?:LATIN|SYMBOL).* LETTER (?:[A-Z]{2,} )*([A-Z])(?: WITH .*)?$")
 # Phrases in which a word of the lexicon is harmless.
 EXCEPTIONS = ("trash can", "trash bin", "class clown", "clown fish", "pond scum", "idiot proof")
 
@@ -37,8 +42,10 @@ class _Fold(dict):
 
     def __missing__(self, point: int) -> str:
         c = chr(point).lower()[:1]
-        c = LOOKALIKES.get(c, c)
-        base = unicodedata.normalize("NFKC", c)[:1] or c
+        base = LOOKALIKES.get(c) or unicodedata.normalize("NFKD", c)[:1].lower() or c
+        if base > "\x7f" and (named := LETTER.search(unicodedata.name(base, ""))):
+            base = named[1].lower()  # letters with a stroke, small capitals, letters in boxes
+        base = LOOKALIKES.get(base, base)
         out = self[point] = SIGNS.get(base, base)
         return out
 
@@ -51,8 +58,8 @@ def fold(text: str) -> str:
 
 
 def entries_of(text: str) -> Counter:
-    """How often each entry occurs in a text: its folded words, as `=word`, and their beginnings of 3 to 8 characters,
-    as `^beginning`."""
+    """How often each entry occurs in a text: its folded words, as `=word`, and, as `^beginning`, what is left of them
+    when none to three of their last letters go, if that is three letters or more."""
     out: Counter = Counter()
     for w, times in Counter(text.split()).items():
         a, b = 0, len(w)
@@ -60,10 +67,10 @@ def entries_of(text: str) -> Counter:
             a += 1
         while b > a and not w[b - 1].isalnum():
             b -= 1
-        if 3 <= b - a <= 24:
+        if a < b:
             word = fold(w[a:b])
             out["=" + word] += times
-            for n in range(3, min(8, b - a) + 1):
+            for n in range(max(3, b - a - 3), b - a + 1):
                 out["^" + word[:n]] += times
     return out
 
@@ -110,47 +117,55 @@ def density(weight: float, text: str) -> float:
 
 
 def labelled_sample(labels: DataFrame, label: str, sample_rows: int) -> DataFrame:
-    """doc_id and y of at most sample_rows labelled rows that aren't held out (remainder 1 of 3), by a hash of doc_id."""
+    """doc_id and y of at most sample_rows labelled documents that aren't held out (remainder 1 of 3), by a hash of
+    doc_id; those with two different labels are left out."""
     own = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (id_remainder(F.col("doc_id"), 3) != 1))
-    return own.select("doc_id", F.col(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    own = own.groupBy("doc_id").agg(F.min(label).cast("int").alias("y"), F.max(label).cast("int").alias("other")).where("y = other")
+    return own.select("doc_id", "y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
 
 
 def _counted(sample: DataFrame) -> DataFrame:
-    """(e, docs, bad, good): in how many toxic documents an entry stands, how often in toxic and in clean ones."""
+    """(e, docs, clean, bad, good): in how many toxic and clean documents an entry stands, and how often in each."""
+    names = ["docs", "clean", "bad", "good"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, labels = batch.column("text").to_pylist(), batch.column("y").to_pylist()
             for start in range(0, len(texts), 512):
-                docs, counts = Counter(), [Counter(), Counter()]
+                docs, counts = [Counter(), Counter()], [Counter(), Counter()]
                 for t, y in zip(texts[start : start + 512], labels[start : start + 512], strict=True):
                     own = entries_of(t)
                     counts[y].update(own)
-                    if y:
-                        docs.update(own.keys())
+                    docs[y].update(own.keys())
                 keys = list(counts[0].keys() | counts[1].keys())
-                columns = [pa.array([c[k] for k in keys], pa.int64()) for c in (docs, counts[1], counts[0])]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *columns], names=["e", "docs", "bad", "good"])
+                columns = [pa.array([c[k] for k in keys], pa.int64()) for c in (docs[1], docs[0], counts[1], counts[0])]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *columns], names=["e", *names])
 
-    made = sample.mapInArrow(run, "e string, docs long, bad long, good long")
-    return made.groupBy("e").agg(*[F.sum(c).alias(c) for c in ("docs", "bad", "good")])
+    made = sample.mapInArrow(run, "e string, docs long, clean long, bad long, good long")
+    return made.groupBy("e").agg(*[F.sum(c).alias(c) for c in names])
 
 
-def learn_lexicon(sample: DataFrame, ratio: float = 8.0, candidates: int = 20_000) -> dict[str, float]:
+def learn_lexicon(sample: DataFrame, ratio: float = 8.0, support: int = 3, chance: float = 0.05) -> dict[str, float]:
     """Weights of words (`=word`) and beginnings of words (`^beginning`), from (text, y) rows.
 
     An entry's weight is the log of how much oftener it occurs among the words of toxic documents than of clean ones.
-    Of nested entries that make up nearly the same occurrences the longest stays; one that a shorter entry with more of
-    them covers goes. At most `candidates` entries come to the driver.
+    It must stand in `support` toxic documents, and in more of them than chance explains: by Chernoff's bound, fewer than
+    `chance` entries in all would pass if labels were dealt at random. So what is needed grows with the log of the number
+    of entries, not with the labels. Of nested entries that make up nearly the same occurrences the longest stays; one
+    that a shorter entry with more of them covers goes. What comes to the driver is bounded by the sample.
     """
     size = F.regexp_count("text", F.lit(r"[^ \t-\r]+"))
     totals = {r["y"]: r for r in sample.groupBy("y").agg(F.count("*").alias("n"), F.sum(size).alias("words")).collect()}
     if 1 not in totals:
         return {}
-    clean = totals[0]["words"] if 0 in totals else 0
+    clean, n_clean = (totals[0]["words"], totals[0]["n"]) if 0 in totals else (0, 0)
+    counted = cut_narrow(_counted(sample))
     odds = F.col("bad") / max(1, totals[1]["words"]) / ((F.col("good") + 2) / (clean + 2))
-    strong = _counted(sample).where(F.col("docs") >= max(3, totals[1]["n"] // 100)).withColumn("odds", odds).where(F.col("odds") >= ratio)
-    found = {r["e"]: (r["bad"], math.log(r["odds"])) for r in strong.orderBy(F.desc("bad"), "e").limit(candidates).collect()}
+    usual = min(0.5, totals[1]["n"] / (totals[1]["n"] + n_clean))
+    k, n = F.col("docs"), F.col("docs") + F.col("clean")
+    gain = k * F.ln(k / (n * usual)) + F.when(n > k, (n - k) * F.ln((n - k) / (n * (1 - usual)))).otherwise(0.0)
+    sure = (k >= support) & (k > n * usual) & (gain >= math.log(max(1, counted.count()) / chance))
+    found = {r["e"]: (r["bad"], math.log(r["odds"])) for r in counted.where(sure).withColumn("odds", odds).where(F.col("odds") >= ratio).collect()}
     longer: dict[str, int] = {}  # most toxic occurrences of an entry that extends a beginning
     for e, (bad, _) in found.items():
         for n in range(4, len(e) + (e[0] == "=")):
@@ -191,7 +206,8 @@ def fit_curve(x: np.ndarray, y: np.ndarray, least: float, rounds: int = 60, ridg
 def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = 12_000, least: float = 0.7, extra: dict[str, float] | None = None) -> DataFrame:
     """doc_id, held_out, score and predicted of every row. The sample's labels are broadcast: at most sample_rows."""
     narrow = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), text_of(F.col(f"`{text}`")).alias("text"))
-    sample = narrow.join(F.broadcast(labelled_sample(labels, label, sample_rows)), "doc_id").select("text", "y")
+    sample = narrow.join(F.broadcast(labelled_sample(labels, label, sample_rows)), "doc_id")
+    sample = cut(sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y"))
     weights = (extra or {}) | learn_lexicon(sample)
 
     def densities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

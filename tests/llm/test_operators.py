@@ -222,6 +222,29 @@ def test_language_held_out(docs, texts):
         assert (got.loc[i, "lang_pred"] == "und") == (not any(c.isalpha() for c in t))
 
 
+def test_string_kernels_equal_brute_force(spark):
+    texts = ["the cat sat on the mat", "a dog and the cat", "der hund und die katze", "die katze sitzt auf der matte", "le chat est sur le tapis", "Über 12 Äpfel!", "中文 texts"]
+    names = ["en", "en", "de", "de", "fr", "de", "en"]
+    folded = [" " + re.sub(" +", " ", "".join(c.lower() if c.isalpha() else " " for c in t)) + " " for t in texts]
+    sets = [[{x[k : k + n] for k in range(len(x) - n + 1)} for n in (1, 2, 3)] for x in folded]
+    kernel = np.array([[np.mean([len(a & b) / math.sqrt(len(a) * len(b)) for a, b in zip(x, y, strict=True)]) for y in sets] for x in sets])
+    model = language.fit(texts, names, landmarks=100, ridge=0.01)
+    target = np.array([[1.0 if y == n else -1.0 for n in model.languages] for y in names])
+    want = kernel @ np.linalg.solve(kernel + 0.01 * len(texts) * np.eye(len(texts)), target)  # with all texts as landmarks it is plain kernel ridge
+    assert model.outputs([language.grams(t) for t in texts]) == pytest.approx(want, abs=1e-6)
+    many = [chr(97 + k % 26) * 3 + chr(97 + k // 26) * 3 for k in range(300)]
+    assert len(language.fit(many, [f"l{k:03d}" for k in range(300)]).languages) == 300 and language.fit(many, many, landmarks=5).weights.any(axis=0).all()
+
+
+def test_language_sample_is_bounded_and_leaves_no_language_out(spark):
+    rows = [(k, f"text number {k} " * 20, "big") for k in range(3000)] + [(5000 + k, "x" * 500, f"s{k % 7}") for k in range(70)] + [(9000, None, "none"), (9001, "t", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = collections.Counter(r["lang"] for r in language.labelled_sample(df, "doc_id", "text", "lang", 50, 1000, 10**9))
+    assert set(got) == {"big"} | {f"s{k}" for k in range(7)} and got["big"] == 50
+    few = collections.Counter(r["lang"] for r in language.labelled_sample(df, "doc_id", "text", "lang", 50, 1000, 8 * 1000))
+    assert set(few) == set(got) and few["s0"] == 2 and few["big"] == 3
+
+
 WHITE = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
 
 
@@ -316,9 +339,45 @@ def test_toxicity_held_out(spark, docs, texts, sf):
     assert given.loc[10**6 + len(ODD) - 1, "score"] == given["score"].max() > given.loc[10**6, "score"]
 
 
+def test_toxicity_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    got = by_id(toxicity.score_toxicity(docs, labels))
+    both = got[got["held_out"]].join(labels.toPandas().set_index("doc_id")["toxic"], how="inner")
+    assert len(both) > 80 and (both["predicted"] == both["toxic"]).mean() >= 0.95
+    assert both[both["toxic"] == 1]["predicted"].mean() >= 0.75 and both[both["toxic"] == 0]["predicted"].mean() <= 0.02
+
+
+def test_toxicity_weights_equal_brute_force(spark):
+    rng = np.random.default_rng(2)
+    plain = [f"word{k}" for k in range(200)]
+    rows = []
+    for k in range(400):
+        y = int(k % 8 == 0)
+        words = list(rng.choice(plain, 30)) + (["vileness"] if y else []) + (["ux"] if y and k % 16 == 0 else []) + (["oncebad"] if k == 8 else [])
+        rows.append((" ".join(words), y))
+    weights = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, y int").repartition(3))
+    bad, good = (sum(len(t.split()) for t, y in rows if y == v) for v in (1, 0))
+    for word in ("vileness", "ux"):
+        n = sum(t.split().count(word) for t, y in rows if y)
+        assert next(w for e, w in weights.items() if toxicity.fold(word).startswith(e[1:])) == pytest.approx(math.log(n / bad / (2 / (good + 2))))
+    assert all(toxicity.fold("vileness").startswith(e[1:]) or e[1:] == "ux" for e in weights)  # a word of one document isn't learned
+
+
+def test_labels_given_twice(spark):
+    rows = [(k, "fine words here " + ("vile " * 3 if k % 4 == 0 else "")) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    once = spark.createDataFrame([(k, int(k % 4 == 0), int(k % 4 > 0)) for k in range(200)], "doc_id long, toxic int, quality int")
+    both = spark.createDataFrame([(1000, 1, 0), (1000, 0, 1)], once.schema)
+    extra = docs.union(spark.createDataFrame([(1000, "fine words here")], docs.schema))
+    for score in (toxicity.score_toxicity, quality_model.score_quality):
+        want = by_id(score(extra, once))["score"]
+        assert by_id(score(extra, once.union(once).union(both)))["score"].to_dict() == pytest.approx(want.to_dict())
+
+
 def test_toxicity_folds_and_excepts():
     own = toxicity.Matcher({"=idiot": 2.0, "=trash": 1.0, "^mor": 3.0, "=clown": 4.0})
-    for t, want in (("1D10T!", 2.0), ("an іdіоt.", 2.0), ("idiotic", 0.0), ("the trash can", 0.0), ("trash", 1.0), ("moronic", 3.0), ("humor", 0.0), ("", 0.0), ("a C10WN", 4.0), ("сlоwn", 4.0), ("class clown", 0.0)):
+    for t, want in (("1D10T!", 2.0), ("an іdіоt.", 2.0), ("idiotic", 0.0), ("the trash can", 0.0), ("trash", 1.0), ("moronic", 3.0), ("humor", 0.0), ("", 0.0), ("a C10WN", 4.0), ("сlоwn", 4.0), ("class clown", 0.0), ("ïdïøt", 2.0), ("🅸🅳🅸🅾🆃", 2.0), ("ıdıot", 2.0)):
         assert own.weight(t) == want, t
 
 
@@ -458,12 +517,39 @@ def test_quality_model_held_out(spark, sf, docs, texts):
     got = by_id(quality_model.score_quality(docs, labels))
     assert set(got.index[got["held_out"]]) == {i for i in texts if zlib.crc32(str(i).encode()) % 5 == 0}
     assert got["score"].between(0, 1).all() and (got["predicted"] == (got["score"] >= 0.3)).all()
-    both = got.join(labels.toPandas().set_index("doc_id")["quality"], how="inner")
-    assert (both["predicted"] == both["quality"]).mean() >= 0.9
     none = by_id(quality_model.score_quality(docs, labels.where("false")))
     assert (none["score"] == 0.5).all()
 
 
+def test_quality_model_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    got = by_id(quality_model.score_quality(docs, labels))
+    both = got[got["held_out"]].join(labels.toPandas().set_index("doc_id")["quality"], how="inner")
+    assert len(both) > 50 and (both["predicted"] == both["quality"]).mean() >= 0.97
+
+
+def test_quality_model_equals_a_plain_discriminant(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    got = by_id(quality_model.score_quality(docs, labels))
+    quality = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    x = {r.doc_id: np.array(quality_model.statistics(r.text or "")) for r in docs.collect()}
+    parts = [np.array([x[i] for i, q in quality.items() if q == y and i in x]) for y in (0, 1)]
+    n, d = [len(p) for p in parts], len(quality_model.FEATURES)
+    covs = [np.cov(p.T, bias=True) for p in parts]
+    pooled = (n[0] * covs[0] + n[1] * covs[1]) / sum(n)
+    logs = {i: [] for i in x}
+    for p, c in zip(parts, covs, strict=True):
+        c = 0.9 * c + 0.1 * pooled
+        c = 0.9 * c + 0.1 * np.diag(np.diag(c)) + 1e-4 * np.eye(d)
+        inverse, half = np.linalg.inv(c), 0.5 * np.linalg.slogdet(c)[1]
+        for i, v in x.items():
+            logs[i].append(-0.5 * (v - p.mean(axis=0)) @ inverse @ (v - p.mean(axis=0)) - half + math.log(len(p)))
+    for i, (a, b) in logs.items():
+        assert got.loc[i, "score"] == pytest.approx(1 / (1 + math.exp(np.clip(a - b, -700, 700))), abs=1e-6)
+
+
 def test_empty_tables(spark, empty, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     assert personal_data.span_report(empty).count() == 0 and personal_data.redact(empty).count() == 0
