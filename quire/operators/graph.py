@@ -19,10 +19,11 @@ def settled(df: DataFrame) -> DataFrame:
 def roots(edges: DataFrame, node: str = "node", parent: str = "parent", rounds: int = 40) -> DataFrame:
     """(node, root, depth) of every node that hangs from a root (a null parent); cycles and orphans are left out.
 
-    Each round doubles how far a node looks up, so a chain of n needs about log n rounds.
+    Each round doubles how far a node looks up, so a chain of n needs about log n rounds; what still moves after those
+    runs in a circle.
     """
     at = settled(edges.select(F.col(node).alias("node"), F.coalesce(parent, node).alias("up"), F.col(parent).isNotNull().cast("long").alias("depth")))
-    for _ in range(rounds):
+    for _ in range(min(rounds, at.count().bit_length() + 1)):
         above = at.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"))
         new = settled(at.join(above, "up").select("node", F.col("up2").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")))
         if not new.where("moved").limit(1).count():
