@@ -16,27 +16,30 @@ WEIGHTS = [3, 1, 2]  # over the sources by code point, in turn
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go: null and empty texts among them, repeated rows alike."""
     return quality_rules.keep_good(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest doc_id."""
+    """One document of each near-duplicate group stays: the one with the smallest doc_id. Null and empty texts are alike;
+    of rows that repeat a doc_id one stays; rows without a doc_id all stay."""
     return simhash.keep_first(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data gives way to the name of its kind; n_chars follows the new text."""
+    """Personal data gives way to the name of its kind; n_chars follows the new text. A null text stays null; repeated rows
+    are treated alike."""
     return personal_data.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents come as often as the mix takes them: not at all, once or twice."""
+    """Documents come as often as the mix takes them: not at all, once or twice. A null source is one of its own, a null or
+    empty text has no words and comes as often as a whole number of epochs says; rows equal in doc_id and text alike."""
     return mixing.mixed(docs, WEIGHTS)
 
 
 def encode_words(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids and decoded of every row of the mix."""
+    """doc_id, ids and decoded of every row of the mix; a null text has no ids and an empty decoded text."""
     return word_bpe.encode(docs, tokenizer_path("word_bpe_49k.json"))
 
 

@@ -9,6 +9,7 @@ that is run again leaves the same files.
 
 from __future__ import annotations
 
+import json
 import mmap
 import zlib
 from collections.abc import Iterator
@@ -32,7 +33,8 @@ class WordMemo:
     """Encodes whole texts with a byte-level tokenizer of the tokenizers library, one call for each new chunk.
 
     The tokenizer splits at single spaces and line feeds between other characters, whatever stands around them, so the
-    ids of such a chunk (with its space, if one leads) can be kept. Texts of any other form go to the library whole.
+    ids of such a chunk (with its space, if one leads) can be kept. Texts of any other form go to the library whole, and
+    so do all texts where the file names another way to split or normalise.
     """
 
     def __init__(self, path: str, limit: int = 800_000):
@@ -41,6 +43,10 @@ class WordMemo:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        splits = made.get("pre_tokenizer") or {}
+        self.splits_at_spaces = made.get("normalizer") is None and splits.get("type") == "ByteLevel" and splits.get("use_regex") and not splits.get("add_prefix_space")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         letters = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -68,6 +74,8 @@ class WordMemo:
         return [data[a:b] for a, b in zip(starts.tolist(), ends, strict=True)]
 
     def _split(self, text: str) -> list[list[str]] | None:
+        if not self.splits_at_spaces:
+            return None
         rows = text.split("\n")
         if not all(map(str.isprintable, rows)) or any(s in text for s in self.special):
             return None  # other white space isn't printable

@@ -41,6 +41,17 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(free)) for b in range(256)]
 
 
+def _refuse_other_kinds(made: dict) -> None:
+    """Only files of the kind that this module reproduces: NFC, white space folded, small letters, cut into PIECES, bytes as
+    letters, word ends marked, no decoder."""
+    steps = (made.get("normalizer") or {}).get("normalizers", [])
+    cuts = (made.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    sound = [x.get("type") for x in steps] == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in cuts] == ["Split", "ByteLevel"]
+    sound = sound and cuts[0]["pattern"].get("Regex") == PIECES and not cuts[1].get("use_regex") and not cuts[1].get("add_prefix_space")
+    if not sound or made.get("decoder") or made["model"].get("type") != "BPE" or not made["model"].get("end_of_word_suffix"):
+        raise ValueError("the tokenizer file is of another kind")
+
+
 class WordCoder:
     """One tokenizer file, and the ids of the words seen so far."""
 
@@ -48,6 +59,7 @@ class WordCoder:
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         model = made["model"]
+        _refuse_other_kinds(made)
         self.vocab: dict[str, int] = model["vocab"]
         self.end: str = model["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in made["added_tokens"]}

@@ -319,6 +319,24 @@ def test_word_bpe_equals_the_library(docs, texts):
         assert got.loc[i, "decoded"] == coder.decode(want, skip_special_tokens=False)
 
 
+def test_other_kinds_of_tokenizer_files(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(queries.tokenizer_path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        made = json.load(f)
+    made["pre_tokenizer"]["add_prefix_space"] = True
+    made["normalizer"] = {"type": "Lowercase"}
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(made, f)
+    own, coder, some = token_files.WordMemo(path), Tokenizer.from_file(path), ["Plain Words here", "two\nLines of It.", "", " odd  Spaces"]
+    assert [np.frombuffer(x, own.dtype).tolist() for x in own.encode(some)] == [coder.encode(t, add_special_tokens=False).ids for t in some]
+    with pytest.raises(ValueError, match="another kind"):
+        word_bpe.WordCoder(path)
+
+
 def test_transducer_is_exact_and_minimal(tmp_path):
     words = sorted({f"{a}{b}".encode() for a in ("re", "un", "over", "x") for b in ("do", "doing", "ly", "lying", "")} - {b""})
     data = automaton.compile_words((w, [k, k * 2]) for k, w in enumerate(words))
