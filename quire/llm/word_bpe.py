@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import regex
 from pyspark import SparkFiles
@@ -31,6 +32,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ODD_SPACE = "[\x1c-\x1f]"  # the str methods take these for white space, the pieces don't
 BITS = 17
 MASK, NONE = (1 << BITS) - 1, 1 << 62
+LONG = 64  # longer pieces are merged with a heap, longer words are not kept
 _KEPT: dict[str, WordCoder] = {}
 
 
@@ -70,17 +72,79 @@ class WordCoder:
         letters = byte_letters()
         self.inner = [self.vocab[c] for c in letters]
         self.last = [self.vocab[c + self.end] for c in letters]
+        order = sorted(self.merges)
+        self.pairs = np.array([*order, 1 << 62], np.int64)  # the same, to look many up at once; the last one is never met
+        self.results = np.array([*map(self.merges.__getitem__, order), NONE], np.int64)
+        self.inner_ids, self.last_ids = np.array(self.inner, np.int64), np.array(self.last, np.int64)
         self.pieces = regex.compile(PIECES)
+        self.pieces_and_ends = regex.compile(PIECES + r"|\n")
         self.odd = regex.compile(ODD_SPACE)
+        self.space = regex.compile(r"\s+")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        names = dict.fromkeys(range(max(self.names) + 1), "") | self.names
+        self.tokens = pa.array([names[i] for i in range(len(names))], pa.string())
         self.lexicon, self.limit = lexicon, limit
+        # words and pieces of late to their ids as bytes, and those of the time before
         self.words: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.old_known: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one piece, by merging."""
         ids = [self.inner[b] for b in piece[:-1]] + [self.last[piece[-1]]]
-        return self._merge_short(ids) if len(ids) < 64 else self._merge_long(ids)
+        return self._merge_short(ids) if len(ids) < LONG else self._merge_long(ids)
+
+    def merge_many(self, pieces: list[bytes], together: int = 4096) -> list[bytes]:
+        """The ids of many pieces, each as 32-bit numbers; pieces of like length are merged side by side."""
+        out = [b""] * len(pieces)
+        order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
+        while order and len(pieces[order[-1]]) >= LONG:
+            out[order[-1]] = np.array(self.merge(pieces[order[-1]]), "<i4").tobytes()
+            order.pop()
+        for start in range(0, len(order), together):
+            some = order[start : start + together]
+            for i, ids in zip(some, self._merge_rows([pieces[i] for i in some]), strict=True):
+                out[i] = ids
+        return out
+
+    def _merge_rows(self, pieces: list[bytes]) -> list[bytes]:
+        """A row for each piece: in each round every row merges the pair of its lowest rank, the leftmost on a tie. A row's
+        last slot holds MASK, which no pair has."""
+        lengths = np.array([*map(len, pieces)])
+        stride = int(lengths.max()) + 1
+        place = np.arange(stride)
+        ids = np.full((len(pieces), stride), MASK, np.int64)
+        letters = np.frombuffer(b"".join(pieces), np.uint8)
+        ids[place < lengths[:, None]] = self.inner_ids[letters]
+        ids[np.arange(len(pieces)), lengths - 1] = self.last_ids[letters[np.cumsum(lengths) - 1]]
+        best = np.full(ids.shape, NONE, np.int64)  # what the pair that begins at a slot merges to
+        best[:, :-1] = self._look_up(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(-1, stride - 1)
+        base = np.arange(len(pieces)) * stride
+        after = base[:, None] + np.append(place[1:], stride - 1)
+        before = base[:, None] + np.append(stride - 1, place[:-1])
+        ids, after, before, flat = ids.ravel(), after.ravel(), before.ravel(), best.ravel()
+        live = np.arange(len(pieces))
+        while len(live):
+            at = base[live] + best[live].argmin(axis=1)
+            found = flat[at]
+            more = found != NONE
+            live, at, found = live[more], at[more], found[more]
+            gone = after[at]
+            right, left = after[gone], before[at]
+            ids[at], ids[gone], flat[gone] = found & MASK, -1, NONE
+            after[at], before[right] = right, at
+            flat[at] = self._look_up(ids[at], ids[right])
+            flat[left] = self._look_up(ids[left], ids[at])
+        kept = (ids >= 0) & (ids != MASK)
+        ends = np.cumsum(kept.reshape(-1, stride).sum(axis=1) * 4).tolist()
+        data = ids[kept].astype("<i4").tobytes()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
+
+    def _look_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left << BITS | right
+        at = np.searchsorted(self.pairs, keys)
+        return np.where(self.pairs[at] == keys, self.results[at], NONE)
 
     def _merge_short(self, ids: list[int]) -> list[int]:
         get = self.merges.get
@@ -114,39 +178,67 @@ class WordCoder:
                     heapq.heappush(heap, (m, k, ids[k], ids[after[k]]))
         return [x for x in ids if x >= 0]
 
-    def _piece(self, piece: str) -> bytes:
-        own = piece.encode()
-        found = self.lexicon.get(own) if self.lexicon is not None else None
-        ids = self.known[piece] = np.array(self.merge(own) if found is None else found, "<i4").tobytes()
-        return ids
-
-    def _word(self, word: str) -> bytes:
-        """The ids of text without white space inside, as 32-bit numbers."""
-        text = word.lower() if word.isascii() else unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
-        known = self.known
-        return b"".join([known.get(piece) or self._piece(piece) for piece in self.pieces.findall(text)])
-
-    def _plain(self, text: str) -> bytes:
-        if self.odd.search(text):
-            return self._word(text)
-        words, known = text.split(), self.words
-        for w in {w for w in words if w not in known}:
-            known[w] = self._word(w)
-        return b"".join(map(known.__getitem__, words))
+    def _units(self, text: str) -> list[str]:
+        """The text without white space: words, and special tokens by themselves."""
+        if self.cut is not None and any(s in text for s in self.special):
+            return [u for p in self.cut.split(text) for u in ([p] if p in self.special else self._units(p))]
+        return [u for u in self.space.split(text) if u] if self.odd.search(text) else text.split()
+
+    def _pieces(self, words: list[str]) -> list[str]:
+        """The pieces of all words, with a line feed, which no word holds, after each word."""
+        text = "\n".join([*words, ""])
+        return self.pieces_and_ends.findall(text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+
+    def _learn(self, new: set[str]) -> None:
+        """Add the ids of words that are not in `words`: from the time before, from the lexicon, or merged."""
+        words, old, fresh = self.words, self.old_words, []
+        for w in new:
+            if w in old:
+                words[w] = old[w]
+            elif w in self.special:
+                words[w] = np.array([self.special[w]], "<i4").tobytes()
+            else:
+                fresh.append(w)
+        pieces = self._pieces(fresh)
+        known, unseen = self.known, []
+        for p in set(pieces).difference(known, ["\n"]):
+            if (ids := self.old_known.get(p)) is not None:
+                known[p] = ids
+            elif self.lexicon is not None and (listed := self.lexicon.get(p.encode())) is not None:
+                known[p] = np.array(listed, "<i4").tobytes()
+            else:
+                unseen.append(p)
+        known.update(zip(unseen, self.merge_many([p.encode() for p in unseen]), strict=True))
+        start = 0
+        for w in fresh:
+            end = pieces.index("\n", start)
+            words[w] = known[pieces[start]] if end == start + 1 else b"".join(map(known.__getitem__, pieces[start:end]))
+            start = end + 1
+        for long in [p for p in unseen if len(p) > LONG]:
+            del known[long]
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """The ids of every text, as 32-bit numbers."""
+        if len(self.words) > self.limit // 4:
+            self.old_words, self.words = self.words, {}
+        if len(self.known) > self.limit // 4:
+            self.old_known, self.known = self.known, {}
+        units = [self._units(t) for t in texts]
+        new: set[str] = set()
+        for u in units:
+            new.update(set(u).difference(self.words))
+        self._learn(new)
+        out = [b"".join(map(self.words.__getitem__, u)) for u in units]
+        for long in [w for w in new if len(w) > LONG]:  # they seldom come again
+            del self.words[long]
+        return out
 
     def encode(self, text: str) -> np.ndarray:
-        if len(self.words) + len(self.known) > self.limit:
-            self.words.clear()
-            self.known.clear()
-        if self.cut is None or not any(s in text for s in self.special):
-            return np.frombuffer(self._plain(text), "<i4")
-        parts = self.cut.split(text)
-        own = [np.array([self.special[p]], "<i4").tobytes() if p in self.special else self._plain(p) for p in parts]
-        return np.frombuffer(b"".join(own), "<i4")
+        return np.frombuffer(self.encode_many([text])[0], "<i4")
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The tokens, special ones too, joined by spaces, as the file names no decoder."""
-        return " ".join(map(self.names.__getitem__, ids.tolist()))
+    def decode_many(self, ids: pa.ListArray) -> pa.Array:
+        """The tokens of every list, special ones too, joined by spaces, as the file names no decoder."""
+        return pc.binary_join(pa.ListArray.from_arrays(ids.offsets, self.tokens.take(ids.values)), " ")
 
 
 def frequent_words(docs: DataFrame, text: str = "text", lexicon_words: int = 50_000, longest: int = 32) -> list[str]:
@@ -171,7 +263,8 @@ def lexicon_file(words: list[str], tokenizer: str) -> bytes:
     """Frequent words and their ids, compiled. Words that normalisation would change or cut are left out."""
     coder = WordCoder(tokenizer)
     own = {w for w in words if coder.pieces.findall(unicodedata.normalize("NFC", w).lower()) == [w]}
-    return compile_words(sorted((w.encode(), coder.merge(w.encode())) for w in own))
+    ascending = sorted(w.encode() for w in own)
+    return compile_words(zip(ascending, (np.frombuffer(ids, "<i4").tolist() for ids in coder.merge_many(ascending)), strict=True))
 
 
 def _coder(tokenizer: str, lexicon: str) -> WordCoder:
@@ -182,8 +275,23 @@ def _coder(tokenizer: str, lexicon: str) -> WordCoder:
     return _KEPT[key]
 
 
-def encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", lexicon_words: int = 50_000, rows: int = 256) -> DataFrame:
-    """doc_id, ids and decoded (the text that the ids stand for) of every row."""
+def _slices(sizes: np.ndarray, rows: int, most_bytes: int) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of runs with at most `rows` rows and `most_bytes` bytes, or of one longer row."""
+    start = held = 0
+    for k, size in enumerate(sizes.tolist()):
+        if k > start and (k - start == rows or held + size > most_bytes):
+            yield start, k - start
+            start, held = k, 0
+        held += size
+    if len(sizes):
+        yield start, len(sizes) - start
+
+
+def encode(
+    docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", lexicon_words: int = 50_000, rows: int = 512, most_bytes: int = 1 << 22
+) -> DataFrame:
+    """doc_id, ids and decoded (the text that the ids stand for) of every row. A task holds `rows` rows and `most_bytes`
+    bytes of texts at a time, or one longer text."""
     spark = docs.sparkSession
     data = lexicon_file(frequent_words(docs, text, lexicon_words), tokenizer)
     folder = fresh_folder(spark, "lexicon")  # shared; Spark copies the file to every executor from there
@@ -197,12 +305,12 @@ def encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(tokenizer, name)
         for batch in batches:
-            for start in range(0, batch.num_rows, rows):
-                some = batch.slice(start, rows)
-                ids = [coder.encode(t) for t in some.column("text").to_pylist()]
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), lists, pa.array([coder.decode(x) for x in ids], pa.string())], names=["doc_id", "ids", "decoded"])
+            for start, count in _slices(pc.binary_length(batch.column("text")).to_numpy(), rows, most_bytes):
+                some = batch.slice(start, count)
+                ids = coder.encode_many(some.column("text").to_pylist())
+                ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), lists, coder.decode_many(lists)], names=["doc_id", "ids", "decoded"])
 
     narrow = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), text_of(F.col(f"`{text}`")).alias("text"))
     return narrow.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
