@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digests, language, mixing, personal_data, quality_model, quality_rules, simhash, token_files, toxicity, word_bpe
+from . import decontamination, digests, language, mixing, personal_data, quality_model, quality_rules, resampling, simhash, spelling, token_files, toxicity, word_bpe
 from .common import fresh_folder, read
+from .queries_sql import ORACLE_SQL as ORACLE_SQL
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +62,23 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that stand in a benchmark item's window of ten words, and those items."""
+    found = decontamination.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    ids = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), "contaminated")
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each word of the documents with the form it is a variant of."""
+    return spelling.group_variants(read(spark, sf_dir, "documents"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, drawn towards the words of the benchmark."""
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_personal_data": op1_personal_data,
     "op2_simhash": op2_simhash,
@@ -72,6 +90,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_model": op10_quality_model,
+    "op11_decontamination": op11_decontamination,
+    "op12_spelling": op12_spelling,
+    "op13_resampling": op13_resampling,
 }
-
-ORACLE_SQL: dict[str, str] = {}
