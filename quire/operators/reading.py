@@ -29,7 +29,7 @@ def find_tokens(needle: Column) -> Column:
 
 def block_units(text: Column) -> Column:
     """A block's lines as running text: a line's last hyphen goes before a small letter, other line ends are spaces."""
-    joined = F.regexp_replace(text, r"[-‐­]\n(?=\p{Ll})", "")
+    joined = F.regexp_replace(text, r"[-\u2010\u00ad]\n(?=\p{Ll})", "")
     return F.regexp_replace(joined, r"[ \n]+", " ")
 
 

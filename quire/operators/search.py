@@ -26,7 +26,7 @@ def search(pages: DataFrame, needle: str, match_case: bool = False) -> DataFrame
 
 def replace_plan(docs: DataFrame, word: str, replacement: str) -> DataFrame:
     """(doc_id, found, unchanged, replaced): whole words in any case; one that is already the replacement is unchanged."""
-    if not replacement.isprintable():
+    if tx.re.search(tx.FORBIDDEN, replacement):
         raise FormError("the replacement holds a character that text can't show")
     edge = r"[\p{L}\p{N}\p{M}_]"
     exact = F.regexp_count("text", F.lit(rf"(?<!{edge}){tx.re.escape(replacement)}(?!{edge})"))
