@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,6 +94,7 @@ def _rules(prefix: str = "__q_") -> dict[str, tuple[Column, Column]]:
     chars = F.greatest(c("word_chars"), F.lit(1))
     lines = F.greatest(c("n_lines"), F.lit(1))
     mean = c("word_chars") / words
+    distinct = F.greatest(c("n_distinct_words"), F.lit(1))  # grows as a power of the words, so logarithms are compared
     return {
         "length": (c("n_words") < 20, c("n_words") >= 40),
         "word_size": ((mean < 2) | (mean > 14), mean.between(3, 10)),
@@ -101,7 +103,7 @@ def _rules(prefix: str = "__q_") -> dict[str, tuple[Column, Column]]:
         "lines": (c("n_dup_lines") * 2 > lines, (c("n_dup_lines") == 0) & (c("n_lines") > 2)),
         "repeats": (c("n_repeat_words") * 10 > words * 3, c("n_repeat_words") * 20 <= words),
         "capitals": (c("n_capitals") * 10 > chars * 4, c("n_capitals") * 20 <= chars * 3),
-        "variety": ((c("n_distinct_words") * 5 < words) & (c("n_words") < 2000), c("n_distinct_words") * 5 > words * 2),
+        "variety": (F.log(distinct) < 0.7 * F.log(words), F.log(distinct) > 0.85 * F.log(words)),
     }
 
 
@@ -138,39 +140,33 @@ class RuleModel:
         return 1 / sum(self.odds(prefix).values(), F.lit(0.0))
 
 
-def fit(voted: DataFrame, prefix: str = "__q_", rounds: int = 100, pseudo: float = 4.0, near: float = 5e-4) -> RuleModel:
+def fit(voted: DataFrame, prefix: str = "__q_", rounds: int = 400, pseudo: float = 4.0, near: float = 5e-4) -> RuleModel:
     """Estimate the classes' shares and the rules' accuracies from the votes of all documents.
 
-    A round is one aggregation over the table of vote patterns; only its sums, two for each class and rule and one for
-    each class, come to the driver. Rounds end when no share moves by more than `near`. The start counts as `pseudo`
-    documents, and as so many votes of each rule in each class, so that no rate is 0 or 1; beyond that the documents
-    decide.
+    Spark counts the documents of each vote pattern. That table has 3 ** len(RULES) rows at most, whatever the input, so it
+    comes to the driver once and the rounds are arithmetic there. They end when no share moves by more than `near`. The
+    start counts as `pseudo` documents, and as so many votes of each rule in each class, so that no rate is 0 or 1; beyond
+    that the documents decide.
     """
     votes = [f"{prefix}v_{rule}" for rule in RULES]
-    patterns = cut(voted.groupBy(*votes).agg(F.count("*").alias("n")).coalesce(1))
+    patterns = np.array(voted.groupBy(*votes).agg(F.count("*").alias("n")).collect(), float).reshape(-1, len(RULES) + 1)
     model = start = RuleModel()
-    sums = [F.sum(F.col("n")).alias("all")]
-    for name in CLASSES:
-        part = F.col("n") * F.col(f"p_{name}")
-        sums.append(F.sum(part).alias(f"n_{name}"))
-        for rule in RULES:
-            vote = F.col(f"{prefix}v_{rule}")
-            sums.append(F.sum(F.when(vote == -1, part).otherwise(0.0)).alias(f"bad_{name}_{rule}"))
-            sums.append(F.sum(F.when(vote != 0, part).otherwise(0.0)).alias(f"votes_{name}_{rule}"))
+    if not len(patterns):
+        return model
+    vote, n = patterns[:, :-1], patterns[:, -1]
+    bad, good = (vote == -1).astype(float), (vote == 1).astype(float)
+    table = lambda m: (np.array([m.shares[c] for c in CLASSES]), np.array([[m.bad[c][r] for r in RULES] for c in CLASSES]))
+    shares, rates = first_shares, first_rates = table(start)
     for _ in range(rounds):
-        odds = patterns.withColumns({f"o_{name}": o for name, o in model.odds(prefix).items()})
-        whole = sum((F.col(f"o_{name}") for name in CLASSES), F.lit(0.0))
-        got = odds.withColumns({f"p_{name}": F.col(f"o_{name}") / whole for name in CLASSES}).agg(*sums).first()
-        if not got["all"]:
-            return model
-        old, model = model, RuleModel()
-        for name in CLASSES:
-            model.shares[name] = (got[f"n_{name}"] + pseudo * start.shares[name]) / (got["all"] + pseudo)
-            for rule in RULES:
-                model.bad[name][rule] = (got[f"bad_{name}_{rule}"] + pseudo * start.bad[name][rule]) / (got[f"votes_{name}_{rule}"] + pseudo)
-        if all(abs(old.shares[name] - model.shares[name]) < near for name in CLASSES):
+        seen = np.maximum(rates, rates[0])  # a bad vote never speaks for a document
+        log = np.log(shares) + bad @ np.log(seen).T + good @ np.log1p(-seen).T
+        part = np.exp(log - log.max(axis=1, keepdims=True))
+        part *= (n / part.sum(axis=1))[:, None]
+        old, shares = shares, (part.sum(axis=0) + pseudo * first_shares) / (n.sum() + pseudo)
+        rates = (part.T @ bad + pseudo * first_rates) / (part.T @ (bad + good) + pseudo)
+        if np.abs(old - shares).max() < near:
             break
-    return model
+    return RuleModel(dict(zip(CLASSES, shares.tolist(), strict=True)), {c: dict(zip(RULES, row, strict=True)) for c, row in zip(CLASSES, rates.tolist(), strict=True)})
 
 
 def judge(voted: DataFrame, model: RuleModel, prefix: str = "__q_", least: float = 0.5) -> DataFrame:
