@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, cut_narrow, packed
+from .common import cut, cut_narrow, packed, text_of
 from .components import connected_components
 
 LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
@@ -42,16 +42,17 @@ def simhash(text: bytes, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long. A null text counts as empty."""
+    """(doc_id, digest, fp): the MD5 of the text, and its fingerprint as a signed long. A null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
             fp = np.fromiter((simhash(t.as_py() or b"") for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(fp.view(np.int64))], names=["doc_id", "digest", "fp"])
 
-    narrow = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, fp long")
+    whole = text_of(F.col(f"`{text}`"))
+    narrow = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.md5(whole).alias("digest"), whole.alias("text"))
+    return narrow.mapInArrow(run, "doc_id long, digest string, fp long")
 
 
 def _settle(n: int, i: np.ndarray, j: np.ndarray, labels: np.ndarray) -> np.ndarray:
@@ -146,23 +147,32 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     repeated; a row without doc_id is linked but never names a component (component_id is null where no member has an
     id); an empty table gives an empty result; other columns of docs are not read.
     """
-    fps = cut(fingerprints(docs, doc_id, text))
+    fps = cut(fingerprints(docs, doc_id, text).drop("digest"))
     distinct = cut_narrow(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    labels = connected_components(near_links(distinct, radius))
-    rooted = distinct.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left")
-    rooted = cut_narrow(rooted.select("fp", "first", F.coalesce("label", "fp").alias("root")))
+    rooted = _rooted(distinct, radius)
     least = cut_narrow(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
     named = cut_narrow(rooted.join(least, "root").select("fp", "component_id"))
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def _rooted(distinct: DataFrame, radius: int) -> DataFrame:
+    """(fp, first, root): the rows of (fp, first) with the smallest fingerprint of their component."""
+    labels = connected_components(near_links(distinct, radius))
+    rooted = distinct.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left")
+    return cut_narrow(rooted.select("fp", "first", F.coalesce("label", "fp").alias("root")))
+
+
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of docs, all columns, that name their component: one document of each group.
+    """One row of each component, all columns: the one of smallest doc_id (none counts as largest), then of smallest digest.
 
-    Where rows repeat a doc_id one of them stays; rows without a doc_id all stay.
+    A row gives way to a row of its own component alone, so rows that share a doc_id and are no near-duplicates all stay,
+    and rows without a doc_id are treated like others. Of rows equal in doc_id and text the one whose other columns come
+    first as JSON stays, so reruns agree.
     """
-    classes = near_duplicate_classes(docs, doc_id, text, radius)
-    first = classes.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("key")).distinct()
-    key = F.col(f"`{doc_id}`")
-    named = packed(docs.where(key.isNotNull()), key=key.cast("long")).join(first, "key", "left_semi").dropDuplicates(["key"])
-    return named.select("row.*").unionByName(docs.where(key.isNull()))
+    key, digest = F.col(f"`{doc_id}`").cast("long"), F.md5(text_of(F.col(f"`{text}`")))
+    fps = fingerprints(docs, doc_id, text).select("fp", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest").alias("row"))
+    distinct = cut_narrow(fps.groupBy("fp").agg(F.min("row").alias("first")))
+    chosen = cut_narrow(_rooted(distinct, radius).groupBy("root").agg(F.min("first").alias("first"))).select(F.col("first.doc_id").alias("kept_id"), F.col("first.digest").alias("kept"))
+    named = packed(docs, key=key, digest=digest, rest=F.to_json(F.struct(F.lit(0), *[F.col(f"`{c}`").alias(str(k)) for k, c in enumerate(docs.columns) if c not in (doc_id, text)])))
+    own = named.join(chosen, named["key"].eqNullSafe(chosen["kept_id"]) & (named["digest"] == chosen["kept"]), "left_semi")
+    return own.groupBy("key", "digest").agg(F.min_by("row", "rest").alias("row")).select("row.*")

@@ -590,12 +590,28 @@ def test_null_and_repeated_ids(spark, sf):
         token_files.read_token_files(token_files.write_token_files(df, fresh_folder(spark, "ids"), queries.tokenizer_path("byte_bpe_50k.json"), 2)),
     ):
         assert sorted(str(r.doc_id) for r in made.select("doc_id").collect()) == ["7", "7", "7", "8", "None", "None"]
-    assert sorted(str(r.doc_id) for r in simhash.keep_first(df).collect()) == ["7", "8", "None", "None"]
+    assert sorted((r.doc_id, r.text) for r in simhash.keep_first(df).collect()) == [(7, "another text"), (7, "one text here"), (8, "")]
+
+
+def test_keep_first_loses_no_document(spark):
+    prose = lambda k, n=60: " ".join(f"w{k}x{j}" for j in range(n))
+    rows = [(5, prose(1)), (5, prose(2)), (5, prose(3)), (3, prose(1)), (None, prose(2)), (None, prose(4)), (None, prose(4)), (None, prose(5)), (9, prose(5)), (9, prose(5)), (2, None), (4, ""), (6, prose(6, 900)), (7, prose(6, 900) + " end")]
+    df = spark.createDataFrame([(*r, f"l{k}", "s", k) for k, r in enumerate(rows)], SCHEMA).withColumn("kept", F.create_map(F.lit("a"), F.lit(1))).withColumn("digest", F.lit("clash"))
+    fp = {k: simhash.simhash((t or "").encode()) for k, (_, t) in enumerate(rows)}
+    label = {k: min(j for j in fp if (fp[j] ^ fp[k]).bit_count() <= 4) for k in fp}
+    want = set()
+    for group in ({k for k in fp if label[k] == g} for g in set(label.values())):
+        want.add(min(((rows[k][0] is None, rows[k][0] or 0, hashlib.md5((rows[k][1] or "").encode()).hexdigest(), f"l{k}") for k in group)))
+    for parts in (1, 4):
+        got = simhash.keep_first(df.repartition(parts))
+        assert got.columns == df.columns
+        assert {(r.doc_id is None, r.doc_id or 0, hashlib.md5((r.text or "").encode()).hexdigest(), r.lang) for r in got.collect()} == want
+        assert len(want) == got.count() == 7
 
 
 def test_queries_are_registered(spark):
     assert sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0])) == list(sorted(queries.QUERIES, key=lambda n: int(re.match(r"op(\d+)", n)[1])))
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 14))
 
 
 def test_bounds_deal_out_all_rows_evenly(spark):
