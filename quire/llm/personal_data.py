@@ -1,6 +1,7 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
-Seeds are what fixed patterns find (email, ip, card, phone). Every other token with a digit or an at sign is a mention.
+Seeds are what fixed patterns find: email, ip, card, phone, and secret (a run of letters and digits that is set to a name
+for credentials). Every other token with a digit or an at sign is a mention.
 The lexical patterns of a seed or mention are the two words before it, the word before it, the word after it, and the
 words on either side. Over the graph of patterns and instances (tokens) rounds of scoring run:
 
@@ -31,13 +32,17 @@ from pyspark.sql import functions as F
 from .common import SPACE, SPACE_CHARS, cut, cut_narrow, let, packed, text_of
 
 # Kinds in report order, what a text must hold for a kind to be worth a search, and the expression.
-KINDS = ["email", "ip", "card", "phone"]
-WORTH = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][0-9 -]{11,}[0-9]", "phone": r"\+[0-9]"}
+BASE = ["email", "ip", "card", "phone"]
+KINDS = [*BASE, "secret"]
+# Names that credentials are set to.
+SECRET_NAMES = "token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential"
+WORTH = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][0-9 -]{11,}[0-9]", "phone": r"\+[0-9]", "secret": r"[=:][ \t]{0,3}[\"']?[A-Za-z0-9+/_.=-]{8}"}
 FIXED = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
+    "secret": rf"(?i)(?<=(?:{SECRET_NAMES})[\"']?[ \t]{{0,3}}[=:][ \t]{{0,3}}[\"']?)(?<![A-Z0-9+/_.-])(?:[+/_.=-]*+[A-Z0-9]++)++",
 }
 TOKEN = r"(?<![^ \t-\r])[^ \t-\r0-9@]*+[0-9@][^ \t-\r]*+"
 TRAILING = "[.,;:!?)\"'\\]}>]+$"
@@ -100,6 +105,8 @@ def _valid(kind: str, m: Column) -> Column:
         return F.when(F.length(d).between(13, 19), _luhn(d)).otherwise(False)
     if kind == "phone":
         return F.length(_digits(m)).between(9, 15)
+    if kind == "secret":
+        return (F.length(m) >= 8) & m.rlike("[0-9]") & m.rlike("[A-Za-z]")
     return F.lit(True)
 
 
@@ -172,7 +179,7 @@ def _edges(marked: DataFrame) -> DataFrame:
 
 
 def pattern_scores(edges: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """(pattern, n, n0 to n3, kind, score, any) of every pattern that knows anything: how many known instances stand
+    """(pattern, n, one count a kind (n0 and so on), kind, score, any) of every pattern that knows anything: how many known instances stand
     behind it, how many of each kind, the likeliest kind (null for none), its score, and the score for identifiers of any
     kind. found: (instance, kind) of earlier rounds."""
     known = edges if found is None else edges.join(found, "instance", "left").withColumn("rank", F.coalesce("rank", "kind"))
@@ -185,7 +192,7 @@ def pattern_scores(edges: DataFrame, found: DataFrame | None = None) -> DataFram
 
 
 def with_trust(scores: DataFrame, least_pattern: float, support: int, chance: float) -> DataFrame:
-    """Add `sure` to pattern_scores(): whether a pattern is trusted. Six sums come to the driver."""
+    """Add `sure` to pattern_scores(): whether a pattern is trusted. A sum a kind comes to the driver, and two more."""
     own = F.get(F.array(*[F.col(f"n{k}") for k in range(NONE)]), F.col("kind"))
     enough = own >= support
     sums = scores.agg(F.count(F.when(enough, 1)).alias("patterns"), F.sum("n").alias("n"), *[F.sum(f"n{k}").alias(f"n{k}") for k in range(NONE)]).first()
@@ -213,7 +220,7 @@ def found_instances(edges: DataFrame, least_pattern: float = 0.75, least: float
         shapes = edges.where(f"rank < {NONE}").select("shape", F.col("rank").alias("kind"))
         if count:
             shapes = shapes.unionByName(open_.join(found, "instance").select("shape", "kind"))
-        new = judged.join(F.broadcast(shapes.distinct()), ["shape", "kind"]).select("instance", "kind")  # at most 16 rows
+        new = judged.join(F.broadcast(shapes.distinct()), ["shape", "kind"]).select("instance", "kind")  # a row a kind and shape at most
         found = cut_narrow((new.unionByName(found) if count else new).groupBy("instance").agg(F.min("kind").alias("kind")))
         before, count = count, found.count()
         if count == before:
@@ -242,15 +249,17 @@ def _all_spans() -> Column:
 
 
 def span_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, the number of base spans by kind, base_sha256 and spans of every row; texts are read once."""
+    """doc_id, the number of base spans by kind, base_sha256 and spans of every row; texts are read once. Base are the fixed
+    patterns of BASE; secrets are among the other spans."""
     marked = with_seeds(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")))
     marked = cut(marked.select("doc_id", F.xxhash64("__text").alias("__hash"), "__seeds", "__cands"))
     found = discovered(marked, ["doc_id", "__hash"]).select(F.col("doc_id").alias("__id"), F.col("__hash").alias("__h"), "__found")
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h"))
     out = marked.select("doc_id", "__hash", _plain("__seeds").alias("__base")).join(found, same, "left")
     count = lambda rank: F.size(F.filter("__base", lambda x: x["rank"] == rank)).cast("long")
-    counts = [count(rank).alias(f"n_{kind}") for rank, kind in enumerate(KINDS)]
-    return out.select("doc_id", *counts, F.sha2(_joined(F.col("__base")), 256).alias("base_sha256"), _joined(_all_spans()).alias("spans"))
+    counts = [count(rank).alias(f"n_{kind}") for rank, kind in enumerate(BASE)]
+    base = F.filter("__base", lambda x: x["rank"] < len(BASE))
+    return out.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(_all_spans()).alias("spans"))
 
 
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = 20_000) -> DataFrame:
