@@ -172,7 +172,7 @@ def _edges(marked: DataFrame) -> DataFrame:
     mentions = marked.select(F.explode(F.concat("__seeds", "__cands")).alias("x"))
     pairs = mentions.select("x.instance", "x.shape", "x.rank", F.explode("x.patterns").alias("pattern"))
     pairs = cut_narrow(pairs.groupBy("pattern", "instance").agg(F.min("shape").alias("shape"), F.min("rank").alias("rank")))
-    ranks = pairs.where(f"rank < {NONE}").groupBy("instance").agg(F.min("rank").alias("own"))
+    ranks = mentions.where(f"x.rank < {NONE}").groupBy("x.instance").agg(F.min("x.rank").alias("own"))  # with or without a pattern
     open_ = pairs.where(f"rank is null or rank = {NONE}").join(ranks, "instance", "left")
     settled = open_.select("pattern", "instance", "shape", F.coalesce("own", "rank").alias("rank"))
     return cut_narrow(pairs.where(f"rank < {NONE}").select("pattern", "instance", "shape", "rank").unionByName(settled))
@@ -228,8 +228,10 @@ def found_instances(edges: DataFrame, least_pattern: float = 0.75, least: float
 
 
 def discovered(marked: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and __found: the spans of found instances."""
-    found = found_instances(_edges(marked))
+    """keys and __found: the spans of found instances, and of secrets that are seeds elsewhere (those of other kinds are
+    seeds wherever they stand)."""
+    secrets = marked.select(F.explode("__seeds").alias("x")).where(F.col("x.rank") >= len(BASE)).select("x.instance", F.col("x.rank").alias("kind"))
+    found = found_instances(_edges(marked)).unionByName(secrets).groupBy("instance").agg(F.min("kind").alias("kind"))
     spans = marked.select(*keys, F.explode("__cands").alias("x")).where("x.rank is null").select(*keys, "x.instance", "x.s", "x.e")
     spans = spans.join(found, "instance").select(*keys, F.struct(F.col("kind").alias("rank"), "s", "e").alias("span"))
     return spans.groupBy(*keys).agg(F.collect_set("span").alias("__found"))
