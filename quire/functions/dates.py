@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quire.functions.text import BLANK
+
 # Fixed value: the shape of a date as documents hold it; all after the year may be left out.
 PDF_DATE = r"(?i)^D:(\d{4})(\d{2})?(\d{2})?(\d{2})?(\d{2})?(\d{2})?(?:Z(?:\d{2}'?(?:\d{2}'?)?)?|([+-])(\d{2})'?(\d{2})?'?)?\z"
 
@@ -12,7 +14,7 @@ PDF_DATE = r"(?i)^D:(\d{4})(\d{2})?(\d{2})?(\d{2})?(\d{2})?(\d{2})?(?:Z(?:\d{2}'
 def pdf_date(text: Column) -> Column:
     """D:YYYYMMDDHHmmSS with a zone such as Z, +02'00' or -0530 as a timestamp in UTC; parts left out are 01 or 00, no zone
     is UTC. The whole trimmed text must be a date, and one that there is; anything else is null."""
-    bare = F.regexp_replace(text, r"^\s+|\s+$", "")
+    bare = F.regexp_replace(text, rf"\A{BLANK}+|{BLANK}+\z", "")
     part = lambda k, other: F.coalesce(F.nullif(F.regexp_extract(bare, PDF_DATE, k), F.lit("")), F.lit(other)).try_cast("int")
     year, month, day, hour, minute, second = (part(k, o) for k, o in ((1, ""), (2, "01"), (3, "01"), (4, "00"), (5, "00"), (6, "00")))
     sign = F.when(F.regexp_extract(bare, PDF_DATE, 7) == "-", -1).otherwise(1)

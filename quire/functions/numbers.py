@@ -142,12 +142,13 @@ def letters(number: Column) -> Column:
 
 
 def column_letters(number: Column) -> Column:
-    """Spreadsheet columns: 1 is A, 27 is AA, 703 is AAA; to ZZZ."""
-    n = number.cast("int")
-    letter = lambda x: F.chr(F.lit(65) + x % 26)
-    first = F.when(n > 702, letter(F.floor((n - 703) / 676).cast("int"))).otherwise("")
-    second = F.when(n > 26, letter(F.floor((n - 27) / 26).cast("int"))).otherwise("")
-    return F.concat(first, second, letter(n - 1))
+    """Spreadsheet columns: 1 is A, 27 is AA, 703 is AAA, and so on; null below 1."""
+    n, out, least = number.cast("long"), F.lit(""), 0
+    for place in range(14):  # 26 ** 14 is beyond any long
+        least += 26**place  # the first number that has this letter
+        letter = F.chr(F.lit(65) + F.call_function("div", n - F.lit(least), F.lit(26**place)) % 26)
+        out = F.concat(F.when(n >= least, letter).otherwise(""), out)
+    return F.when(n >= 1, out)
 
 
 def significant(value: Column) -> Column:

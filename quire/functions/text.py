@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 SNIPPET = 32
 # Characters that a replacement may not hold (controls, zero-width, bidi marks, soft hyphen).
 FORBIDDEN = r"[\x00-\x08\x0b-\x1f\x7f-\x9f\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufeff]"
+# White space as scripts trim it (Unicode's, with the line ends and the byte order mark), and what stands
+# between the words of a line.
+BLANK = r"[\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+GAP = r"[ \t\r\n\f\u00a0]"
 # Letters written from right to left.
 RIGHT_TO_LEFT = r"[\u0590-\u08ff\ufb1d-\ufdff\ufe70-\ufeff]"
 
@@ -71,10 +75,11 @@ def whole_word_count(text: Column, word: str) -> Column:
 
 def markdown_escape(paragraph: Column) -> Column:
     """A paragraph so that Markdown shows it as written: marks that count anywhere, the start of an entity, and at the
-    very start what opens a heading, a quote, a list or (after up to nine digits) a numbered item."""
+    very start what opens a heading, a quote, a list or (after up to nine digits) a numbered item. The three expressions
+    hold fixed values: what Markdown reads as syntax."""
     inline = F.regexp_replace(paragraph, r"([\\`*_\[<~]|&(?=#?\w+;))", r"\\$1")
     opened = F.regexp_replace(inline, r"^([#>+-])", r"\\$1")
-    return F.regexp_replace(opened, r"^(\d{1,9})([.)])(?=\s|\z)", r"$1\\$2")
+    return F.regexp_replace(opened, rf"^(\d{{1,9}})([.)])(?={BLANK}|\z)", r"$1\\$2")
 
 
 def filled_template(template: Column, values: dict[str, Column]) -> Column:

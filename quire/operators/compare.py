@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, _parse_datatype_string
 
-from quire.functions.text import words
+from quire.functions.text import BLANK, words
 
+TRAILING = re.compile(rf"{BLANK}+\Z")
 CELLS, WORD_CELLS = 250_000, 4096  # of the table of a common subsequence, for lines and for words
 
 
@@ -51,8 +53,7 @@ def line_changes(left: str, right: str, cells: int = CELLS, word_cells: int = WO
     empty ones dropped; a run of removals meets the run of additions beside it one to one as `changed`, with its
     word_changes(). Beyond `cells` the middle counts as replaced, which is the reason `line-matrix` of its rows;
     `word-matrix` is that of changes without words."""
-    a = [x for x in (line.rstrip() for line in left.split("\n")) if x]
-    b = [x for x in (line.rstrip() for line in right.split("\n")) if x]
+    a, b = ([x for x in (TRAILING.sub("", line) for line in side.split("\n")) if x] for side in (left, right))
     start = 0
     while start < min(len(a), len(b)) and a[start] == b[start]:
         start += 1
@@ -124,8 +125,9 @@ def summary(changes: DataFrame, status: DataFrame) -> DataFrame:
 
 
 def page_status(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(pair, page, status): identical, changed, added or removed, by right-trimmed non-empty lines."""
-    lines = lambda c: F.filter(F.transform(F.split(c, "\n"), lambda x: F.regexp_replace(x, r"\s+$", "")), lambda x: x != "")
+    """(pair, page, status): identical, changed, added or removed, by right-trimmed non-empty lines, trimmed as line_changes
+    trims them."""
+    lines = lambda c: F.filter(F.transform(F.split(c, "\n"), lambda x: F.regexp_replace(x, rf"{BLANK}+\z", "")), lambda x: x != "")
     both = left.select("pair", "page", lines("text").alias("l")).join(right.select("pair", "page", lines("text").alias("r")), ["pair", "page"], "full")
     status = F.when(F.col("l").isNull(), "added").when(F.col("r").isNull(), "removed").when(F.col("l") == F.col("r"), "identical").otherwise("changed")
     return both.select("pair", "page", status.alias("status"))

@@ -8,8 +8,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.text import BLANK
 from quire.sources.files import as_table, csv_rows, sniff_delimiter
 
+MOST_ROWS = 20_000  # of a table that is shown
+
 
 def parsed_csv(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, row, fields) of a column of whole delimited texts, by the delimiter each seems to have."""
@@ -28,24 +31,32 @@ def parsed_csv(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, text).mapInArrow(run, f"{key} {kind}, row int, fields array<string>")
 
 
-def csv_tables(df: DataFrame, key: str, text: str) -> DataFrame:
+def csv_tables(df: DataFrame, key: str, text: str, most_rows: int = MOST_ROWS) -> DataFrame:
     """(key, row, column, head, value, numeric) of the cells of whole delimited texts: the first row is the head, missing
-    cells are empty, and cells below it that hold a number (with a comma or a point) are numeric. Tables too large are
-    refused."""
+    cells are empty, and cells below it are numeric as a script's numbers are: with a point or one comma, in hexadecimal,
+    octal or binary, or blank but not empty. Of a text of over most_rows rows the first are kept, as csv_notes() tells.
+    Tables too wide or too large are refused."""
     kind = dict(df.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 bare = (t or "").removeprefix("\ufeff")
-                cells = [(r, c, r == 0, v) for r, row in enumerate(as_table(list(csv_rows(bare, sniff_delimiter(bare))))) for c, v in enumerate(row)]
+                cells = [(r, c, r == 0, v) for r, row in enumerate(as_table(list(csv_rows(bare, sniff_delimiter(bare)))[:most_rows])) for c, v in enumerate(row)]
                 if cells:
                     row, column, head, value = zip(*cells, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array([k] * len(cells), b.column(0).type), pa.array(row, pa.int32()), pa.array(column, pa.int32()), pa.array(head), pa.array(value, pa.string())], names=[key, "row", "column", "head", "value"])
 
     made = df.select(key, text).mapInArrow(run, f"{key} {kind}, row int, column int, head boolean, value string")
-    number = F.trim(F.regexp_replace("value", ",", ".")).rlike(r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?$") & (F.regexp_count("value", F.lit(",")) < 2)
-    return made.withColumn("numeric", ~F.col("head") & number)
+    bare = F.regexp_replace(F.regexp_replace("value", "^([^,]*),", "$1."), rf"\A{BLANK}+|{BLANK}+\z", "")
+    number = bare.rlike(r"\A([-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?|0[xX][0-9a-fA-F]+|0[oO][0-7]+|0[bB][01]+)?\z")
+    return made.withColumn("numeric", ~F.col("head") & (F.col("value") != "") & number)
+
+
+def csv_notes(df: DataFrame, key: str, text: str, most_rows: int = MOST_ROWS) -> DataFrame:
+    """(key, rows, kept) of the delimited texts that have more rows than csv_tables() keeps."""
+    counts = parsed_csv(df, key, text).groupBy(key).agg(F.count("*").alias("rows"))
+    return counts.where(F.col("rows") > most_rows).withColumn("kept", F.lit(most_rows))
 
 
 def annotations(df: DataFrame, column: str, pages: Column) -> DataFrame:

@@ -68,16 +68,23 @@ def thread_states(records: DataFrame) -> DataFrame:
 def preorder(nodes: DataFrame) -> DataFrame:
     """(key, depth, path) for (key, parent, ord): paths of padded ordinals sort as the tree is read, parents first.
 
-    Each round doubles how far up a path reaches, so n levels need about log n rounds. Nodes that hang from no root
-    (their chain ends at a node that isn't there, or in a circle) are left out.
+    Each round doubles how far up a path reaches, so n levels need about log n rounds; what is whole is not joined again.
+    Nodes that hang from no root (their chain ends at a node that isn't there, or in a circle) are left out: the first find
+    nothing to join, the second are still on their way after as many rounds as any chain needs. Ordinals are padded to the
+    widest, twelve digits at least; negative ones are refused.
     """
-    step = F.lpad(F.col("ord").cast("string"), 12, "0")
-    hung = roots(nodes, "key", "parent").select(F.col("node").alias("key"), F.col("depth").cast("int").alias("depth"))
-    at = settled(nodes.join(hung, "key").select("key", "depth", F.col("parent").alias("up"), step.alias("path")))
-    while at.where("up is not null").limit(1).count():
-        above = at.select(F.col("key").alias("up"), F.col("up").alias("up2"), F.col("path").alias("ahead"))
-        at = settled(at.join(above, "up", "left").select("key", "depth", F.col("up2").alias("up"), F.concat_ws("/", "ahead", "path").alias("path")))
-    return at.select("key", "depth", "path")
+    sizes = nodes.agg(F.count("*").alias("n"), F.max(F.length(F.col("ord").cast("string"))).alias("w"), F.min("ord").alias("least")).first()
+    if (sizes["least"] or 0) < 0:
+        raise ValueError("ordinals begin at 0")
+    step = F.lpad(F.col("ord").cast("string"), max(12, sizes["w"] or 0), "0")
+    at = settled(nodes.select("key", F.col("parent").alias("up"), F.col("parent").isNotNull().cast("int").alias("depth"), step.alias("path")))
+    for _ in range(sizes["n"].bit_length()):
+        if at.where("up is not null").isEmpty():
+            break
+        above = at.select(F.col("key").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"), F.col("path").alias("ahead"))
+        moved = at.where("up is not null").join(above, "up").select("key", F.col("up2").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.concat_ws("/", "ahead", "path").alias("path"))
+        at = settled(at.where("up is null").unionByName(moved))
+    return at.where("up is null").select("key", "depth", "path")
 
 
 def reachable(seeds: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:

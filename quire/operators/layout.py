@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.functions.text import GAP
+
 
 def word_runs(glyphs: DataFrame, key: list[str], gap: float = 0.15) -> DataFrame:
     """Add word, from 0, to (key, ord, ch, x0, x1, size): a new one after white space or a gap of over 0.15 em; white
     space itself is left out."""
     w = Window.partitionBy(*key).orderBy("ord")
-    space = F.col("ch").rlike(r"^\s$")
+    space = F.col("ch").rlike(rf"^{GAP}\z")
     apart = F.coalesce(F.lag(space).over(w), F.lit(True)) | ((F.col("x0") - F.lag("x1").over(w)) > gap * F.col("size"))
     flagged = glyphs.withColumns({"__space": space, "__new": (apart & ~space).cast("int")})
     numbered = flagged.withColumn("word", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1)
@@ -45,7 +47,7 @@ def line_alignment(lines: DataFrame, key: list[str], tolerance: float = 1.0) ->
 def block_style(glyphs: DataFrame, key: list[str]) -> DataFrame:
     """key, size and font: the median size of visible glyphs, and the commonest font; of equals the one that came to that
     number first. Blocks without a glyph that has a size are left out."""
-    seen = glyphs.where(~F.col("ch").rlike(r"^\s$"))
+    seen = glyphs.where(~F.col("ch").rlike(rf"^{GAP}\z"))
     sizes = seen.where("size > 0").groupBy(*key).agg(F.median("size").alias("size"))
     fonts = seen.where("font <> ''").groupBy(*key, "font").agg(F.count("*").alias("n"), (-F.max("ord")).alias("reached"))
     best = fonts.groupBy(*key).agg(F.max(F.struct("n", "reached", "font")).alias("m")).select(*key, F.col("m.font").alias("font"))

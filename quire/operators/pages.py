@@ -220,23 +220,58 @@ def sheet_counts(pages: Column, per_sheet: int) -> Column:
     return F.ceil(pages / per_sheet).cast("int")
 
 
-def split_plan(rows: DataFrame, mode: str, size: int = 0, titles: DataFrame | None = None) -> DataFrame:
-    """(doc_id, part, name, first, last) of rows (doc_id, page, pages): mode `every` (each `size` pages a part), `single`
-    (each page), `odd-even`, or `bookmarks` (titles: doc_id, ord, page, title; parts are named by number and title)."""
+SIGNATURE = 4  # pages of a booklet's signature: two folded sheets
+
+
+def range_parts(rows: DataFrame) -> DataFrame:
+    """(doc_id, part, first, last), from 0, of (doc_id, expr, pages): each range of an expression such as `1-3, 5, 8-` is a
+    part. What parse_ranges() refuses of the whole expression (a malformed range, one beyond the pages, pages that repeat or
+    descend) raises an error."""
+    sound = parse_ranges(rows, ["doc_id"]).select("doc_id").distinct()
+    segments = F.filter(F.split(F.regexp_replace(F.trim("expr"), r"\s*([-–—])\s*", "$1"), r"[,;\s]+"), lambda x: x != "")
+    spread = rows.select("doc_id", "pages", F.posexplode(segments).alias("part", "expr"))
+    placed = parse_ranges(spread, ["doc_id", "part"]).join(sound, "doc_id")
+    return placed.groupBy("doc_id", "part").agg((F.min("page") - 1).alias("first"), (F.max("page") - 1).alias("last"))
+
+
+def refused_bookmarks(rows: DataFrame, titles: DataFrame) -> DataFrame:
+    """(doc_id, ord, page, title) of the bookmarks that point beyond the pages of their document (doc_id, pages)."""
+    whole = rows.groupBy("doc_id").agg(F.max("pages").alias("pages"))
+    return titles.join(whole, "doc_id").where("page is null or page < 0 or page >= pages").select("doc_id", "ord", "page", "title")
+
+
+def split_plan(rows: DataFrame, mode: str, size: int = 0, titles: DataFrame | None = None, ranges: DataFrame | None = None, base: str = "part", lead_title: str = "") -> DataFrame:
+    """(doc_id, part, name, first, last) of rows (doc_id, page, pages), pages from 0.
+
+    Modes: `ranges` (ranges: doc_id, expr), `every` (each `size` pages), `size` (rows have bytes; parts of at most `size`
+    bytes), `booklet` (signatures of `size` pages, four if none), `bookmarks` (titles: doc_id, ord, page, title; the first
+    bookmark of a page opens a part), `single` and `odd-even`. A part is named by base, its number as wide as the last, and
+    the title of its bookmark; odd and even pages by these words.
+
+    A document with a bookmark beyond its pages is refused as a whole: it has no parts, and refused_bookmarks() tells why.
+    """
     whole = rows.groupBy("doc_id").agg(F.max("pages").alias("pages"))
+    suffix = F.lit("")
     if mode == "odd-even":
         odd = (F.col("page") % 2).cast("int")
         return rows.groupBy("doc_id", odd.alias("part")).agg(F.min("page").alias("first"), F.max("page").alias("last")).select("doc_id", "part", F.when(F.col("part") == 0, "odd").otherwise("even").alias("name"), "first", "last")
     if mode == "bookmarks":
-        w = Window.partitionBy("doc_id").orderBy("first")
-        by_page = Window.partitionBy("doc_id", "page").orderBy("ord")
-        opens = titles.withColumn("rn", F.row_number().over(by_page)).where("rn = 1").select("doc_id", F.col("page").alias("first"), "title")
-        lead = opens.groupBy("doc_id").agg(F.min("first").alias("m")).where("m > 0").select("doc_id", F.lit(0).alias("first"), F.lit(None).cast("string").alias("title"))
-        both = opens.unionByName(lead).join(whole, "doc_id").where(F.col("first") < F.col("pages"))
-        placed = both.withColumns({"part": F.row_number().over(w) - 1, "last": F.lead("first").over(w) - 1, "n": F.count("*").over(Window.partitionBy("doc_id"))})
-        number = padded(F.col("part") + 1, F.length(F.col("n").cast("string")))
-        return placed.select("doc_id", "part", F.concat(number, F.coalesce(safe_suffix(F.col("title")), F.lit(""))).alias("name"), "first", F.coalesce("last", F.col("pages") - 1).alias("last"))
-    if mode not in ("every", "single"):
+        by_page, w = Window.partitionBy("doc_id", "page").orderBy("ord"), Window.partitionBy("doc_id").orderBy("first")
+        sound = titles.join(refused_bookmarks(rows, titles).select("doc_id").distinct(), "doc_id", "left_anti")
+        opens = sound.withColumn("rn", F.row_number().over(by_page)).where("rn = 1").select("doc_id", F.col("page").alias("first"), "title")
+        lead = opens.groupBy("doc_id").agg(F.min("first").alias("m")).where("m > 0").select("doc_id", F.lit(0).alias("first"), F.lit(lead_title).alias("title"))
+        both = opens.unionByName(lead).join(whole, "doc_id")
+        parts = both.withColumns({"part": F.row_number().over(w) - 1, "last": F.coalesce(F.lead("first").over(w), "pages") - 1})
+        suffix = F.coalesce(safe_suffix(F.col("title")), F.lit(""))
+    elif mode == "ranges":
+        parts = range_parts(ranges.join(whole, "doc_id"))
+    elif mode == "size":
+        parts = split_by_size(rows, size).groupBy("doc_id", "part").agg(F.min("page").alias("first"), F.max("page").alias("last"))
+    elif mode in ("every", "single", "booklet"):
+        own = chunks(rows, 1 if mode == "single" else size or SIGNATURE if mode == "booklet" else size)
+        parts = own.groupBy("doc_id", F.col("chunk").alias("part")).agg(F.min("page").alias("first"), F.max("page").alias("last"))
+    else:
         raise ValueError(f"unknown mode {mode!r}")
-    named = chunks(rows, 1 if mode == "single" else size)
-    return named.groupBy("doc_id", F.col("chunk").alias("part"), "name").agg(F.min("page").alias("first"), F.max("page").alias("last"))
+    count = F.count("*").over(Window.partitionBy("doc_id"))
+    name = F.concat(F.lit(f"{base}-"), padded(F.col("part") + 1, F.length(count.cast("string"))), suffix)
+    return parts.select("doc_id", "part", name.alias("name"), "first", "last")

@@ -175,15 +175,25 @@ SELECT doc_id AS pair, count(*) FILTER (NOT new AND NOT gone AND same) AS identi
 
 
 def d2_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact counters of each pair; in the second version lines that start with `The` are gone."""
+    """Counters of each pair. In the second version lines that start with `The` are gone, pages of documents divisible by
+    three end in a new line, and a last page of odd number is new where the one of even number is gone."""
     left, _ = _versions(spark, sf_dir)
-    right = left.withColumn("text", F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.startswith(x, F.lit("The"))), "\n"))
-    return compare.summary(compare.compare_pages(left, right), compare.page_status(left, right)).drop("truncated", "reasons")
-
-
-D2S_SQL = f"""WITH {PAGES_SQL}, l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '\\s+$', '')), lambda x: x <> '') AS l FROM pages),
-g AS (SELECT doc_id, len(list_filter(l, lambda x: starts_with(x, 'The'))) AS gone FROM l)
-SELECT doc_id AS pair, 0 AS added_lines, sum(gone)::BIGINT AS removed_lines, 0 AS changed_lines, count(*) FILTER (gone = 0) AS identical, count(*) FILTER (gone > 0) AS changed, 0 AS added, 0 AS removed FROM g GROUP BY doc_id"""
+    last = left.groupBy("pair").agg(F.max("page").alias("last"))
+    kept = lambda rows, odd: rows.join(last, "pair").where(~((F.col("page") == F.col("last")) & (F.col("last") % 2 == int(odd)) & (F.col("last") > 0))).drop("last")
+    lines = F.filter(F.split("text", "\n"), lambda x: ~F.startswith(x, F.lit("The")))
+    right = left.withColumn("text", F.array_join(F.when(F.col("pair") % 3 == 0, F.concat(lines, F.array(F.lit("a new line")))).otherwise(lines), "\n"))
+    one, two = kept(left, True), kept(right, False)
+    return compare.summary(compare.compare_pages(one, two), compare.page_status(one, two)).withColumn("reasons", F.array_join("reasons", ","))
+
+
+_FULL = "list_filter(list_transform(string_split({}, chr(10)), lambda x: regexp_replace(x, '\\s+$', '')), lambda x: x <> '')"
+D2S_SQL = f"""WITH {PAGES_SQL}, z AS (SELECT doc_id, max(page) AS z FROM pages GROUP BY doc_id),
+l AS (SELECT doc_id, page, page = z AND z > 0 AND z % 2 = 1 AS new, page = z AND z > 0 AND z % 2 = 0 AS gone, doc_id % 3 = 0 AS more, {_FULL.format("text")} AS l,
+  {_FULL.format("array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT starts_with(x, 'The')), chr(10))")} AS r FROM pages JOIN z USING (doc_id)),
+c AS (SELECT *, len(l) - len(r) AS cut, coalesce(starts_with(l[-1], 'The'), FALSE) AS tail FROM l)
+SELECT doc_id AS pair, sum(CASE WHEN gone THEN 0 WHEN new THEN len(r) + more::INT WHEN more AND NOT tail THEN 1 ELSE 0 END)::BIGINT AS added_lines,
+  sum(CASE WHEN new THEN 0 WHEN gone THEN len(l) WHEN more AND tail THEN cut - 1 ELSE cut END)::BIGINT AS removed_lines, sum(CASE WHEN NOT new AND NOT gone AND more AND tail THEN 1 ELSE 0 END)::BIGINT AS changed_lines,
+  count(*) FILTER (NOT new AND NOT gone AND cut = 0 AND NOT more) AS identical, count(*) FILTER (NOT new AND NOT gone AND (cut > 0 OR more)) AS changed, count(*) FILTER (new) AS added, count(*) FILTER (gone) AS removed, FALSE AS truncated, '' AS reasons FROM c GROUP BY doc_id"""
 
 
 def d5_word_recall(spark: SparkSession, sf_dir: str) -> DataFrame:

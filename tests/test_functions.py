@@ -71,7 +71,7 @@ def test_labels(spark):
     n = [1, 4, 9, 26, 27, 53, 1994]
     assert values(spark, n, numbers.roman(F.col("x")), kind="int") == ["I", "IV", "IX", "XXVI", "XXVII", "LIII", "MCMXCIV"]
     assert values(spark, [1, 26, 27, 53], numbers.letters(F.col("x")), kind="int") == ["A", "Z", "AA", "AAA"]
-    assert values(spark, [1, 26, 27, 702, 703], numbers.column_letters(F.col("x")), kind="int") == ["A", "Z", "AA", "ZZ", "AAA"]
+    assert values(spark, [1, 26, 27, 702, 703, 18278, 18279, 475254, 475255, 0, None], numbers.column_letters(F.col("x")), kind="int") == ["A", "Z", "AA", "ZZ", "AAA", "ZZZ", "AAAA", "ZZZZ", "AAAAA", None, None]
     assert values(spark, [5, 12345], numbers.padded(F.col("x"), 3), kind="int") == ["005", "12345"]
 
 
@@ -119,6 +119,9 @@ def test_deep_trees_and_long_paths(spark):
     nodes = spark.createDataFrame(deep, "key string, parent string, ord long, open boolean")
     got = {r.key: (r.depth, r.path) for r in graph.preorder(nodes).collect()}
     assert len(got) == 100 and got["k99"] == (99, "/".join(f"{k:012d}" for k in range(100)))
+    long = spark.createDataFrame([("a", None, 9999999999999), ("b", None, 10000000000000), ("c", "b", 7), ("d", "lost", 1), ("e", "d", 1)], "key string, parent string, ord long")
+    paths = {r.key: r.path for r in graph.preorder(long).collect()}
+    assert paths == {"a": "09999999999999", "b": "10000000000000", "c": "10000000000000/00000000000007"}  # 13 and 14 digits, none cut
     counts = {r.key: (r.total, r.visible, r["count"]) for r in model.outline_counts(nodes.where("key like 'k%'")).collect()}
     for k in range(100):
         shown = 0
@@ -231,7 +234,17 @@ def test_pages(spark):
     plan = lambda *a: sorted((r.part, r.name, r.first, r.last) for r in pages.split_plan(rows, *a).collect())
     assert plan("every", 2) == [(0, "part-1", 0, 1), (1, "part-2", 2, 3), (2, "part-3", 4, 4)] and len(plan("single")) == 5
     titles = spark.createDataFrame([(1, 1, 3, "B/x"), (1, 0, 3, "A: y"), (1, 2, 4, "..")], "doc_id int, ord int, page int, title string")
-    assert plan("bookmarks", 0, titles) == [(0, "1", 0, 2), (1, "2-A y", 3, 3), (2, "3", 4, 4)]
+    assert plan("bookmarks", 0, titles) == [(0, "part-1", 0, 2), (1, "part-2-A y", 3, 3), (2, "part-3", 4, 4)]
+    beyond = titles.union(spark.createDataFrame([(1, 3, 5, "far")], titles.schema))
+    assert plan("bookmarks", 0, beyond) == [] and [tuple(r) for r in pages.refused_bookmarks(rows, beyond).collect()] == [(1, 3, 5, "far")]
+    written = spark.createDataFrame([(1, "1, 2 - 3; 4-")], "doc_id int, expr string")
+    assert plan("ranges", 0, None, written) == [(0, "part-1", 0, 0), (1, "part-2", 1, 2), (2, "part-3", 3, 4)]
+    assert plan("booklet") == [(0, "part-1", 0, 3), (1, "part-2", 4, 4)] and plan("booklet", 2) == plan("every", 2)
+    sized = rows.withColumn("bytes", F.lit(40))
+    assert sorted((r.part, r.first, r.last) for r in pages.split_plan(sized, "size", 100).collect()) == [(0, 0, 1), (1, 2, 3), (2, 4, 4)]
+    for bad, why in (("1-9", "bad page range"), ("3, 1-2", "repeat or descend")):
+        with pytest.raises(Exception, match=why):
+            plan("ranges", 0, None, written.withColumn("expr", F.lit(bad)))
     with pytest.raises(Exception, match="not there"):
         pages.replaced_pages(rows, spark.createDataFrame([(1, 9, 0)], "doc_id int, page int, source_page int")).collect()
 
@@ -268,3 +281,33 @@ def test_readers(spark, tmp_path):
     assert files.sniff_delimiter('a;b;"c,d"\n1;2;3\n') == ";" and files.sniff_delimiter("a,b\nc,d") == "," and files.sniff_delimiter("plain") == ","
     rows = files.csv_rows('a,"b ""q""\nline",c\r\nx,y"z,\rlast', ",")
     assert rows == [["a", 'b "q"\nline', "c"], ["x", 'y"z', ""], ["last"]]
+
+
+def test_no_break_spaces(spark):
+    """White space is what scripts trim, and what parts words is a fixed set, the no-break space among them."""
+    from quire.functions import text
+    from quire.operators import compare, layout
+
+    glyphs = spark.createDataFrame([(1, k, c, 10.0 * k, 10.0 * k + 10, 10.0, "A" if c == "\xa0" else "B") for k, c in enumerate("a\xa0\xa0\xa0b\u2003c")], "k int, ord int, ch string, x0 double, x1 double, size double, font string")
+    assert [(r.ch, r.word) for r in layout.word_runs(glyphs, ["k"]).orderBy("ord").collect()] == [("a", 0), ("b", 1), ("\u2003", 1), ("c", 1)]
+    assert layout.block_style(glyphs, ["k"]).first()["font"] == "B"
+    left = spark.createDataFrame([(1, 0, "a\xa0\nb"), (1, 1, "a\x1c"), (1, 2, "x\u2028 \ufeff\n\xa0\n")], "pair long, page int, text string")
+    right = spark.createDataFrame([(1, 0, "a\nb\u3000"), (1, 1, "a"), (1, 2, "x")], left.schema)
+    status = {r.page: r.status for r in compare.page_status(left, right).collect()}
+    assert status == {0: "identical", 1: "changed", 2: "identical"}
+    for page in range(3):
+        texts = [df.where(F.col("page") == page).first()["text"] for df in (left, right)]
+        assert bool(compare.line_changes(*texts)) == (status[page] == "changed")
+    assert values(spark, ["1.\xa0x", "1.x", "1. x"], text.markdown_escape(F.col("x"))) == ["1\\.\xa0x", "1.x", "1\\. x"]
+
+
+def test_csv_numbers_and_bounds(spark):
+    from quire.operators import exchange
+
+    cells = ["h", "1,5", "1.5", "1,000,5", "0x1F", "0b12", " ", "", "-.5e3", "Infinity", "1_0", "\xa07\xa0"]
+    df = spark.createDataFrame([(1, "\n".join(f'"{c}"' for c in cells))], "k int, t string")
+    got = {r.row: r.numeric for r in exchange.csv_tables(df, "k", "t").collect()}
+    assert [got[k] for k in range(len(cells))] == [False, True, True, False, True, False, True, False, True, False, False, True]
+    assert exchange.csv_tables(df, "k", "t", most_rows=3).count() == 3 and [tuple(r) for r in exchange.csv_notes(df, "k", "t", most_rows=3).collect()] == [(1, 12, 3)]
+    with pytest.raises(Exception, match="too large"):
+        exchange.csv_tables(spark.createDataFrame([(1, "," * 1000)], df.schema), "k", "t").collect()
