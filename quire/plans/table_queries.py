@@ -1,4 +1,4 @@
-"""Queries of ruled tables."""
+"""Queries of ruled tables, recognised words and structure edits."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.operators import tables
+from quire.operators import recognised, structure, tables
 from quire.sources.tables import table
 
 
@@ -47,5 +47,70 @@ UNION ALL SELECT page, r, 1, 1, 1, 50.0, r * 20.0 + 20, '1111', s FROM p WHERE f
 UNION ALL SELECT page, min(r), CASE WHEN any_value(cut) THEN 2 ELSE 1 END, count(*), 1, 120.0, max(r) * 20.0 + 20, '1111', string_agg(q::VARCHAR, chr(10) ORDER BY r) FROM p GROUP BY page, g)
 SELECT page, 0 AS "table", "row", "column", row_span, column_span, x0, y1, sides, text FROM a QUALIFY count(*) OVER (PARTITION BY page) >= 4"""
 
-QUERIES = {"k3_ruled_cells": k3_ruled_cells}
-ORACLE_SQL = {"k3_ruled_cells": K3C_SQL}
+def i5c_cut_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of a recognised line (an order's lines, in places by part) cut at gutters and where the region changes."""
+    line = table(spark, sf_dir, "lineitem")
+    x0 = (F.col("l_partkey") % 60 * 10).cast("double")
+    words = line.select(
+        F.col("l_suppkey").alias("page"), F.col("l_orderkey").alias("line"), (F.col("l_linenumber") * 10_000_000_000 + F.col("l_partkey") * 100_000 + F.col("l_suppkey") * 100 + F.col("l_quantity").cast("long")).alias("word"), F.col("l_quantity").cast("int").cast("string").alias("text"), x0.alias("x0"),
+        F.lit(0.0).alias("y0"), (x0 + F.col("l_quantity") * 2).alias("x1"), F.lit(10.0).alias("y1"), F.lit(8.0).alias("baseline"), F.lit(10.0).alias("size"), (F.col("l_returnflag") == "N").cast("int").alias("region"),
+    )
+    found = recognised.cut_lines(words.withColumn("page", F.lit(0)))
+    return found.select("line", "part", "region", "x0", "x1", "n_words")
+
+
+I5CL_SQL = """WITH w AS (SELECT l_orderkey AS line, l_partkey % 60 * 10.0 AS x0, l_partkey % 60 * 10.0 + l_quantity * 2 AS x1, l_linenumber * 10000000000 + l_partkey * 100000 + l_suppkey * 100 + l_quantity::BIGINT AS word, (l_returnflag = 'N')::INT AS region FROM lineitem),
+a AS (SELECT *, CASE WHEN lag(region) OVER (PARTITION BY line ORDER BY x0, word) <> region THEN 1 ELSE 0 END AS turn FROM w),
+b AS (SELECT *, sum(turn) OVER (PARTITION BY line ORDER BY x0, word ROWS UNBOUNDED PRECEDING) AS run FROM a),
+c AS (SELECT *, max(x1) OVER (PARTITION BY line, run ORDER BY x0, word ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS edge FROM b),
+d AS (SELECT *, sum(CASE WHEN turn = 1 OR x0 - edge > 15 THEN 1 ELSE 0 END) OVER (PARTITION BY line ORDER BY x0, word ROWS UNBOUNDED PRECEDING) AS part FROM c)
+SELECT line, part, any_value(region) AS region, min(x0) AS x0, max(x1) AS x1, count(*) AS n_words FROM d GROUP BY line, part"""
+
+
+def i5c_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents set in two columns of ten, with a gap after each fifth: paragraphs in the order they are read."""
+    line = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
+    at = F.col("n") % 20
+    y = (at % 10) * 14.0 + F.floor((at % 10) / 5) * 14
+    x = F.when(at < 10, 0.0).otherwise(220.0)
+    lines = line.select(
+        (F.col("doc_id") * 10_000 + F.floor(F.col("n") / 20)).alias("page"), (19 - at).cast("int").alias("line"), F.lit(0).cast("long").alias("part"), x.alias("x0"), y.alias("y0"), (x + 180).alias("x1"), (y + 10).alias("y1"),
+        (y + 8).alias("baseline"), F.lit(10.0).alias("size"), F.lit(0).alias("region"), "text",
+    )
+    return recognised.paragraphs(lines).select("page", "paragraph", "place", F.md5("text").alias("md5"))
+
+
+I5CP_SQL = """WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n, unnest(string_split(text, chr(10))) AS t FROM documents)
+SELECT doc_id * 10000 + n // 20 AS page, n % 20 // 5 AS paragraph, n % 5 AS place, md5(t) AS md5 FROM l"""
+
+
+def g4_replayed_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of a conversation as blocks of a section: even ones are grouped, the group is moved to the front, its language
+    goes to its children as it is unwrapped, the second turn becomes a heading; conversations of seven turns are refused."""
+    t = table(spark, sf_dir, "conversations")
+    key = lambda n: F.concat(F.lit("t"), F.lpad(n.cast("string"), 3, "0"))
+    no = lambda kind="string": F.lit(None).cast(kind)
+    leaf = t.select(F.col("conv_id").alias("doc_id"), key(F.col("turn")).alias("key"), F.lit("s").alias("parent"), (F.col("turn") + 2).alias("ord"), F.lit("P").alias("role"))
+    top = t.select("conv_id").distinct()
+    roots = top.select(F.col("conv_id").alias("doc_id"), F.lit("d").alias("key"), no().alias("parent"), F.lit(0).cast("long").alias("ord"), F.lit("Document").alias("role"))
+    section = top.select(F.col("conv_id").alias("doc_id"), F.lit("s").alias("key"), F.lit("d").alias("parent"), F.lit(1).cast("long").alias("ord"), F.lit("Sect").alias("role"))
+    nodes = roots.union(section).union(leaf).select("*", no().alias("alt"), no().alias("scope"), no().alias("lang"), F.lit(True).alias("editable"), no().alias("content"))
+    own = t.groupBy(F.col("conv_id").alias("doc_id")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("turn") % 2 == 0, key(F.col("turn"))))).alias("even"))
+
+    def step(seq, op, key=None, value=None, role=None, parent=None, place=None, keys=None, where="true"):
+        cast = lambda v: F.lit(v).cast("string")
+        return own.where(where).select("doc_id", F.lit(seq).alias("seq"), F.lit(op).alias("op"), cast(key).alias("key"), cast(value).alias("value"), cast(role).alias("role"), cast(parent).alias("parent"), F.lit(place).cast("int").alias("place"), (F.col(keys) if keys else no("array<string>")).alias("keys"))
+
+    edits = step(0, "group", value="g", role="Div", keys="even").union(step(1, "move", key="g", parent="d", place=0)).union(step(2, "role", key="t001", value="H1", where="n > 1"))
+    edits = edits.union(step(3, "alt", key="g", value="  ", where="n = 7")).union(step(4, "unwrap", key="g")).union(step(5, "alt", key="s", value=" rest "))
+    return structure.replayed(nodes, edits).select("doc_id", "key", "parent", "place", "depth", "role", "alt", "refused", "refused_at")
+
+
+G4R_SQL = """WITH t AS (SELECT conv_id AS doc_id, turn, 't' || lpad(turn::VARCHAR, 3, '0') AS key, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, turn % 2 ORDER BY turn) - 1 AS place, count(*) FILTER (turn % 2 = 0) OVER (PARTITION BY doc_id) AS evens FROM t WHERE n <> 7)
+SELECT doc_id, key, CASE WHEN turn % 2 = 0 THEN 'd' ELSE 's' END AS parent, place, CASE WHEN turn % 2 = 0 THEN 1 ELSE 2 END AS depth, CASE WHEN turn = 1 THEN 'H1' ELSE 'P' END AS role, NULL::VARCHAR AS alt, NULL::VARCHAR AS refused, NULL::BIGINT AS refused_at FROM p
+UNION ALL SELECT DISTINCT doc_id, 'd', NULL, 0, 0, 'Document', NULL, NULL, NULL::BIGINT FROM p UNION ALL SELECT DISTINCT doc_id, 's', 'd', evens, 1, 'Sect', 'rest', NULL, NULL::BIGINT FROM p
+UNION ALL SELECT DISTINCT doc_id, NULL, NULL, NULL, NULL, NULL, NULL, 'alt', 3 FROM t WHERE n = 7"""
+
+QUERIES = {"k3_ruled_cells": k3_ruled_cells, "i5c_cut_lines": i5c_cut_lines, "i5c_paragraphs": i5c_paragraphs, "g4_replayed_edits": g4_replayed_edits}
+ORACLE_SQL = {"k3_ruled_cells": K3C_SQL, "i5c_cut_lines": I5CL_SQL, "i5c_paragraphs": I5CP_SQL, "g4_replayed_edits": G4R_SQL}
