@@ -1,4 +1,4 @@
-"""Flat token files: unsigned little-endian ids, 64-bit document offsets, memory-mapped when read.
+"""Flat token files: unsigned little-endian ids, 64-bit document offsets, memory-mapped (or read by ranges) when read.
 
 Documents are dealt into ranges of ascending doc_id. Each partition writes three files: part-N.tokens (the ids, 16 bits
 where the vocabulary allows it, else 32), part-N.offsets (one more 64-bit number than documents, from 0) and part-N.ids
@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import json
 import mmap
+import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 NO_ID = -(1 << 63)
+SOME = 1024  # documents that are read at a time
 MARKS = ".,;:!?"
 _KEPT: dict[str, WordMemo] = {}
 
@@ -162,33 +164,37 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     return docs.sparkSession.createDataFrame(manifest, "part int, path string, width int, docs long, tokens long, base_doc long, base long")
 
 
-def _mapped(fs: pafs.FileSystem, path: str, dtype: str) -> np.ndarray:
-    """A file as an array: memory-mapped where the store is this machine's, read otherwise."""
+def open_numbers(fs: pafs.FileSystem, path: str, dtype: str) -> tuple[int, Callable[[int, int], np.ndarray]]:
+    """How many numbers a file holds, and a way to get those from one place up to another: out of a memory map where the
+    store is this machine's, else read at their place, so no more than what is asked for comes into memory."""
+    width = np.dtype(dtype).itemsize
     if isinstance(fs, pafs.LocalFileSystem):
         with open(path, "rb") as f:
-            try:
-                return np.frombuffer(mmap.mmap(f.fileno(), 0, prot=mmap.PROT_READ), dtype)
-            except ValueError:  # an empty file
-                return np.zeros(0, dtype)
-    with fs.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype)
+            size = os.fstat(f.fileno()).st_size
+            mapped = np.frombuffer(mmap.mmap(f.fileno(), 0, prot=mmap.PROT_READ) if size else b"", dtype)
+        return len(mapped), lambda a, b: mapped[a:b]
+    file = fs.open_input_file(path)
+    return file.size() // width, lambda a, b: np.frombuffer(file.read_at((b - a) * width, a * width), dtype)
 
 
 def read_token_files(manifest: DataFrame, checksum: bool = True) -> DataFrame:
-    """doc_id, start (tokens of all documents before), n_tokens, and the crc32 of the ids as 32-bit numbers or the ids."""
+    """doc_id, start (tokens of all documents before), n_tokens, and the crc32 of the ids as 32-bit numbers or the ids.
+
+    A task goes through a part's documents, some at a time, by their offsets; it never holds a part.
+    """
     n = manifest.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for batch in batches for r in batch.to_pylist()):
             fs, path = pafs.FileSystem.from_uri(row["path"])
-            tokens, offsets, ids = (_mapped(fs, f"{path}.{k}", t) for k, t in (("tokens", f"<u{row['width']}"), ("offsets", "<u8"), ("ids", "<i8")))
-            for first in range(0, len(ids), 1024):
-                o = offsets[first : first + 1025].astype(np.int64)
-                each = [tokens[a:b].astype("<u4") for a, b in zip(o[:-1], o[1:], strict=True)]
+            (_, tokens), (_, offsets), (n_docs, ids) = (open_numbers(fs, f"{path}.{k}", t) for k, t in (("tokens", f"<u{row['width']}"), ("offsets", "<u8"), ("ids", "<i8")))
+            for first in range(0, n_docs, SOME):
+                o = offsets(first, min(first + SOME, n_docs) + 1).astype(np.int64)
+                own, some = ids(first, min(first + SOME, n_docs)), tokens(int(o[0]), int(o[-1]))
+                each = [some[a:b].astype("<u4") for a, b in zip(o[:-1] - o[0], o[1:] - o[0], strict=True)]
                 last = pa.array([zlib.crc32(x) for x in each], pa.int64()) if checksum else pa.array(each, pa.list_(pa.int64()))
-                own = ids[first : first + 1024]
                 names = ["doc_id", "start", "n_tokens", "ids_crc32" if checksum else "ids"]
                 yield pa.RecordBatch.from_arrays([pa.array(own, mask=own == NO_ID), pa.array(o[:-1] + row["base"]), pa.array(np.diff(o)), last], names=names)
 
     kind = "ids_crc32 long" if checksum else "ids array<long>"
-    return manifest.repartition(max(1, n), "part").mapInArrow(run, f"doc_id long, start long, n_tokens long, {kind}")
+    return manifest.repartitionByRange(max(1, n), "part").mapInArrow(run, f"doc_id long, start long, n_tokens long, {kind}")

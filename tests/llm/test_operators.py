@@ -8,6 +8,7 @@ import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -329,6 +330,41 @@ def test_token_files(spark, docs, texts):
         at += len(want)
 
 
+def test_token_files_are_read_by_ranges(spark, docs, tmp_path, monkeypatch):
+    """On a store that isn't this machine's no more is asked for at once than what some documents hold."""
+    import pyarrow.fs as pafs
+
+    data = np.arange(5000, dtype="<u2")
+    data.tofile(tmp_path / "numbers")
+    (tmp_path / "none").touch()
+    far = pafs.SubTreeFileSystem(str(tmp_path), pafs.LocalFileSystem())
+    for fs, root in ((far, ""), (pafs.LocalFileSystem(), f"{tmp_path}/")):
+        size, read = token_files.open_numbers(fs, f"{root}numbers", "<u2")
+        assert size == 5000 and read(7, 4000).tolist() == data[7:4000].tolist() and read(5, 5).tolist() == []
+        assert token_files.open_numbers(fs, f"{root}none", "<u8")[0] == 0
+
+    folder = fresh_folder(spark, "ranges")
+    manifest = token_files.write_token_files(docs, folder, queries.tokenizer_path("byte_bpe_50k.json"), 2, partitions=1)
+    want = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_files.read_token_files(manifest).collect()}
+    row, asked = manifest.first(), []
+    fs, path = pafs.FileSystem.from_uri(row["path"])
+    plain = token_files.open_numbers
+
+    def counted(_, name, dtype):
+        size, read = plain(pafs.SubTreeFileSystem("/", fs), name.lstrip("/"), dtype)
+        return size, lambda a, b: asked.append((name.rsplit(".")[-1], b - a)) or read(a, b)
+
+    monkeypatch.setattr(token_files, "open_numbers", counted)
+    monkeypatch.setattr(token_files, "SOME", 16)
+    run = {}
+    frame = type("Frame", (), {"count": lambda self: 1, "repartitionByRange": lambda self, *a: self, "mapInArrow": lambda self, f, _: run.setdefault("f", f)})()
+    token_files.read_token_files(frame)
+    got = [r for b in run["f"](iter([pa.RecordBatch.from_pylist([row.asDict()])])) for r in b.to_pylist()]
+    assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in got} == want
+    most = sorted((n for _, n, _ in want.values()), reverse=True)
+    assert max(n for k, n in asked if k == "offsets") == 17 and max(n for k, n in asked if k == "tokens") <= sum(most[:16]) < row["tokens"]
+
+
 def test_word_bpe_equals_the_library(docs, texts):
     from tokenizers import Tokenizer
 
