@@ -111,8 +111,8 @@ def audit(texts: DataFrame, needles: DataFrame, broadcast_rows: int = 20_000) ->
 
     Texts meet needles by the hash of something that any text with the needle must hold: for needles of four words or
     more their second and third word, which stand whole; for shorter ones their first four characters, or as many as
-    there are. Candidates are counted exactly. Where needles are few enough to broadcast, texts stay in their rows;
-    otherwise the hashes are shuffled, and then the texts of candidates. Blank needles are skipped, equal ones are looked
+    there are. Only hashes leave a text's row; where needles are few enough to broadcast they meet in place, else by
+    shuffle. What met is looked up in the texts and counted exactly. Blank needles are skipped, equal ones are looked
     up once.
     """
     clean = needles.where(F.trim("text") != "").groupBy(F.col("text").alias("needle")).agg(F.min("item_id").alias("item_id"))
@@ -134,13 +134,10 @@ def audit(texts: DataFrame, needles: DataFrame, broadcast_rows: int = 20_000) ->
     keys += [marked(grams(n), n) for n in sizes if n]
     if not keys:
         return texts.select("doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("long").alias("hits")).limit(0)
-    kept = ["doc_id", "text"] if few else ["doc_id"]
-    spread = texts.select("doc_id", "text", words.alias("w")).select(*kept, F.explode(F.concat(*keys)).alias("k")).select(*kept, "k.n", "k.h")
-    counted = lambda rows: rows.select("doc_id", "item_id", F.floor((F.length("text") - F.length(F.replace("text", F.col("needle"), F.lit("")))) / F.length("needle")).alias("hits")).where("hits > 0")
-    if few:
-        return counted(spread.join(F.broadcast(keyed), ["n", "h"]))
-    meet = spread.join(keyed, ["n", "h"]).select("doc_id", "item_id", "needle")
-    return counted(texts.select("doc_id", "text").join(meet, "doc_id"))
+    spread = texts.select("doc_id", "text", words.alias("w")).select("doc_id", F.explode(F.concat(*keys)).alias("k")).select("doc_id", "k.n", "k.h")
+    meet = spread.join(F.broadcast(keyed) if few else keyed, ["n", "h"]).select("doc_id", "item_id", "needle").distinct()
+    hits = F.floor((F.length("text") - F.length(F.replace("text", F.col("needle"), F.lit("")))) / F.length("needle"))
+    return texts.select("doc_id", "text").join(meet, "doc_id").select("doc_id", "item_id", hits.alias("hits")).where("hits > 0")
 
 
 def masked(texts: DataFrame, spans: DataFrame, mark: str = "█") -> DataFrame:
