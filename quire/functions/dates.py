@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,3 +43,36 @@ def display_to_iso(text: Column) -> Column:
     full = F.when(F.length(year) == 4, year).otherwise(F.concat(F.when(year >= "70", F.lit("19")).otherwise(F.lit("20")), year))
     sound = text.rlike(p) & day.try_cast("int").between(1, 31) & month.try_cast("int").between(1, 12)
     return F.when(sound, F.concat_ws("-", full, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")))
+
+
+# The parts of a date picture, longest first, and what a part takes of a date.
+PICTURE = re.compile("YYYY|YY|MM|M|DD|D")
+
+
+def picture_to_iso(text: Column, picture: str) -> Column:
+    """A date as a picture such as DD/MM/YYYY or D.M.YY shows it, as YYYY-MM-DD; null where it doesn't match. Single letters
+    take one or two digits; years of two digits from 70 on are 1900s; of a part given twice the last counts. A year, months
+    from 1 to 12 and days from 1 to 31 must be there; the calendar isn't asked."""
+    width = {"YYYY": r"(\d{4})", "M": r"(\d{1,2})", "D": r"(\d{1,2})"}
+    parts = PICTURE.findall(picture)
+    pattern = "".join(width.get(p, r"(\d{2})") if PICTURE.fullmatch(p) else re.escape(p) for p in re.split(f"({PICTURE.pattern})", picture))
+    bare = F.regexp_replace(text, rf"\A{BLANK}+|{BLANK}+\z", "")
+    found = {p[0]: (p, F.regexp_extract(bare, rf"\A{pattern}\z", k + 1).try_cast("int")) for k, p in enumerate(parts)}
+    if set(found) != set("YMD"):
+        return F.lit(None).cast("string")
+    short, year = found["Y"][0] == "YY", found["Y"][1]
+    full = F.when(year < 70, 2000 + year).otherwise(1900 + year) if short else year
+    month, day = found["M"][1], found["D"][1]
+    sound = bare.rlike(rf"\A{pattern}\z") & (full > 0) & month.between(1, 12) & day.between(1, 31)
+    digits = lambda n, k: F.lpad(n.cast("string"), k, "0")
+    return F.when(sound, F.concat_ws("-", digits(full, 4), digits(month, 2), digits(day, 2)))
+
+
+def iso_to_picture(text: Column, picture: str) -> Column:
+    """The way back: YYYY-MM-DD as a picture shows it; null for anything else."""
+    bare = F.regexp_replace(text, rf"\A{BLANK}+|{BLANK}+\z", "")
+    year, month, day = F.substring(bare, 1, 4), F.substring(bare, 6, 2), F.substring(bare, 9, 2)
+    plain = lambda n: n.try_cast("int").cast("string")
+    shown = {"YYYY": year, "YY": F.substring(year, 3, 2), "MM": month, "M": plain(month), "DD": day, "D": plain(day)}
+    parts = [shown.get(p, F.lit(p)) for p in re.split(f"({PICTURE.pattern})", picture) if p]
+    return F.when(bare.rlike(r"\A\d{4}-\d{2}-\d{2}\z"), F.concat(*parts) if parts else F.lit(""))

@@ -14,6 +14,7 @@ STYLES = {
     3: (r"^\d+(?:,\d+)?$", "", ","),
     4: (r"^(?:\d+|[1-9]\d{0,2}(?:['’]\d{3})+)(?:\.\d+)?$", "'’", "."),
 }
+# Fixed value: how a number begins that a calculation reads off a text.
 NUMBER = r"^\s*([-+]?)(\d[\d.,'’]*|[.,]\d+)"
 
 

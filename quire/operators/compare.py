@@ -193,7 +193,7 @@ def word_edits(want: pd.Series, got: pd.Series) -> pd.Series:
 def error_rates(rows: DataFrame, key: list[str], want: str, got: str) -> DataFrame:
     """key, cer and wer of got against want: edits in characters and in words over all rows of a key, by their number in
     want, so long rows count for more. Null where want has none."""
-    count = F.size(F.filter(F.split(F.col(want), r"\s+"), lambda w: w != ""))
+    count = F.size(F.filter(F.split(F.col(want), r"(?U)\s+"), lambda w: w != ""))
     sums = rows.select(*key, F.levenshtein(F.col(want), F.col(got)).alias("e"), F.length(want).alias("n"), word_edits(F.col(want), F.col(got)).alias("we"), count.alias("wn"))
     over = lambda e, n: F.when(F.sum(n) > 0, F.sum(e) / F.sum(n))
     return sums.groupBy(*key).agg(over("e", "n").alias("cer"), over("we", "wn").alias("wer"))

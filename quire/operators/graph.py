@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quire.sources.shared import shared_folder
 
@@ -46,8 +47,8 @@ def threads(records: DataFrame) -> DataFrame:
     own = _answers(records)
     placed = roots(own, "id", "parent").withColumnRenamed("node", "id").where("depth > 0")
     found = placed.join((own.where("state is null") if "state" in own.columns else own).select("id", "ts", "ord"), "id")
-    listed = found.groupBy("root").agg(F.sort_array(F.collect_list(F.struct("ts", "ord", "id", "depth"))).alias("l"))
-    return listed.select("root", F.posexplode("l").alias("place", "x")).select("root", "x.id", "x.depth", "place")
+    oldest = Window.partitionBy("root").orderBy("ts", "ord", "id")
+    return found.select("root", "id", "depth", (F.row_number().over(oldest) - 1).alias("place"))
 
 
 def thread_states(records: DataFrame) -> DataFrame:

@@ -95,13 +95,35 @@ def text_columns(pieces: DataFrame, near: float = 8, reach: float = 4) -> DataFr
     return walk_groups(pieces, "page", ["row", "x"], walk, "page long, row int, column int, text string")
 
 
+# How long a line of prose is at the median, and the share of its column that a wrapped one fills.
+PROSE_LINE, PROSE_FILL = 20, 0.92
+
+
 def stream_tables(pieces: DataFrame, longest: float = 30, slack: float = 2) -> DataFrame:
     """(page, table, row, column, text) of tables without rules, from (page, row, top, bottom, x0, x1, text).
 
     Rows of two pieces or more, no further apart than one and a half of their height, make a run; its columns are the
     stretches that its pieces cover, merged where they come within the slack. A run is a table if cells are short on
-    average, columns are 2 to 20, and two rows or more fill two columns.
+    average, columns are 2 to 20, fewer than two of them hold prose, and two rows or more fill two columns. Where there is
+    a column `block`, three or more pieces of one block in a column, long at the median, are prose if the block stands in
+    no other column, or if each but the last holds words and fills the column's width.
     """
+    blocks = "block" in pieces.columns
+
+    def prose(own: list, column_of) -> int:
+        groups, places = {}, {}
+        for p in own:
+            groups.setdefault((column_of(p), p.block), []).append(p)
+            places.setdefault(p.block, set()).add(column_of(p))
+        found = set()
+        for (column, block), lines in groups.items():
+            if len(lines) < 3 or sorted(len(p.text) for p in lines)[len(lines) // 2] < PROSE_LINE:
+                continue
+            inside = [p for p in own if column_of(p) == column]
+            width = max(p.x1 for p in inside) - min(p.x0 for p in inside)
+            if places[block] == {column} or all(" " in p.text and p.x1 - p.x0 >= PROSE_FILL * width for p in lines[:-1]):
+                found.add(column)
+        return len(found)
 
     def table_of(run: list[list]) -> list[tuple[int, int, str]]:
         own = [p for row in run for p in row]
@@ -115,11 +137,13 @@ def stream_tables(pieces: DataFrame, longest: float = 30, slack: float = 2) -> D
                 spans.append([p.x0, p.x1])
         if not 2 <= len(spans) <= 20:
             return []
+        column_of = lambda p: next(c for c, (a, b) in enumerate(spans) if a <= p.x0 and p.x1 <= b)
+        if blocks and prose(own, column_of) >= 2:
+            return []
         cells: dict[tuple[int, int], list[str]] = {}
         for k, row in enumerate(run):
             for p in row:
-                column = next(c for c, (a, b) in enumerate(spans) if a <= p.x0 and p.x1 <= b)
-                cells.setdefault((k, column), []).append(p.text)
+                cells.setdefault((k, column_of(p)), []).append(p.text)
         full = sum(sum(r == k for r, _ in cells) >= 2 for k in range(len(run)))
         return [(r, c, " ".join(t)) for (r, c), t in sorted(cells.items())] if full >= 2 else []
 

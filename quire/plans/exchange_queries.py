@@ -293,13 +293,14 @@ I5A_SQL = "SELECT l_suppkey, count(*) FILTER (NOT m) AS kept, count(*) FILTER (m
 
 
 def v6_document_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as drafts that own keys, three orders a key; open documents and other windows refer to some."""
-    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus", "o_orderpriority", F.floor(F.col("o_orderkey") / 3).alias("key"))
+    """Customers as drafts that own keys, each fourth order its own, else three orders one; open documents and other windows
+    refer to some."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus", "o_orderpriority", F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderkey")).otherwise(F.floor(F.col("o_orderkey") / 3)).alias("key"))
     drafts = o.select(F.col("o_custkey").alias("manifest"), "key")
     return journal.document_cleanup(drafts, o.where("o_orderstatus = 'P'").select("key"), o.where("o_orderpriority like '1%'").select("key"))
 
 
-V6_SQL = """WITH o AS (SELECT *, o_orderkey // 3 AS key FROM orders)
+V6_SQL = """WITH o AS (SELECT *, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey ELSE o_orderkey // 3 END AS key FROM orders)
 SELECT min(o_custkey) AS manifest, key FROM o GROUP BY key HAVING count(DISTINCT o_custkey) = 1 AND NOT bool_or(o_orderstatus = 'P') AND NOT bool_or(starts_with(o_orderpriority, '1'))"""
 
 

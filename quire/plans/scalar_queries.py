@@ -78,6 +78,22 @@ F9_SQL = """WITH p AS (SELECT o_orderkey, o_orderkey % 3 AS k, o_orderdate AS d
 SELECT o_orderkey, CASE k WHEN 0 THEN strftime(d, '%d/%m/%Y') WHEN 1 THEN day(d) || '.' || month(d) || '.' || strftime(d, '%y') ELSE strftime(d, '%m/%d/%Y') END AS t,
  CASE WHEN k < 2 THEN strftime(d, '%Y-%m-%d') WHEN day(d) <= 12 THEN strftime(d, '%Y-%d-%m') END AS iso FROM p"""
 
+
+def f9_date_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order dates shown by three pictures and read back, and read by a picture that isn't theirs."""
+    order = table(spark, sf_dir, "orders")
+    k, iso = F.col("o_orderkey") % 3, F.date_format("o_orderdate", "yyyy-MM-dd")
+    pictures = ("DD/MM/YYYY", "D.M.YY", "YYYY MM (D)")
+    each = lambda f: F.when(k == 0, f(pictures[0])).when(k == 1, f(pictures[1])).otherwise(f(pictures[2]))
+    shown = order.select("o_orderkey", iso.alias("iso"), each(lambda p: dt.iso_to_picture(iso, p)).alias("shown"))
+    back = F.when(k == 0, dt.picture_to_iso(F.col("shown"), pictures[0])).when(k == 1, dt.picture_to_iso(F.col("shown"), pictures[1])).otherwise(dt.picture_to_iso(F.col("shown"), pictures[2]))
+    return shown.select("o_orderkey", "shown", back.alias("back"), dt.picture_to_iso(F.col("shown"), "MM/DD/YYYY").alias("other"))
+
+
+F9P_SQL = """WITH p AS (SELECT o_orderkey, o_orderkey % 3 AS k, o_orderdate AS d FROM orders)
+SELECT o_orderkey, CASE k WHEN 0 THEN strftime(d, '%d/%m/%Y') WHEN 1 THEN day(d) || '.' || month(d) || '.' || strftime(d, '%y') ELSE strftime(d, '%Y %m (') || day(d) || ')' END AS shown, strftime(d, '%Y-%m-%d') AS back,
+ CASE WHEN k = 0 AND day(d) <= 12 THEN strftime(d, '%Y-%d-%m') END AS other FROM p"""
+
 CALCULATIONS = [("net", "quantity * (line + 1) - 3"), ("third", "net / 3"), ("back", "third * 3 + 0.25"), ("most", "max(third, -(2) + missing.name)"), ("odd", "net / (line - 1)")]
 
 
@@ -169,13 +185,13 @@ def m6_significant(spark: SparkSession, sf_dir: str) -> DataFrame:
 M6_SQL = "SELECT c_custkey, CASE WHEN abs(c_acctbal) >= 1000 THEN 0 WHEN abs(c_acctbal) >= 100 THEN 1 WHEN abs(c_acctbal) >= 1 THEN 2 ELSE 3 END AS decimals FROM customer"
 
 QUERIES = {
-    "f2_form_number": f2_form_number, "f3_cell_number": f3_cell_number, "f6_pdf_date": f6_pdf_date, "f9_display_date": f9_display_date, "f11_calculations": f11_calculations,
+    "f2_form_number": f2_form_number, "f3_cell_number": f3_cell_number, "f6_pdf_date": f6_pdf_date, "f9_display_date": f9_display_date, "f9_date_pictures": f9_date_pictures, "f11_calculations": f11_calculations,
     "f12_field_validation": f12_field_validation, "f14_header_template": f14_header_template, "f16_limit_verdict": f16_limit_verdict, "f17_zoom_stops": f17_zoom_stops,
     "f20_column_letters": f20_column_letters, "f21_hex_colour": f21_hex_colour, "f24_digests": f24_digests, "r10_form_json": r10_form_json, "m6_significant": m6_significant,
 }
 
 ORACLE_SQL = {
-    "f2_form_number": F2_SQL, "f3_cell_number": F3_SQL, "f6_pdf_date": F6_SQL, "f9_display_date": F9_SQL, "f11_calculations": F11_SQL, "f12_field_validation": F12_SQL,
+    "f2_form_number": F2_SQL, "f3_cell_number": F3_SQL, "f6_pdf_date": F6_SQL, "f9_display_date": F9_SQL, "f9_date_pictures": F9P_SQL, "f11_calculations": F11_SQL, "f12_field_validation": F12_SQL,
     "f14_header_template": F14_SQL, "f16_limit_verdict": F16_SQL, "f17_zoom_stops": F17_SQL, "f20_column_letters": F20_SQL, "f21_hex_colour": F21_SQL, "f24_digests": F24_SQL,
     "r10_form_json": R10_SQL, "m6_significant": M6_SQL,
 }

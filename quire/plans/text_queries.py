@@ -213,6 +213,18 @@ def d9_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select("p_partkey", off.alias("edits"), F.round(off / F.length("p_name"), 6).alias("rate"))
 
 
+def d9_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of parts read for names, brand by brand: error rates in characters and in words over all of a brand."""
+    rates = compare.error_rates(table(spark, sf_dir, "part"), ["p_brand"], "p_name", "p_type")
+    return rates.select("p_brand", F.round("cer", 6).alias("cer"), F.round("wer", 6).alias("wer"))
+
+
+# Words as letters: the edit distance of the letters is that of the words.
+D9R_SQL = """WITH w AS (SELECT p_brand, p_name, p_type, string_split(p_name, ' ') AS a, string_split(p_type, ' ') AS b FROM part), v AS (SELECT *, list_distinct(a || b) AS v FROM w),
+l AS (SELECT *, array_to_string(list_transform(a, lambda x: chr(64 + list_position(v, x)::INT)), '') AS x, array_to_string(list_transform(b, lambda x: chr(64 + list_position(v, x)::INT)), '') AS y FROM v)
+SELECT p_brand, round(sum(levenshtein(p_name, p_type)) / sum(length(p_name)), 6) AS cer, round(sum(levenshtein(x, y)) / sum(len(a)), 6) AS wer FROM l GROUP BY p_brand"""
+
+
 D9_SQL = "SELECT p_partkey, levenshtein(p_name, p_type) AS edits, round(levenshtein(p_name, p_type) / length(p_name), 6) AS rate FROM part"
 
 
@@ -247,13 +259,13 @@ QUERIES = {
     "s1_document_search": s1_document_search, "s3_case_fold": s3_case_fold, "s4_dotted_i_search": s4_dotted_i_search, "s9_replacement_guard": s9_replacement_guard,
     "s10_replace_plan": s10_replace_plan, "s11_replaced_text": s11_replaced_text, "t8_markdown_export": t8_markdown_export, "t10_empty_pages": t10_empty_pages,
     "t11_page_words": t11_page_words, "t12_letter_counts": t12_letter_counts, "x1_utf16_lengths": x1_utf16_lengths, "f19_html_escape": f19_html_escape,
-    "p10_safe_suffix": p10_safe_suffix, "d1_line_diff": d1_line_diff, "d2_page_status": d2_page_status, "d2_summary": d2_summary, "d5_word_recall": d5_word_recall, "d9_edit_distance": d9_edit_distance,
+    "p10_safe_suffix": p10_safe_suffix, "d1_line_diff": d1_line_diff, "d2_page_status": d2_page_status, "d2_summary": d2_summary, "d5_word_recall": d5_word_recall, "d9_edit_distance": d9_edit_distance, "d9_error_rates": d9_error_rates,
     "u2_redaction_audit": u2_redaction_audit, "u4_masked_text": u4_masked_text, "t4_line_statistics": line_statistics,
 }
 
 ORACLE_SQL = {
     "s1_document_search": S1_SQL, "s3_case_fold": S3_SQL, "s4_dotted_i_search": S4_SQL, "s9_replacement_guard": S9_SQL, "s10_replace_plan": S10_SQL, "s11_replaced_text": S11_SQL,
     "t8_markdown_export": T8_SQL, "t10_empty_pages": T10_SQL, "t11_page_words": T11_SQL, "t12_letter_counts": T12_SQL, "x1_utf16_lengths": X1_SQL, "f19_html_escape": F19_SQL,
-    "p10_safe_suffix": P10_SQL, "d2_page_status": D2_SQL, "d2_summary": D2S_SQL, "d5_word_recall": D5_SQL, "d9_edit_distance": D9_SQL, "u2_redaction_audit": U2_SQL, "u4_masked_text": U4_SQL,
+    "p10_safe_suffix": P10_SQL, "d2_page_status": D2_SQL, "d2_summary": D2S_SQL, "d5_word_recall": D5_SQL, "d9_edit_distance": D9_SQL, "d9_error_rates": D9R_SQL, "u2_redaction_audit": U2_SQL, "u4_masked_text": U4_SQL,
     "t4_line_statistics": LINES_SQL,
 }

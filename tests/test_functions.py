@@ -311,3 +311,22 @@ def test_csv_numbers_and_bounds(spark):
     assert exchange.csv_tables(df, "k", "t", most_rows=3).count() == 3 and [tuple(r) for r in exchange.csv_notes(df, "k", "t", most_rows=3).collect()] == [(1, 12, 3)]
     with pytest.raises(Exception, match="too large"):
         exchange.csv_tables(spark.createDataFrame([(1, "," * 1000)], df.schema), "k", "t").collect()
+
+
+def test_date_pictures(spark):
+    from quire.functions import dates
+
+    read = lambda picture, *given: values(spark, list(given), dates.picture_to_iso(F.col("x"), picture))
+    assert read("DD/MM/YYYY", "31/02/2024", " 01/12/0001 ", "1/02/2024", "01/13/2024", "00/12/2024", "01/12/0000", "x", None) == ["2024-02-31", "0001-12-01", None, None, None, None, None, None]
+    assert read("D.M.YY", "1.2.69", "11.12.70", "1.2.1970") == ["2069-02-01", "1970-12-11", None]
+    assert read("YYYY(MM)[DD]+", "2024(01)[05]+", "2024(01)[05]") == ["2024-01-05", None] and read("MM/YYYY", "01/2024") == [None]
+    show = lambda picture, *given: values(spark, list(given), dates.iso_to_picture(F.col("x"), picture))
+    assert show("D.M.YY / DD MM YYYY", "2024-01-05", "2024-1-5", None) == ["5.1.24 / 05 01 2024", None, None]
+
+
+def test_error_rates(spark):
+    from quire.operators import compare
+
+    rows = [("a", "one two three", "one too three"), ("a", "four", ""), ("b", "", "x"), ("c", "x\xa0y", "x y")]
+    got = {r.k: (r.cer, r.wer) for r in compare.error_rates(spark.createDataFrame(rows, "k string, want string, got string"), ["k"], "want", "got").collect()}
+    assert got["a"] == (5 / 17, 2 / 4) and got["b"] == (None, None) and got["c"] == (1 / 3, 0.0)

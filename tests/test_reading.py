@@ -50,3 +50,22 @@ def test_structure_edits(spark):
     nodes = spark.createDataFrame([("a", None, "Document"), ("b", "a", "Sect"), ("c", "b", "P"), ("d", "b", "P"), ("e", "a", "Div"), ("f", "e", "P")], "key string, parent string, role string")
     edits = spark.createDataFrame([("b", "unwrap", None), ("d", "role", "H1"), ("f", "move", "a"), ("e", "drop", None)], "key string, action string, value string")
     assert sorted(map(tuple, reading.edited(nodes, edits).collect())) == [("a", None, "Document"), ("c", "a", "P"), ("d", "a", "H1"), ("f", "a", "P")]
+
+
+def test_prose_in_columns_is_no_table(spark):
+    kind = "page long, row int, top double, bottom double, x0 double, x1 double, text string, block int"
+
+    def found(rows):
+        return reading.stream_tables(spark.createDataFrame(rows, kind)).count()
+
+    line = "some words of running text"
+    page = lambda block, text=line, width=100.0: [(1, r, r * 20.0, r * 20.0 + 12, x, x + width, text, block(r, c)) for r in range(4) for c, x in enumerate((0.0, 130.0))]
+    assert found(page(lambda r, c: c)) == 0  # each column a block of its own
+    assert found(page(lambda r, c: 0)) == 0  # one block, but its lines fill their columns
+    assert found(page(lambda r, c: c, "short cell")) == 8
+    assert found(page(lambda r, c: r)) == 8  # rows are blocks, as in a table
+    ragged = [(*p[:5], p[4] + (100.0 if p[1] == 0 else 60.0), *p[6:]) for p in page(lambda r, c: 0)]
+    assert found(ragged) == 8  # one block with cells of every width
+    assert found([(*p[:6], "twenty-four-letters-long", p[7]) for p in page(lambda r, c: 0)]) == 8  # wrapped lines hold words
+    one = [p if p[4] else (*p[:6], "4", p[7]) for p in page(lambda r, c: c)]
+    assert found(one) == 8  # one column of prose beside numbers
