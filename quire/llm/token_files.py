@@ -14,7 +14,6 @@ import mmap
 import os
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +27,22 @@ from .common import text_of
 NO_ID = -(1 << 63)
 SOME = 1024  # documents that are read at a time
 MARKS = ".,;:!?"
+ODD = ("  ", " \n", "\n ", "\n\n")  # white space that isn't single
 _KEPT: dict[str, WordMemo] = {}
 
 
+class Known(dict):
+    """The ids of words; a word that isn't there has none for now, and is noted."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.missed: list[str] = []
+
+    def __missing__(self, word: str) -> bytes:
+        self.missed.append(word)
+        return b""
+
+
 class WordMemo:
     """Encodes whole texts with a byte-level tokenizer of the tokenizers library, one call for each new chunk.
 
@@ -54,11 +66,10 @@ class WordMemo:
         letters = self.tokenizer.get_vocab(with_added_tokens=True)
         self.leads = np.zeros(max(letters.values()) + 1, bool)  # ids of tokens that begin with a space
         self.leads[[i for t, i in letters.items() if t.startswith("\u0120")]] = True
-        self.spaced: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {"\n": b""}
+        self.known = Known()
         self.marks = dict(zip(MARKS, self._ids(list(MARKS)), strict=True))
+        self.feed = self._ids(["\n"])[0]
         self.limit = limit
-        self.bare["\n"] = self._ids(["\n"])[0]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -75,40 +86,53 @@ class WordMemo:
         ends = [*starts[1:].tolist(), len(data)]
         return [data[a:b] for a, b in zip(starts.tolist(), ends, strict=True)]
 
-    def _split(self, text: str) -> list[list[str]] | None:
-        if not self.splits_at_spaces:
+    def _split(self, text: str) -> list[str] | None:
+        """The words of a text: the first after two line feeds, a line's first after one, others bare. None where the text
+        has to be encoded whole: white space that isn't single, or isn't a space or line feed, or a special token."""
+        if not self.splits_at_spaces or not text or text[0] in " \n" or text[-1] in " \n" or any(s in text for s in ODD):
             return None
-        rows = text.split("\n")
-        if not all(map(str.isprintable, rows)) or any(s in text for s in self.special):
+        if not text.replace("\n", "").isprintable() or any(s in text for s in self.special):
             return None  # other white space isn't printable
-        lines = [row.split(" ") for row in rows]
-        if any("" in line for line in lines):
-            return None
-        return lines
+        return ("\n\n" + text.replace("\n", " \n")).split(" ")
+
+    def _learn(self, new: set[str]) -> None:
+        """Keep the ids of words as _split gives them."""
+        known = self.known
+        plain = [w for w in new if w[0] != "\n"]
+        marked = [w for w in plain if w[-1] in MARKS and w[:-1].isalpha()]  # letters and a mark: two tokens at least
+        plain = list({*plain}.difference(marked).union(w for w in (m[:-1] for m in marked) if w not in known))
+        known.update(zip(plain, self._ids_spaced(plain), strict=True))
+        known.update([(w, known[w[:-1]] + self.marks[w[-1]]) for w in marked])
+        first = [w for w in new if w[0] == "\n"]
+        feed = self.feed
+        known.update([(w, i if w[1:2] == "\n" else feed + i) for w, i in zip(first, self._ids([w.lstrip("\n") for w in first]), strict=True)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as bytes."""
-        if len(self.spaced) + len(self.bare) > self.limit:
-            newline = self.bare["\n"]
-            self.spaced, self.bare = {}, {"\n": newline}
-        split = [self._split(t) for t in texts]
-        spaced, bare = self.spaced, self.bare
-        lines = [line for some in split if some for line in some]
-        new = set(chain.from_iterable(line[1:] for line in lines)).difference(spaced)
-        marked = [w for w in new if w[-1] in MARKS and w[:-1].isalpha()]  # letters and a mark: two tokens at least
-        new = list(new.difference(marked).union([w[:-1] for w in marked]).difference(spaced))
-        spaced.update(zip(new, self._ids_spaced(new), strict=True))
-        spaced.update([(w, spaced[w[:-1]] + self.marks[w[-1]]) for w in marked])
-        new = list({line[0] for line in lines}.difference(bare))
-        bare.update(zip(new, self._ids(new), strict=True))
-        whole = iter(self._ids([t for t, lines in zip(texts, split, strict=True) if lines is None]))
-        feed, out = bare["\n"], []
-        for lines in split:
-            if lines is None:
-                out.append(next(whole))
+        """The ids of each text, as bytes. Words that aren't known yet are encoded in one call for all texts."""
+        if len(self.known) > self.limit:
+            self.known = Known()
+        known, out, whole, late, new = self.known, [b""] * len(texts), [], [], set()
+        for k, text in enumerate(texts):
+            words = self._split(text)
+            if words is None:
+                whole.append(k)
                 continue
-            parts = [b"".join(chain((bare[line[0]],), map(spaced.__getitem__, line[1:]))) for line in lines]
-            out.append(feed.join(parts))
+            parts = list(map(known.__getitem__, words))
+            if known.missed:
+                new.update(known.missed)
+                late.append((k, parts, known.missed))
+                known.missed = []
+            else:
+                out[k] = b"".join(parts)
+        self._learn(new)
+        for k, parts, missed in late:  # each word is looked up once, and those that were missed once more
+            at = -1
+            for word in missed:
+                at = parts.index(b"", at + 1)
+                parts[at] = known[word]
+            out[k] = b"".join(parts)
+        for k, ids in zip(whole, self._ids([texts[k] for k in whole]), strict=True):
+            out[k] = ids
         return out
 
 
