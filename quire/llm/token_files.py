@@ -95,44 +95,54 @@ class WordMemo:
             return None  # other white space isn't printable
         return ("\n\n" + text.replace("\n", " \n")).split(" ")
 
-    def _learn(self, new: set[str]) -> None:
-        """Keep the ids of words as _split gives them."""
-        known = self.known
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """The ids of words as _split gives them; kept as long as there is room."""
         plain = [w for w in new if w[0] != "\n"]
         marked = [w for w in plain if w[-1] in MARKS and w[:-1].isalpha()]  # letters and a mark: two tokens at least
-        plain = list({*plain}.difference(marked).union(w for w in (m[:-1] for m in marked) if w not in known))
-        known.update(zip(plain, self._ids_spaced(plain), strict=True))
-        known.update([(w, known[w[:-1]] + self.marks[w[-1]]) for w in marked])
+        bare = {m: m[:-1] for m in marked}
+        plain = list({*plain}.difference(marked).union(w for w in bare.values() if w not in self.known))
+        found = dict(zip(plain, self._ids_spaced(plain), strict=True))
+        found.update([(m, (found.get(w) or self.known[w]) + self.marks[m[-1]]) for m, w in bare.items()])
         first = [w for w in new if w[0] == "\n"]
         feed = self.feed
-        known.update([(w, i if w[1:2] == "\n" else feed + i) for w, i in zip(first, self._ids([w.lstrip("\n") for w in first]), strict=True)])
+        found.update([(w, i if w[1:2] == "\n" else feed + i) for w, i in zip(first, self._ids([w.lstrip("\n") for w in first]), strict=True)])
+        if len(self.known) < self.limit:
+            self.known.update(found)
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as bytes. Words that aren't known yet are encoded in one call for all texts."""
-        if len(self.known) > self.limit:
-            self.known = Known()
-        known, out, whole, late, new = self.known, [b""] * len(texts), [], [], set()
+        """The ids of each text, as bytes. Words that aren't known are encoded in one call for all texts.
+
+        Those that come first are kept, among them the frequent ones; once there is no room left, other words are encoded
+        each time. Where that is a third of all words, the texts have changed, and keeping begins anew.
+        """
+        known, out, whole, late, new, words_seen, words_new = self.known, [b""] * len(texts), [], [], set(), 0, 0
         for k, text in enumerate(texts):
             words = self._split(text)
             if words is None:
                 whole.append(k)
                 continue
             parts = list(map(known.__getitem__, words))
+            words_seen += len(words)
             if known.missed:
                 new.update(known.missed)
+                words_new += len(known.missed)
                 late.append((k, parts, known.missed))
                 known.missed = []
             else:
                 out[k] = b"".join(parts)
-        self._learn(new)
+        full = len(known) >= self.limit
+        found = self._learn(new)
         for k, parts, missed in late:  # each word is looked up once, and those that were missed once more
             at = -1
             for word in missed:
                 at = parts.index(b"", at + 1)
-                parts[at] = known[word]
+                parts[at] = found[word]
             out[k] = b"".join(parts)
         for k, ids in zip(whole, self._ids([texts[k] for k in whole]), strict=True):
             out[k] = ids
+        if full and 3 * words_new > words_seen:
+            self.known = Known()
         return out
 
 
@@ -215,7 +225,8 @@ def read_token_files(manifest: DataFrame, checksum: bool = True) -> DataFrame:
             for first in range(0, n_docs, SOME):
                 o = offsets(first, min(first + SOME, n_docs) + 1).astype(np.int64)
                 own, some = ids(first, min(first + SOME, n_docs)), tokens(int(o[0]), int(o[-1]))
-                each = [some[a:b].astype("<u4") for a, b in zip(o[:-1] - o[0], o[1:] - o[0], strict=True)]
+                wide = some.astype("<u4")
+                each = [wide[a:b] for a, b in zip((o[:-1] - o[0]).tolist(), (o[1:] - o[0]).tolist(), strict=True)]
                 last = pa.array([zlib.crc32(x) for x in each], pa.int64()) if checksum else pa.array(each, pa.list_(pa.int64()))
                 names = ["doc_id", "start", "n_tokens", "ids_crc32" if checksum else "ids"]
                 yield pa.RecordBatch.from_arrays([pa.array(own, mask=own == NO_ID), pa.array(o[:-1] + row["base"]), pa.array(np.diff(o)), last], names=names)
