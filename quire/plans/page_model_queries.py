@@ -1,11 +1,11 @@
-"""Queries of pages built from glyphs, and of annotations that are removed or moved."""
+"""Queries of pages built from glyphs, of annotations that are removed or moved, of files, of text set in boxes and of pages in pictures."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import removal, text_page
+from quire.operators import file_audit, reflow, removal, scans, text_page
 from quire.sources.tables import table
 
 
@@ -66,5 +66,55 @@ C6_SQL = """WITH n AS (SELECT conv_id AS doc_id, (turn + 1) AS k, turn * 10.0 +
 q AS (SELECT *, k % 2 + CASE WHEN k % 3 = 0 THEN 2 ELSE 0 END AS q FROM n), z AS (SELECT *, CASE WHEN q % 2 = 1 THEN h ELSE w END AS a, CASE WHEN q % 2 = 1 THEN w ELSE h END AS b FROM q)
 SELECT doc_id, k || 'R' AS id, cx - a AS x0, cy - b AS y0, cx + a AS x1, cy + b AS y1, ((r + q * 90) % 360)::INT AS turn FROM z"""
 
-QUERIES = {"t1_text_page": t1_text_page, "c5_removed": c5_removed, "c6_moved": c6_moved}
-ORACLE_SQL = {"t1_text_page": T1_SQL, "c5_removed": C5_SQL, "c6_moved": C6_SQL}
+def u2_file_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents inside files, with an octal string in each fourth, a chained revision in each fifth and a loose object in
+    each second, searched for two words and every trace."""
+    k = F.col("doc_id")
+    some = lambda of, text: F.when(k % of == 0, text).otherwise("")
+    head = F.concat(F.lit("%PDF-1.7\n1 0 obj << /Type /Catalog >> endobj\n"), some(4, "(se\\143ret) "), some(5, "/Prev 9 "), some(2, "\n7 0 obj (x) endobj"), some(3, " /Annots [] "), F.lit("\ntrailer << /Root 1 0 R >>\nstartxref\n9\n"))
+    files = table(spark, sf_dir, "documents").select("doc_id", F.encode(F.concat(head, "text"), "UTF-8").alias("content"))
+    return file_audit.audited_files(files, ["the", "secret"]).select("doc_id", "check", "severity", "n", "term")
+
+
+U2F_SQL = """WITH d AS (SELECT doc_id, (length(text) - length(replace(text, 'the', ''))) // 3 AS the, CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END + (length(text) - length(replace(text, 'secret', ''))) // 6 AS secret FROM documents),
+f AS (SELECT doc_id, 'residual-text' AS "check", 'content' AS severity, the AS n, 1 AS term FROM d WHERE the > 0 UNION ALL SELECT doc_id, 'residual-text', 'content', secret, 2 FROM d WHERE secret > 0
+UNION ALL SELECT doc_id, 'residual-text', 'info', 0, (the = 0)::INT + (secret = 0)::INT FROM d WHERE the = 0 OR secret = 0),
+c AS (SELECT doc_id, unnest(['previous-revision', 'orphan-object', 'compressed', 'metadata', 'xmp', 'attachment', 'annotation', 'javascript', 'names']) AS "check", unnest([5, 2, 0, 0, 0, 0, 3, 0, 0]) AS k FROM d)
+SELECT * FROM f UNION ALL SELECT doc_id, "check", CASE WHEN k > 0 AND doc_id % greatest(k, 1) = 0 THEN CASE "check" WHEN 'annotation' THEN 'warning' ELSE 'content' END ELSE 'info' END, CASE WHEN k > 0 AND doc_id % greatest(k, 1) = 0 THEN 1 ELSE 0 END, NULL FROM c"""
+
+
+def t15_reflowed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents set in boxes of a height that takes about half of them, with ideographs in each third, in smaller sizes until
+    they fit or 6 is reached."""
+    k = F.col("doc_id")
+    text = F.when(k % 3 == 0, F.regexp_replace("text", "[aeiou]", "\u5b57")).otherwise(F.col("text"))
+    blocks = table(spark, sf_dir, "documents").select(k.alias("block"), text.alias("text"), F.lit(300.0).alias("width"), F.when(k % 5 > 0, F.length("text") * 0.25 + 20).alias("height"), F.lit(10.0).alias("size"))
+    face = reflow.Face({" ": 0.25, "i": 0.25, "l": 0.25, "t": 0.3, "m": 0.8, "w": 0.75, "\u5b57": 1.0})
+    made = reflow.reflowed_blocks(blocks, face, least=6.0, hyphenate=True)
+    return made.select("block", "size", "overflow", F.size("lines").alias("lines"), F.md5(F.array_join(F.transform("lines", lambda x: x["text"]), "\n").cast("binary")).alias("md5"))
+
+
+CORNERS = ("8 + 4 * (k % 2)", "8 + 4 * (k // 2 % 2)", "68 - 4 * (k % 3)", "8 + 4 * (k % 2)", "72 - 4 * (k // 3 % 2)", "52 - 4 * (k % 2)", "8 + 4 * (k // 5 % 3)", "48 - 4 * (k // 7 % 2)")
+
+
+def i4_page_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A light page drawn askew for each supplier, in 80 by 60 pixels; the corners that are found, to the next multiple of
+    four, which is where they were drawn."""
+    own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page"), F.col("s_suppkey").alias("k"))
+    drawn = own.select("page", *[F.expr(c.replace("//", "div")).cast("int").alias(f"c{n}") for n, c in enumerate(CORNERS)])
+    x, y = F.col("x"), F.col("y")
+    inside = F.lit(True)
+    for n in range(0, 8, 2):
+        ax, ay, bx, by = (F.col(f"c{(n + d) % 8}") for d in range(4))
+        inside &= (bx - ax) * (y - ay) - (by - ay) * (x - ax) >= 0
+    grid = drawn.select("*", F.explode(F.sequence(F.lit(0), F.lit(79))).alias("x")).select("*", F.explode(F.sequence(F.lit(0), F.lit(59))).alias("y"))
+    found = scans.page_corners(grid.select("page", "x", "y", F.when(inside, 220).otherwise(40).alias("grey")))
+    place = lambda n: F.round(F.col("corners")[n // 2][n % 2] / 4).cast("int") * 4
+    return found.select("page", *[place(n).alias(f"c{n}") for n in range(8)])
+
+
+I4_SQL = f"""SELECT page, {", ".join(f"({c})::INT AS c{n}" for n, c in enumerate(CORNERS))} FROM (SELECT s_suppkey AS page, s_suppkey AS k FROM supplier)"""
+
+
+QUERIES = {"t1_text_page": t1_text_page, "c5_removed": c5_removed, "c6_moved": c6_moved, "u2_file_audit": u2_file_audit, "t15_reflowed_blocks": t15_reflowed_blocks, "i4_page_corners": i4_page_corners}
+ORACLE_SQL = {"t1_text_page": T1_SQL, "c5_removed": C5_SQL, "c6_moved": C6_SQL, "u2_file_audit": U2F_SQL, "i4_page_corners": I4_SQL}
