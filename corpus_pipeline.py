@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import mixing, personal_data, quality_rules, simhash, word_bpe
-from quire.llm.common import fresh_folder
+from quire.llm.common import drop_folder, fresh_folder
 from quire.llm.queries import tokenizer_path
 
 WEIGHTS = [3, 1, 2]  # over the sources by code point, in turn
@@ -55,7 +55,7 @@ ORACLE_SQL = None  # SQL can't express the fitted rules, the fingerprints or the
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to `documents`; each result is written and read again."""
+    """Apply the stages to `documents`; each result is written and read again, and goes when the next one is there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = fresh_folder(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
@@ -63,4 +63,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                drop_folder(spark, f"{folder}/{k - 1}")
     return docs
