@@ -85,30 +85,42 @@ def chains(points: DataFrame, key: list[str], order: str = "ord", x: str = "x",
     return both.select(*key, "n", length.alias("length"), F.when(two, 2 * (F.col("w") + F.col("h"))).otherwise(F.col("ring")).alias("perimeter"), area.alias("area"), bearing)
 
 
+LEAST_LEVEL = -10  # of the grids that rectangles meet in: cells of 2 ** level
+
+
 def overlaps(rects: DataFrame, marks: DataFrame, key: list[str]) -> DataFrame:
     """The rects (x0, y0, x1, y1) of a key that share an area with a mark of it; touching edges don't count. Corners may
     stand in any order. Rects of the kind Redact, where there is such a column, are left out.
 
-    Marks meet rects by the cells of a grid that both cover, so a key with very many of either isn't paired throughout.
+    A rect or mark lies in at most four cells of a grid as wide as itself, rounded up to a power of two. Two meet in the
+    cells of the wider one's grid, where the other is entered too; so neither a key with very many of either is paired
+    throughout, nor does a wide one take part in very many cells.
     """
     def placed(rows: DataFrame, prefix: str) -> DataFrame:
         low, high = (lambda a, b: F.least(a, b)), (lambda a, b: F.greatest(a, b))
-        return rows.withColumns({f"{prefix}l": low("x0", "x1"), f"{prefix}r": high("x0", "x1"), f"{prefix}b": low("y0", "y1"), f"{prefix}t": high("y0", "y1")})
+        sides = {"l": low("x0", "x1"), "r": high("x0", "x1"), "b": low("y0", "y1"), "t": high("y0", "y1")}
+        made = rows.withColumns({f"{prefix}{k}": v.cast("double") for k, v in sides.items()})
+        wide = F.greatest(F.col(f"{prefix}r") - F.col(f"{prefix}l"), F.col(f"{prefix}t") - F.col(f"{prefix}b"))
+        level = F.when(wide > 0, F.greatest(F.ceil(F.log2(wide)).cast("int"), F.lit(LEAST_LEVEL))).otherwise(LEAST_LEVEL)
+        return made.withColumn(f"{prefix}level", level)
+
+    def cells(rows: DataFrame, p: str, levels: list[int]) -> DataFrame:
+        """A row for each cell, in its own grid and in the wider ones of what it may meet."""
+        wider = F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda x: x > F.col(f"{p}level"))
+        each = rows.withColumn("__level", F.explode(F.concat(F.array(f"{p}level"), wider)))
+        of = F.pow(F.lit(2.0), F.col("__level"))
+        span = lambda a, b: F.sequence(F.floor(F.col(a) / of), F.floor(F.col(b) / of))
+        return each.withColumn("__cx", F.explode(span(f"{p}l", f"{p}r"))).withColumn("__cy", F.explode(span(f"{p}b", f"{p}t")))
 
     own = placed(rects.where("kind <> 'Redact' or kind is null") if "kind" in rects.columns else rects, "__")
-    m = placed(marks, "__m").select(*key, "__ml", "__mr", "__mb", "__mt")
-    sizes = m.agg(F.avg(F.col("__mr") - F.col("__ml")).alias("w"), F.avg(F.col("__mt") - F.col("__mb")).alias("h")).first()
-    w, h = max(sizes["w"] or 0, 1e-9), max(sizes["h"] or 0, 1e-9)
-
-    def cells(rows: DataFrame, p: str) -> DataFrame:
-        span = lambda a, b, of: F.sequence(F.floor(F.col(a) / of), F.floor(F.col(b) / of))
-        return rows.withColumn("__cx", F.explode(span(f"{p}l", f"{p}r", w))).withColumn("__cy", F.explode(span(f"{p}b", f"{p}t", h)))
-
+    m = placed(marks, "__m").select(*key, "__ml", "__mr", "__mb", "__mt", "__mlevel")
+    levels = lambda rows, c: sorted(r[0] for r in rows.select(c).distinct().collect())  # noqa: E731  # some dozens at most
     hit = (F.col("__l") < F.col("__mr")) & (F.col("__r") > F.col("__ml")) & (F.col("__b") < F.col("__mt")) & (F.col("__t") > F.col("__mb"))
     named = own.withColumn("__id", F.monotonically_increasing_id())
-    at = cells(named.select(*key, "__id", "__l", "__r", "__b", "__t"), "__")
-    found = at.join(cells(m, "__m"), [*key, "__cx", "__cy"]).where(hit).select("__id").distinct()
-    return named.join(found, "__id", "left_semi").drop("__id", "__l", "__r", "__b", "__t")
+    at = cells(named.select(*key, "__id", "__l", "__r", "__b", "__t", "__level").withColumnRenamed("__level", "__olevel").withColumns({"__o" + k: F.col("__" + k) for k in "lrbt"}), "__o", levels(m, "__mlevel"))
+    met = at.join(cells(m, "__m", levels(own, "__level")), [*key, "__level", "__cx", "__cy"])
+    found = met.where((F.col("__level") == F.greatest("__olevel", "__mlevel")) & hit).select("__id").distinct()
+    return named.join(found, "__id", "left_semi").drop("__id", "__l", "__r", "__b", "__t", "__level")
 
 
 def text_in_boxes(glyphs: DataFrame, key: list[str], cell_w: float, cell_h: float, x: float = 0.0, y: float = 0.0) -> DataFrame:

@@ -330,3 +330,26 @@ def test_error_rates(spark):
     rows = [("a", "one two three", "one too three"), ("a", "four", ""), ("b", "", "x"), ("c", "x\xa0y", "x y")]
     got = {r.k: (r.cer, r.wer) for r in compare.error_rates(spark.createDataFrame(rows, "k string, want string, got string"), ["k"], "want", "got").collect()}
     assert got["a"] == (5 / 17, 2 / 4) and got["b"] == (None, None) and got["c"] == (1 / 3, 0.0)
+
+
+def test_overlaps_of_every_size_equal_brute_force(spark):
+    import random
+
+    from quire.operators import geometry
+
+    rng = random.Random(50)
+
+    def boxes(n, key):
+        for _ in range(n):
+            x, y, w, h = rng.uniform(-500, 500), rng.uniform(-500, 500), rng.choice([0.0, 1e-5, 0.5, 3.0, 40.0, 900.0]), rng.choice([0.0, 0.5, 3.0, 40.0, 900.0])
+            yield (key, *rng.choice([(x, y, x + w, y + h), (x + w, y + h, x, y)]))
+
+    rects, marks = ([b for key in range(3) for b in boxes(n, key)] for n in (250, 60))
+    marks += [(7, 0.0, 0.0, 1e6, 1e6), (0, 16.0, 16.0, 32.0, 32.0)]
+    rects += [(7, 5.0, 5.0, 5.0, 5.0), (0, 32.0, 16.0, 40.0, 20.0), (0, 8.0, 16.0, 16.0, 20.0), (0, 31.0, 31.0, 64.0, 64.0)]
+    schema = "k int, x0 double, y0 double, x1 double, y1 double"
+    got = sorted(map(tuple, geometry.overlaps(spark.createDataFrame(rects, schema), spark.createDataFrame(marks, schema), ["k"]).collect()))
+    order = lambda b: (min(b[1], b[3]), min(b[2], b[4]), max(b[1], b[3]), max(b[2], b[4]))
+    meets = lambda a, b: a[0] < b[2] and a[2] > b[0] and a[1] < b[3] and a[3] > b[1]
+    want = sorted(r for r in rects if any(m[0] == r[0] and meets(order(r), order(m)) for m in marks))
+    assert got == want and 50 < len(want) < len(rects)
