@@ -253,6 +253,10 @@ def u5b_regular_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequential.regular_tables(b.select(F.col("page").alias("table"), F.floor(F.col("n") / 2).cast("int").alias("row"), F.col("n").alias("ord"), F.lit(1).alias("row_span"), F.when(F.col("x0") > 45, 2).otherwise(1).alias("col_span")))
 
 
+U5B_SQL = """WITH n AS (SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber + l_extendedprice / 1e9) - 1 AS n, l_quantity AS q FROM lineitem),
+r AS (SELECT page, n // 2 AS row, sum(CASE WHEN q > 45 THEN 2 ELSE 1 END) AS wide FROM n GROUP BY ALL) SELECT page AS "table", min(wide) = max(wide) AS regular FROM r GROUP BY page"""
+
+
 def d11_varied_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of parts as words of pages of forty."""
     part = table(spark, sf_dir, "part")
@@ -267,6 +271,7 @@ QUERIES = {
     "t3_paragraphs": t3_paragraphs, "t7_export_lines": t7_export_lines, "i5_suppressed": i5_suppressed, "u5b_regular_tables": u5b_regular_tables, "d11_varied_selection": d11_varied_selection,
 }
 ORACLE_SQL = {
+    "u5b_regular_tables": U5B_SQL,
     "l1_layer_visibility": L1_SQL, "l2_outline_counts": L2_SQL, "l3_bound_sync": L3_SQL, "c5a_cascade": C5A_SQL, "l6_bytes_fate": L6_SQL, "l7_enclosing": L7_SQL, "i5b_regions": I5B_SQL,
     "u8_trust_distances": U8_SQL, "v8_upsert": V8_SQL, "p14_merge": P14_SQL, "p23_two_up": P23_SQL, "f1_field_values": F1_SQL, "f15_sizes": F15_SQL, "i3_luma": I3_SQL, "i6_low_confidence": I6_SQL,
     "m5_scaled": M5_SQL, "k5_line_segments": K5_SQL, "u5e_table_rule": U5E_SQL, "f23_unique_names": F23_SQL,

@@ -66,6 +66,11 @@ def p8_split_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pg.split_by_size(_doc_pages(spark, sf_dir), 2000)
 
 
+P8_SQL = f"""WITH RECURSIVE {LINE_PAGES_SQL}, w AS (SELECT doc_id, page, bytes AS used, 0 AS part FROM dp WHERE page = 0
+ UNION ALL SELECT d.doc_id, d.page, CASE WHEN w.used > 0 AND w.used + d.bytes > 2000 THEN d.bytes ELSE w.used + d.bytes END, part + CASE WHEN w.used > 0 AND w.used + d.bytes > 2000 THEN 1 ELSE 0 END FROM w JOIN dp d ON d.doc_id = w.doc_id AND d.page = w.page + 1)
+SELECT doc_id, page, part FROM w"""
+
+
 def p11_insert_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pg.insert_plan(_doc_pages(spark, sf_dir), F.least(F.lit(2), F.col("pages")), F.lit(2))
 
@@ -215,5 +220,5 @@ QUERIES = {
 ORACLE_SQL = ACTIONS_SQL | {
     "p1_parse_ranges": P1_SQL, "p3_format_ranges": P3_SQL, "p4_chunks": P4_SQL, "p7_split_by_bookmarks": P7_SQL, "p11_insert_plan": P11_SQL, "p12_replace_plan": P12_SQL,
     "p13_interleave": P13_SQL, "p17_page_labels": P17_SQL, "p18_label_lookup": P18_SQL, "p19_compressed_labels": P19_SQL, "p20_sheet_counts": P20_SQL, "p21_booklet": P21_SQL,
-    "p22_blank_pages": P22_SQL, "d6_sampled_pages": D6_SQL, "p6_split_plan": P6_SQL, "p16_rotate": P16R_SQL, "f13_bates": F13_SQL,
+    "p22_blank_pages": P22_SQL, "d6_sampled_pages": D6_SQL, "p6_split_plan": P6_SQL, "p8_split_by_size": P8_SQL, "p16_rotate": P16R_SQL, "f13_bates": F13_SQL,
 }

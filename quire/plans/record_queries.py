@@ -141,6 +141,13 @@ def v1_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return journal.fold_journal(e.select(F.col("user_id").alias("doc"), F.col("event_id").alias("ord"), F.coalesce(kinds[F.col("event_type")], F.lit("undo")).alias("action")))
 
 
+V1_SQL = """WITH RECURSIVE e AS (SELECT user_id AS doc, event_id AS ord, CASE WHEN event_type IN ('click', 'view', 'purchase', 'login') THEN 'append' WHEN event_type = 'signup' THEN 'redo' ELSE 'undo' END AS action,
+  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+f AS (SELECT doc, 0::BIGINT AS ord, 0::BIGINT AS k, 0::BIGINT AS kept, 0::BIGINT AS cursor FROM e GROUP BY doc
+ UNION ALL SELECT e.doc, e.ord, e.k, CASE WHEN action = 'append' THEN cursor + 1 ELSE kept END, CASE action WHEN 'append' THEN cursor + 1 WHEN 'undo' THEN greatest(0, cursor - 1) ELSE least(kept, cursor + 1) END FROM f JOIN e ON e.doc = f.doc AND e.k = f.k + 1)
+SELECT doc, ord, kept, cursor FROM f WHERE k > 0"""
+
+
 def v4_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc"), F.col("event_id").alias("ord"), F.floor(F.abs("value") * 100).cast("long").alias("bytes"))
     return journal.retained(e, 100_000)
@@ -342,6 +349,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "v1_journal": V1_SQL,
     "c1_comment_threads": C1_SQL, "c1_thread_states": C1S_SQL, "c5b_rect_overlap": C5B_SQL, "d4_tiles": D4_SQL, "d8_annotation_counts": D8_SQL, "g1_preorder": G1_SQL, "g3_node_pages": G3_SQL, "g5_resolved_roles": G5_SQL,
     "g6_reachable": G6_SQL, "u5_structure_rules": U5_SQL, "v4_retention": V4_SQL, "v5_cleanup": V5_SQL, "l5_recent": L5_SQL, "l8_orphans": L8_SQL, "m1_chains": M1_SQL, "m3_crossings": M3_SQL,
     "k1_merged_intervals": K1_SQL, "k2_clusters": K2_SQL, "i1_otsu": I1_SQL, "i2_skew": I2_SQL, "t2_words": T2_SQL, "t17_block_style": T17_SQL, "t18_alignment": T18_SQL, "b1_batch_plan": B1_SQL,
