@@ -13,7 +13,7 @@ told apart by a SHA-256.
 
 Defined results: a null text counts as empty; repeated rows come back repeated; an empty table gives an empty result;
 rows with equal doc_id follow each other by the hash of their text. What is no character in the driver's Unicode version
-stands for itself.
+stands for itself. A text of any length is normalised whole, in its own row.
 """
 
 from __future__ import annotations

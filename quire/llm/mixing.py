@@ -6,7 +6,8 @@ seeded part of them once more: by hash, every document that still fits into the
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; where all sizes are 0 all
 targets are 0; rows that are equal in doc_id and text share a hash and are taken alike; an empty table gives an empty
-result. Reruns agree, as hashes depend on seed, doc_id and text only.
+result. Reruns agree, as hashes depend on seed, doc_id and text only. A text of any length counts with all
+its words.
 """
 
 from __future__ import annotations

@@ -7,6 +7,7 @@ are computed once) plus the log odds of the classes. Moments come from all label
 Defined results: a label that is given twice counts once, and a document with two different ones is not learned from; a
 null text counts as empty and is scored like any other; where a class has no labelled row the score
 is the share of good labels (0.5 without labels); repeated rows come back repeated; an empty table gives an empty result.
+Statistics are those of whole texts, whatever their length.
 """
 
 from __future__ import annotations

@@ -156,7 +156,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     """Encode every text, append end_id, write the files in ascending doc_id order, and return the manifest.
 
     Defined results: a null text counts as empty (the end id alone); a null doc_id comes first; rows that repeat a
-    doc_id stay, ordered by a hash of their texts; an empty table gives an empty manifest.
+    doc_id stay, ordered by a hash of their texts; an empty table gives an empty manifest. A text of any length is encoded
+    whole, one row at a time beside those of its batch.
     """
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -9,7 +9,8 @@ logistic curve over the weight of the hits by length, fitted on the same sample,
 
 Defined results: a null text counts as empty and gets the score of a text without hits; with no labelled rows only
 `extra` entries count; a label that is given twice counts once, and a document with two different ones is not learned
-from; of rows with equal doc_id one text is learned from, and all are scored; an empty table gives an empty result.
+from; of rows with equal doc_id one text is learned from, and all are scored; an empty table gives an empty result. Texts
+of any length are folded and matched whole.
 """
 
 from __future__ import annotations
