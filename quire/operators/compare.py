@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,11 +17,14 @@ from quire.functions.text import BLANK, words
 
 TRAILING = re.compile(rf"{BLANK}+\Z")
 CELLS, WORD_CELLS = 250_000, 4096  # of the table of a common subsequence, for lines and for words
+SMALL = 4096  # cells of a table that is kept whole
 
 
 def common_subsequence(a: list[str], b: list[str]) -> list[tuple[str, int, int]]:
     """The edit script of two lists as ('same' | 'removed' | 'added', i, j); on a tie a removal comes first."""
     n, m = len(a), len(b)
+    if (n + 1) * (m + 1) > SMALL:
+        return _long_subsequence(a, b)
     table = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         row, below = table[i], table[i + 1]
@@ -40,19 +44,56 @@ def common_subsequence(a: list[str], b: list[str]) -> list[tuple[str, int, int]]
     return out + [("removed", k, j) for k in range(i, n)] + [("added", n, k) for k in range(j, m)]
 
 
-def word_changes(before: str, after: str, cells: int = WORD_CELLS) -> list[tuple[str, str]] | None:
-    """(kind, word) of the words that differ, in order; None beyond `cells`."""
+def _long_subsequence(a: list[str], b: list[str]) -> list[tuple[str, int, int]]:
+    """common_subsequence() of long lists: each root-n-th row of the table is kept, and those between are made again when
+    the script gets there, so no more than about two root-n rows are held."""
+    number: dict[str, int] = {}
+    x, y = (np.array([number.setdefault(v, len(number)) for v in side], np.int64) for side in (a, b))
+    n, m = len(a), len(b)
+    step = max(1, int(n**0.5))
+
+    def above(i: int, below: np.ndarray) -> np.ndarray:
+        best = np.where(y == x[i], below[1:] + 1, below[:-1])  # a match is never worse than what stands right of it
+        return np.append(np.maximum.accumulate(best[::-1])[::-1], 0).astype(np.int32)
+
+    row = np.zeros(m + 1, np.int32)
+    kept = {n: row}
+    for i in range(n - 1, -1, -1):
+        row = above(i, row)
+        if i % step == 0:
+            kept[i] = row
+    out, i, j, block = [], 0, 0, {}
+    while i < n and j < m:
+        if i not in block or i + 1 not in block:
+            top = min(n, (i // step + 1) * step)
+            block = {top: kept[top]}
+            for k in range(top - 1, i - 1, -1):
+                block[k] = above(k, block[k + 1])
+        if x[i] == y[j]:
+            out.append(("same", i, j))
+            i, j = i + 1, j + 1
+        elif block[i + 1][j] >= block[i][j + 1]:
+            out.append(("removed", i, j))
+            i += 1
+        else:
+            out.append(("added", i, j))
+            j += 1
+    return out + [("removed", k, j) for k in range(i, n)] + [("added", n, k) for k in range(j, m)]
+
+
+def word_changes(before: str, after: str, cells: int | None = WORD_CELLS) -> list[tuple[str, str]] | None:
+    """(kind, word) of the words that differ, in order; None beyond `cells`, where that is given."""
     a, b = before.split(), after.split()
-    if (len(a) + 1) * (len(b) + 1) > cells:
+    if cells is not None and (len(a) + 1) * (len(b) + 1) > cells:
         return None
     return [("removed", a[i]) if kind == "removed" else ("added", b[j]) for kind, i, j in common_subsequence(a, b) if kind != "same"]
 
 
-def line_changes(left: str, right: str, cells: int = CELLS, word_cells: int = WORD_CELLS) -> list[tuple]:
+def line_changes(left: str, right: str, cells: int | None = CELLS, word_cells: int | None = WORD_CELLS) -> list[tuple]:
     """(kind, left line, right line, text, text before, words, reason) with lines from 1: lines are right-trimmed and
     empty ones dropped; a run of removals meets the run of additions beside it one to one as `changed`, with its
     word_changes(). Beyond `cells` the middle counts as replaced, which is the reason `line-matrix` of its rows;
-    `word-matrix` is that of changes without words."""
+    `word-matrix` is that of changes without words. None stands for no bound."""
     a, b = ([x for x in (TRAILING.sub("", line) for line in side.split("\n")) if x] for side in (left, right))
     start = 0
     while start < min(len(a), len(b)) and a[start] == b[start]:
@@ -61,7 +102,7 @@ def line_changes(left: str, right: str, cells: int = CELLS, word_cells: int = WO
     while end < min(len(a), len(b)) - start and a[-1 - end] == b[-1 - end]:
         end += 1
     x, y = a[start : len(a) - end], b[start : len(b) - end]
-    whole = (len(x) + 1) * (len(y) + 1) > cells
+    whole = cells is not None and (len(x) + 1) * (len(y) + 1) > cells
     script = [("removed", k, 0) for k in range(len(x))] + [("added", 0, k) for k in range(len(y))] if whole else common_subsequence(x, y)
     reason = "line-matrix" if whole else None
     out, gone, new = [], [], []
@@ -86,7 +127,7 @@ def line_changes(left: str, right: str, cells: int = CELLS, word_cells: int = WO
     return out
 
 
-def compare_pages(left: DataFrame, right: DataFrame) -> DataFrame:
+def compare_pages(left: DataFrame, right: DataFrame, cells: int | None = CELLS, word_cells: int | None = WORD_CELLS) -> DataFrame:
     """(pair, page, kind, left_line, right_line, text, previous, words, reason) of two tables (pair, page, text), met by a
     full join; see line_changes().
 
@@ -100,7 +141,7 @@ def compare_pages(left: DataFrame, right: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             columns = [b.column(k).to_pylist() for k in range(4)]
-            rows = [(p, g, *c) for p, g, x, y in zip(*columns, strict=True) for c in line_changes(x or "", y or "")]
+            rows = [(p, g, *c) for p, g, x, y in zip(*columns, strict=True) for c in line_changes(x or "", y or "", cells, word_cells)]
             if rows:
                 yield pa.RecordBatch.from_arrays([_arrow(c, f.type) for c, f in zip(zip(*rows, strict=True), made, strict=True)], schema=made)
 

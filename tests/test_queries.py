@@ -65,6 +65,25 @@ def test_common_subsequence_is_longest():
     assert difflib.SequenceMatcher(None, a, b).ratio() <= 2 * 4 / 13 + 1e-9
 
 
+def test_long_lines_are_compared_in_full(spark, tmp_path):
+    """A last line of 1,500 words that goes, beside a new one, is over the bound of word tables."""
+    import random
+
+    from compare import oracle
+    from quire.operators import compare
+
+    text = "first\n" + " ".join(["The"] + ["word"] * 1500)
+    spark.createDataFrame([(3, text), (4, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert difference(QUERIES["d2_summary"](spark, str(tmp_path)), ORACLE_SQL["d2_summary"], oracle(str(tmp_path))) == ""
+    rng = random.Random(4)
+    for size in (1, 3, 40, 90):
+        a, b = ([rng.choice("abcdefgh"[: rng.randrange(1, 9)]) for _ in range(rng.randrange(size + 1))] for _ in range(2))
+        small, compare.SMALL = compare.SMALL, 10**9
+        plain = compare.common_subsequence(a, b)
+        compare.SMALL = small
+        assert compare._long_subsequence(a, b) == plain
+
+
 def test_split_by_size(spark, sf):
     got = QUERIES["p8_split_by_size"](spark, sf).toPandas().sort_values(["doc_id", "page"])
     texts = spark.read.parquet(f"{sf}/documents.parquet").toPandas().set_index("doc_id")["text"]
