@@ -15,6 +15,13 @@ from pyspark.sql.types import _parse_datatype_string
 ROWS = 8192
 
 
+def dealt(df: DataFrame, *key: str) -> DataFrame:
+    """Rows dealt out by key into as many parts as the session shuffles into, four a core at least. The number is stated, so
+    adaptive execution keeps it: narrow rows with much work each would else go to a task or two."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *key)
+
+
 def walk_groups(df: DataFrame, key: str, order: list[str], walk: Callable[[Iterator], Iterable[tuple]], schema: str) -> DataFrame:
     """What walk yields for the rows of each key, which it gets one by one in order.
 

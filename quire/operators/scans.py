@@ -1,42 +1,89 @@
 """The page in a photograph: edges, straight lines, the four sides, and the map that sets the page upright.
 
-Gradients and votes for lines are aggregations over pixels, so a page may have any number of them. A page's strongest lines
+Gradients are made in tiles and votes for lines are aggregations, so a page may have any number of pixels. A page's strongest lines
 and its edges then meet in one task, where the four sides are chosen, fitted to the edges along them, and intersected.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
+from math import acos, cos, degrees, hypot, pi, sin
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 from pyspark.sql.window import Window
 
+from quire.operators.graph import settled
+from quire.operators.groups import dealt
+
 # Of the strongest gradient, what is an edge; directions in half a turn, and how many a pixel votes for on either side of its
 # own; how many lines are kept, and how far apart two lines are, in directions and pixels.
 EDGE, TURN, AROUND, LINES, NEAR_TURN, NEAR_PIXELS = 0.25, 180, 2, 12, 8, 12
 # Angles in radians between sides that are opposite (at most) and that meet (at least); corners in degrees; the share of the
 # picture that a page covers; how far beyond it a corner may lie; the share of a side that edges must support.
 OPPOSITE, MEET, CORNERS, COVERS, BEYOND, SUPPORT = 0.7, 0.6, (45.0, 135.0), (0.12, 1.3), 0.15, 0.35
+TILE = 64  # pixels along the side of a tile
 ORDERS = ((0, 1, 2, 3), (0, 2, 1, 3), (0, 3, 1, 2))
 
 
 def edges(pixels: DataFrame) -> DataFrame:
     """(page, x, y, theta) of the edge pixels of (page, x, y, grey): those inside whose Sobel gradient is at least EDGE of the
-    page's strongest; theta is the gradient's direction in [0, TURN)."""
-    kernel = [(dx, dy, -dx * (2 - abs(dy)), -dy * (2 - abs(dx))) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy]
-    parts = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("dx", "dy", "kx", "ky"), k, strict=True)]) for k in kernel])
-    spread = pixels.select("page", "x", "y", "grey", F.explode(parts).alias("k"))
-    sums = spread.groupBy("page", (F.col("x") + F.col("k.dx")).alias("x"), (F.col("y") + F.col("k.dy")).alias("y")).agg(
-        F.sum(F.col("grey") * F.col("k.kx")).cast("double").alias("gx"), F.sum(F.col("grey") * F.col("k.ky")).cast("double").alias("gy"), F.count("*").alias("n")
-    )
-    strong = sums.where(f"n = {len(kernel)}").withColumn("g", F.hypot("gx", "gy"))  # a pixel at the rim has fewer neighbours
+    page's strongest; theta is the gradient's direction in [0, TURN).
+
+    Pixels meet their neighbours in tiles of TILE by TILE, to which those around its rim come too, so a picture of any size
+    is no more than a tile in a task; what is below EDGE of a tile's strongest stays there.
+    """
+    kinds = dict(pixels.dtypes)
+    near = lambda c: F.explode(F.array_distinct(F.array(F.floor((F.col(c) - 1) / TILE), F.floor((F.col(c) + 1) / TILE))))
+    tiled = pixels.select("page", "x", "y", F.coalesce(F.col("grey").cast("double"), F.lit(0.0)).alias("grey"), near("x").alias("tx")).select("*", near("y").alias("ty"))
+    schema = f"page {kinds['page']}, x {kinds['x']}, y {kinds['y']}, gx double, gy double, g double"
+    made = to_arrow_schema(_parse_datatype_string(schema))
+
+    def gradients(page: pa.Scalar, left: int, top: int, x: np.ndarray, y: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+        grey, there = np.zeros((TILE + 2, TILE + 2)), np.zeros((TILE + 2, TILE + 2), bool)
+        grey[y - top, x - left], there[y - top, x - left] = values, True
+        gx, gy, whole = np.zeros((TILE, TILE)), np.zeros((TILE, TILE)), np.ones((TILE, TILE), bool)
+        for dx in (-1, 0, 1):
+            for dy in (-1, 0, 1):
+                if dx or dy:
+                    part = slice(1 + dy, 1 + dy + TILE), slice(1 + dx, 1 + dx + TILE)
+                    gx, gy, whole = gx + dx * (2 - abs(dy)) * grey[part], gy + dy * (2 - abs(dx)) * grey[part], whole & there[part]
+        g = np.where(whole, np.hypot(gx, gy), 0.0)  # a pixel at the picture's rim has fewer neighbours
+        y, x = np.nonzero((g > 0) & (g >= EDGE * g.max()))
+        columns = [pa.repeat(page, len(x)), x + left + 1, y + top + 1, gx[y, x], gy[y, x], g[y, x]]
+        return pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, made, strict=True)], schema=made)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close(rows: pa.Table, start: int, stop: int) -> Iterator[pa.RecordBatch]:
+            x, y, grey = (rows[c][start:stop].to_numpy() for c in ("x", "y", "grey"))
+            if len(x) >= 8 and np.ptp(x) > 1 and np.ptp(y) > 1:
+                yield gradients(rows["page"][start], *(rows[c][start].as_py() * TILE - 1 for c in ("tx", "ty")), x.astype(int), y.astype(int), grey)
+
+        rest = None
+        for b in batches:
+            rows = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+            rows = rows.combine_chunks()
+            turns = np.zeros(max(0, rows.num_rows - 1), bool)
+            for c in ("page", "tx", "ty"):
+                turns |= pc.not_equal(rows[c][1:], rows[c][:-1]).to_numpy()
+            cuts = [0, *(np.flatnonzero(turns) + 1).tolist()]
+            for start, stop in zip(cuts, cuts[1:]):  # noqa: B905
+                yield from close(rows, start, stop)
+            rest = rows[cuts[-1] :]
+        if rest is not None and rest.num_rows:
+            yield from close(rest, 0, rest.num_rows)
+
+    strong = settled(tiled.where("page is not null").repartition("page", "tx", "ty").sortWithinPartitions("page", "tx", "ty").mapInArrow(run, schema))
     most = strong.groupBy("page").agg(F.max("g").alias("most"))
     turn = F.pmod(F.round(F.degrees(F.atan2("gy", "gx")) * TURN / 180).cast("int"), F.lit(TURN))
-    return strong.join(most, "page").where((F.col("g") >= EDGE * F.col("most")) & (F.col("g") > 0)).select("page", "x", "y", turn.alias("theta"))
+    return strong.join(most, "page").where(F.col("g") >= EDGE * F.col("most")).select("page", "x", "y", turn.alias("theta"))
 
 
 def line_votes(found: DataFrame) -> DataFrame:
@@ -71,14 +118,15 @@ def _apart(lines: np.ndarray) -> list[tuple[float, float]]:
     return [(t * np.pi / TURN, float(r)) for t, r in kept]
 
 
-def _meet(a: tuple[float, float], b: tuple[float, float]) -> np.ndarray | None:
-    m = np.array([[np.cos(a[0]), np.sin(a[0])], [np.cos(b[0]), np.sin(b[0])]])
-    return np.linalg.solve(m, [a[1], b[1]]) if abs(np.linalg.det(m)) > 1e-3 else None
+def _meet(a: tuple[float, float], b: tuple[float, float]) -> tuple[float, float] | None:
+    (ca, sa), (cb, sb) = (cos(a[0]), sin(a[0])), (cos(b[0]), sin(b[0]))
+    det = ca * sb - sa * cb
+    return ((a[1] * sb - sa * b[1]) / det, (ca * b[1] - a[1] * cb) / det) if abs(det) > 1e-3 else None
 
 
 def _between(a: float, b: float) -> float:
-    d = abs(a - b) % np.pi
-    return min(d, np.pi - d)
+    d = abs(a - b) % pi
+    return min(d, pi - d)
 
 
 def _along(points: np.ndarray, a: np.ndarray, b: np.ndarray, reach: float = 2.5) -> np.ndarray:
@@ -89,19 +137,23 @@ def _along(points: np.ndarray, a: np.ndarray, b: np.ndarray, reach: float = 2.5)
     return (np.abs(off @ np.array([-way[1], way[0]])) <= reach) & (off @ way >= 0) & (off @ way <= length)
 
 
-def _shape(corners: np.ndarray, width: float, height: float) -> float:
+def _shape(corners: Sequence[tuple[float, float]], width: float, height: float) -> float:
     """The area of four corners that can be a page's in a picture of this size; 0 where they can't."""
-    before, after = np.roll(corners, 1, axis=0) - corners, np.roll(corners, -1, axis=0) - corners
-    cross = after[:, 0] * before[:, 1] - after[:, 1] * before[:, 0]
-    sides = np.hypot(after[:, 0], after[:, 1])
-    if not ((cross > 0).all() or (cross < 0).all()) or sides.min() < 0.15 * min(width, height):
+    if any(not (-BEYOND * width <= x <= (1 + BEYOND) * width and -BEYOND * height <= y <= (1 + BEYOND) * height) for x, y in corners):
+        return 0.0
+    ways = [(corners[(n + 1) % 4][0] - x, corners[(n + 1) % 4][1] - y) for n, (x, y) in enumerate(corners)]
+    sides = [hypot(*w) for w in ways]
+    if min(sides) < 0.15 * min(width, height):
+        return 0.0
+    cross = [ways[n - 1][0] * y - ways[n - 1][1] * x for n, (x, y) in enumerate(ways)]
+    if not (all(c > 0 for c in cross) or all(c < 0 for c in cross)):
         return 0.0
-    cosine = (before * after).sum(axis=1) / np.hypot(before[:, 0], before[:, 1]) / sides
-    angles = np.degrees(np.arccos(np.clip(cosine, -1, 1)))
-    room = np.array([width, height])
-    area = abs((corners[:, 0] * np.roll(corners[:, 1], -1) - np.roll(corners[:, 0], -1) * corners[:, 1]).sum()) / 2
-    sound = (angles >= CORNERS[0]).all() and (angles <= CORNERS[1]).all() and (corners >= -BEYOND * room).all() and (corners <= (1 + BEYOND) * room).all()
-    return area if sound and COVERS[0] <= area / (width * height) <= COVERS[1] else 0.0
+    for n, (x, y) in enumerate(ways):
+        cosine = -(ways[n - 1][0] * x + ways[n - 1][1] * y) / sides[n - 1] / sides[n]
+        if not CORNERS[0] <= degrees(acos(max(-1.0, min(1.0, cosine)))) <= CORNERS[1]:
+            return 0.0
+    area = abs(sum(x * corners[(n + 1) % 4][1] - corners[(n + 1) % 4][0] * y for n, (x, y) in enumerate(corners))) / 2
+    return area if COVERS[0] <= area / (width * height) <= COVERS[1] else 0.0
 
 
 def _fitted(points: np.ndarray, line: tuple[float, float]) -> tuple[float, float]:
@@ -120,28 +172,36 @@ def best_corners(points: np.ndarray, lines: np.ndarray, width: int, height: int)
     frame = [(0.0, 0.0), (0.0, width - 1.0), (np.pi / 2, 0.0), (np.pi / 2, height - 1.0)]
     known = _apart(lines)
     every, best = known + frame, None
+    every_turn = {(k, m): _between(every[k][0], every[m][0]) for k in range(len(every)) for m in range(len(every))}
+    crossing = {(k, m): _meet(every[k], every[m]) for (k, m), turn in every_turn.items() if turn >= MEET / 2}
+    shares: dict[tuple, float] = {}  # by side: a stretch of a line between two others is met in many fours
     for four in combinations(range(len(every)), 4):
-        if sum(k >= len(known) for k in four) > 2:
+        if four[1] >= len(known):  # over two sides would be the picture's own
             continue
         for i, j, k, m in ORDERS:
-            a, b, c, d = (every[four[x]] for x in (i, j, k, m))
-            if _between(a[0], b[0]) > OPPOSITE or _between(c[0], d[0]) > OPPOSITE or _between(a[0], c[0]) < MEET:
+            a, b, c, d = four[i], four[j], four[k], four[m]
+            if every_turn[a, b] > OPPOSITE or every_turn[c, d] > OPPOSITE or every_turn[a, c] < MEET:
                 continue
-            met = [_meet(a, c), _meet(a, d), _meet(b, d), _meet(b, c)]
-            if any(x is None for x in met):
+            corners = [crossing[x, y] if (x, y) in crossing else _meet(every[x], every[y]) for x, y in ((a, c), (a, d), (b, d), (b, c))]
+            if any(x is None for x in corners):
                 continue
-            corners = np.array(met)
             area = _shape(corners, width, height)
-            if not area:
+            if not area or (best is not None and (area / (width * height)) ** 0.5 <= best[0]):  # support is 1 at most
                 continue
             support = 1.0
-            for side, index in enumerate((four[i], four[m], four[j], four[k])):
-                p, q = corners[side], corners[(side + 1) % 4]
-                share = 0.5 if index >= len(known) else min(1.0, _along(points, p, q, 1.5).sum() / (2 * np.hypot(*(q - p))))
+            for side, index in enumerate((a, d, b, c)):
+                share = 0.5 if index >= len(known) else None
+                if share is None:
+                    p, q = corners[side], corners[(side + 1) % 4]
+                    if (p, q) not in shares:
+                        shares[p, q] = min(1.0, _along(points, np.array(p), np.array(q), 1.5).sum() / (2 * hypot(q[0] - p[0], q[1] - p[1])))
+                    share = shares[p, q]
                 support *= share if share >= SUPPORT / 2 else 0.0
+                if not support:
+                    break
             score = support**0.5 * (area / (width * height)) ** 0.5
             if score and (best is None or score > best[0]):
-                best = score, corners, (a, d, b, c), [x >= len(known) for x in (four[i], four[m], four[j], four[k])]
+                best = score, np.array(corners), tuple(every[x] for x in (a, d, b, c)), [x >= len(known) for x in (a, d, b, c)]
     if best is None:
         return None
     score, corners, sides, framed = best
@@ -190,4 +250,4 @@ def page_corners(pixels: DataFrame) -> DataFrame:
                 out.append((own["page"].iloc[0], corners.tolist(), score, None if change is None else change.ravel().tolist()))
         return pd.DataFrame(out, columns=["page", "corners", "score", "map"])
 
-    return found.groupBy("page").cogroup(lines.groupBy("of")).applyInPandas(solve, f"page {kind}, corners array<array<double>>, score double, map array<double>")
+    return dealt(found, "page").groupBy("page").cogroup(dealt(lines, "of").groupBy("of")).applyInPandas(solve, f"page {kind}, corners array<array<double>>, score double, map array<double>")
