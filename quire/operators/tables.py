@@ -1,65 +1,77 @@
 """Tables drawn with rules: merged rules, the groups that cross, their grid, its cells and their text.
 
-Spark merges the rules of a page in one sorted pass, pairs those that cross by the cells of a grid, and joins what is
-linked; cuts are clusters of the rules' places. A group's rules and cuts then meet in one walk that reads the cells off
-the grid, and characters come to cells by grid squares again. A page is what a task holds at most.
+Spark deals out rules and characters by page and sorts them once. One walk then merges a page's rules, links those that
+cross, clusters their places to cuts, reads the cells off the grid, and brings characters to cells by grid squares. A
+page is what a task holds at most.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from quire.operators.geometry import clusters, crossing_rules
-from quire.operators.graph import linked_groups, settled
 from quire.operators.groups import walk_groups
 
 # Fixed values, in points: how near is the same line; the share of a cell's side that a rule must run along to part two
 # cells, and to count as drawn; how far an outer edge lies from the outermost rule to be an edge of its own.
 SNAP, PARTS, DRAWN, OUTER = 1.5, 0.6, 0.75, 6.0
 SQUARE = 64.0
+# White space as Unicode has it, which is what Spark's (?U)\s takes.
+SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+TRIMMED, SHOWN = re.compile(f"^[{SPACE}]+|[{SPACE}]+\\Z"), re.compile(f"[^{SPACE}]")
 
 
-def merged_rules(rules: DataFrame) -> DataFrame:
-    """(page, flat, at, start, stop): axis-parallel rules (page, x0, y0, x1, y1), collinear ones that touch made one.
+def merged_rules(rules: list[tuple[float, float, float]]) -> list[tuple[float, float, float]]:
+    """Rules (at, start, stop) of one direction, collinear ones that touch made one.
 
     In order of place and start, a rule joins the one before it where both lie within SNAP and it starts no more than SNAP
     beyond its end; the place stays that of the first.
     """
-
-    def side(flat: bool) -> DataFrame:
-        at, start, stop = ("y0", "x0", "x1") if flat else ("x0", "y0", "y1")
-        own = rules.where("y0 = y1" if flat else "x0 = x1")
-        return own.select("page", F.lit(flat).alias("flat"), *[F.col(a).cast("double").alias(b) for a, b in ((at, "at"), (start, "start"), (stop, "stop"))])
-
-    def walk(own: Iterator) -> Iterator[tuple]:
-        last = None
-        for r in own:
-            if last and abs(last[2] - r.at) <= SNAP and r.start <= last[4] + SNAP:
-                last[4] = max(last[4], r.stop)
-                continue
-            if last:
-                yield tuple(last)
-            last = [r.page, r.flat, r.at, r.start, r.stop]
-        if last:
-            yield tuple(last)
-
-    each = side(True).union(side(False)).withColumn("own", F.concat_ws(":", "page", "flat"))
-    return walk_groups(each, "own", ["at", "start"], walk, f"page {dict(rules.dtypes)['page']}, flat boolean, at double, start double, stop double")
-
-
-def rule_groups(rules: DataFrame) -> DataFrame:
-    """(page, group, flat, at, start, stop) of merged rules that cross others, directly or through more of them."""
-    made = settled(rules.withColumn("id", F.monotonically_increasing_id()))
-    reach = [(F.col("start") - 2 * SNAP), (F.col("stop") + 2 * SNAP)]
-    flat = made.where("flat").select("page", F.col("id").alias("a"), reach[0].alias("x0"), reach[1].alias("x1"), F.col("at").alias("y"))
-    tall = made.where("not flat").select("page", F.col("id").alias("b"), F.col("at").alias("x"), reach[0].alias("y0"), reach[1].alias("y1"))
-    groups = linked_groups(crossing_rules(flat, tall, ["page"], SQUARE).select("a", "b"))
-    return made.join(groups.select(F.col("node").alias("id"), F.col("first").alias("group")), "id").drop("id")
+    made: list[tuple[float, float, float]] = []
+    for at, start, stop in rules:
+        if made and abs(made[-1][0] - at) <= SNAP and start <= made[-1][2] + SNAP:
+            made[-1] = made[-1][0], made[-1][1], max(made[-1][2], stop)
+        else:
+            made.append((at, start, stop))
+    return made
+
+
+def rule_groups(flat: list[tuple], tall: list[tuple]) -> list[tuple[list[tuple], list[tuple]]]:
+    """The groups of merged rules that cross others, directly or through more of them, by their first flat rule."""
+    up = list(range(len(flat) + len(tall)))
+
+    def top(k: int) -> int:
+        while up[k] != k:
+            up[k] = k = up[up[k]]
+        return k
+
+    places = [t[0] for t in tall]
+    for k, (at, start, stop) in enumerate(flat):
+        for n in range(bisect_left(places, start - 2 * SNAP), bisect_right(places, stop + 2 * SNAP)):
+            if tall[n][1] - 2 * SNAP <= at <= tall[n][2] + 2 * SNAP:
+                one, two = sorted((top(k), top(len(flat) + n)))
+                up[two] = one
+    groups: dict[int, tuple[list, list]] = {}
+    for n, rule in enumerate(flat + tall):
+        groups.setdefault(top(n), ([], []))[n >= len(flat)].append(rule)
+    return [g for g in groups.values() if g[0] and g[1]]
+
+
+def cuts_of(rules: list[tuple]) -> list[float]:
+    """The means of the rules' places, which fall apart where two neighbours lie over 2 * SNAP apart."""
+    parts: list[list[float]] = []
+    for at in sorted(r[0] for r in rules):
+        if parts and at - parts[-1][-1] <= 2 * SNAP:
+            parts[-1].append(at)
+        else:
+            parts.append([at])
+    return [sum(p) / len(p) for p in parts]
 
 
 def _completed(flat: np.ndarray, tall: np.ndarray, xs: list[float], ys: list[float], lines: np.ndarray) -> tuple[list[float], list[float], set[float]]:
@@ -77,9 +89,11 @@ def _completed(flat: np.ndarray, tall: np.ndarray, xs: list[float], ys: list[flo
             continue
         for first in (True, False):
             edge, cut, near = (low[axis], cuts[0], cuts[1]) if first else (high[axis], cuts[-1], cuts[-2])
-            ends = (across[:, 1] <= edge + SNAP) if first else (across[:, 2] >= edge - SNAP)
             width = abs(cut - edge)
-            if width <= OUTER or ends.sum() < 2:
+            if width <= OUTER:
+                continue
+            ends = (across[:, 1] <= edge + SNAP) if first else (across[:, 2] >= edge - SNAP)
+            if ends.sum() < 2:
                 continue
             box = [*low, *high]
             box[axis], box[axis + 2] = sorted((edge, cut))
@@ -104,84 +118,97 @@ def grid_cells(flat: np.ndarray, tall: np.ndarray, xs: list[float], ys: list[flo
     would run into a cell that is there already it stays single. The last four tell which of its sides are drawn.
     """
 
-    def along(rules: np.ndarray, at: float, start: float, stop: float, share: float) -> bool:
-        shared = np.minimum(rules[:, 2], stop) - np.maximum(rules[:, 1], start)
-        return bool(((np.abs(rules[:, 0] - at) <= 2 * SNAP) & (shared >= (stop - start) * share)).any())
+    def near(rules: np.ndarray, cuts: list[float]) -> dict[float, list[tuple[float, float]]]:
+        """The stretches of the rules at each cut."""
+        ordered = sorted(rules.tolist())
+        places = [r[0] for r in ordered]
+        return {c: [(r[1], r[2]) for r in ordered[bisect_left(places, c - 2 * SNAP) : bisect_right(places, c + 2 * SNAP)]] for c in cuts}
+
+    def along(rules: dict[float, list[tuple[float, float]]], at: float, start: float, stop: float, share: float) -> bool:
+        least = (stop - start) * share
+        return any(min(b, stop) - max(a, start) >= least for a, b in rules[at])
 
-    free = np.ones((len(ys) - 1, len(xs) - 1), bool)
-    for row, column in np.ndindex(free.shape):
-        if not free[row, column]:
+    flat, tall = near(flat, ys), near(tall, xs)
+    free = [[True] * (len(xs) - 1) for _ in ys[1:]]
+    for row, column in product(range(len(ys) - 1), range(len(xs) - 1)):
+        if not free[row][column]:
             continue
         right = next((c for c in range(column + 1, len(xs) - 1) if along(tall, xs[c], ys[row], ys[row + 1], PARTS)), len(xs) - 1)
         below = next((r for r in range(row + 1, len(ys) - 1) if ys[r] in loose or along(flat, ys[r], xs[column], xs[right], PARTS)), len(ys) - 1)
-        if not free[row:below, column:right].all():
+        if not all(all(own[column:right]) for own in free[row:below]):
             right, below = column + 1, row + 1
-        free[row:below, column:right] = False
+        for own in free[row:below]:
+            own[column:right] = [False] * (right - column)
         x0, y0, x1, y1 = xs[column], ys[row], xs[right], ys[below]
         drawn = [along(r, at, a, b, DRAWN) for r, at, a, b in ((flat, y0, x0, x1), (tall, x1, y0, y1), (flat, y1, x0, x1), (tall, x0, y0, y1))]
         yield row, column, below - row, right - column, x0, y0, x1, y1, *drawn
 
 
-def table_cells(groups: DataFrame, lines: DataFrame) -> DataFrame:
-    """The cells of each group of rules that has three upright cuts and two others; lines (page, x0, y0, x1, y1) are those of
-    text. Columns as in grid_cells, after page and group."""
-    kinds = dict(groups.dtypes)
-    number = {c: F.lit(None).cast("double").alias(c) for c in ("at", "start", "stop", "foot")}
-    rule = groups.select("page", "group", F.when(F.col("flat"), 0).otherwise(1).alias("kind"), "at", "start", "stop", number["foot"])
-    cut = clusters(groups, ["page", "group", "flat"], "at", 2 * SNAP)
-    cut = cut.select("page", "group", F.when(F.col("flat"), 2).otherwise(3).alias("kind"), F.col("mean").alias("at"), number["start"], number["stop"], number["foot"])
-    whole = lambda kept, of, by: F.min(F.when(kept, F.col(of))) if by < 0 else F.max(F.when(kept, F.col(of)))
-    flat, tall = F.col("flat"), ~F.col("flat")
-    extent = groups.groupBy("page", "group").agg(
-        F.least(whole(flat, "start", -1), whole(tall, "at", -1)).alias("gx0"), F.greatest(whole(flat, "stop", 1), whole(tall, "at", 1)).alias("gx1"),
-        F.least(whole(tall, "start", -1), whole(flat, "at", -1)).alias("gy0"), F.greatest(whole(tall, "stop", 1), whole(flat, "at", 1)).alias("gy1"),
-    )
-    inside = lines.join(extent, "page").where("x0 >= gx0 - 1 and x1 <= gx1 + 1 and y0 >= gy0 - 1 and y1 <= gy1 + 1")
-    text = inside.select("page", "group", F.lit(4).alias("kind"), *[F.col(a).cast("double").alias(b) for a, b in (("x0", "at"), ("y0", "start"), ("x1", "stop"), ("y1", "foot"))])
-
-    def walk(own: Iterator) -> Iterator[tuple]:
-        parts: list[list] = [[], [], [], [], []]
-        for r in own:
-            parts[r.kind].append((r.at, r.start, r.stop, r.foot))
-        flat, tall = (np.array([x[:3] for x in part], float).reshape(-1, 3) for part in parts[:2])
-        ys, xs = ([x[0] for x in part] for part in parts[2:4])
-        if len(xs) and len(ys):
-            xs, ys, loose = _completed(flat, tall, xs, ys, np.array(parts[4], float).reshape(-1, 4))
-            if len(xs) >= 3 and len(ys) >= 2:
-                for cell in grid_cells(flat, tall, xs, ys, loose):
-                    yield r.page, r.group, *cell
-
-    made = f"page {kinds['page']}, `group` {kinds['group']}, row int, column int, row_span int, column_span int, x0 double, y0 double, x1 double, y1 double, top boolean, right boolean, bottom boolean, left boolean"
-    return walk_groups(rule.union(cut).union(text), "group", ["kind", "at", "start"], walk, made)
-
-
-def text_of_cells(cells: DataFrame, chars: DataFrame) -> DataFrame:
-    """(group, row, column, text): the characters (page, line, ord, ch, x0, y0, x1, y1) whose centres a cell holds, edges
-    included; a line's are trimmed, and lines without any left out."""
-    square = lambda c: F.floor(c / SQUARE)
-    cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    at = chars.select("page", "line", "ord", "ch", cx.alias("cx"), cy.alias("cy")).withColumns({"gx": square(F.col("cx")), "gy": square(F.col("cy"))})
-    over = cells.select("page", "group", "row", "column", "x0", "y0", "x1", "y1", F.explode(F.sequence(square(F.col("x0")), square(F.col("x1")))).alias("gx"))
-    over = over.withColumn("gy", F.explode(F.sequence(square(F.col("y0")), square(F.col("y1")))))
-    met = at.join(over, ["page", "gx", "gy"]).where("cx between x0 and x1 and cy between y0 and y1")
-    listed: Column = lambda *c: F.sort_array(F.collect_list(F.struct(*c)))
-    rows = met.groupBy("group", "row", "column", "line").agg(listed("ord", "ch").alias("l"))
-    rows = rows.select("group", "row", "column", "line", F.regexp_replace(F.array_join(F.transform("l", lambda g: g["ch"]), ""), r"(?U)^\s+|\s+$", "").alias("t")).where("t <> ''")
-    return rows.groupBy("group", "row", "column").agg(listed("line", "t").alias("l")).select("group", "row", "column", F.array_join(F.transform("l", lambda g: g["t"]), "\n").alias("text"))
+def table_cells(flat: list[tuple], tall: list[tuple], lines: np.ndarray) -> list[tuple]:
+    """The cells, as in grid_cells, of a group of rules that has three upright cuts and two others; lines (x0, y0, x1, y1)
+    are those of the page's text."""
+    f, t = np.array(flat), np.array(tall)
+    xs, ys, loose = _completed(f, t, cuts_of(tall), cuts_of(flat), lines)
+    return list(grid_cells(f, t, xs, ys, loose)) if len(xs) >= 3 and len(ys) >= 2 else []
+
+
+def text_of_cells(cells: list[tuple], chars: list[tuple]) -> list[str]:
+    """The text of each cell: the characters (line, ord, ch, x0, y0, x1, y1), in order, whose centres it holds, edges
+    included; a line's are trimmed, and lines without any left out. Cells are found by the squares of a grid."""
+    squares: dict[tuple[int, int], list[int]] = {}
+    for n, c in enumerate(cells):
+        for gx in range(int(c[4] // SQUARE), int(c[6] // SQUARE) + 1):
+            for gy in range(int(c[5] // SQUARE), int(c[7] // SQUARE) + 1):
+                squares.setdefault((gx, gy), []).append(n)
+    held: list[dict] = [{} for _ in cells]
+    for line, _, ch, x0, y0, x1, y1 in chars:
+        cx, cy = (x0 + x1) / 2, (y0 + y1) / 2
+        for n in squares.get((int(cx // SQUARE), int(cy // SQUARE)), ()):
+            c = cells[n]
+            if c[4] <= cx <= c[6] and c[5] <= cy <= c[7]:
+                held[n].setdefault(line, []).append(ch)
+    return ["\n".join(t for own in h.values() if (t := TRIMMED.sub("", "".join(own)))) for h in held]
+
+
+def page_tables(rules: tuple[list[tuple], list[tuple]], chars: list[tuple]) -> Iterator[tuple]:
+    """table, the cell as in grid_cells, and its text, of a page's flat and tall rules and characters, both in order."""
+    boxes: dict = {}
+    for line, _, ch, x0, y0, x1, y1 in chars:
+        b = boxes.get(line)
+        boxes[line] = (min(b[0], x0), min(b[1], y0), max(b[2], x1), max(b[3], y1), b[4] or bool(SHOWN.search(ch))) if b else (x0, y0, x1, y1, bool(SHOWN.search(ch)))
+    lines = np.array([b[:4] for b in boxes.values() if b[4]], float).reshape(-1, 4)
+    found = []
+    for group in rule_groups(*map(merged_rules, rules)):
+        cells = table_cells(*group, lines)
+        texts = text_of_cells(cells, chars) if len(cells) >= 4 else []
+        if sum(t != "" for t in texts) >= 2:
+            found.append((min(c[5] for c in cells), min(c[4] for c in cells), cells, texts))
+    for n, (_, _, cells, texts) in enumerate(sorted(found, key=lambda g: g[:2])):
+        yield from ((n, *c, t) for c, t in zip(cells, texts, strict=True))
 
 
 def ruled_tables(rules: DataFrame, chars: DataFrame) -> DataFrame:
     """(page, table, row, column, row_span, column_span, x0, y0, x1, y1, top, right, bottom, left, text) of the tables that
-    rules (page, x0, y0, x1, y1) draw around characters (page, line, ord, ch, x0, y0, x1, y1); y grows downwards.
+    axis-parallel rules (page, x0, y0, x1, y1) draw around characters (page, line, ord, ch, x0, y0, x1, y1); y grows
+    downwards.
 
     A table has four cells and two that aren't empty, at least; tables of a page are numbered from top to bottom. Pages
     without rules that cross have none.
     """
-    visible = chars.where(F.col("ch").rlike(r"(?U)\S"))
-    lines = chars.groupBy("page", "line").agg(*[f(c).alias(c) for c, f in (("x0", F.min), ("y0", F.min), ("x1", F.max), ("y1", F.max))])
-    cells = settled(table_cells(rule_groups(merged_rules(rules)), lines.join(visible.select("page", "line").distinct(), ["page", "line"], "left_semi")))
-    filled = cells.join(text_of_cells(cells, chars), ["group", "row", "column"], "left").withColumn("text", F.coalesce("text", F.lit("")))
-    kept = filled.groupBy("page", "group").agg(F.count("*").alias("cells"), F.count(F.when(F.col("text") != "", 1)).alias("full"), F.min("y0").alias("gy"), F.min("x0").alias("gx"))
-    order = Window.partitionBy("page").orderBy("gy", "gx", "group")
-    numbered = kept.where("cells >= 4 and full >= 2").withColumn("table", F.row_number().over(order) - 1).select("group", "table")
-    return filled.join(numbered, "group").select("page", "table", *[c for c in filled.columns if c not in ("page", "group")])
+    kinds = dict(chars.dtypes)
+    corner = [F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]
+    none = [F.lit(None).cast(kinds[c]).alias(c) for c in ("line", "ord", "ch")]
+    side = lambda kind, at, start: rules.where(at).select("page", F.lit(kind).alias("kind"), *none, F.col(start[0]).cast("double").alias("at"), F.col(start[1]).cast("double").alias("start"), *corner)
+    text = chars.select("page", F.lit(2).alias("kind"), "line", "ord", "ch", F.lit(None).cast("double").alias("at"), F.lit(None).cast("double").alias("start"), *corner)
+    every = side(0, F.col("y0") == F.col("y1"), ("y0", "x0")).union(side(1, F.col("x0") == F.col("x1"), ("x0", "y0"))).union(text)
+
+    def walk(own: Iterator) -> Iterator[tuple]:
+        parts: tuple[list, list, list] = ([], [], [])
+        for r in own:
+            parts[r.kind].append((r.line, r.ord, r.ch or "", r.x0, r.y0, r.x1, r.y1) if r.kind == 2 else (r.at, r.start, r.y1 if r.kind else r.x1))
+        if parts[0] and parts[1]:
+            for t in page_tables(parts[:2], parts[2]):
+                yield r.page, *t
+
+    made = f"page {dict(rules.dtypes)['page']}, `table` int, row int, column int, row_span int, column_span int, x0 double, y0 double, x1 double, y1 double, top boolean, right boolean, bottom boolean, left boolean, text string"
+    return walk_groups(every, "page", ["kind", "line", "ord", "ch", "at", "start"], walk, made)

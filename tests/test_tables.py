@@ -61,6 +61,17 @@ def test_an_edge_that_no_rule_draws(spark):
     assert [r for r in found(spark, rules, near) if r[1:3] == (0, 0)] == [(0, 0, 0, 1, 1, "t00\nt10")]
 
 
+def test_a_page_is_dealt_out_once(spark):
+    """Many pages and two tables on some: one shuffle, and nothing of the way is written before."""
+    lower = [(x0, y0 + 300, x1, y1 + 300) for x0, y0, x1, y1 in GRID]
+    rules = [(p, *map(float, r)) for p in range(40) for r in (GRID + lower if p % 2 else GRID)]
+    chars = [c for p in range(40) for c in page_chars(p, NINE + [(t, x, y + 300) for t, x, y in NINE] * (p % 2))]
+    made = tables.ruled_tables(spark.createDataFrame(rules, RULE), spark.createDataFrame(chars, CHAR))
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = {(r.page, r.table, r.row, r.column): r.text for r in made.collect()}
+    assert got == {(p, t, r, c): f"t{r}{c}" for p in range(40) for t in range(1 + p % 2) for r in range(3) for c in range(3)}
+
+
 def test_cells_equal_sets_of_squares():
     rng = random.Random(6)
     spans = set()
