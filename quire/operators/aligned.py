@@ -24,12 +24,14 @@ from pyspark.sql.types import StructType
 
 from quire.functions import text as tx
 from quire.functions.expressions import FormError
+from quire.operators.groups import slices
 
 # What parts the words of a line, and the hyphens (ASCII, true, soft) that may break a word at a line's end.
 WORD = re.compile("[^ \t\r\f\xa0\n]+")
 HYPHENS = "-\u2010\u00ad"
 SOFT = "\u00ad"
 KEPT_CASE = {ord(c): ord(c) + 32 for c in "ABCDEFGHJKLMNOPQRSTUVWXYZ"}  # I is either i, so it stays
+KEPT_WORD = 64
 EITHER = {"I": "[Iiı]", "i": "[iI]", "ı": "[ıI]"}
 
 
@@ -56,23 +58,39 @@ class Units(NamedTuple):
     reads: list[str]
 
 
+@lru_cache(1 << 14)
+def _character(c: str, match_case: bool) -> tuple[str, bool, str]:
+    """The tokens of a character by itself, whether it is a mark, and its composed form."""
+    return "" if c == SOFT else folded(c, match_case), is_mark(c), normalize("NFC", c)
+
+
+@lru_cache(1 << 14)
+def _spelled(word: str, match_case: bool) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """The tokens of each character of a word, and how it reads."""
+    made, reads = [], []
+    base, letter = -1, ""  # the unit that an accent may join, and what it spells so far
+    for c in word:
+        tokens, mark, own = _character(c, match_case)
+        if not mark:
+            base, letter = (-1, "") if c == SOFT else (len(made), own)
+        elif base >= 0 and len(joined := normalize("NFC", letter + c)) == len(letter):
+            letter, tokens = joined, ""
+            made[base] = folded(joined, match_case)
+        made.append(tokens)
+        reads.append("" if c == SOFT else c)
+    return tuple(made), tuple(reads)
+
+
 def _spell(units: Units, text: str, at: int, stop: int, match_case: bool) -> None:
-    """Add the characters of one word."""
+    """Add the characters of one word. What a short word spells is kept, as words come again."""
     word = text[at:stop]
     if word.isascii():
         units.tokens.extend(word if match_case else word.translate(KEPT_CASE))
         units.reads.extend(word)
     else:
-        base, letter = -1, ""  # the unit that an accent may join, and what it spells so far
-        for c in word:
-            tokens = "" if c == SOFT else folded(c, match_case)
-            if not is_mark(c):
-                base, letter = (-1, "") if c == SOFT else (len(units.tokens), normalize("NFC", c))
-            elif base >= 0 and len(joined := normalize("NFC", letter + c)) == len(letter):
-                letter, tokens = joined, ""
-                units.tokens[base] = folded(joined, match_case)
-            units.tokens.append(tokens)
-            units.reads.append("" if c == SOFT else c)
+        tokens, reads = (_spelled if len(word) <= KEPT_WORD else _spelled.__wrapped__)(word, match_case)
+        units.tokens.extend(tokens)
+        units.reads.extend(reads)
     units.starts.extend(range(at, stop))
     units.ends.extend(range(at + 1, stop + 1))
 
@@ -88,8 +106,10 @@ def units_of(text: str, match_case: bool = False) -> Units:
                 if category(text[at]) == "Ll":
                     units.tokens[-1] = units.reads[-1] = ""
             else:
-                for column, value in zip(units, (" ", before, at, " "), strict=True):
-                    column.append(value)
+                units.tokens.append(" ")
+                units.starts.append(before)
+                units.ends.append(at)
+                units.reads.append(" ")
         _spell(units, text, at, stop, match_case)
         before = stop
     return units
@@ -115,21 +135,35 @@ def matches(text: str, needle: str, match_case: bool = False, whole_word: bool =
     """Matches from left to right. An aligned one begins and ends with whole units, takes the accents that follow it, and
     the next begins after it; one that cuts a unit is reported as not aligned, and the search goes on a token further."""
     tokens = search_tokens(needle, match_case)
-    if not tokens:
-        return
+    if tokens:
+        yield from _found(text, Line.of(text, match_case), tokens, match_case, whole_word)
+
+
+class Line(NamedTuple):
+    """A block as it is searched: its units, their tokens in one, and where each unit's begin."""
+
+    units: Units
+    tokens: str
+    first: list[int]
+
+    @classmethod
+    def of(cls, text: str, match_case: bool) -> Line:
+        units = units_of(text, match_case)
+        return cls(units, "".join(units.tokens), list(accumulate(map(len, units.tokens), initial=0)))
+
+
+def _found(text: str, line: Line, tokens: str, match_case: bool, whole_word: bool) -> Iterator[Match]:
     pattern = re.compile(re.escape(tokens) if match_case else "".join(EITHER.get(c) or re.escape(c) for c in tokens))
-    units = units_of(text, match_case)
-    line = "".join(units.tokens)
-    first = list(accumulate(map(len, units.tokens), initial=0))  # of each unit's tokens
-    opens = {a for a, t in zip(first, units.tokens, strict=False) if t} | {len(line)}
+    units, whole, first = line
     owner = lambda token: bisect_right(first, token) - 1
+    opens = lambda token: token == len(whole) or first[owner(token)] == token
     at = 0
-    while found := pattern.search(line, at):
+    while found := pattern.search(whole, at):
         a, b = found.span()
-        if whole_word and (_in_word(line[a - 1 : a]) or _in_word(line[b : b + 1])):
+        if whole_word and (_in_word(whole[a - 1 : a]) or _in_word(whole[b : b + 1])):
             at = a + 1
             continue
-        aligned, head, tail = a in opens and b in opens, owner(a), owner(b - 1)
+        aligned, head, tail = opens(a) and opens(b), owner(a), owner(b - 1)
         while aligned and tail + 1 < len(units.reads) and is_mark(text[units.starts[tail + 1]]):
             tail += 1
         yield Match(units.starts[head], units.ends[tail], aligned, "".join(units.reads[head : tail + 1]))
@@ -143,7 +177,7 @@ def _per_text(blocks: DataFrame, key: list[str], made: str, rows) -> DataFrame:
     types = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "__text"):
             at, out = [], []
             for k, text in enumerate(batch.column("__text").to_pylist()):
                 found = list(rows(text))
@@ -177,6 +211,18 @@ def aligned_matches(blocks: DataFrame, key: list[str], needle: str, match_case:
     return _per_text(blocks, key, "start int, stop int, aligned boolean, reads string", rows)
 
 
+def searched(blocks: DataFrame, key: list[str], searches: list[tuple[str, bool]], match_case: bool = False) -> DataFrame:
+    """key, needle, start, stop, aligned and reads of all matches of each (needle, whole word) in blocks (key, text), as
+    aligned_matches gives them. A text is read once for all of them."""
+    wanted = [(needle, tokens, whole) for needle, whole in searches if (tokens := search_tokens(needle, match_case))]
+
+    def rows(text: str):
+        line = Line.of(text, match_case)
+        return ((needle, *m) for needle, tokens, whole in wanted for m in _found(text, line, tokens, match_case, whole))
+
+    return _per_text(blocks, key, "needle string, start int, stop int, aligned boolean, reads string", rows)
+
+
 def replace_report(blocks: DataFrame, key: list[str], needle: str, replacement: str, match_case: bool = False, whole_word: bool = False) -> DataFrame:
     """key (of documents), found, replaced, skipped, unchanged, changed_pages and skipped_pages, of blocks (key, page, text,
     editable) that hold a match.

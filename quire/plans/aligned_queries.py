@@ -29,10 +29,7 @@ S7U_SQL = f"SELECT doc_id, md5({_FOLDED}) AS md5, length({_FOLDED}) AS n FROM do
 def s8_aligned_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches of three needles in those texts: all, aligned, and the characters of the source that aligned ones cover."""
     blocks = docs(spark, sf_dir).withColumn("text", _as_set(F.col("text"))).select("doc_id", "text")
-    found = None
-    for needle, whole in (("in", False), ("The", True), ("\u00e9", False)):
-        own = aligned.aligned_matches(blocks, ["doc_id"], needle, whole_word=whole).withColumn("needle", F.lit(needle))
-        found = own if found is None else found.union(own)
+    found = aligned.searched(blocks, ["doc_id"], [("in", False), ("The", True), ("\u00e9", False)])
     covered = F.sum(F.when(F.col("aligned"), F.col("stop") - F.col("start")).otherwise(0))
     return found.groupBy("doc_id", "needle").agg(F.count("*").alias("found"), F.count(F.when(F.col("aligned"), 1)).alias("aligned"), covered.alias("covered"))
 
