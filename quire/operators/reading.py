@@ -13,7 +13,7 @@ from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from quire.functions.text import fold
-from quire.operators.groups import walk_groups
+from quire.operators.groups import slices, walk_groups
 
 
 @F.pandas_udf(StringType())
@@ -42,7 +42,9 @@ def reading_places(units: DataFrame, key: list[str], order: str = "ord") -> Data
     w = Window.partitionBy(*key).orderBy(order)
     base = F.when(F.col("rtl_base"), "rtl").otherwise("ltr")
     before = F.coalesce(F.last("direction", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), base)
-    after = F.coalesce(F.first("direction", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)), base)
+    # from the other end: a frame that ends with the line would be gone through anew for each unit
+    turned_round = Window.partitionBy(*key).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    after = F.coalesce(F.last("direction", ignorenulls=True).over(turned_round), base)
     own = units.withColumn("__d", F.coalesce("direction", F.when(before == after, before).otherwise(base)))
     turned = F.when(F.col("__d") != F.lag("__d", 1, "").over(w), 1).otherwise(0)
     runs = own.withColumn("__turn", turned).withColumn("__run", F.sum("__turn").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
@@ -68,7 +70,7 @@ def reflowed(docs: DataFrame, width: int) -> DataFrame:
         return [" ".join(x) for x in out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "text"):
             lines = [wrap(t or "") for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lines, pa.list_(pa.string()))], names=["doc_id", "lines"])
 
@@ -99,7 +101,7 @@ def text_columns(pieces: DataFrame, near: float = 8, reach: float = 4) -> DataFr
 PROSE_LINE, PROSE_FILL = 20, 0.92
 
 
-def stream_tables(pieces: DataFrame, longest: float = 30, slack: float = 2) -> DataFrame:
+def stream_tables(pieces: DataFrame, longest: float = 30, slack: float = 2, dealt_out: bool = False) -> DataFrame:
     """(page, table, row, column, text) of tables without rules, from (page, row, top, bottom, x0, x1, text).
 
     Rows of two pieces or more, no further apart than one and a half of their height, make a run; its columns are the
@@ -164,7 +166,7 @@ def stream_tables(pieces: DataFrame, longest: float = 30, slack: float = 2) -> D
             if len(row) >= 2:
                 run.append(row)
 
-    return walk_groups(pieces, "page", ["row", "x0"], walk, "page long, table int, row int, column int, text string")
+    return walk_groups(pieces, "page", ["row", "x0"], walk, "page long, table int, row int, column int, text string", dealt_out)
 
 
 def edited(nodes: DataFrame, edits: DataFrame) -> DataFrame:

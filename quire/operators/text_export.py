@@ -115,10 +115,11 @@ def display_places(units: DataFrame, key: list[str], order: str = "ord", kind: s
     a level above right-to-left letters; the whole line is turned, and runs of that level keep their order.
     """
     w = Window.partitionBy(*key).orderBy(order)
-    past, ahead = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    # what is ahead is looked at from the other end: a frame that ends with the line would be gone through anew for each unit
+    past, ahead = (o.rowsBetween(Window.unboundedPreceding, -1) for o in (w, Window.partitionBy(*key).orderBy(F.col(order).desc())))
     c = F.col("__c")
     last = lambda kept, over=past: F.last(F.when(kept, c), ignorenulls=True).over(over)
-    nearest = lambda kept: F.first(F.when(kept, c), ignorenulls=True).over(ahead)
+    nearest = lambda kept: F.last(F.when(kept, c), ignorenulls=True).over(ahead)
     own = units.withColumn("__c", F.col(kind))
     own = own.withColumn("__c", F.when((c == "EN") & (last(c.isin("L", "R", "AL")) == "AL"), "AN").otherwise(c))
     own = own.withColumn("__c", F.when(c == "AL", "R").otherwise(c))
