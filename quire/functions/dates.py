@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.text import BLANK
+from quire.functions.text import BLANK, let
 
 # Fixed value: the shape of a date as documents hold it; all after the year may be left out.
 PDF_DATE = r"(?i)^D:(\d{4})(\d{2})?(\d{2})?(\d{2})?(\d{2})?(\d{2})?(?:Z(?:\d{2}'?(?:\d{2}'?)?)?|([+-])(\d{2})'?(\d{2})?'?)?\z"
@@ -16,19 +16,24 @@ PDF_DATE = r"(?i)^D:(\d{4})(\d{2})?(\d{2})?(\d{2})?(\d{2})?(\d{2})?(?:Z(?:\d{2}'
 def pdf_date(text: Column) -> Column:
     """D:YYYYMMDDHHmmSS with a zone such as Z, +02'00' or -0530 as a timestamp in UTC; parts left out are 01 or 00, no zone
     is UTC. The whole trimmed text must be a date, and one that there is; anything else is null."""
-    bare = F.regexp_replace(text, rf"\A{BLANK}+|{BLANK}+\z", "")
-    part = lambda k, other: F.coalesce(F.nullif(F.regexp_extract(bare, PDF_DATE, k), F.lit("")), F.lit(other)).try_cast("int")
-    year, month, day, hour, minute, second = (part(k, o) for k, o in ((1, ""), (2, "01"), (3, "01"), (4, "00"), (5, "00"), (6, "00")))
-    sign = F.when(F.regexp_extract(bare, PDF_DATE, 7) == "-", -1).otherwise(1)
-    zone = sign * (part(8, "00") * 60 + part(9, "00"))
+    return let(F.regexp_replace(text, rf"\A{BLANK}+|{BLANK}+\z", ""), lambda bare: F.when(bare.rlike(PDF_DATE), let(F.regexp_extract(bare, r"\d+", 0), lambda digits: _dated(bare, digits))))
+
+
+def _dated(bare: Column, digits: Column) -> Column:
+    """The timestamp of a text in the shape of a date, whose first digits are given: pairs after the year, as many as there are."""
+    zone = F.replace(F.substr(bare, F.length(digits) + 3), F.lit("'"), F.lit(""))
+    part = lambda of, k, other, n=2: F.coalesce(F.nullif(F.substring(of, k, n), F.lit("")), F.lit(other)).try_cast("int")
+    year, month, day, hour, minute, second = part(digits, 1, "", 4), *(part(digits, k, o) for k, o in ((5, "01"), (7, "01"), (9, "00"), (11, "00"), (13, "00")))
+    sign = F.when(F.left(zone, F.lit(1)) == "-", -1).when(F.left(zone, F.lit(1)) == "+", 1).otherwise(0)
+    hours, minutes = (F.when(sign != 0, part(zone, k, "00")).otherwise(0) for k in (2, 4))
     there = F.try_make_timestamp_ntz(year, month, day, hour, minute, second.cast("decimal(8,6)"))
-    sound = (year >= 1) & (hour < 24) & (minute < 60) & (second < 60) & (part(8, "00") < 24) & (part(9, "00") < 60)
-    return F.when(bare.rlike(PDF_DATE) & sound, there - F.make_dt_interval(mins=zone))
+    sound = (year >= 1) & (hour < 24) & (minute < 60) & (second < 60) & (hours < 24) & (minutes < 60)
+    return F.when(sound, there - F.make_dt_interval(mins=sign * (hours * 60 + minutes)))
 
 
 def pdf_date_text(ts: Column) -> Column:
     """A timestamp as D:YYYYMMDDHHmmSSZ; null outside the years 1 to 9999."""
-    return F.when(F.year(ts).between(1, 9999), F.concat(F.lit("D:"), F.date_format(ts, "yyyyMMddHHmmss"), F.lit("Z")))
+    return let(ts, lambda t: F.when(F.year(t).between(1, 9999), F.concat(F.lit("D:"), F.date_format(t, "yyyyMMddHHmmss"), F.lit("Z"))))
 
 
 def review_seconds(text: Column) -> Column:

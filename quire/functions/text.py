@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import re
 
 from pyspark.sql import Column
@@ -107,3 +109,8 @@ def safe_suffix(title: Column, longest: int = 60) -> Column:
 def utf16_length(text: Column) -> Column:
     """Length in UTF-16 units: characters beyond the basic plane count twice."""
     return F.length(text) + F.regexp_count(text, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once: what stands in an expression several times is otherwise worked out as often."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
