@@ -16,7 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.text import let
 from quire.operators.form_files import ESCAPES, PDF_DOC
+from quire.operators.groups import slices
 
 # Fixed values of the syntax: what begins something that isn't plain, the parts of a literal string, how an object's
 # definition opens a line, and how far back a stream's dictionary and how far on an object's type are looked for.
@@ -99,7 +101,7 @@ def with_strings(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("text", pa.string())]))
-        for batch in batches:
+        for batch in slices(batches, "content"):
             texts = [(c or b"").decode("latin-1") for c in batch.column("content").to_pylist()]
             found = [[{"start": a, "stop": b, "text": t.encode("utf-8", "replace").decode()} for a, b, t in hidden_strings(x)] for x in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts), pa.array(found, kind)], names=["doc_id", "text", "strings"])
@@ -163,10 +165,12 @@ def audited_files(files: DataFrame, needles: list[str]) -> DataFrame:
     for check, marker, severity in TRACES:
         n = _count(text, marker)
         found.append(_finding(check, severity, n - bare if check == "attachment" else n, at=_first(text, marker)))
-    rows = with_strings(files).select("doc_id", F.inline(F.array(*found)))
-    words = rows.where("check = 'residual-text'").groupBy("doc_id").agg(F.count(F.when(F.col("n") > 0, 1)).alias("hit"), F.count("*").alias("all"))
-    clean = lambda check: F.when(F.col("n") > 0, F.col(check))
-    others = rows.where("check <> 'residual-text' or n > 0").select("doc_id", "check", F.when(F.col("n") > 0, F.col("severity")).otherwise("info").alias("severity"), "n", "term", clean("at").alias("at"))
+    # one look at a text: what the findings say is sorted out in its own row
+    met = lambda rows: F.filter(rows, lambda r: r["n"] > 0)
+    told = lambda r: F.struct(r["check"], F.when(r["n"] > 0, r["severity"]).otherwise("info").alias("severity"), r["n"], r["term"], F.when(r["n"] > 0, r["at"]).alias("at"))
     # as many needles as weren't found, where there are such
-    rest = words.where("hit < all").select("doc_id", F.lit("residual-text").alias("check"), F.lit("info").alias("severity"), F.lit(0).cast("long").alias("n"), (F.col("all") - F.col("hit")).cast("int").alias("term"), F.lit(None).cast("int").alias("at"))
-    return others.union(rest)
+    rest = lambda own: F.when(F.size(met(own)) < len(terms), F.array(_finding("residual-text", "info", F.lit(0), at=F.lit(None)).withField("term", F.lit(len(terms)) - F.size(met(own))))).otherwise(F.array())
+    words, others = found[: len(terms)], found[len(terms) :]
+    own = let(F.array(*words), lambda w: F.concat(met(w), rest(w))) if terms else None
+    rows = F.transform(F.array(*others), told)
+    return with_strings(files).select("doc_id", F.inline(rows if own is None else F.concat(own, rows)))
