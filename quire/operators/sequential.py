@@ -10,7 +10,7 @@ from quire.operators.groups import walk_groups
 LEADING = 1.2  # of the size, where a block has a single line
 
 
-def merged_paragraphs(blocks: DataFrame) -> DataFrame:
+def merged_paragraphs(blocks: DataFrame, dealt_out: bool = False) -> DataFrame:
     """(page, block, paragraph) of (page, block, x0, x1, size, font, orientation, baselines), in reading order: a block
     joins the one before, as merged so far, if both are horizontal, the font is the same, sizes differ by at most 0.5,
     the gap from its last baseline is above 0 and at most 1.6 of the larger leading, and they overlap by half the
@@ -35,7 +35,7 @@ def merged_paragraphs(blocks: DataFrame) -> DataFrame:
                 number, last, lines = number + 1, b, own
             yield b.page, b.block, number
 
-    return walk_groups(blocks, "page", ["block"], walk, "page long, block int, paragraph int")
+    return walk_groups(blocks, "page", ["block"], walk, "page long, block int, paragraph int", dealt_out)
 
 
 def export_lines(pieces: DataFrame) -> DataFrame:
@@ -72,7 +72,7 @@ def export_lines(pieces: DataFrame) -> DataFrame:
     return walk_groups(pieces, "page", ["ord"], walk, "page long, paragraph int, line int, text string")
 
 
-def suppressed(words: DataFrame, share: float = 0.3) -> DataFrame:
+def suppressed(words: DataFrame, share: float = 0.3, dealt_out: bool = False) -> DataFrame:
     """(page, word, kept) of (page, word, x0, y0, x1, y1, confidence): larger, then surer, then earlier words stay; one
     that overlaps a kept word by more than a share of the smaller area goes. Kept words are found by the cells of a grid
     as wide as a usual word, so a page is not compared throughout."""
@@ -98,7 +98,7 @@ def suppressed(words: DataFrame, share: float = 0.3) -> DataFrame:
                     grid.setdefault(c, []).append(w)
             yield w.page, w.word, not over
 
-    return walk_groups(words, "page", ["word"], walk, "page long, word int, kept boolean")
+    return walk_groups(words, "page", ["word"], walk, "page long, word int, kept boolean", dealt_out)
 
 
 def regular_tables(cells: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import numbers as nm
 from quire.operators import forms, geometry, model, pages, sequential
+from quire.operators.groups import dealt_by_rows
 from quire.plans.record_queries import COMMENTS_SQL, TREE_SQL, comments, tree
 from quire.sources.tables import table
 
@@ -224,18 +225,18 @@ SELECT l_orderkey, label, label || CASE WHEN k = 1 THEN '' ELSE ' ' || k END AS
 
 
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of an order as boxes on a page, in order of price."""
+    """Lines of an order as boxes on a page, in order of price; dealt out by page."""
     from pyspark.sql.window import Window
 
     w = Window.partitionBy("l_orderkey").orderBy(F.expr("l_linenumber + l_extendedprice / 1e9"))
-    line = table(spark, sf_dir, "lineitem").withColumn("n", F.row_number().over(w) - 1)
+    line = dealt_by_rows(table(spark, sf_dir, "lineitem"), "l_orderkey").withColumn("n", F.row_number().over(w) - 1)
     return line.select(F.col("l_orderkey").alias("page"), "n", F.col("l_quantity").alias("x0"), (F.col("l_quantity") + 30).alias("x1"), (F.col("n") * 12 + F.col("l_discount") * 100).alias("y0"), (F.col("n") * 12 + 10.0).alias("y1"), (10 + F.col("l_tax") * 10).alias("size"), F.lit(12.0).alias("leading"), F.col("l_linestatus").alias("font"), F.col("l_partkey").cast("string").alias("text"))
 
 
 def t3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _boxes(spark, sf_dir)
     direction = F.when(F.col("text").endswith("7"), "vertical").otherwise("horizontal")
-    return sequential.merged_paragraphs(b.select("page", F.col("n").alias("block"), "x0", "x1", "size", "font", direction.alias("orientation"), F.array("y0", F.col("y0") + 4).alias("baselines")))
+    return sequential.merged_paragraphs(b.select("page", F.col("n").alias("block"), "x0", "x1", "size", "font", direction.alias("orientation"), F.array("y0", F.col("y0") + 4).alias("baselines")), dealt_out=True)
 
 
 def t7_export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,7 +246,7 @@ def t7_export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def i5_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _boxes(spark, sf_dir)
-    return sequential.suppressed(b.select("page", F.col("n").alias("word"), "x0", (F.col("y0") % 20).alias("y0"), "x1", (F.col("y0") % 20 + 10).alias("y1"), F.col("size").alias("confidence")))
+    return sequential.suppressed(b.select("page", F.col("n").alias("word"), "x0", (F.col("y0") % 20).alias("y0"), "x1", (F.col("y0") % 20 + 10).alias("y1"), F.col("size").alias("confidence")), dealt_out=True)
 
 
 def u5b_regular_tables(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,7 +61,7 @@ def k6_text_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def k7_stream_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _boxes(spark, sf_dir)
     row = F.floor(F.col("n") / 2).cast("int")
-    return reading.stream_tables(b.select("page", row.alias("row"), (row * 20.0).alias("top"), (row * 20.0 + 12).alias("bottom"), (F.col("x0") + (F.col("n") % 2) * 60).alias("x0"), (F.col("x1") + (F.col("n") % 2) * 60).alias("x1"), "text"))
+    return reading.stream_tables(b.select("page", row.alias("row"), (row * 20.0).alias("top"), (row * 20.0 + 12).alias("bottom"), (F.col("x0") + (F.col("n") % 2) * 60).alias("x0"), (F.col("x1") + (F.col("n") % 2) * 60).alias("x1"), "text"), dealt_out=True)
 
 
 def g4_edited_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
