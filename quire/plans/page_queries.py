@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from quire.functions import numbers as nm
 from quire.operators import pages as pg
+from quire.operators.groups import dealt_by_rows
 from quire.plans.text_queries import PAGES_SQL, docs
 from quire.sources.tables import pages_of, table
 
@@ -23,7 +24,7 @@ LINE_PAGES_SQL = """dp AS (SELECT doc_id, generate_subscripts(string_split(text,
 
 def p3_format_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     shipped = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("supplier"), (F.col("l_partkey") + 1).cast("int").alias("page"))
-    return pg.format_ranges(shipped, ["supplier"])
+    return pg.format_ranges(dealt_by_rows(shipped, "supplier"), ["supplier"])
 
 
 P3_SQL = """WITH d AS (SELECT DISTINCT l_suppkey AS supplier, l_partkey + 1 AS page FROM lineitem),
