@@ -177,16 +177,17 @@ def page_status(left: DataFrame, right: DataFrame) -> DataFrame:
 def word_recall(source: DataFrame, result: DataFrame) -> DataFrame:
     """(pair, words, kept, recall): how many of the source's words, as a multiset, the result still has.
 
-    Recall is null for a source without words. Words are counted by 64-bit hash, before anything is shuffled as a text's
-    words stand in one row; what is shuffled and joined is (pair, hash, n).
+    Recall is null for a source without words. Words are 64-bit hashes, made in the text's own row; a text's hashes go to the
+    place of its pair once, and are counted and compared there.
     """
 
-    def counted(rows: DataFrame) -> DataFrame:
-        spread = rows.select("pair", F.explode(words(F.col("text"))).alias("w"))
-        return spread.groupBy("pair", F.xxhash64("w").alias("h")).agg(F.count("*").alias("n"))
+    def hashed(rows: DataFrame, own: int) -> DataFrame:
+        # sorted, as equal ones side by side take less room on the way
+        return rows.select("pair", F.sort_array(F.transform(words(F.col("text")), lambda w: F.xxhash64(w))).alias("hashes"), F.lit(own).alias("own"))
 
-    kept = counted(source).join(counted(result).withColumnRenamed("n", "m"), ["pair", "h"], "left")
-    sums = kept.groupBy("pair").agg(F.sum("n").alias("words"), F.sum(F.least("n", F.coalesce("m", F.lit(0)))).alias("kept"))
+    both = hashed(source, 1).unionByName(hashed(result, 0)).repartition("pair")
+    each = both.select("pair", F.explode("hashes").alias("h"), "own").groupBy("pair", "h").agg(F.sum("own").alias("n"), F.sum(1 - F.col("own")).alias("m"))
+    sums = each.groupBy("pair").agg(F.sum("n").alias("words"), F.sum(F.least("n", "m")).alias("kept"))
     every = source.select("pair").distinct().join(sums, "pair", "left").fillna(0, ["words", "kept"])
     return every.withColumn("recall", F.when(F.col("words") > 0, F.col("kept") / F.col("words")))
 

@@ -79,3 +79,22 @@ def test_larger_tables_go_to_more_parts(spark):
 
     assert dealt_by_rows(spark.range(5000), "id", rows=100).rdd.getNumPartitions() == 50
     assert dealt_by_rows(spark.range(50), "id", rows=100).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+
+
+def test_words_of_a_pair_are_shuffled_once(spark):
+    from quire.operators.compare import word_recall
+
+    one = spark.createDataFrame([(1, "a b b c"), (2, ""), (3, None), (4, "x x")], "pair long, text string")
+    two = spark.createDataFrame([(1, "b c c d"), (4, "x x x"), (9, "z")], "pair long, text string")
+    made = word_recall(one, two)
+    assert {tuple(r) for r in made.select("pair", "words", "kept", "recall").collect()} == {(1, 4, 2, 0.5), (2, 0, 0, None), (3, 0, 0, None), (4, 2, 2, 1.0)}
+    assert not [x for x in plan(made).splitlines() if "Exchange hashpartitioning" in x and ", h#" in x]
+
+
+def test_steps_of_a_graph_take_edges_as_they_are(spark, sf):
+    from unittest import mock
+
+    from quire.plans import record_queries
+
+    with mock.patch.object(record_queries.graph, "reachable", side_effect=lambda seeds, edges: edges):
+        assert "Exchange" not in plan(record_queries.g6_reachable(spark, sf))
