@@ -100,7 +100,7 @@ def g6_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem")
     text = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
     edges = table(spark, sf_dir, "orders").select(text("c", "o_custkey").alias("src"), text("o", "o_orderkey").alias("dst"))
-    edges = edges.union(line.select(text("o", "l_orderkey"), text("p", "l_partkey"))).union(line.select(text("p", "l_partkey"), text("s", "l_suppkey"))).distinct()
+    edges = edges.union(line.select(text("o", "l_orderkey"), text("p", "l_partkey"))).union(line.select(text("p", "l_partkey"), text("s", "l_suppkey")))
     return graph.reachable(c, edges)
 
 
