@@ -6,16 +6,21 @@ line, gaps, paragraphs, the file) is windows and aggregates over lines.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions.text import RIGHT_TO_LEFT, markdown_escape, utf16_length
-from quire.operators.groups import walk_groups
 from quire.operators.reading import reading_places
 
 # Fixed values, as shares of the larger size: what parts paragraphs, and what is a space.
 PARAGRAPH_GAP, WORD_GAP = 1.6, 0.15
+# What a line holds of its pieces, in the order by which they stand from left to right.
+PIECE = ["x", "ord", "width", "size", "text"]
 BOM = "﻿"
 # Classes of characters for the order of display; letters are told by their script.
 CLASSES = (
@@ -36,37 +41,66 @@ def direction_of(text: Column) -> Column:
 
 
 def placed_lines(pieces: DataFrame) -> DataFrame:
-    """Add line and line_y to pieces (page, ord, text, x, y, size, width), y upwards: each joins the first line of its page
-    within half its size (1 at least) of that line's first piece, or starts one."""
+    """(page, line, y, size, pieces) of pieces (page, ord, text, x, y, size, width), y upwards: each joins the first line of
+    its page within half its size (1 at least) of that line's first piece, or starts one.
 
-    def walk(page):
-        lines: list[float] = []
-        for p in page:
-            near = max(1.0, p.size * 0.5)
-            line = next((k for k, y in enumerate(lines) if abs(y - p.y) <= near), len(lines))
-            if line == len(lines):
-                lines.append(p.y)
-            yield *p, line, lines[line]
+    Neighbours at one height and of one size are a row together, so a line may come in several; y is the line's. Only places
+    are looked at, and a place's line never changes once it is known, since lines are only added.
+    """
 
-    fields = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes)
-    return walk_groups(pieces, "page", ["ord"], walk, f"{fields}, line int, line_y double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, lines, known = None, [], {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            places = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("page", "y", "size")]
+            starts = pa.array(np.concatenate([[0], np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in places])) + 1]), pa.int32())
+            pages, ys, sizes = (batch.column(c).take(starts) for c in ("page", "y", "size"))
+            found = []
+            for own, y, size in zip(pages.to_pylist(), ys.to_pylist(), sizes.to_pylist(), strict=True):
+                if own != page:
+                    page, lines, known = own, [], {}
+                line = known.get((y, size))
+                if line is None:
+                    near = max(1.0, size * 0.5)
+                    line = known[y, size] = next((k for k, other in enumerate(lines) if abs(other - y) <= near), len(lines))
+                    if line == len(lines):
+                        lines.append(y)
+                found.append((line, lines[line]))
+            line, line_y = zip(*found, strict=True)
+            own = pa.ListArray.from_arrays(pa.concat_arrays([starts, pa.array([batch.num_rows], pa.int32())]), pa.StructArray.from_arrays([batch.column(c) for c in PIECE], PIECE))
+            yield pa.RecordBatch.from_arrays([pages, pa.array(line, pa.int32()), pa.array(line_y, pa.float64()), sizes, own], names=["page", "line", "y", "size", "pieces"])
+
+    kinds = dict(pieces.dtypes)
+    schema = f"page {kinds['page']}, line int, y double, size {kinds['size']}, pieces array<struct<{', '.join(f'{c}: {kinds[c]}' for c in PIECE)}>>"
+    return pieces.repartition("page").sortWithinPartitions("page", "ord").mapInArrow(run, schema)
+
+
+def _spaced(pieces: Column) -> Column:
+    """The text of a line's pieces (x, width, size, text) in the order they are read: a gap between near edges is a space."""
+
+    def spaced(p: Column, before: Column) -> Column:
+        gap = F.greatest(p["x"] - (before["x"] + before["width"]), before["x"] - (p["x"] + p["width"]))
+        return F.concat(F.when(gap > WORD_GAP * F.greatest(p["size"], before["size"]), " ").otherwise(""), p["text"])
+
+    befores = F.concat(F.array(F.lit(None)), F.slice(pieces, F.lit(1), F.size(pieces) - 1))
+    return F.trim(F.regexp_replace(F.array_join(F.zip_with(pieces, befores, spaced), ""), r"(?U)\s+", " "))
 
 
 def line_texts(pieces: DataFrame) -> DataFrame:
     """(page, line, y, size, text) of the lines of pieces that aren't blank. Pieces stand from left to right; in a line with
-    a piece of right-to-left letters they are read as its letters' majority runs. A gap between near edges is a space."""
-    line = Window.partitionBy("page", "line")
-    own = placed_lines(pieces).withColumn("direction", direction_of(F.col("text")))
-    base = (F.max(F.when(F.col("direction") == "rtl", 1).otherwise(0)).over(line) > 0) & (F.sum(letters(F.col("text"), True)).over(line) > F.sum(letters(F.col("text"), False)).over(line))
-    ranked = own.withColumns({"rtl_base": base, "at": F.row_number().over(line.orderBy("x", "ord"))})
-    read = reading_places(ranked, ["page", "line"], "at")
-    w = line.orderBy("place")
-    before = {c: F.lag(c).over(w) for c in ("x", "width", "size")}
-    gap = F.greatest(F.col("x") - (before["x"] + before["width"]), before["x"] - (F.col("x") + F.col("width")))
-    spaced = read.withColumn("t", F.concat(F.when(gap > WORD_GAP * F.greatest("size", before["size"]), " ").otherwise(""), "text"))
-    joined = spaced.groupBy("page", "line").agg(F.first("line_y").alias("y"), F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("place", "t"))).alias("l"))
-    text = F.regexp_replace(F.regexp_replace(F.array_join(F.transform("l", lambda x: x["t"]), ""), r"(?U)\s+", " "), "^ | $", "")
-    return joined.select("page", "line", "y", "size", text.alias("text")).where("text <> ''")
+    a piece of right-to-left letters they are read as its letters' majority runs. A gap between near edges is a space.
+
+    A line is one row with its pieces; only lines with right-to-left letters are taken apart again for their order.
+    """
+    lines = placed_lines(pieces).groupBy("page", "line").agg(F.first("y").alias("y"), F.max("size").alias("tallest"), F.sort_array(F.flatten(F.collect_list("pieces"))).alias("l"))
+    letter = F.array_join(F.transform("l", lambda p: p["text"]), "")
+    turned = letter.rlike(rf"[{RIGHT_TO_LEFT}&&\p{{L}}]")
+    units = lines.where(turned).select("page", "line", "y", "tallest", (letters(letter, True) > letters(letter, False)).alias("rtl_base"), F.posexplode("l").alias("at", "piece"))
+    read = reading_places(units.withColumn("direction", direction_of(F.col("piece.text"))), ["page", "line"], "at")
+    ordered = read.groupBy("page", "line").agg(F.first("y").alias("y"), F.first("tallest").alias("tallest"), F.sort_array(F.collect_list(F.struct("place", "piece"))).alias("l"))
+    both = lines.where(~turned).union(ordered.withColumn("l", F.transform("l", lambda x: x["piece"])))
+    return both.select("page", "line", "y", F.col("tallest").alias("size"), _spaced(F.col("l")).alias("text")).where("text <> ''")
 
 
 def page_texts(pieces: DataFrame, markdown: bool = False) -> DataFrame:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.operators import comments, form_files, text_export
+from quire.operators.groups import slices
 from quire.plans.text_queries import docs
 from quire.sources.tables import table
 
@@ -73,12 +79,30 @@ SELECT conv_id AS file, 'c0' AS name, CASE WHEN conv_id % 2 = 0 THEN 'highlight'
 
 
 def _set_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The words of documents laid out: a line of text is a line 20 points high, a letter 5 wide, a page 40 lines."""
-    line = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
-    word = line.select("doc_id", "line", F.posexplode(F.split("t", " ")).alias("k", "text"), "t")
-    page = F.col("doc_id") * 100_000 + F.floor(F.col("line") / 40)
-    x = F.when(F.col("k") > 0, F.length(F.array_join(F.slice(F.split("t", " "), F.lit(1), F.col("k")), " ")) * 5.0 + 5).otherwise(0.0)
-    return word.select(page.alias("page"), (F.col("line") * 100_000 + F.col("k")).cast("int").alias("ord"), "text", x.alias("x"), (F.col("line") * -20.0).alias("y"), F.lit(20.0).alias("size"), (F.length("text") * 5.0).alias("width"))
+    """The words of documents laid out: a line of text is a line 20 points high, a letter 5 wide, a page 40 lines.
+
+    Where a word begins is a running sum along its line, so long lines cost no more than their words.
+    """
+
+    def parts(texts: pa.Array, mark: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The parts of all texts, the text that each is of, and its place there."""
+        split = pc.split_pattern(texts, mark)
+        count = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False)
+        of = np.repeat(np.arange(len(texts)), count)
+        return pc.list_flatten(split), of, np.arange(len(of)) - (np.cumsum(count) - count)[of]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            lines, doc, line = parts(batch.column("text"), "\n")
+            words, of, k = parts(lines, " ")
+            page = pc.add(pc.multiply(batch.column("doc_id").take(pa.array(doc)), 100_000), pa.array(line // 40)).take(pa.array(of))
+            length = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+            before = np.cumsum(length + 1) - (length + 1)
+            x = (before - before[np.arange(len(of)) - k]) * 5.0
+            columns = [page, pa.array(line[of] * 100_000 + k), words, pa.array(x), pa.array(line[of] * -20.0), pa.array(np.full(len(of), 20.0)), pa.array(length * 5.0)]
+            yield pa.RecordBatch.from_arrays(columns, names=["page", "ord", "text", "x", "y", "size", "width"])
+
+    return docs(spark, sf_dir).select("doc_id", "text").mapInArrow(run, "page long, ord long, text string, x double, y double, size double, width double")
 
 
 def t8_text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
