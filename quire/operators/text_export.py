@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -76,15 +77,26 @@ def placed_lines(pieces: DataFrame) -> DataFrame:
     return pieces.repartition("page").sortWithinPartitions("page", "ord").mapInArrow(run, schema)
 
 
-def _spaced(pieces: Column) -> Column:
-    """The text of a line's pieces (x, width, size, text) in the order they are read: a gap between near edges is a space."""
+def _spaced(lines: DataFrame) -> DataFrame:
+    """(page, line, y, size, text) of lines with their pieces as they are read: a gap between near edges is a space."""
 
-    def spaced(p: Column, before: Column) -> Column:
-        gap = F.greatest(p["x"] - (before["x"] + before["width"]), before["x"] - (p["x"] + p["width"]))
-        return F.concat(F.when(gap > WORD_GAP * F.greatest(p["size"], before["size"]), " ").otherwise(""), p["text"])
-
-    befores = F.concat(F.array(F.lit(None)), F.slice(pieces, F.lit(1), F.size(pieces) - 1))
-    return F.trim(F.regexp_replace(F.array_join(F.zip_with(pieces, befores, spaced), ""), r"(?U)\s+", " "))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column("pieces")
+            piece = own.flatten()
+            x, width, size = (pc.struct_field(piece, c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("x", "width", "size"))
+            gap = np.fmax(x[1:] - (x[:-1] + width[:-1]), x[:-1] - (x[1:] + width[1:]))
+            count = pc.list_value_length(own).to_numpy()
+            ends = np.cumsum(count)
+            apart = np.concatenate([[False], gap > WORD_GAP * np.fmax(size[1:], size[:-1])])[: len(x)]
+            apart[(ends - count)[count > 0]] = False
+            spaced = pc.fill_null(pc.binary_join_element_wise(pc.if_else(pa.array(apart), " ", ""), pc.struct_field(piece, "text"), ""), "")
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), spaced), "")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page", "line", "y", "size")), text], names=["page", "line", "y", "size", "text"])
+
+    kinds = dict(lines.dtypes)
+    made = lines.select("page", "line", "y", "size", "pieces").mapInArrow(run, f"page {kinds['page']}, line int, y double, size {kinds['size']}, text string")
+    return made.withColumn("text", F.trim(F.regexp_replace("text", r"(?U)\s+", " ")))
 
 
 def line_texts(pieces: DataFrame) -> DataFrame:
@@ -93,14 +105,14 @@ def line_texts(pieces: DataFrame) -> DataFrame:
 
     A line is one row with its pieces; only lines with right-to-left letters are taken apart again for their order.
     """
-    lines = placed_lines(pieces).groupBy("page", "line").agg(F.first("y").alias("y"), F.max("size").alias("tallest"), F.sort_array(F.flatten(F.collect_list("pieces"))).alias("l"))
-    letter = F.array_join(F.transform("l", lambda p: p["text"]), "")
+    lines = placed_lines(pieces).groupBy("page", "line").agg(F.first("y").alias("y"), F.max("size").alias("size"), F.sort_array(F.flatten(F.collect_list("pieces"))).alias("pieces"))
+    letter = F.array_join("pieces.text", "")
     turned = letter.rlike(rf"[{RIGHT_TO_LEFT}&&\p{{L}}]")
-    units = lines.where(turned).select("page", "line", "y", "tallest", (letters(letter, True) > letters(letter, False)).alias("rtl_base"), F.posexplode("l").alias("at", "piece"))
+    units = lines.where(turned).select("page", "line", "y", "size", (letters(letter, True) > letters(letter, False)).alias("rtl_base"), F.posexplode("pieces").alias("at", "piece"))
     read = reading_places(units.withColumn("direction", direction_of(F.col("piece.text"))), ["page", "line"], "at")
-    ordered = read.groupBy("page", "line").agg(F.first("y").alias("y"), F.first("tallest").alias("tallest"), F.sort_array(F.collect_list(F.struct("place", "piece"))).alias("l"))
-    both = lines.where(~turned).union(ordered.withColumn("l", F.transform("l", lambda x: x["piece"])))
-    return both.select("page", "line", "y", F.col("tallest").alias("size"), _spaced(F.col("l")).alias("text")).where("text <> ''")
+    ordered = read.groupBy("page", "line").agg(F.first("y").alias("y"), F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("place", "piece"))).alias("l"))
+    both = lines.where(~turned).union(ordered.select("page", "line", "y", "size", F.col("l.piece").alias("pieces")))
+    return _spaced(both).where("text <> ''")
 
 
 def page_texts(pieces: DataFrame, markdown: bool = False) -> DataFrame:

@@ -98,3 +98,28 @@ def test_steps_of_a_graph_take_edges_as_they_are(spark, sf):
 
     with mock.patch.object(record_queries.graph, "reachable", side_effect=lambda seeds, edges: edges):
         assert "Exchange" not in plan(record_queries.g6_reachable(spark, sf))
+
+
+def test_only_lines_written_from_the_right_are_put_in_order(spark):
+    from unittest import mock
+
+    from quire.operators import text_export as te
+
+    words = {1: ["one", "two"], 2: ["שלום", "two", "עברית"]}
+    rows = [(p, k, w, 30.0 * k, 0.0, 10.0, 25.0) for p, ws in words.items() for k, w in enumerate(ws)]
+    df = spark.createDataFrame(rows, "page long, ord int, text string, x double, y double, size double, width double")
+    seen, real = [], te.reading_places
+    with mock.patch.object(te, "reading_places", side_effect=lambda units, *a: (seen.append(units), real(units, *a))[1]):
+        got = {r["page"]: r["text"] for r in te.page_texts(df).collect()}
+    assert got == {1: "one two", 2: "עברית two שלום"}
+    assert {r["page"] for r in seen[0].select("page").distinct().collect()} == {2}
+    assert {(r["page"], len(r["pieces"])) for r in te.placed_lines(df).collect()} == {(1, 2), (2, 3)}
+
+
+def test_documents_of_many_lines_are_set_out(spark, tmp_path):
+    from quire.plans.form_queries import t8_text_files
+
+    texts = ["a b\n" * 22_000 + "end", None, "", "a  b \n\n c"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["empty"], r["characters"]) for r in t8_text_files(spark, str(tmp_path)).collect()}
+    assert got == {0: (0, 22_000 * 3 + 3 + 22_000 - 550), 2: (1, 0), 3: (0, 6)}
