@@ -1,8 +1,9 @@
 """Form data files (FDF): their objects as rows, the fields below each other by joins, and files written from values.
 
-A file is cut into tokens and its objects become rows: a node, the node it hangs from and the slot it fills there (a key of
-a dictionary, a place in an array). What refers to what, which field stands below which, and what a field's whole name is
-then follows by joins over all files at once, level by level. A file that can't be read is a row with the reason.
+A file is cut into tokens and objects: a node, the node it hangs from and the slot it fills there (a key of a dictionary, a
+place in an array). References are followed where a file is read, and each dictionary in an array becomes a row. Which field
+stands below which, and what a field's whole name is, then follows by joins over all files at once, level by level. A file
+that can't be read is a row with the reason.
 """
 
 from __future__ import annotations
@@ -13,9 +14,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 from pyspark.sql.window import Window
 
 from quire.operators.graph import settled
+from quire.operators.groups import dealt, slices
 
 HEADER = "%FDF-1.2"
 DEEPEST = 64
@@ -27,9 +31,10 @@ PDF_DOC = {0x18 + k: c for k, c in enumerate(FROM_18)} | {0x80 + k: c for k, c i
 
 # Fixed values of the syntax: white space, and what ends a name or a bare word.
 BLANK, WORD = r"[\t\n\x0b\x0c\r \xa0]", r"[^\t\n\x0b\x0c\r \xa0/<>\[\]()%]"
-TOKEN = re.compile(rf"{BLANK}+|%[^\r\n]*|(?P<open><<)|(?P<close>>>)|<(?P<hex>[^>]*)>|(?P<list>\[)|(?P<end>\])|/(?P<name>{WORD}*)|(?P<word>{WORD}+)|(?P<string>\()|(?P<other>.)", re.S)
+TOKEN = re.compile(rf"(?:{BLANK}++|%[^\r\n]*+)*+(?:(?P<open><<)|(?P<close>>>)|<(?P<hex>[^>]*)>|(?P<list>\[)|(?P<end>\])|/(?P<name>{WORD}*)|(?P<word>{WORD}+)|\((?P<plain>[^\\()]*)\)|(?P<string>\()|(?P<other>.))?", re.S)
 PART = re.compile(r"(?P<plain>[^\\()]+)|\\(?P<octal>[0-7]{1,3})|\\(?P<escape>[\\()nrtbf])|(?P<lost>\\)|(?P<nest>\()|(?P<done>\))", re.S)
 ESCAPES = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f"}
+KINDS = {"open": "dict", "list": "list", "string": "string", "name": "name", "ref": "ref"}
 NUMBER = re.compile(r"[-+]?(?:\d+\.?\d*|\.\d+)", re.A)
 
 
@@ -40,6 +45,10 @@ class Unreadable(ValueError):
 def _text(raw: bytes) -> str:
     """The text of a string's bytes: UTF-16 where marked, else PDFDocEncoding."""
     if raw[:2] == b"\xfe\xff":
+        try:
+            return raw[2 : len(raw) & ~1].decode("utf-16-be")
+        except UnicodeDecodeError:
+            pass
         return raw[2 : len(raw) & ~1].decode("utf-16-be", "surrogatepass").encode("utf-16", "surrogatepass").decode("utf-16", "replace")
     return raw.decode("latin-1").translate(PDF_DOC)
 
@@ -61,6 +70,8 @@ def _literal(source: str, at: int) -> tuple[str, int]:
 
 def _name(raw: str) -> str:
     """A name with its #xx escapes: UTF-8 where it is, else Latin-1."""
+    if "#" not in raw and raw.isascii():
+        return raw
     octets = re.sub(rb"#([0-9a-fA-F]{2})", lambda m: bytes.fromhex(m[1].decode()), raw.encode("latin-1"))
     try:
         return octets.decode()
@@ -74,18 +85,28 @@ def tokens(source: str) -> Iterator[tuple[str, str]]:
     while at < len(source):
         found = TOKEN.match(source, at)
         kind, at = found.lastgroup, found.end()
-        if kind == "string":
+        if kind == "word":
+            value = found["word"]
+            yield kind, value
+            if value == "stream":
+                at = (source.find("endstream", at) + 1 or len(source) + 1) - 1
+        elif kind == "plain":
+            raw = found["plain"]
+            yield "string", raw if raw.isascii() and raw.isprintable() else _text(raw.encode("latin-1"))
+        elif kind == "string":
             value, at = _literal(source, at)
             yield "string", value
         elif kind == "hex":
-            digits = re.sub("[^0-9a-fA-F]", "", found["hex"])
-            yield "string", _text(bytes.fromhex(digits + "0" * (len(digits) % 2)))
+            try:
+                raw = bytes.fromhex(found["hex"])
+            except ValueError:
+                digits = re.sub("[^0-9a-fA-F]", "", found["hex"])
+                raw = bytes.fromhex(digits + "0" * (len(digits) % 2))
+            yield "string", _text(raw)
         elif kind == "other" and found["other"] == "<":
             raise Unreadable("a hexadecimal string has no end")
         elif kind:
             yield kind, _name(found[kind]) if kind == "name" else found[kind]
-            if kind == "word" and found["word"] == "stream":
-                at = (source.find("endstream", at) + 1 or len(source) + 1) - 1
 
 
 def nodes(content: bytes) -> Iterator[tuple[int, int, str, int, str, str]]:
@@ -114,11 +135,11 @@ def nodes(content: bytes) -> Iterator[tuple[int, int, str, int, str, str]]:
             number = int(every[at - 3][1])
             continue
         if kind == "word":
-            if is_number(at - 1) and is_number(at) and at + 1 < len(every) and every[at + 1] == ("word", "R"):
+            if value[0] in "0123456789" and is_number(at - 1) and is_number(at) and at + 1 < len(every) and every[at + 1] == ("word", "R"):
                 kind, at = "ref", at + 2
             else:
                 kind = "other"
-        kind = {"open": "dict", "list": "list", "string": "string", "name": "name", "ref": "ref"}.get(kind, "other")
+        kind = KINDS.get(kind, "other")
         parent, slot = (-1, str(made)) if not top else (top[0], str(top[2]))
         slots[parent, slot] = (made, parent, slot, number if not top else -1, kind, value)
         if top:
@@ -133,48 +154,63 @@ def nodes(content: bytes) -> Iterator[tuple[int, int, str, int, str, str]]:
     yield from slots.values()
 
 
-NODES = "node int, parent int, slot string, number int, kind string, text string, problem string"
+def entries(content: bytes) -> Iterator[tuple]:
+    """(list, at, node, title, kind, text, items, kids) of the dictionaries in a file's arrays, references replaced by what
+    they name, up to HOPS of them from an indirect object; what leads nowhere, or round in a ring, is left out. The first has
+    no list, and its kids are the fields array, or nothing. Arrays and dictionaries are told by their nodes."""
+    every = list(nodes(content))
+    numbered = {str(n[3]): n for n in every if n[3] >= 0}
+
+    def there(n: tuple) -> tuple | None:
+        for _ in range(HOPS + 1):
+            if n is None or n[4] != "ref":
+                return n
+            n = numbered.get(n[5])
+        return n if n and n[4] != "ref" else None
+
+    held: dict[int, dict[str, tuple]] = {}
+    for n in every:
+        if n[1] >= 0 and (t := there(n)):
+            held.setdefault(n[1], {})[n[2]] = t
+
+    def slot(node: int, name: str, *kinds: str) -> tuple | None:
+        found = held.get(node, {}).get(name)
+        return found if found and found[4] in kinds else None
 
+    roots = [n[0] for n in every if n[1] == -1 and n[4] == "dict"]
+    tops = (slot(f[0] if (f := slot(r, "FDF", "dict")) else r, "Fields", "list") for r in sorted(roots))
+    top = next(filter(None, tops), None)
+    yield None, None, None, None, None, None, None, top and top[0]
+    for parent in (n[0] for n in every if n[4] == "list"):
+        for at, n in held.get(parent, {}).items():
+            if n[4] == "dict":
+                title, value, kids = slot(n[0], "T", "string"), slot(n[0], "V", "string", "name", "list"), slot(n[0], "Kids", "list")
+                items = [i[5] for i in held.get(value[0], {}).values() if i[4] in ("string", "name")] if value and value[4] == "list" else None
+                yield parent, int(at), n[0], title and title[5], value and value[4], value and value[5], items, kids and kids[0]
 
-def file_nodes(files: DataFrame) -> DataFrame:
-    """(file, node, parent, slot, number, kind, text, problem) of files (file, content): their objects, or one row with the
-    problem of a file that can't be read."""
+
+ENTRIES = "list int, at int, node int, title string, kind string, text string, items array<string>, kids int, problem string"
+
+
+def file_entries(files: DataFrame) -> DataFrame:
+    """(file, list, at, node, title, kind, text, items, kids, problem) of files (file, content), as entries() has them; a
+    file that can't be read is one row with its problem. Files are dealt out to as many parts as there is work for."""
+    made = to_arrow_schema(_parse_datatype_string(ENTRIES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "content"):
+            of, rows = [], []
             for k, content in enumerate(batch.column("content").to_pylist()):
                 try:
-                    rows = [(*n, None) for n in nodes(content or b"")]
+                    own = [(*e, None) for e in entries(content or b"")]
                 except Unreadable as problem:
-                    rows = [(None, None, None, None, None, None, str(problem))]
-                if rows:
-                    n, parent, slot, number, kind, text, problem = zip(*rows, strict=True)
-                    file = batch.column("file").take(pa.array([k] * len(rows)))
-                    own = [pa.array(c, pa.int32()) for c in (n, parent)] + [pa.array(slot, pa.string()), pa.array(number, pa.int32())] + [pa.array(c, pa.string()) for c in (kind, text, problem)]
-                    yield pa.RecordBatch.from_arrays([file, *own], names=["file", "node", "parent", "slot", "number", "kind", "text", "problem"])
-
-    return files.select("file", "content").mapInArrow(run, f"file {dict(files.dtypes)['file']}, {NODES}")
-
-
-def _followed(every: DataFrame) -> DataFrame:
-    """The nodes that hang from others as (file, parent, slot, node, kind, text), references replaced by what they name, up
-    to HOPS of them; what leads nowhere, or round in a ring, is left out."""
-    own = every.where("number >= 0").groupBy("file", "number").agg(F.max_by(F.struct("node", "kind", "text"), "node").alias("there")).select("file", "number", "there.*")
-    for _ in range(HOPS.bit_length() - 1):
-        own = settled(own)
-        if own.where("kind = 'ref'").isEmpty():
-            break
-        on = own.select("file", F.col("number").cast("string").alias("text"), F.struct("node", "kind", F.col("text").alias("text")).alias("on"))
-        own = own.join(on, ["file", "text"], "left").select("file", "number", *[F.when(F.col("kind") == "ref", F.col(f"on.{c}")).otherwise(F.col(c)).alias(c) for c in ("node", "kind", "text")])
-    own = own.where("kind <> 'ref'").select("file", F.col("number").cast("string").alias("to"), F.struct("node", "kind", "text").alias("there"))
-    hung = every.where("parent >= 0")
-    plain = hung.where("kind <> 'ref'").select("file", "parent", "slot", "node", "kind", "text")
-    return plain.union(hung.where("kind = 'ref'").withColumnRenamed("text", "to").join(own, ["file", "to"]).select("file", "parent", "slot", "there.node", "there.kind", "there.text"))
-
+                    own = [(*[None] * 8, str(problem))]
+                of += [k] * len(own)
+                rows += own
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), made, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("file").take(pa.array(of)), *columns], names=["file", *made.names])
 
-def _slot(hung: DataFrame, slot: str, kinds: str, name: str) -> DataFrame:
-    """(file, node, name): what stands in a slot of a node, a struct (node, kind, text), where it is of one of the kinds."""
-    return hung.where((F.col("slot") == slot) & F.col("kind").isin(*kinds.split())).select("file", F.col("parent").alias("node"), F.struct("node", "kind", "text").alias(name))
+    return dealt(files.select("file", "content"), "file").mapInArrow(run, f"file {dict(files.dtypes)['file']}, {ENTRIES}")
 
 
 def form_fields(files: DataFrame) -> DataFrame:
@@ -185,49 +221,35 @@ def form_fields(files: DataFrame) -> DataFrame:
     a file from 0, parents first. A dictionary is read once, where it is met first, level by level. A file that can't be
     read, or has no fields array, is one row with the problem.
     """
-    every = settled(file_nodes(files))
-    hung = settled(_followed(every))
-    roots = every.where("parent = -1 and kind = 'dict'").select("file", F.col("node").alias("root"))
-    inner = roots.join(_slot(hung, "FDF", "dict", "fdf").withColumnRenamed("node", "root"), ["file", "root"], "left")
-    holder = inner.select("file", "root", F.coalesce("fdf.node", "root").alias("node")).join(_slot(hung, "Fields", "list", "fields"), ["file", "node"])
-    first = holder.groupBy("file").agg(F.min_by("fields", "root").alias("fields")).select("file", F.col("fields.node").alias("list"))
-    dicts = hung.select("file", "node").where("kind = 'dict'").distinct()
-    title, value, kids = (_slot(hung, slot, kinds, name) for slot, kinds, name in (("T", "string", "title"), ("V", "string name list", "value"), ("Kids", "list", "kids")))
-    fields = settled(dicts.join(title, ["file", "node"], "left").join(value, ["file", "node"], "left").join(kids, ["file", "node"], "left"))
-    below = settled(hung.where("kind = 'dict'").join(every.where("kind = 'list'").select("file", F.col("node").alias("parent")), ["file", "parent"], "left_semi").select("file", F.col("parent").alias("list"), F.col("slot").try_cast("int").alias("at"), "node"))
-    front = first.select("file", "list", F.lit("").alias("above"), F.array().cast("array<int>").alias("path"))
+    every = settled(file_entries(files))
+    heads, below = every.where("list is null"), every.where("list is not null").drop("problem").withColumnRenamed("kids", "own_kids")
+    front = heads.where("kids is not null").select("file", F.col("kids").alias("list"), F.lit("").alias("above"), F.array().cast("array<int>").alias("path"))
     levels, seen = [], None
     for _ in range(DEEPEST + 1):
-        met = front.join(below, ["file", "list"]).select("file", "node", "above", F.concat("path", F.array("at")).alias("path"))
-        met = met.groupBy("file", "node").agg(F.min(F.struct("path", "above")).alias("m")).select("file", "node", "m.path", "m.above")
-        met = met if seen is None else met.join(seen, ["file", "node"], "left_anti")
-        own = met.join(fields, ["file", "node"])
-        name = F.when(F.col("title").isNull(), F.col("above")).when(F.col("above") == "", F.col("title.text")).otherwise(F.concat("above", F.lit("."), "title.text"))
-        own = settled(own.select("file", "node", "path", name.alias("name"), F.col("title").isNotNull().alias("titled"), "value", F.col("kids.node").alias("list")))
-        if own.isEmpty():
+        if front.isEmpty():
             break
+        met = front.join(below, ["file", "list"]).select("file", "node", F.struct(F.concat("path", F.array("at")).alias("path"), "above", "title", "kind", "text", "items", F.col("own_kids").alias("list")).alias("m"))
+        met = met.groupBy("file", "node").agg(F.min("m").alias("m"))
+        own = (met if seen is None else met.join(seen, ["file", "node"], "left_anti")).select("file", "node", "m.*")
+        name = F.when(F.col("title").isNull(), F.col("above")).when(F.col("above") == "", F.col("title")).otherwise(F.concat("above", F.lit("."), "title"))
+        own = settled(own.select("file", "node", "path", name.alias("name"), F.col("title").isNotNull().alias("titled"), "kind", "text", "items", "list"))
         levels.append(own)
         seen = own.select("file", "node") if seen is None else seen.union(own.select("file", "node"))
         front = own.where("list is not null").select("file", "list", F.col("name").alias("above"), "path")
-    problems = every.where("problem is not null").select("file", "problem")
-    unread = files.select("file").join(problems, "file", "left").join(first.select("file", F.lit(True).alias("found")), "file", "left").where("found is null")
-    unread = unread.select("file", F.lit(None).cast("int").alias("place"), *[F.lit(None).cast(t).alias(c) for c, t in (("name", "string"), ("kind", "string"), ("value", "string"), ("items", "array<string>"))], F.coalesce("problem", F.lit("no fields")).alias("problem"))
+    unread = heads.where("kids is null").select("file", F.lit(None).cast("int").alias("place"), *[F.lit(None).cast(t).alias(c) for c, t in (("name", "string"), ("kind", "string"), ("value", "string"), ("items", "array<string>"))], F.coalesce("problem", F.lit("no fields")).alias("problem"))
     if not levels:
         return unread
     valued = levels[0]
     for level in levels[1:]:
         valued = valued.union(level)
-    valued = valued.where("titled and value is not null")
-    texts = hung.where("kind in ('string', 'name')").select("file", F.col("parent").alias("of"), F.struct(F.col("slot").try_cast("int").alias("at"), "text").alias("item"))
-    listed = valued.where("value.kind = 'list'").select("file", F.col("value.node").alias("of")).distinct().join(texts, ["file", "of"]).groupBy("file", "of").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    whole = valued.withColumn("of", F.col("value.node")).join(listed.select("file", "of", F.transform("items", lambda x: x["text"]).alias("items")), ["file", "of"], "left")
-    text, kind = F.col("value.text"), F.col("value.kind")
+    whole = valued.where("titled and kind is not null")
+    text, kind = F.col("text"), F.col("kind")
     is_flag = (kind == "name") & text.isin("Yes", "Off")
     place = F.row_number().over(Window.partitionBy("file").orderBy("path")) - 1
     made = whole.select(
         "file", place.alias("place"), "name", F.when(is_flag, "flag").when(kind == "name", "state").when(kind == "list", "list").otherwise("text").alias("kind"),
         F.when(is_flag, (text == "Yes").cast("string")).when(kind != "list", text).alias("value"),
-        F.when(kind == "list", F.coalesce("items", F.array().cast("array<string>"))).alias("items"), F.lit(None).cast("string").alias("problem"),
+        F.when(kind == "list", F.col("items")).alias("items"), F.lit(None).cast("string").alias("problem"),
     )
     return made.union(unread)
 

@@ -123,3 +123,17 @@ def test_documents_of_many_lines_are_set_out(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: (r["empty"], r["characters"]) for r in t8_text_files(spark, str(tmp_path)).collect()}
     assert got == {0: (0, 22_000 * 3 + 3 + 22_000 - 550), 2: (1, 0), 3: (0, 6)}
+
+
+def test_files_are_dealt_out_and_a_dictionary_is_one_row(spark):
+    from quire.operators import form_files
+    from quire.operators.groups import part_count
+
+    more = "4000000000 0 obj << /T (far) /V [ (a) 9 /B 7 0 R ] >> endobj 7 0 obj <63> endobj"
+    text = f"{form_files.HEADER}\n1 0 obj << /FDF << /Fields [ << /T (a) /Kids [ 4000000000 0 R << /T (b) /V (x) >> ] >> ] >> >> endobj {more}"
+    df = spark.createDataFrame([(1, text.encode()), (2, b"%PDF")], "file long, content binary").coalesce(1)
+    got = {(r["file"], r["name"], r["value"], tuple(r["items"] or ()), r["problem"]) for r in form_files.form_fields(df).collect()}
+    assert got == {(1, "a.far", None, ("a", "B", "c"), None), (1, "a.b", "x", (), None), (2, None, None, (), "not a form data file")}
+    rows = form_files.file_entries(df)
+    assert rows.rdd.getNumPartitions() == part_count(df)
+    assert rows.where("file = 1").count() == 4
