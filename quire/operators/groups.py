@@ -27,7 +27,12 @@ def dealt(df: DataFrame, *key: str) -> DataFrame:
 def dealt_by_rows(df: DataFrame, *key: str, rows: int = 1 << 19) -> DataFrame:
     """Rows dealt out by key into parts of about so many rows, and no fewer than dealt() makes; so a task's sorts hold no more
     of a larger table. The rows are counted first, which for a table as it is read takes its files' footers alone."""
-    return df.repartition(max(part_count(df), -(-df.count() // rows)), *key)
+    return df.repartition(parts_by_rows(df, rows=rows), *key)
+
+
+def parts_by_rows(*dfs: DataFrame, rows: int = 1 << 19) -> int:
+    """Into how many parts of about so many rows all of these go together, no fewer than dealt() makes."""
+    return max(part_count(dfs[0]), -(-sum(df.count() for df in dfs) // rows))
 
 
 def part_count(df: DataFrame) -> int:

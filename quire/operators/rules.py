@@ -14,10 +14,15 @@ from quire.operators.graph import resolved_roles, settled
 FINDING = ["doc_id", "rule", "reason", "key"]
 
 
-def heading_rule(nodes: DataFrame) -> DataFrame:
+def _into(parts: int | None, df: DataFrame, *key: str) -> DataFrame:
+    """df dealt out by key into so many parts, or as it is. Two that are dealt alike are joined where they lie."""
+    return df.repartition(parts, *key) if parts else df
+
+
+def heading_rule(nodes: DataFrame, parts: int | None = None) -> DataFrame:
     """Findings of (doc_id, key, ord, role): plain H beside H1 to H6 (at the first H), a first heading that isn't H1, and
     levels that skip."""
-    heads = nodes.where(F.col("role").rlike("^H[1-6]?$")).withColumn("level", F.nullif(F.substring("role", 2, 1), F.lit("")).cast("int"))
+    heads = _into(parts, nodes.where(F.col("role").rlike("^H[1-6]?$")).select("doc_id", "key", "ord", "role"), "doc_id").withColumn("level", F.nullif(F.substring("role", 2, 1), F.lit("")).cast("int"))
     numbered = heads.where(F.col("level").isNotNull())
     w = Window.partitionBy("doc_id").orderBy("ord")
     before = numbered.withColumn("before", F.lag("level").over(w))
@@ -50,10 +55,15 @@ NESTING = {
 }
 
 
-def nesting_rules(nodes: DataFrame, reasons: list[str] | None = None) -> DataFrame:
-    """Findings of (doc_id, key, parent, role): children that a parent may not hold, and nodes outside their parents."""
-    up = nodes.select("doc_id", F.col("key").alias("parent"), F.col("role").alias("parent_role"))
-    both = nodes.join(up, ["doc_id", "parent"], "left")
+def nesting_rules(nodes: DataFrame, reasons: list[str] | None = None, parts: int | None = None) -> DataFrame:
+    """Findings of (doc_id, key, parent, role): children that a parent may not hold, and nodes outside their parents.
+
+    Parents that no rule names are like none, and a node without a parent breaks only rules about its own role.
+    """
+    named = {r for roles, allowed, _ in NESTING.values() for r in (*roles, *allowed)}
+    up = nodes.where(F.col("role").isin(*named)).select("doc_id", F.col("key").alias("parent"), F.col("role").alias("parent_role"))
+    own = nodes.where(F.col("parent").isNotNull() | F.col("role").isin(*named)).select("doc_id", "parent", "key", "role")
+    both = _into(parts, own, "doc_id", "parent").join(_into(parts, up, "doc_id", "parent"), ["doc_id", "parent"], "left")
     none = F.coalesce(F.col("parent_role"), F.lit(""))
 
     def broken(reason: str) -> Column:
@@ -67,7 +77,8 @@ def nesting_rules(nodes: DataFrame, reasons: list[str] | None = None) -> DataFra
     if reasons and "no-body" not in reasons:
         return made
     bodies = nodes.where("role = 'LBody'").select("doc_id", F.col("parent").alias("key"))
-    bare = nodes.where("role = 'LI'").select("doc_id", "key").join(bodies, ["doc_id", "key"], "left_anti")
+    items = nodes.where("role = 'LI'").select("doc_id", "key")
+    bare = _into(parts, items, "doc_id", "key").join(_into(parts, bodies, "doc_id", "key"), ["doc_id", "key"], "left_anti")
     return made.unionByName(bare.select("doc_id", F.lit("nesting").alias("rule"), F.lit("no-body").alias("reason"), "key"))
 
 
@@ -87,9 +98,10 @@ def role_map_rule(mapping: DataFrame, nodes: DataFrame, standard: list[str]) ->
     return found.select("doc_id", F.lit("role-map").alias("rule"), "reason", "key")
 
 
-def run_rules(nodes: DataFrame) -> DataFrame:
-    """The findings of all structure rules."""
-    found = [heading_rule(nodes), figure_rule(nodes), nesting_rules(nodes)]
+def run_rules(nodes: DataFrame, parts: int | None = None) -> DataFrame:
+    """The findings of all structure rules. parts: into how many parts nodes are dealt where several are looked at together,
+    so that a task's sorts hold no more of a larger table; else as the session shuffles."""
+    found = [heading_rule(nodes, parts), figure_rule(nodes), nesting_rules(nodes, parts=parts)]
     return reduce(DataFrame.unionByName, [f.select(*FINDING) for f in found])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators import compare, forms, geometry, graph, journal, layout, model, rules
+from quire.operators.groups import parts_by_rows
 from quire.sources.tables import table
 
 # A line's place in its order; line numbers repeat, so prices settle ties.
@@ -114,11 +115,13 @@ def u5_structure_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     level = F.substring("o_orderpriority", 1, 1)
     heads = o.select(F.col("o_custkey").alias("doc_id"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("key"), F.lit(None).cast("string").alias("parent"), F.col("o_orderkey").alias("ord"), F.when(level == "5", "H").otherwise(F.concat(F.lit("H"), level)).alias("role"))
-    line = table(spark, sf_dir, "lineitem").join(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    line = table(spark, sf_dir, "lineitem")
+    parts = parts_by_rows(o, line)
+    line = line.select("l_orderkey", "l_linenumber").repartition(parts, "l_orderkey").join(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey").repartition(parts, "l_orderkey"), "l_orderkey")
     kinds = F.array(*[F.lit(r) for r in ("LI", "L", "Figure", "TD", "LBody", "TR", "P")])
     items = line.select(F.col("o_custkey").alias("doc_id"), F.concat_ws("-", F.lit("l"), "l_orderkey", "l_linenumber").alias("key"), F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("parent"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.get(kinds, F.col("l_linenumber") - 1).alias("role"))
     nodes = heads.union(items).withColumns({"alt": F.lit(""), "actual": F.lit(None).cast("string")})
-    return rules.run_rules(nodes).groupBy("rule", "reason").agg(F.count("*").alias("n"))
+    return rules.run_rules(nodes, parts).groupBy("rule", "reason").agg(F.count("*").alias("n"))
 
 
 U5_SQL = """WITH h AS (SELECT o_custkey AS d, o_orderkey AS k, left(o_orderpriority, 1) AS p FROM orders), n AS (SELECT *, p::INT AS l, lag(p::INT) OVER (PARTITION BY d ORDER BY k) AS was FROM h WHERE p <> '5'),

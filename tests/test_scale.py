@@ -137,3 +137,28 @@ def test_files_are_dealt_out_and_a_dictionary_is_one_row(spark):
     rows = form_files.file_entries(df)
     assert rows.rdd.getNumPartitions() == part_count(df)
     assert rows.where("file = 1").count() == 4
+
+
+def test_nodes_are_dealt_out_into_parts_by_their_number(spark, sf):
+    import random
+    from unittest import mock
+
+    from quire.operators import rules
+    from quire.plans import record_queries
+
+    rng = random.Random(4)
+    roles = ["L", "LI", "LBody", "Lbl", "TR", "TD", "TBody", "Table", "Caption", "P", "H1", "H3", "H", "Figure", ""]
+    rows = [(d, f"n{k}", rng.choice([None, f"n{rng.randrange(k + 3)}"]), k, rng.choice(roles), rng.choice([None, "", "x"]), None) for d in range(5) for k in range(40)]
+    nodes = spark.createDataFrame(rows, "doc_id long, key string, parent string, ord long, role string, alt string, actual string")
+    role = {(d, k): r for d, k, _, _, r, _, _ in rows}
+    want = []
+    for d, k, p, _, r, _, _ in rows:
+        up = role.get((d, p), "")
+        want += [(d, reason, k) for reason, (names, allowed, side) in rules.NESTING.items() if (up in names and r not in allowed if side == "parent" else r in names and up not in allowed)]
+        want += [(d, "no-body", k)] if r == "LI" and not any(x[:1] + x[2:3] == (d, k) and x[4] == "LBody" for x in rows) else []
+    whole = sorted(tuple(r) for r in rules.run_rules(nodes).collect())
+    assert sorted(tuple(r) for r in rules.run_rules(nodes, 7).collect()) == whole
+    assert sorted((d, reason, k) for d, rule, reason, k in whole if rule == "nesting") == sorted(want)
+    with mock.patch.object(record_queries, "parts_by_rows", return_value=23):
+        dealt = [x for x in plan(record_queries.u5_structure_rules(spark, sf)).splitlines() if "Exchange hashpartitioning(doc_id" in x or "Exchange hashpartitioning(l_orderkey" in x]
+    assert len(dealt) >= 6 and all(", 23)," in x for x in dealt)
