@@ -6,9 +6,9 @@ and its edges then meet in one task, where the four sides are chosen, fitted to
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from itertools import combinations
-from math import acos, cos, degrees, hypot, pi, sin
+from math import cos, hypot, pi, sin
 
 import numpy as np
 import pandas as pd
@@ -20,8 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 from pyspark.sql.window import Window
 
-from quire.operators.graph import settled
-from quire.operators.groups import dealt
+from quire.operators.groups import parts_by_rows
 
 # Of the strongest gradient, what is an edge; directions in half a turn, and how many a pixel votes for on either side of its
 # own; how many lines are kept, and how far apart two lines are, in directions and pixels.
@@ -33,12 +32,13 @@ TILE = 64  # pixels along the side of a tile
 ORDERS = ((0, 1, 2, 3), (0, 2, 1, 3), (0, 3, 1, 2))
 
 
-def edges(pixels: DataFrame) -> DataFrame:
+def edges(pixels: DataFrame, parts: int | None = None) -> DataFrame:
     """(page, x, y, theta) of the edge pixels of (page, x, y, grey): those inside whose Sobel gradient is at least EDGE of the
     page's strongest; theta is the gradient's direction in [0, TURN).
 
     Pixels meet their neighbours in tiles of TILE by TILE, to which those around its rim come too, so a picture of any size
-    is no more than a tile in a task; what is below EDGE of a tile's strongest stays there.
+    is no more than a tile in a task; what is below EDGE of a tile's strongest stays there. They come dealt out by page, into
+    `parts` (by the count of pixels, where not given).
     """
     kinds = dict(pixels.dtypes)
     near = lambda c: F.explode(F.array_distinct(F.array(F.floor((F.col(c) - 1) / TILE), F.floor((F.col(c) + 1) / TILE))))
@@ -80,10 +80,12 @@ def edges(pixels: DataFrame) -> DataFrame:
         if rest is not None and rest.num_rows:
             yield from close(rest, 0, rest.num_rows)
 
-    strong = settled(tiled.where("page is not null").repartition("page", "tx", "ty").sortWithinPartitions("page", "tx", "ty").mapInArrow(run, schema))
-    most = strong.groupBy("page").agg(F.max("g").alias("most"))
+    # a page's strongest is found where its edges are dealt to: a join would have to guess how many there are
+    parts = parts or parts_by_rows(pixels)
+    strong = tiled.where("page is not null").repartition(parts, "page", "tx", "ty").sortWithinPartitions("page", "tx", "ty").mapInArrow(run, schema)
+    own = strong.repartition(parts, "page").withColumn("most", F.max("g").over(Window.partitionBy("page")))
     turn = F.pmod(F.round(F.degrees(F.atan2("gy", "gx")) * TURN / 180).cast("int"), F.lit(TURN))
-    return strong.join(most, "page").where(F.col("g") >= EDGE * F.col("most")).select("page", "x", "y", turn.alias("theta"))
+    return own.where(F.col("g") >= EDGE * F.col("most")).select("page", "x", "y", turn.alias("theta"))
 
 
 def line_votes(found: DataFrame) -> DataFrame:
@@ -137,23 +139,22 @@ def _along(points: np.ndarray, a: np.ndarray, b: np.ndarray, reach: float = 2.5)
     return (np.abs(off @ np.array([-way[1], way[0]])) <= reach) & (off @ way >= 0) & (off @ way <= length)
 
 
-def _shape(corners: Sequence[tuple[float, float]], width: float, height: float) -> float:
-    """The area of four corners that can be a page's in a picture of this size; 0 where they can't."""
-    if any(not (-BEYOND * width <= x <= (1 + BEYOND) * width and -BEYOND * height <= y <= (1 + BEYOND) * height) for x, y in corners):
-        return 0.0
-    ways = [(corners[(n + 1) % 4][0] - x, corners[(n + 1) % 4][1] - y) for n, (x, y) in enumerate(corners)]
-    sides = [hypot(*w) for w in ways]
-    if min(sides) < 0.15 * min(width, height):
-        return 0.0
-    cross = [ways[n - 1][0] * y - ways[n - 1][1] * x for n, (x, y) in enumerate(ways)]
-    if not (all(c > 0 for c in cross) or all(c < 0 for c in cross)):
-        return 0.0
-    for n, (x, y) in enumerate(ways):
-        cosine = -(ways[n - 1][0] * x + ways[n - 1][1] * y) / sides[n - 1] / sides[n]
-        if not CORNERS[0] <= degrees(acos(max(-1.0, min(1.0, cosine)))) <= CORNERS[1]:
-            return 0.0
-    area = abs(sum(x * corners[(n + 1) % 4][1] - corners[(n + 1) % 4][0] * y for n, (x, y) in enumerate(corners))) / 2
-    return area if COVERS[0] <= area / (width * height) <= COVERS[1] else 0.0
+def _shapes(corners: np.ndarray, width: float, height: float) -> np.ndarray:
+    """The areas of fours of corners (n, 4, 2) that can be a page's in a picture of this size; 0 where they can't."""
+    after = np.roll(corners, -1, axis=1)
+    way = after - corners
+    before = np.roll(way, 1, axis=1)
+    side = np.hypot(way[..., 0], way[..., 1])
+    cross = before[..., 0] * way[..., 1] - before[..., 1] * way[..., 0]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cosine = -(before * way).sum(axis=2) / np.roll(side, 1, axis=1) / side
+        area = np.abs((corners[..., 0] * after[..., 1] - after[..., 0] * corners[..., 1]).sum(axis=1)) / 2
+        turned = np.degrees(np.arccos(np.clip(cosine, -1.0, 1.0)))
+        size = np.array([width, height])
+        fits = ((corners >= -BEYOND * size) & (corners <= (1 + BEYOND) * size)).all(axis=(1, 2)) & (side.min(axis=1) >= 0.15 * min(width, height))
+        fits &= (cross > 0).all(axis=1) | (cross < 0).all(axis=1)
+        fits &= ((turned >= CORNERS[0]) & (turned <= CORNERS[1])).all(axis=1) & (area / (width * height) >= COVERS[0]) & (area / (width * height) <= COVERS[1])
+    return np.where(fits, area, 0.0)
 
 
 def _fitted(points: np.ndarray, line: tuple[float, float]) -> tuple[float, float]:
@@ -172,24 +173,21 @@ def best_corners(points: np.ndarray, lines: np.ndarray, width: int, height: int)
     frame = [(0.0, 0.0), (0.0, width - 1.0), (np.pi / 2, 0.0), (np.pi / 2, height - 1.0)]
     known = _apart(lines)
     every, best = known + frame, None
-    every_turn = {(k, m): _between(every[k][0], every[m][0]) for k in range(len(every)) for m in range(len(every))}
-    crossing = {(k, m): _meet(every[k], every[m]) for (k, m), turn in every_turn.items() if turn >= MEET / 2}
+    count = len(every)
+    turns = np.array([[_between(p[0], q[0]) for q in every] for p in every])
+    crossing = np.array([[_meet(p, q) or (np.nan, np.nan) for q in every] for p in every]).reshape(count, count, 2)
+    fours = np.array([four for four in combinations(range(count), 4) if four[1] < len(known)], int).reshape(-1, 4)  # over two sides would be the picture's own
+    a, b, c, d = fours[:, np.array(ORDERS)].reshape(-1, 4).T
+    may = (turns[a, b] <= OPPOSITE) & (turns[c, d] <= OPPOSITE) & (turns[a, c] >= MEET)
+    a, b, c, d = (x[may] for x in (a, b, c, d))
+    met = np.stack([crossing[a, c], crossing[a, d], crossing[b, d], crossing[b, c]], axis=1)
+    areas = _shapes(met, width, height)
     shares: dict[tuple, float] = {}  # by side: a stretch of a line between two others is met in many fours
-    for four in combinations(range(len(every)), 4):
-        if four[1] >= len(known):  # over two sides would be the picture's own
-            continue
-        for i, j, k, m in ORDERS:
-            a, b, c, d = four[i], four[j], four[k], four[m]
-            if every_turn[a, b] > OPPOSITE or every_turn[c, d] > OPPOSITE or every_turn[a, c] < MEET:
-                continue
-            corners = [crossing[x, y] if (x, y) in crossing else _meet(every[x], every[y]) for x, y in ((a, c), (a, d), (b, d), (b, c))]
-            if any(x is None for x in corners):
-                continue
-            area = _shape(corners, width, height)
-            if not area or (best is not None and (area / (width * height)) ** 0.5 <= best[0]):  # support is 1 at most
-                continue
+    for n in np.flatnonzero(areas > 0):
+        area, sides, corners = float(areas[n]), (int(a[n]), int(d[n]), int(b[n]), int(c[n])), [tuple(x) for x in met[n].tolist()]
+        if best is None or (area / (width * height)) ** 0.5 > best[0]:  # support is 1 at most
             support = 1.0
-            for side, index in enumerate((a, d, b, c)):
+            for side, index in enumerate(sides):
                 share = 0.5 if index >= len(known) else None
                 if share is None:
                     p, q = corners[side], corners[(side + 1) % 4]
@@ -201,7 +199,7 @@ def best_corners(points: np.ndarray, lines: np.ndarray, width: int, height: int)
                     break
             score = support**0.5 * (area / (width * height)) ** 0.5
             if score and (best is None or score > best[0]):
-                best = score, np.array(corners), tuple(every[x] for x in (a, d, b, c)), [x >= len(known) for x in (a, d, b, c)]
+                best = score, np.array(corners), tuple(every[x] for x in sides), [x >= len(known) for x in sides]
     if best is None:
         return None
     score, corners, sides, framed = best
@@ -233,16 +231,17 @@ def upright(corners: np.ndarray, width: float, height: float) -> np.ndarray | No
 def page_corners(pixels: DataFrame) -> DataFrame:
     """(page, corners, score, map) of the page found in each picture (page, x, y, grey): its corners, clockwise from the top
     left, and the map to an upright rectangle as long as its sides, row by row. Pictures without one are left out."""
-    found = edges(pixels)
+    parts = parts_by_rows(pixels)
+    found = edges(pixels, parts)
     size = pixels.groupBy("page").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
-    lines = strongest_lines(line_votes(found)).join(size, "page").withColumnRenamed("page", "of")
+    lines = strongest_lines(line_votes(found)).unionByName(size, allowMissingColumns=True).withColumnRenamed("page", "of")
     kind = dict(pixels.dtypes)["page"]
 
     def solve(own: pd.DataFrame, votes: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(own) and len(votes):
-            ordered = votes.sort_values(["votes", "theta", "rho"], ascending=[False, True, True])
-            made = best_corners(own[["x", "y"]].to_numpy(float), ordered[["theta", "rho"]].to_numpy(), int(votes["w"].iloc[0]), int(votes["h"].iloc[0]))
+            ordered = votes[votes["w"].isna()].sort_values(["votes", "theta", "rho"], ascending=[False, True, True])
+            made = best_corners(own[["x", "y"]].to_numpy(float), ordered[["theta", "rho"]].to_numpy(int), int(votes["w"].max()), int(votes["h"].max()))
             if made:
                 corners, score = made
                 side = np.hypot(*(np.roll(corners, -1, axis=0) - corners).T)
@@ -250,4 +249,4 @@ def page_corners(pixels: DataFrame) -> DataFrame:
                 out.append((own["page"].iloc[0], corners.tolist(), score, None if change is None else change.ravel().tolist()))
         return pd.DataFrame(out, columns=["page", "corners", "score", "map"])
 
-    return dealt(found, "page").groupBy("page").cogroup(dealt(lines, "of").groupBy("of")).applyInPandas(solve, f"page {kind}, corners array<array<double>>, score double, map array<double>")
+    return found.groupBy("page").cogroup(lines.repartition(parts, "of").groupBy("of")).applyInPandas(solve, f"page {kind}, corners array<array<double>>, score double, map array<double>")

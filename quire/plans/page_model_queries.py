@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators import file_audit, reflow, removal, scans, text_page
+from quire.operators.groups import dealt
 from quire.sources.tables import table
 
 
@@ -100,7 +101,7 @@ CORNERS = ("8 + 4 * (k % 2)", "8 + 4 * (k // 2 % 2)", "68 - 4 * (k % 3)", "8 + 4
 def i4_page_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A light page drawn askew for each supplier, in 80 by 60 pixels; the corners that are found, to the next multiple of
     four, which is where they were drawn."""
-    own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page"), F.col("s_suppkey").alias("k"))
+    own = dealt(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page"), F.col("s_suppkey").alias("k")), "page")
     drawn = own.select("page", *[F.expr(c.replace("//", "div")).cast("int").alias(f"c{n}") for n, c in enumerate(CORNERS)])
     x, y = F.col("x"), F.col("y")
     inside = F.lit(True)

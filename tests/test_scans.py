@@ -112,3 +112,14 @@ def test_a_page_is_found_in_little_time():
         corners, _ = scans.best_corners(points, strongest, 160, 120)
         spent.append(process_time() - start)
     assert np.abs(corners - np.array(QUADS[2])).max() < 1.0 and min(spent) < 0.1, spent
+
+
+def test_nothing_is_joined_by_a_guess_of_its_size(spark):
+    from test_scale import plan
+
+    df = spark.createDataFrame([r for page in (1, 2) for r in rows(page, picture(QUADS[page]))] + [(None, 1, 1, 9)], "page int, x int, y int, grey int")
+    made = scans.page_corners(df)
+    assert "Join" not in plan(made) and "Broadcast" not in plan(made)
+    assert "Join" not in plan(scans.edges(df, 7)) and scans.edges(df, 7).rdd.getNumPartitions() == 7
+    got = {r.page: np.array(r.corners) for r in made.collect()}
+    assert set(got) == {1, 2} and all(np.abs(got[page] - QUADS[page]).max() < 1.0 for page in got)
