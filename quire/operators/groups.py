@@ -35,6 +35,12 @@ def parts_by_rows(*dfs: DataFrame, rows: int = 1 << 19) -> int:
     return max(part_count(dfs[0]), -(-sum(df.count() for df in dfs) // rows))
 
 
+def spread(df: DataFrame, parts: int, *key: str) -> DataFrame:
+    """A table in fewer files than the session has cores, dealt out by key into parts; one in more stays as it is read. A
+    file may be one piece, which a single task reads."""
+    return df if len(df.inputFiles()) >= df.sparkSession.sparkContext.defaultParallelism else df.repartition(parts, *key)
+
+
 def part_count(df: DataFrame) -> int:
     spark = df.sparkSession
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)

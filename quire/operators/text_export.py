@@ -1,7 +1,7 @@
 """Text of pages from pieces laid out on them: lines, reading order, paragraphs, and one file a document.
 
-The line a piece joins depends on the pieces before it, so a page is walked for that alone; all else (the order within a
-line, gaps, paragraphs, the file) is windows and aggregates over lines.
+The line a piece joins depends on the pieces before it, so a page's pieces are walked together, and a task holds one page of
+them; lines leave as their texts. All else (lines written from the right, paragraphs, the file) is windows and aggregates.
 """
 
 from __future__ import annotations
@@ -22,6 +22,9 @@ from quire.operators.reading import reading_places
 PARAGRAPH_GAP, WORD_GAP = 1.6, 0.15
 # What a line holds of its pieces, in the order by which they stand from left to right.
 PIECE = ["x", "ord", "width", "size", "text"]
+# White space as Unicode has it, and letters written from the right.
+SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+FROM_RIGHT = rf"[{RIGHT_TO_LEFT}&&\p{{L}}]"
 BOM = "﻿"
 # Classes of characters for the order of display; letters are told by their script.
 CLASSES = (
@@ -41,90 +44,133 @@ def direction_of(text: Column) -> Column:
     return F.when(letters(text, True) > 0, "rtl").when(letters(text, False) > 0, "ltr")
 
 
-def placed_lines(pieces: DataFrame) -> DataFrame:
+def _lines_of(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """The lines, as in placed_lines, of the pieces of whole pages."""
+    places = [rows.column(c).to_numpy(zero_copy_only=False) for c in ("page", "y", "size")]
+    starts = np.concatenate([[0], np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in places])) + 1])
+    run_pages, ys, sizes = (rows.column(c).take(pa.array(starts)).to_pylist() for c in ("page", "y", "size"))
+    page, number, lines, known, found = None, -1, [], {}, []
+    for own, y, size in zip(run_pages, ys, sizes, strict=True):
+        if own != page or number < 0:
+            page, number, lines, known = own, number + 1, [], {}
+        line = known.get((y, size))
+        if line is None:
+            near = max(1.0, size * 0.5)
+            line = known[y, size] = next((k for k, other in enumerate(lines) if abs(other - y) <= near), len(lines))
+            if line == len(lines):
+                lines.append(y)
+        found.append((number, line, lines[line]))
+    number, line, line_y = (np.repeat(np.array(c), np.diff([*starts, rows.num_rows])) for c in zip(*found, strict=True))
+    x, order = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("x", "ord"))
+    same = (number[1:] == number[:-1]) & (line[1:] == line[:-1])
+    later = (number[1:] > number[:-1]) | ((number[1:] == number[:-1]) & (line[1:] > line[:-1])) | (same & ((x[1:] > x[:-1]) | ((x[1:] == x[:-1]) & (order[1:] > order[:-1]))))
+    at = np.arange(rows.num_rows)
+    if any(rows.column(c).null_count for c in PIECE) or not later.all():
+        keys = [k for c in PIECE[:-1] for k in (rows.column(c).is_valid().to_numpy(zero_copy_only=False), pc.fill_null(rows.column(c), 0).to_numpy(zero_copy_only=False))]
+        text = pc.rank(rows.column("text"), null_placement="at_start", tiebreaker="dense").to_numpy()
+        at = np.lexsort([text, *reversed(keys), line, number])
+        rows, number, line, line_y = rows.take(pa.array(at)), number[at], line[at], line_y[at]
+    first = np.concatenate([[0], np.flatnonzero((number[1:] != number[:-1]) | (line[1:] != line[:-1])) + 1])
+    size = pa.array(np.maximum.reduceat(places[2][at], first)).cast(rows.column("size").type)
+    pieces = pa.ListArray.from_arrays(pa.array([*first, rows.num_rows], pa.int32()), pa.StructArray.from_arrays([rows.column(c) for c in PIECE], PIECE))
+    columns = [rows.column("page").take(pa.array(first)), pa.array(line[first], pa.int32()), pa.array(line_y[first], pa.float64()), size, pieces]
+    return pa.RecordBatch.from_arrays(columns, names=["page", "line", "y", "size", "pieces"])
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of pieces that come a page after the other; no more than a page is kept from batch to batch."""
+    whole = lambda held: pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and held[-1].column("page")[-1] != batch.column("page")[0]:
+            yield _lines_of(whole(held))
+            held = []
+        pages = batch.column("page").to_numpy(zero_copy_only=False)
+        turns = np.flatnonzero(pages[1:] != pages[:-1])
+        cut = int(turns[-1]) + 1 if len(turns) else 0
+        if cut:
+            yield _lines_of(whole([*held, batch.slice(0, cut)]))
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield _lines_of(whole(held))
+
+
+def _spaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(page, line, y, size, text) of lines with their pieces as they are read, but for blank ones: a gap between near edges
+    is a space, and so is all white space."""
+    for batch in batches:
+        own = batch.column("pieces")
+        piece = own.flatten()
+        x, width, size = (pc.struct_field(piece, c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("x", "width", "size"))
+        gap = np.fmax(x[1:] - (x[:-1] + width[:-1]), x[:-1] - (x[1:] + width[1:]))
+        count = pc.list_value_length(own).to_numpy()
+        ends = np.cumsum(count)
+        apart = np.concatenate([[False], gap > WORD_GAP * np.fmax(size[1:], size[:-1])])[: len(x)]
+        apart[(ends - count)[count > 0]] = False
+        spaced = pc.fill_null(pc.binary_join_element_wise(pc.if_else(pa.array(apart), " ", ""), pc.struct_field(piece, "text"), ""), "")
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), spaced), "")
+        text = pc.utf8_trim(pc.replace_substring_regex(text, f"[{SPACE}]+", " "), " ")
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page", "line", "y", "size")), text], names=["page", "line", "y", "size", "text"]).filter(pc.not_equal(text, ""))
+
+
+def _together(pieces: DataFrame, together: bool) -> DataFrame:
+    return pieces if together else pieces.repartition("page").sortWithinPartitions("page", "ord")
+
+
+def placed_lines(pieces: DataFrame, together: bool = False) -> DataFrame:
     """(page, line, y, size, pieces) of pieces (page, ord, text, x, y, size, width), y upwards: each joins the first line of
     its page within half its size (1 at least) of that line's first piece, or starts one.
 
-    Neighbours at one height and of one size are a row together, so a line may come in several; y is the line's. Only places
-    are looked at, and a place's line never changes once it is known, since lines are only added.
+    A line is one row, its pieces from left to right; y is its first piece's. Only places are looked at, and a place's line
+    never changes once it is known, since lines are only added. Where pieces come together already, a page after the
+    other and each page's in order, they stay where they are.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        page, lines, known = None, [], {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            places = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("page", "y", "size")]
-            starts = pa.array(np.concatenate([[0], np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in places])) + 1]), pa.int32())
-            pages, ys, sizes = (batch.column(c).take(starts) for c in ("page", "y", "size"))
-            found = []
-            for own, y, size in zip(pages.to_pylist(), ys.to_pylist(), sizes.to_pylist(), strict=True):
-                if own != page:
-                    page, lines, known = own, [], {}
-                line = known.get((y, size))
-                if line is None:
-                    near = max(1.0, size * 0.5)
-                    line = known[y, size] = next((k for k, other in enumerate(lines) if abs(other - y) <= near), len(lines))
-                    if line == len(lines):
-                        lines.append(y)
-                found.append((line, lines[line]))
-            line, line_y = zip(*found, strict=True)
-            own = pa.ListArray.from_arrays(pa.concat_arrays([starts, pa.array([batch.num_rows], pa.int32())]), pa.StructArray.from_arrays([batch.column(c) for c in PIECE], PIECE))
-            yield pa.RecordBatch.from_arrays([pages, pa.array(line, pa.int32()), pa.array(line_y, pa.float64()), sizes, own], names=["page", "line", "y", "size", "pieces"])
-
     kinds = dict(pieces.dtypes)
     schema = f"page {kinds['page']}, line int, y double, size {kinds['size']}, pieces array<struct<{', '.join(f'{c}: {kinds[c]}' for c in PIECE)}>>"
-    return pieces.repartition("page").sortWithinPartitions("page", "ord").mapInArrow(run, schema)
-
-
-def _spaced(lines: DataFrame) -> DataFrame:
-    """(page, line, y, size, text) of lines with their pieces as they are read: a gap between near edges is a space."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = batch.column("pieces")
-            piece = own.flatten()
-            x, width, size = (pc.struct_field(piece, c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("x", "width", "size"))
-            gap = np.fmax(x[1:] - (x[:-1] + width[:-1]), x[:-1] - (x[1:] + width[1:]))
-            count = pc.list_value_length(own).to_numpy()
-            ends = np.cumsum(count)
-            apart = np.concatenate([[False], gap > WORD_GAP * np.fmax(size[1:], size[:-1])])[: len(x)]
-            apart[(ends - count)[count > 0]] = False
-            spaced = pc.fill_null(pc.binary_join_element_wise(pc.if_else(pa.array(apart), " ", ""), pc.struct_field(piece, "text"), ""), "")
-            text = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), spaced), "")
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page", "line", "y", "size")), text], names=["page", "line", "y", "size", "text"])
+    return _together(pieces, together).mapInArrow(_placed, schema)
 
-    kinds = dict(lines.dtypes)
-    made = lines.select("page", "line", "y", "size", "pieces").mapInArrow(run, f"page {kinds['page']}, line int, y double, size {kinds['size']}, text string")
-    return made.withColumn("text", F.trim(F.regexp_replace("text", r"(?U)\s+", " ")))
 
+def line_texts(pieces: DataFrame, together: bool = False, turned: bool = True) -> DataFrame:
+    """(page, line, y, size, text) of the lines of pieces that aren't blank; together as in placed_lines. Pieces stand from
+    left to right; in a line with a piece of right-to-left letters they are read as its letters' majority runs. A gap
+    between near edges is a space.
 
-def line_texts(pieces: DataFrame) -> DataFrame:
-    """(page, line, y, size, text) of the lines of pieces that aren't blank. Pieces stand from left to right; in a line with
-    a piece of right-to-left letters they are read as its letters' majority runs. A gap between near edges is a space.
-
-    A line is one row with its pieces; only lines with right-to-left letters are taken apart again for their order.
+    Only lines with right-to-left letters are taken apart again for their order. Where there are none for certain (turned is
+    False), pieces become texts in one look.
     """
-    lines = placed_lines(pieces).groupBy("page", "line").agg(F.first("y").alias("y"), F.max("size").alias("size"), F.sort_array(F.flatten(F.collect_list("pieces"))).alias("pieces"))
+    kinds = dict(pieces.dtypes)
+    schema = f"page {kinds['page']}, line int, y double, size {kinds['size']}, text string"
+    if not turned:
+        return _together(pieces, together).mapInArrow(lambda batches: _spaced(_placed(batches)), schema)
+    lines = placed_lines(pieces, together)
     letter = F.array_join("pieces.text", "")
-    turned = letter.rlike(rf"[{RIGHT_TO_LEFT}&&\p{{L}}]")
-    units = lines.where(turned).select("page", "line", "y", "size", (letters(letter, True) > letters(letter, False)).alias("rtl_base"), F.posexplode("pieces").alias("at", "piece"))
+    right = letter.rlike(FROM_RIGHT)
+    units = lines.where(right).select("page", "line", "y", "size", (letters(letter, True) > letters(letter, False)).alias("rtl_base"), F.posexplode("pieces").alias("at", "piece"))
     read = reading_places(units.withColumn("direction", direction_of(F.col("piece.text"))), ["page", "line"], "at")
     ordered = read.groupBy("page", "line").agg(F.first("y").alias("y"), F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("place", "piece"))).alias("l"))
-    both = lines.where(~turned).union(ordered.select("page", "line", "y", "size", F.col("l.piece").alias("pieces")))
-    return _spaced(both).where("text <> ''")
+    both = lines.where(~right).union(ordered.select("page", "line", "y", "size", F.col("l.piece").alias("pieces")))
+    return both.mapInArrow(_spaced, schema)
 
 
 def page_texts(pieces: DataFrame, markdown: bool = False) -> DataFrame:
-    """(page, text) of the pages that hold text: lines from the top, parted into paragraphs where they lie further apart
-    than PARAGRAPH_GAP; in Markdown a paragraph is one escaped line."""
-    w = Window.partitionBy("page").orderBy(F.col("y").desc(), "line")
+    """(page, text) of the pages of pieces that hold text, as in texts_of_lines."""
+    return texts_of_lines(line_texts(pieces), ["page"], markdown)
+
+
+def texts_of_lines(lines: DataFrame, key: list[str], markdown: bool = False) -> DataFrame:
+    """key and text of pages that hold lines (key, line, y, size, text): lines from the top, parted into paragraphs where
+    they lie further apart than PARAGRAPH_GAP; in Markdown a paragraph is one escaped line. Lines that were dealt out by a
+    part of the key stay where they are."""
+    w = Window.partitionBy(*key).orderBy(F.col("y").desc(), "line")
     fresh = F.when(F.lag("y").over(w) - F.col("y") > PARAGRAPH_GAP * F.greatest("size", F.lag("size").over(w)), 1).otherwise(0)
-    numbered = line_texts(pieces).withColumns({"fresh": fresh, "at": F.row_number().over(w)}).withColumn("paragraph", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    numbered = lines.withColumns({"fresh": fresh, "at": F.row_number().over(w)}).withColumn("paragraph", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     whole = lambda mark: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), mark)
     text = markdown_escape(whole(" ")) if markdown else whole("\n")
-    paragraphs = numbered.groupBy("page", "paragraph").agg(text.alias("text")).withColumnRenamed("paragraph", "at")
-    return paragraphs.groupBy("page").agg(whole("\n\n").alias("text"))
+    paragraphs = numbered.groupBy(*key, "paragraph").agg(text.alias("text")).withColumnRenamed("paragraph", "at")
+    return paragraphs.groupBy(*key).agg(whole("\n\n").alias("text"))
 
 
 def text_files(pages: DataFrame, markdown: bool = False) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.operators import comments, form_files, text_export
-from quire.operators.groups import slices
+from quire.operators.groups import parts_by_rows, slices, spread
 from quire.plans.text_queries import docs
 from quire.sources.tables import table
 
@@ -78,8 +78,9 @@ SELECT conv_id AS file, 'c0' AS name, CASE WHEN conv_id % 2 = 0 THEN 'highlight'
   (conv_id % 100) + 100.25 AS "right", 1 AS marks, 0 AS skipped FROM t GROUP BY conv_id"""
 
 
-def _set_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The words of documents laid out: a line of text is a line 20 points high, a letter 5 wide, a page 40 lines.
+def _set_words(texts: DataFrame) -> DataFrame:
+    """The words of documents laid out: a line of text is a line 20 points high, a letter 5 wide, a page 40 lines. They come
+    a page after the other, in order.
 
     Where a word begins is a running sum along its line, so long lines cost no more than their words.
     """
@@ -102,14 +103,20 @@ def _set_words(spark: SparkSession, sf_dir: str) -> DataFrame:
             columns = [page, pa.array(line[of] * 100_000 + k), words, pa.array(x), pa.array(line[of] * -20.0), pa.array(np.full(len(of), 20.0)), pa.array(length * 5.0)]
             yield pa.RecordBatch.from_arrays(columns, names=["page", "ord", "text", "x", "y", "size", "width"])
 
-    return docs(spark, sf_dir).select("doc_id", "text").mapInArrow(run, "page long, ord long, text string, x double, y double, size double, width double")
+    return texts.select("doc_id", "text").mapInArrow(run, "page long, ord long, text string, x double, y double, size double, width double")
 
 
 def t8_text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents laid out word by word, read line by line, and written as text files with page rules."""
-    texts = text_export.page_texts(_set_words(spark, sf_dir))
-    whole = docs(spark, sf_dir).select("doc_id", F.explode(F.sequence(F.lit(0), F.floor((F.size(F.split("text", "\n")) - 1) / 40))).alias("page"))
-    pages = whole.join(texts.select(F.floor(F.col("page") / 100_000).alias("doc_id"), (F.col("page") % 100_000).alias("page"), "text"), ["doc_id", "page"], "left")
+    own = docs(spark, sf_dir)
+    parts = parts_by_rows(own, rows=1 << 12)
+    right = F.col("text").rlike(text_export.FROM_RIGHT)  # they are rare, and take a second look
+    texts = spread(own.select("doc_id", "text"), parts, "doc_id")
+    lines = text_export.line_texts(_set_words(texts.where(~right)), together=True, turned=False).union(text_export.line_texts(_set_words(texts.where(right)), together=True))
+    dealt_out = lines.withColumn("doc_id", F.floor(F.col("page") / 100_000)).repartition(parts, "doc_id")
+    held = text_export.texts_of_lines(dealt_out, ["doc_id", "page"]).select("doc_id", F.col("page") % 100_000, "text")
+    whole = own.select("doc_id", F.explode(F.sequence(F.lit(0), F.floor((F.size(F.split("text", "\n")) - 1) / 40))).alias("page"), F.lit(None).cast("string").alias("text"))
+    pages = whole.repartition(parts, "doc_id").union(held).groupBy("doc_id", "page").agg(F.max("text").alias("text"))
     made = text_export.text_files(pages.withColumn("page", F.col("page").cast("int")))
     return made.select("doc_id", F.md5(F.col("content").cast("binary")).alias("md5"), F.size("empty_pages").alias("empty"), "characters")
 

@@ -162,3 +162,13 @@ def test_nodes_are_dealt_out_into_parts_by_their_number(spark, sf):
     with mock.patch.object(record_queries, "parts_by_rows", return_value=23):
         dealt = [x for x in plan(record_queries.u5_structure_rules(spark, sf)).splitlines() if "Exchange hashpartitioning(doc_id" in x or "Exchange hashpartitioning(l_orderkey" in x]
     assert len(dealt) >= 6 and all(", 23)," in x for x in dealt)
+
+
+def test_a_table_in_few_files_is_dealt_out(spark, tmp_path):
+    from quire.operators.groups import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    for files in (1, cores):
+        spark.range(100).repartition(files).write.parquet(f"{tmp_path}/{files}")
+    assert spread(spark.read.parquet(f"{tmp_path}/1"), 23, "id").rdd.getNumPartitions() == 23
+    assert "Exchange" not in plan(spread(spark.read.parquet(f"{tmp_path}/{cores}"), 23, "id"))

@@ -3,6 +3,7 @@
 import random
 import re
 
+import duckdb
 from pyspark.sql import functions as F
 from quire.operators import text_export as te
 
@@ -135,3 +136,32 @@ def test_classes_of_characters(spark):
     want = {"a": "L", "é": "L", "א": "R", "ב": "R", "ا": "AL", "5": "EN", "۵": "EN", "٥": "AN", "+": "ES", "-": "ES", "%": "ET", "€": "ET", ",": "CS", "\xa0": "CS", "(": "ON", " ": "ON", "ם x": "R"}
     df = spark.createDataFrame([(k,) for k in want], "u string")
     assert {r.u: r.c for r in df.select("u", te.display_class(F.col("u")).alias("c")).collect()} == want
+
+
+def test_words_that_come_together_are_not_shuffled(spark, tmp_path):
+    from test_scale import plan
+
+    from quire.plans.form_queries import T8F_SQL, t8_text_files
+
+    rows = [(p, k, f"w{k}" if k % 7 else " ", 40.0 * (k % 3), 20.0 * (-k // 6) + (2.0 if k % 2 else 0.0), 10.0 - 2 * (k % 2), 25.0) for p in range(9) for k in range(p * 5)]
+    rows += [(20, k, None if k == 1 else "x", 0.0 if k < 4 else None, 0.0, 8.0, 1.0) for k in range(5)]
+    df = spark.createDataFrame(rows, "page long, ord int, text string, x double, y double, size double, width double")
+    want = sorted(map(tuple, te.line_texts(df).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        made = te.line_texts(df.coalesce(1).sortWithinPartitions("page", "ord"), together=True, turned=False)
+        assert "hashpartitioning" not in plan(made)
+        assert sorted(map(tuple, made.collect())) == want and len(want) > 20
+        assert {r.page: len(r.pieces) for r in te.placed_lines(df.where("page = 20")).collect()} == {20: 5}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    texts = ["one two\n\n\nthree\n", None, "", "שלום two עברית\nplain  words", "a\n" * 85 + "end", " \n\t"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    made = t8_text_files(spark, str(tmp_path))
+    shuffles = [x for x in plan(made).splitlines() if "Exchange hashpartitioning" in x]
+    assert len(shuffles) == 3 and not any("(page#" in x and "line#" not in x for x in shuffles)
+    got = {r.doc_id: (r.md5, r.empty, r.characters) for r in made.collect()}
+    with duckdb.connect() as db:
+        db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet' WHERE doc_id NOT IN (1, 3)")
+        assert {k: v for k, v in got.items() if k != 3} == {r[0]: tuple(r[1:]) for r in db.sql(T8F_SQL).fetchall()}
+    assert got[3][1:] == (0, len("עברית two שלום\nplain words"))
