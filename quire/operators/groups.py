@@ -59,6 +59,38 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE) ->
             yield batch.slice(a, b - a)
 
 
+def whole_groups(batches: Iterable[pa.RecordBatch], key: str, least: int = 0, size: Callable[[pa.RecordBatch], int] = len) -> Iterator[pa.RecordBatch]:
+    """Rows that come a key after the other, in batches of whole keys, of about the least size (rows, where none is given); a
+    key is what is kept at most beyond that."""
+    held: list[pa.RecordBatch] = []
+    most = 0
+    whole = lambda: pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and held[-1].column(key)[-1] != batch.column(key)[0] and most >= least:
+            yield whole()
+            held, most = [], 0
+        values = batch.column(key).to_numpy(zero_copy_only=False)
+        turns = np.flatnonzero(values[1:] != values[:-1])
+        most += size(batch)
+        cut = int(turns[-1]) + 1 if len(turns) and most >= least else 0
+        if cut:
+            held.append(batch.slice(0, cut))
+            yield whole()
+            held, most = [], size(batch.slice(cut))
+        held.append(batch.slice(cut))
+    if held:
+        yield whole()
+
+
+def sort_keys(column: pa.Array) -> list[np.ndarray]:
+    """Arrays that sort, the last one first, as Spark sorts the column: nulls come first."""
+    if pa.types.is_integer(column.type) or pa.types.is_floating(column.type):
+        return [pc.fill_null(column, 0).to_numpy(zero_copy_only=False), column.is_valid().to_numpy(zero_copy_only=False)]
+    return [pc.rank(column, null_placement="at_start", tiebreaker="dense").to_numpy()]
+
+
 def _values(column: pa.Array) -> list:
     """A column as Python values; numbers and lists of them go through numpy, which is several times quicker."""
     kind = column.type

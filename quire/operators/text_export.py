@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions.text import RIGHT_TO_LEFT, markdown_escape, utf16_length
+from quire.operators.groups import sort_keys, whole_groups
 from quire.operators.reading import reading_places
 
 # Fixed values, as shares of the larger size: what parts paragraphs, and what is a space.
@@ -66,9 +67,7 @@ def _lines_of(rows: pa.RecordBatch) -> pa.RecordBatch:
     later = (number[1:] > number[:-1]) | ((number[1:] == number[:-1]) & (line[1:] > line[:-1])) | (same & ((x[1:] > x[:-1]) | ((x[1:] == x[:-1]) & (order[1:] > order[:-1]))))
     at = np.arange(rows.num_rows)
     if any(rows.column(c).null_count for c in PIECE) or not later.all():
-        keys = [k for c in PIECE[:-1] for k in (rows.column(c).is_valid().to_numpy(zero_copy_only=False), pc.fill_null(rows.column(c), 0).to_numpy(zero_copy_only=False))]
-        text = pc.rank(rows.column("text"), null_placement="at_start", tiebreaker="dense").to_numpy()
-        at = np.lexsort([text, *reversed(keys), line, number])
+        at = np.lexsort([*(k for c in reversed(PIECE) for k in sort_keys(rows.column(c))), line, number])
         rows, number, line, line_y = rows.take(pa.array(at)), number[at], line[at], line_y[at]
     first = np.concatenate([[0], np.flatnonzero((number[1:] != number[:-1]) | (line[1:] != line[:-1])) + 1])
     size = pa.array(np.maximum.reduceat(places[2][at], first)).cast(rows.column("size").type)
@@ -78,24 +77,8 @@ def _lines_of(rows: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines of pieces that come a page after the other; no more than a page is kept from batch to batch."""
-    whole = lambda held: pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if held and held[-1].column("page")[-1] != batch.column("page")[0]:
-            yield _lines_of(whole(held))
-            held = []
-        pages = batch.column("page").to_numpy(zero_copy_only=False)
-        turns = np.flatnonzero(pages[1:] != pages[:-1])
-        cut = int(turns[-1]) + 1 if len(turns) else 0
-        if cut:
-            yield _lines_of(whole([*held, batch.slice(0, cut)]))
-            held = []
-        held.append(batch.slice(cut))
-    if held:
-        yield _lines_of(whole(held))
+    """Lines of pieces that come a page after the other."""
+    yield from map(_lines_of, whole_groups(batches, "page"))
 
 
 def _spaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

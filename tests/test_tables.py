@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from quire.operators import tables
 
 RULE = "page long, x0 double, y0 double, x1 double, y1 double"
@@ -115,3 +116,49 @@ def test_cells_equal_sets_of_squares():
         assert sorted(s for r, c, h, w in want for s in ((i, j) for i in range(r, r + h) for j in range(c, c + w))) == sorted(np.ndindex(rows, columns))
         spans |= {g[2:4] for g in got}
     assert (2, 2) in spans and (1, 3) in spans
+
+
+def _random_page(rng, page):
+    """A grid with some rules left out, doubled, in pieces or out of line, and words in and beside it."""
+    xs, ys = [sorted(rng.sample(range(0, 400, 20), rng.randrange(2, 5))) for _ in range(2)]
+    plain = rng.random() < 0.7
+    rules = [(page, x, y0, x, y1) for x in xs for y0, y1 in zip(ys, ys[1:]) if rng.random() < 0.9] + [(page, x0, y, x1, y) for y in ys for x0, x1 in zip(xs, xs[1:]) if rng.random() < 0.9]
+    if not plain:
+        rules += [rng.choice([(page, xs[0] - 30, ys[0], xs[-1], ys[0]), (page, xs[0] + 1, ys[0], xs[0] + 1, ys[-1]), (page, 900, 10, 950, 10), (page, 5, 5, 5, 5)])]
+    words = [("".join(rng.choice("ab \u2003") for _ in range(rng.randrange(1, 5))), rng.randrange(0, 420) + (0.5 if plain else 0), rng.randrange(0, 400) + 0.25) for _ in range(14)]
+    rng.shuffle(rules)
+    return [(p, *map(float, r)) for p, *r in rules], [(p, None if n == 9 else n, k, c, *box) for p, n, k, c, *box in page_chars(page, words)]
+
+
+def test_pages_together_equal_single_ones(spark):
+    rng = random.Random(8)
+    pages = {p: _random_page(rng, p) for p in range(600)}
+    rules, chars = ([r for own in pages.values() for r in own[k]] for k in (0, 1))
+    rng.shuffle(chars)
+    want = []
+    for p, (own, letters) in pages.items():
+        sides = sorted((r[2], r[1], r[3]) for r in own if r[2] == r[4]), sorted((r[1], r[2], r[4]) for r in own if r[1] == r[3])
+        ordered = sorted((c[1:] for c in letters), key=lambda c: (c[0] is not None, c[0] or 0, *c[1:]))
+        want += [(p, *t) for t in tables.page_tables(sides, ordered)] if all(sides) else []
+    seen, real = [], tables.page_tables
+    df, text = spark.createDataFrame(rules, RULE), spark.createDataFrame(chars, CHAR)
+    assert sorted(map(tuple, tables.ruled_tables(df, text).collect())) == sorted(want) and len({w[0] for w in want}) > 100
+    schema = pa.schema([(f.name, t) for f, t in zip(tables.ruled_tables(df, text).schema, [pa.int64()] + [pa.int32()] * 5 + [pa.float64()] * 4 + [pa.bool_()] * 4 + [pa.string()], strict=True)])
+    corner = ("x0", "y0", "x1", "y1")
+    packed = [{"page": p, "rules": [None, *(dict(zip(corner, r[1:], strict=True)) for r in own)], "chars": [dict(zip(("line", "ord", "ch", *corner), c[1:], strict=True)) for c in letters]} for p, (own, letters) in pages.items()]
+    tables.page_tables = lambda *a: (seen.append(a), real(*a))[1]
+    try:
+        made = [tuple(r.values()) for b in tables._tables_of(pa.RecordBatch.from_pylist(packed), schema) for r in b.to_pylist()]
+    finally:
+        tables.page_tables = real
+    assert sorted(made) == sorted(want)
+    assert 0 < len(seen) < 400  # most are looked at together
+
+
+def test_rows_of_a_page_that_are_together_are_not_shuffled(spark, sf):
+    from test_scale import plan
+
+    from quire.plans.table_queries import k3_ruled_cells
+
+    text = plan(k3_ruled_cells(spark, sf))
+    assert text.count("Exchange") == 1 and text.count("Sort [") == 1 and "Generate" not in text
